@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.llm import ngram_join
+from tessellum.llm import decontaminate, ngram_join, secret_scan, sharding, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,32 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products for every hundredth vector."""
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 13-word windows of benchmark items."""
+    return decontaminate.digests(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, starting from an empty ledger."""
+    return secret_scan.digests(_read(spark, sf_dir, "documents"))
+
+
+def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of documents by jump consistent hashing of doc_id."""
+    return sharding.shard_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op9_secret_scans": op9_secret_scans,
+    "op10_jump_sharding": op10_jump_sharding,
 }
 
 ORACLES: dict[str, str] = {}
