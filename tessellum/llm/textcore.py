@@ -136,3 +136,36 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * factor + words[k : k + len(out)]
     return mix(out + np.uint64(size))
+
+
+def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """One position of each distinct word of a batch, and for each word the number of its distinct word."""
+    _, at, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    return at, inverse
+
+
+def packed(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words at positions ``at``, a zero byte before each and one after the last, and each one's offset."""
+    sizes = words.end[at] - words.start[at]
+    offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.zeros(int(offsets[-1]) + 1, np.uint8)
+    source = np.repeat(words.start[at] - offsets[:-1] - 1, sizes) + (to := _ranges(offsets[:-1] + 1, sizes))
+    out[to] = words.data[source]
+    return out, offsets[:-1]
+
+
+def _ranges(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of sizes[0] values, then those of the next range."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - sizes), sizes)
+
+
+def has_letter(words: Words) -> np.ndarray:
+    """For each document of a batch whether its text holds a letter of any script."""
+    data = words.data
+    total = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
+    out = total[words.offsets[1:]] > total[words.offsets[:-1]]
+    for d in np.flatnonzero(~out & (words.counts > 0)):
+        raw = words.blob[words.offsets[d] : words.offsets[d + 1]]
+        out[d] = any(c.isalpha() for c in raw.decode("utf-8", "replace"))
+    return out
