@@ -10,8 +10,8 @@ overlaps are counted in each fragment on its own and summed per document or per
 2. *Order.*  What is left gets the global order, rarest n-gram first, cut into fragments at
    quantiles.  Equal sets form one class beforehand, so copies cost nothing.
 3. *Candidates.*  Two sets at or over the threshold share an n-gram of their prefixes in the global
-   order.  First rounds compare each class only with the best connected class of each posting
-   list, which unites large families at linear cost; the last round compares all classes that share
+   order.  First rounds compare each class only with one class of each posting list, the best
+   connected one and then others by chance, which unites large families at linear cost; the last round compares all classes that share
    a prefix n-gram, have compatible sizes and are not already connected.  No link that would change
    a component is left out, and no pair inside a component is enumerated.
 4. *Verification.*  A pair's overlap is counted in each fragment and summed.
@@ -200,7 +200,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return summed.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fragments: int | None = None, order_fragments: int = 8, star_rounds: int = 2) -> DataFrame:
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fragments: int | None = None, order_fragments: int = 4, star_rounds: int = 8) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id (smallest id reachable over links).
 
     Rows link when 100 * intersection >= percent * union of their sets of ``size``-word n-grams.
@@ -231,28 +231,34 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     segments = storage.table(segments, "segments")
     # Unshared n-grams come first in the order and use up part of the prefix.
     prefix = F.greatest(F.lit(0), F.size("grams") - least(F.col("n"), percent) + 1).cast("int")
-    posted = storage.table(sets.select("node", "n", "weight", F.explode(F.slice(F.col("grams"), F.lit(1), prefix)).alias("key")).select("node", "n", "weight", F.col("key.gram").alias("gram")), "posted")
+    listed = sets.select("node", "n", "weight", (F.col("n") - F.size("grams")).alias("unshared"), F.posexplode(F.slice(F.col("grams"), F.lit(1), prefix)).alias("i", "key"))
+    posted = storage.table(listed.select("node", "n", "weight", (F.col("unshared") + F.col("i")).alias("before"), F.col("key.gram").alias("gram")), "posted")
 
     nodes = classes.select(F.col("print_a").alias("node"), "first_id")
-    found = None
+    found, n_sets = None, sets.count()
     grouped = storage.cut(sets.select("node", F.col("node").alias("component")))
-    for turn in range(star_rounds + 1):
-        now = posted.join(grouped, "node")
-        if turn < star_rounds:
-            lead = now.groupBy("gram").agg(F.max(F.struct("weight", "node", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram", "lead")
-            met = now.join(lead, "gram").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"), F.col("lead.component").alias("c_a"), F.col("component").alias("c_b"))
-            met = met.where("c_a <> c_b")
+    turn, stars = 0, star_rounds > 0
+    while True:
+        now = posted.join(grouped, "node").select("gram", F.struct("node", "n", "before", "component").alias("own"), F.struct(F.col("weight") if turn == 0 else -F.col("before"), F.xxhash64("node", "gram", F.lit(turn))).alias("rank"))
+        mixed = now.groupBy("gram").agg(F.max_by("own", "rank").alias("lead"), F.min("own.component").alias("low"), F.max("own.component").alias("high")).where("low <> high")
+        if stars:
+            met = now.join(mixed.select("gram", "lead"), "gram").select(F.col("lead").alias("x"), F.col("own").alias("y")).where("x.component <> y.component")
         else:
-            mixed = now.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-            now = now.join(mixed, "gram")
-            left = now.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            right = now.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            met = left.join(right, "gram").where("c_a < c_b")
-        fits = met.where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+            held = now.join(mixed.select("gram"), "gram", "left_semi")
+            met = held.select("gram", F.col("own").alias("x")).join(held.select("gram", F.col("own").alias("y")), "gram").where("x.component < y.component")
+        # With so many smaller n-grams before a common one, enough may not follow.
+        total = percent * (F.col("x.n") + F.col("y.n"))
+        fits = met.where(((100 + percent) * (F.col("x.n") - F.col("x.before")) >= total) & ((100 + percent) * (F.col("y.n") - F.col("y.before")) >= total))
+        fits = fits.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
         pairs = fits.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-        links = _overlaps(pairs, segments, percent).select("a", "b")
-        found = storage.cut(links if found is None else found.union(links))
+        links = storage.cut(_overlaps(pairs, segments, percent).select("a", "b"))
+        found = links if found is None else found.union(links)
         grouped = components(sets.select("node"), found)
+        if not stars:
+            break
+        turn += 1
+        # Rounds that still unite much are worth more than the comparisons they save cost.
+        stars = turn < star_rounds and 50 * links.count() > n_sets
     named = grouped.join(nodes, "node")
     best = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(best, "component").select(F.col("node").alias("print_a"), "component_id")
