@@ -16,6 +16,7 @@ one label only, or none, every text scores 0.  Rows keep their number; copies ge
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm import sample, svm
-from tessellum.llm.textcore import Words, chunks, distinct, packed
+from tessellum.llm.textcore import Words, _ranges, chunks, distinct, mix, packed
 
 DECAY = 0.6
 SPAN = 6
-LANDMARKS = 96
+LANDMARKS = 256
 #: Labelled documents taken for fitting, for each label.
 BOUND = 2000
 #: Letters in one unit; longer strings are cut into overlapping windows of this size.
@@ -40,8 +41,12 @@ _BEGIN, _END = 30, 31
 _CODE = np.zeros(256, np.uint8)
 for _b in range(26):
     _CODE[97 + _b] = _CODE[65 + _b] = 1 + _b
-for _b in range(128, 256):
+# Of a character beyond ASCII only its last byte counts; those of accented Latin letters fold to the letter.
+for _b in range(128, 192):
     _CODE[_b] = 27 + _b % 3
+for _at, _letters in {0x80: "aaaaaaaceeeeiiii", 0x91: "nooooo", 0x99: "uuuuy", 0x9F: "saaaaaaaceeeeiiii", 0xB1: "nooooo", 0xB9: "uuuuy"}.items():
+    for _i, _l in enumerate(_letters):
+        _CODE[_at + _i] = _CODE[ord(_l)]
 for _a, _b in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}.items():
     _CODE[ord(_a)] = _CODE[ord(_b)]
 
@@ -111,16 +116,39 @@ def subsequences(letters: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.nd
         yield owner[c : c + n] == unit, (codes[:n] << 10) | (codes[b : b + n] << 5) | codes[c : c + n], weight
 
 
-def _sums(letters: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each unit the table's sum over its weighted subsequences, over the unit's length in feature space."""
+def _squares(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The kernel of each unit with itself."""
+    owner = _framed(letters, sizes)[2]
+    keys, weights = [], []
+    for ok, number, weight in subsequences(letters, sizes):
+        keys.append((owner[ok].astype(np.int64) << 15) | number[ok])
+        weights.append(np.full(len(keys[-1]), weight))
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    each = np.bincount(inverse, np.concatenate(weights))
+    return np.bincount(key >> 15, each * each, len(sizes))
+
+
+def margins_of(letters: np.ndarray, sizes: np.ndarray, table: np.ndarray, intercept: float, near: float = -0.3) -> np.ndarray:
+    """The machine's output for each unit.
+
+    At first a unit's length in feature space is bounded from below as if no subsequence occurred
+    twice; units that come above ``near`` so get their exact length.
+    """
     _, offsets, unit = _framed(letters, sizes)
+    if not len(offsets):
+        return np.zeros(0)
     value, square = np.zeros(len(unit), np.float32), np.zeros(len(unit), np.float32)
     for ok, number, weight in subsequences(letters, sizes):
         value += np.where(ok, table[number], 0) * np.float32(weight)
         square += ok * np.float32(weight * weight)
-    if not len(offsets):
-        return np.zeros(0)
-    return np.add.reduceat(value, offsets) / np.sqrt(np.maximum(np.add.reduceat(square, offsets), 1e-6))
+    dot, square = np.add.reduceat(value, offsets).astype(float), np.add.reduceat(square, offsets).astype(float)
+    out = dot / np.sqrt(np.maximum(square, 1e-6)) + intercept
+    close = np.flatnonzero(out > near)
+    if len(close):
+        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        own = letters[_ranges(begins[close], sizes[close])]
+        out[close] = dot[close] / np.sqrt(np.maximum(_squares(own, sizes[close]), 1e-6)) + intercept
+    return out
 
 
 def explicit(strings: list[bytes]) -> np.ndarray:
@@ -128,11 +156,9 @@ def explicit(strings: list[bytes]) -> np.ndarray:
     out = np.zeros((len(strings), 1 << 15), np.float32)
     for i, s in enumerate(strings):
         letters, sizes = np.frombuffer(s, np.uint8), np.array([len(s)])
-        square = 0.0
         for ok, number, weight in subsequences(letters, sizes):
             np.add.at(out[i], number[ok], weight)
-            square += weight * weight * int(ok.sum())
-        out[i] /= np.sqrt(max(square, 1e-6))
+        out[i] /= max(float(np.linalg.norm(out[i])), 1e-3)
     return out
 
 
@@ -148,7 +174,7 @@ class Model:
         out = np.full(words.n_docs, -np.inf)
         letters, sizes, docs, which = units_of(words)
         if len(docs):
-            value = _sums(letters, sizes, self.table) + self.intercept
+            value = margins_of(letters, sizes, self.table, self.intercept)
             order = np.argsort(docs, kind="stable")
             docs, value = docs[order], value[which[order]]
             first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
@@ -160,6 +186,52 @@ class Model:
         return np.where(np.isfinite(m), 1 / (1 + np.exp(-np.clip(self.slope * np.where(np.isfinite(m), m, 0) + self.shift, -500, 500))), 0.0)
 
 
+def _witnesses(held: list[set[bytes]], labels: np.ndarray, times: list[Counter], n: list[int], ratio: float = 8.0) -> dict[bytes, int]:
+    """Units that explain label-1 texts, with the number of texts each was chosen for.
+
+    Greedy cover: the unit that explains most texts not yet explained, less its share of label-0
+    texts, comes next; so the other words of copied texts are not taken for insults.
+    """
+    able = {u for u, c in times[1].items() if (c + 0.5) / (n[1] + 1) > ratio * (times[0][u] + 0.5) / (n[0] + 1)}
+    where: dict[bytes, list[int]] = {}
+    for d in np.flatnonzero(labels == 1).tolist():
+        for u in held[d] & able:
+            where.setdefault(u, []).append(d)
+    gain = Counter({u: len(ds) for u, ds in where.items()})
+    cost = {u: 4 * times[0][u] * n[1] / max(1, n[0]) for u in where}
+    open_, chosen, least = set(np.flatnonzero(labels == 1).tolist()), {}, 3 if n[1] >= 100 else 1
+    ranked = sorted(where)
+    while open_ and len(chosen) < 400:
+        best = max(ranked, key=lambda u: (gain[u] - cost[u], u), default=None)
+        if best is None or gain[best] - cost[best] < least:
+            break
+        new = [d for d in where[best] if d in open_]
+        chosen[best] = len(new)
+        open_ -= set(new)
+        for d in new:
+            for u in held[d] & able:
+                gain[u] -= 1
+        if len(chosen) % 16 == 1:
+            ranked = [u for u in ranked if gain[u] >= least]
+    # Texts hold several insults; those that others have covered already count too if they are frequent.
+    often = max(6, n[1] // 70)
+    return {u: times[1][u] for u in able if times[1][u] >= often} | {u: times[1][u] for u in chosen}
+
+
+def _without_copies(held: list[set[bytes]]) -> np.ndarray:
+    """A mask of one text of each group of near copies, by banded minimum hashes of its units."""
+    seeds = mix(np.arange(1, 49, dtype=np.uint64))
+    seen: set[tuple] = set()
+    keep = np.zeros(len(held), bool)
+    for d, units in enumerate(held):
+        h = np.array([zlib.crc32(u) for u in units], np.uint64)
+        low = mix(h[:, None] ^ seeds).min(0).reshape(8, 6) if len(h) else np.zeros((8, 6), np.uint64)
+        bands = [(i, *band) for i, band in enumerate(low.tolist())]
+        keep[d] = bool(len(h)) and not any(b in seen for b in bands)
+        seen.update(bands)
+    return keep
+
+
 def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None:
     """A machine from (text, label) pairs; None unless both labels occur.
 
@@ -178,24 +250,26 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
     for d, u in set(zip(docs.tolist(), which.tolist(), strict=True)):
         if 2 <= len(strings[u]) <= UNIT:
             held[d].add(strings[u])
+    single = _without_copies(held)
+    held, labels = [s for s, one in zip(held, single, strict=True) if one], labels[single]
+    if not len(labels) or labels.min() == labels.max():
+        return None
     times = [Counter(), Counter()]
     for s, y in zip(held, labels, strict=True):
         times[y].update(s)
     n = [int((labels == y).sum()) for y in (0, 1)]
-    odds = {u: np.log((c + 0.5) / (n[1] + 1)) - np.log((times[0][u] + 0.5) / (n[0] + 1)) for u, c in times[1].items()}
-    least = max(3, n[1] // 500)
-    clear = {u for u, c in times[1].items() if c >= least and odds[u] > np.log(8.0)}
-    if not clear:
-        clear = {u for u, _ in sorted(odds.items(), key=lambda x: (-x[1], -times[1][x[0]], x[0]))[:32]}
-    positive = sorted(clear, key=lambda u: (-times[1][u], u))[:1500]
+    clear = _witnesses(held, labels, times, n)
+    positive = sorted(clear, key=lambda u: (-clear[u], u))
     common = [u for u, _ in sorted(times[0].items(), key=lambda x: (-x[1], x[0]))]
-    negative = common[:1500] + common[1500 :: max(1, len(common) // 2500)]
+    negative = common[:800] + common[800 :: max(1, len(common) // 700)]
     negative = [u for u in dict.fromkeys(negative) if u not in clear]
     table, intercept = np.zeros(1 << 15, np.float32), 0.0
-    every = sorted(set(times[0]) - clear)
+    every = sorted(set(times[0]) - set(clear))
     every_letters = np.frombuffer(b"".join(every), np.uint8)
     every_sizes = np.array([len(u) for u in every], np.int64)
-    for _ in range(3):
+    hard: list[bytes] = []
+    hard_set: set[bytes] = set()
+    for _ in range(5):
         # Landmarks: strings of both classes, the most telling ones first.
         chosen = positive[: landmarks // 2] + negative[: landmarks - min(len(positive), landmarks // 2)]
         basis = explicit(chosen)
@@ -204,17 +278,21 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
         taken = positive + negative
         z = np.concatenate([explicit(taken[i : i + 256]) @ basis.T for i in range(0, len(taken), 256)]).astype(np.float64) @ root
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        share = np.array([np.sqrt(times[1][u]) for u in positive] + [np.sqrt(times[0][u]) for u in negative])
-        share[: len(positive)] /= share[: len(positive)].sum()
-        share[len(positive) :] /= share[len(positive) :].sum()
+        # Half of the negative weight lies on strings that were taken for insults.
+        share = np.array([np.sqrt(clear[u]) for u in positive] + [1.0 if u in hard_set else np.sqrt(times[0][u]) for u in negative])
+        is_hard = np.array([False] * len(positive) + [u in hard_set for u in negative])
+        for part, total in ((y > 0, 1.0), ((y < 0) & ~is_hard, 1.0), (is_hard, 1.0)):
+            share[part] *= total / max(share[part].sum(), 1e-9)
         w, intercept = svm.train(z * 4, y, share, 1e-4, 400)
         table = (4 * (root @ w) @ basis).astype(np.float32)
         # Negative strings that the machine takes for insults come in, and lead the next landmarks.
-        margin = _sums(every_letters, every_sizes, table) + intercept
-        hard = [every[i] for i in np.argsort(-margin)[:400] if margin[i] > -0.8]
+        margin = margins_of(every_letters, every_sizes, table, intercept)
+        fresh = [every[i] for i in np.argsort(-margin)[:500] if margin[i] > -0.7]
+        hard = list(dict.fromkeys(fresh + hard))[:1500]
+        hard_set = set(hard)
         negative = list(dict.fromkeys(hard + negative))
     model = Model(table, intercept, 1.0, 0.0)
-    margins = model.margins(words)
+    margins = model.margins(words)[single]
     ok = np.isfinite(margins)
     model.slope, model.shift = svm.platt(margins[ok], labels[ok])
     return model
