@@ -10,8 +10,9 @@ overlaps are counted in each fragment on its own and summed per document or per
 2. *Order.*  What is left gets the global order, rarest n-gram first, cut into fragments at
    quantiles.  Equal sets form one class beforehand, so copies cost nothing.
 3. *Candidates.*  Two sets at or over the threshold share an n-gram of their prefixes in the global
-   order.  First rounds compare each class only with one class of each posting list, the best
-   connected one and then others by chance, which unites large families at linear cost; the last round compares all classes that share
+   order.  A first round compares each class only with a few classes of each posting list, the best
+   connected one and some of those that have the n-gram earliest, which unites large families at
+   linear cost; the second round compares all classes that share
    a prefix n-gram, have compatible sizes and are not already connected.  No link that would change
    a component is left out, and no pair inside a component is enumerated.
 4. *Verification.*  A pair's overlap is counted in each fragment and summed.
@@ -178,17 +179,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = storage.cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = nodes.select("node", F.col("node").alias("component"))
-    if both.isEmpty():
-        return labels
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        hooked = storage.cut(hooked)
+        low = F.least("component", F.coalesce("near", "component"))
+        hooked = storage.cut(labels.join(near, "node", "left").select("node", low.alias("component"), (low < F.col("component")).alias("moved")))
+        if hooked.where("moved").isEmpty():
+            return hooked.select("node", "component")
         up = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = storage.cut(hooked.join(up, "component").select("node", "old", F.col("up").alias("component")))
-        if jumped.where("component <> old").isEmpty():
-            return jumped.select("node", "component")
-        labels = jumped.select("node", "component")
+        labels = hooked.join(up, "component").select("node", F.col("up").alias("component"))
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +198,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return summed.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fragments: int | None = None, order_fragments: int = 4, star_rounds: int = 8) -> DataFrame:
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fragments: int | None = None, order_fragments: int = 4, leaders: int = 4) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id (smallest id reachable over links).
 
     Rows link when 100 * intersection >= percent * union of their sets of ``size``-word n-grams.
@@ -235,30 +233,31 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     posted = storage.table(listed.select("node", "n", "weight", (F.col("unshared") + F.col("i")).alias("before"), F.col("key.gram").alias("gram")), "posted")
 
     nodes = classes.select(F.col("print_a").alias("node"), "first_id")
-    found, n_sets = None, sets.count()
-    grouped = storage.cut(sets.select("node", F.col("node").alias("component")))
-    turn, stars = 0, star_rounds > 0
-    while True:
-        now = posted.join(grouped, "node").select("gram", F.struct("node", "n", "before", "component").alias("own"), F.struct(F.col("weight") if turn == 0 else -F.col("before"), F.xxhash64("node", "gram", F.lit(turn))).alias("rank"))
-        mixed = now.groupBy("gram").agg(F.max_by("own", "rank").alias("lead"), F.min("own.component").alias("low"), F.max("own.component").alias("high")).where("low <> high")
-        if stars:
-            met = now.join(mixed.select("gram", "lead"), "gram").select(F.col("lead").alias("x"), F.col("own").alias("y")).where("x.component <> y.component")
-        else:
-            held = now.join(mixed.select("gram"), "gram", "left_semi")
-            met = held.select("gram", F.col("own").alias("x")).join(held.select("gram", F.col("own").alias("y")), "gram").where("x.component < y.component")
+    def compare(met: DataFrame) -> DataFrame:
         # With so many smaller n-grams before a common one, enough may not follow.
         total = percent * (F.col("x.n") + F.col("y.n"))
         fits = met.where(((100 + percent) * (F.col("x.n") - F.col("x.before")) >= total) & ((100 + percent) * (F.col("y.n") - F.col("y.before")) >= total))
-        fits = fits.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-        pairs = fits.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-        links = storage.cut(_overlaps(pairs, segments, percent).select("a", "b"))
-        found = links if found is None else found.union(links)
-        grouped = components(sets.select("node"), found)
-        if not stars:
-            break
-        turn += 1
-        # Rounds that still unite much are worth more than the comparisons they save cost.
-        stars = turn < star_rounds and 50 * links.count() > n_sets
+        fits = fits.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(F.col("x.node") < F.col("y.node"), F.struct("x.n", F.col("y.n").alias("m"))).otherwise(F.struct(F.col("y.n").alias("n"), F.col("x.n").alias("m"))).alias("sizes"))
+        pairs = fits.groupBy("a", "b").agg(F.first("sizes.n").alias("n_a"), F.first("sizes.m").alias("n_b"))
+        return storage.cut(_overlaps(pairs, segments, percent).select("a", "b"))
+
+    own = F.struct("node", "n", "before")
+    ranks = [F.struct(F.col("weight") if i == 0 else -F.col("before"), F.xxhash64("node", "gram", F.lit(i))) for i in range(leaders)]
+    heads = posted.groupBy("gram").agg(F.count("*").alias("size"), F.array_distinct(F.array(*(F.max_by(own, r) for r in ranks))).alias("leads")).where("size > 1")
+    stars = posted.select("gram", own.alias("y")).join(heads, "gram").select(F.explode("leads").alias("x"), "y").where("x.node <> y.node")
+    near = compare(stars)
+    grouped = components(sets.select("node"), near)
+
+    # Whatever shares a prefix n-gram across components is compared now.
+    now = posted.join(grouped, "node").select("gram", F.struct("node", "n", "before", "component").alias("own"))
+    mixed = now.groupBy("gram").agg(F.min("own.component").alias("low"), F.max("own.component").alias("high")).where("low <> high").select("gram")
+    held = storage.table(now.join(mixed, "gram", "left_semi"), "mixed")
+    rest = compare(held.select("gram", F.col("own").alias("x")).join(held.select("gram", F.col("own").alias("y")), "gram").where("x.component < y.component"))
+    # Few links are left now; they join whole components.
+    named_a = rest.join(grouped.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a")
+    between = named_a.join(grouped.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    outer = components(grouped.select(F.col("component").alias("node")).distinct(), between)
+    grouped = grouped.join(outer.select(F.col("node").alias("component"), F.col("component").alias("outer")), "component").select("node", F.col("outer").alias("component"))
     named = grouped.join(nodes, "node")
     best = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(best, "component").select(F.col("node").alias("print_a"), "component_id")
