@@ -187,7 +187,7 @@ def _predict(shared):
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, bound: int = BOUND) -> DataFrame:
     """Per row: held_out, lang_pred, score.  Learns from rows with a language outside fold ``held``."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (sample.fold(id_col, folds) == held).alias("held_out"))
-    model = fit(sample.by_label(rows.where(~F.col("held_out")), "lang", bound))
+    model = sample.fit_once(sample.by_label(rows.where(~F.col("held_out")), "lang", bound), bound, fit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, "held_out", "text").mapInArrow(_predict(shared), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")

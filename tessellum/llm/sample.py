@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +19,37 @@ def fold(id_col: str, parts: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts))
 
 
-def by_label(rows: DataFrame, label: str, bound: int, text_col: str = "text") -> list[tuple[str, object]]:
-    """At most ``bound`` (text, label) of each label, chosen by a hash of the text and spread over all rows.
+def by_label(rows: DataFrame, label: str, bound: int, text_col: str = "text") -> DataFrame | None:
+    """About ``bound`` (text, label, place) of each label, chosen by a hash of the text; None without labels.
 
-    Copies of a text are taken or left together, so one of each stays.  The rows are counted by label
-    first; the share that is collected follows from the counts, so no task gathers a label's rows.
+    Copies of a text are taken or left together.  The rows are counted by label first; the share
+    that is taken follows from the counts, so no task gathers a label's rows.
     """
     able = rows.where(F.col(label).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= LONGEST_TEXT)).select(F.col(text_col).alias("text"), F.col(label).alias("label"))
     counts = {r["label"]: r["count"] for r in able.groupBy("label").count().collect()}
     if not counts:
-        return []
+        return None
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * bound / n))))
     place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    taken = able.withColumn("_place", place).where(F.col("_place") < share[F.col("label")]).collect()
-    out, seen, used = [], set(), dict.fromkeys(counts, 0)
-    for r in sorted(taken, key=lambda r: (r["_place"], r["text"])):
-        if r["text"] not in seen and used[r["label"]] < bound:
-            seen.add(r["text"])
-            used[r["label"]] += 1
-            out.append((r["text"], r["label"]))
-    return out
+    return able.withColumn("place", place).where(F.col("place") < share[F.col("label")])
+
+
+def fit_once(rows: DataFrame | None, bound: int, fit):
+    """``fit`` of at most ``bound`` (text, label) pairs of each label, run in one task of an executor.
+
+    The sample is of bounded size; only the fitted model comes to the driver.
+    """
+    if rows is None:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = sorted((place, text, label) for b in batches for text, label, place in zip(*(b.column(c).to_pylist() for c in ("text", "label", "place")), strict=True))
+        out, seen, used = [], set(), Counter()
+        for _, text, label in taken:
+            if text not in seen and used[label] < bound:
+                seen.add(text)
+                used[label] += 1
+                out.append((text, label))
+        yield pa.record_batch([pa.array([pickle.dumps(fit(out))], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])

@@ -29,7 +29,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(1 << 20, 1 << (n - 1).bit_length())
         made = []
         for base in (_P, _P_INV):
             p = np.full(size, base, np.uint64)

@@ -34,6 +34,8 @@ SPAN = 6
 LANDMARKS = 256
 #: Labelled documents taken for fitting, for each label.
 BOUND = 2000
+#: Units whose subsequences are expanded at once.
+BLOCK_UNITS = 8192
 #: Letters in one unit; longer strings are cut into overlapping windows of this size.
 UNIT = 24
 
@@ -134,6 +136,9 @@ def margins_of(letters: np.ndarray, sizes: np.ndarray, table: np.ndarray, interc
     At first a unit's length in feature space is bounded from below as if no subsequence occurred
     twice; units that come above ``near`` so get their exact length.
     """
+    if len(sizes) > BLOCK_UNITS:
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate([margins_of(letters[begins[i] : begins[min(i + BLOCK_UNITS, len(sizes))]], sizes[i : i + BLOCK_UNITS], table, intercept, near) for i in range(0, len(sizes), BLOCK_UNITS)])
     _, offsets, unit = _framed(letters, sizes)
     if not len(offsets):
         return np.zeros(0)
@@ -192,14 +197,16 @@ def _witnesses(held: list[set[bytes]], labels: np.ndarray, times: list[Counter],
     Greedy cover: the unit that explains most texts not yet explained, less its share of label-0
     texts, comes next; so the other words of copied texts are not taken for insults.
     """
-    able = {u for u, c in times[1].items() if (c + 0.5) / (n[1] + 1) > ratio * (times[0][u] + 0.5) / (n[0] + 1)}
+    # So often in label-1 texts that not even one of all units would be by chance.
+    chance = np.log(2 * max(2, len(times[0]) + len(times[1]))) / np.log(sum(n) / n[1])
+    able = {u for u, c in times[1].items() if c >= chance and (c + 0.5) / (n[1] + 1) > ratio * (times[0][u] + 0.5) / (n[0] + 1)}
     where: dict[bytes, list[int]] = {}
     for d in np.flatnonzero(labels == 1).tolist():
         for u in held[d] & able:
             where.setdefault(u, []).append(d)
     gain = Counter({u: len(ds) for u, ds in where.items()})
     cost = {u: 4 * times[0][u] * n[1] / max(1, n[0]) for u in where}
-    open_, chosen, least = set(np.flatnonzero(labels == 1).tolist()), {}, 3 if n[1] >= 100 else 1
+    open_, chosen, least = set(np.flatnonzero(labels == 1).tolist()), {}, 2
     ranked = sorted(where)
     while open_ and len(chosen) < 400:
         best = max(ranked, key=lambda u: (gain[u] - cost[u], u), default=None)
@@ -213,9 +220,8 @@ def _witnesses(held: list[set[bytes]], labels: np.ndarray, times: list[Counter],
                 gain[u] -= 1
         if len(chosen) % 16 == 1:
             ranked = [u for u in ranked if gain[u] >= least]
-    # Texts hold several insults; those that others have covered already count too if they are frequent.
-    often = max(6, n[1] // 70)
-    return {u: times[1][u] for u in able if times[1][u] >= often} | {u: times[1][u] for u in chosen}
+    # Texts hold several insults; those that others have covered already count too if they hardly occur elsewhere.
+    return {u: times[1][u] for u in able if u in chosen or 50 * times[0][u] * n[1] <= times[1][u] * n[0]}
 
 
 def _without_copies(held: list[set[bytes]]) -> np.ndarray:
@@ -242,14 +248,19 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
     labels = np.array([y for _, y in rows])
     if not len(rows) or labels.min() == labels.max():
         return None
-    words = Words(pa.array([t for t, _ in rows], pa.string()))
-    letters, sizes, docs, which = units_of(words)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    strings = [letters[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-    held = [set() for _ in rows]
-    for d, u in set(zip(docs.tolist(), which.tolist(), strict=True)):
-        if 2 <= len(strings[u]) <= UNIT:
-            held[d].add(strings[u])
+    texts = pa.record_batch([pa.array([t for t, _ in rows], pa.string())], names=["text"])
+    held: list[set[bytes]] = []
+    names: dict[bytes, bytes] = {}
+    for part in chunks(iter([texts]), most=1 << 20):
+        letters, sizes, docs, which = units_of(Words(part.column("text")))
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        strings = [names.setdefault(u, u) for u in (letters[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True))]
+        own = [set() for _ in range(part.num_rows)]
+        for d, u in zip(docs.tolist(), which.tolist(), strict=True):
+            if 2 <= len(strings[u]) <= UNIT:
+                own[d].add(strings[u])
+        held += own
+    del names
     single = _without_copies(held)
     held, labels = [s for s, one in zip(held, single, strict=True) if one], labels[single]
     if not len(labels) or labels.min() == labels.max():
@@ -259,6 +270,8 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
         times[y].update(s)
     n = [int((labels == y).sum()) for y in (0, 1)]
     clear = _witnesses(held, labels, times, n)
+    if not clear:
+        clear = {u: c for u, c in times[1].items() if not times[0][u] and c == max(times[1].values())} or dict(times[1])
     positive = sorted(clear, key=lambda u: (-clear[u], u))
     common = [u for u, _ in sorted(times[0].items(), key=lambda x: (-x[1], x[0]))]
     negative = common[:800] + common[800 :: max(1, len(common) // 700)]
@@ -276,7 +289,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
         values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
         root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         taken = positive + negative
-        z = np.concatenate([explicit(taken[i : i + 256]) @ basis.T for i in range(0, len(taken), 256)]).astype(np.float64) @ root
+        z = np.concatenate([explicit(taken[i : i + 128]) @ basis.T for i in range(0, len(taken), 128)]).astype(np.float64) @ root
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         # Half of the negative weight lies on strings that were taken for insults.
         share = np.array([np.sqrt(clear[u]) for u in positive] + [1.0 if u in hard_set else np.sqrt(times[0][u]) for u in negative])
@@ -292,7 +305,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
         hard_set = set(hard)
         negative = list(dict.fromkeys(hard + negative))
     model = Model(table, intercept, 1.0, 0.0)
-    margins = model.margins(words)[single]
+    margins = np.concatenate([model.margins(Words(part.column("text"))) for part in chunks(iter([texts]), most=1 << 20)])[single]
     ok = np.isfinite(margins)
     model.slope, model.shift = svm.platt(margins[ok], labels[ok])
     return model
@@ -313,7 +326,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """A machine from labelled rows outside fold ``held``."""
     marked = labels.where(F.col(label_col).isin(0, 1) & (sample.fold(id_col, folds) != held)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).join(marked, F.col("_own") == F.col("_id"))
-    return fit(sample.by_label(rows, "_label", bound))
+    return sample.fit_once(sample.by_label(rows, "_label", bound), bound, fit)
 
 
 def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
