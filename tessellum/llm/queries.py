@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.llm import decontaminate, langid, ngram_join, secret_scan, sharding, topk, toxicity
+from tessellum.llm import decontaminate, langid, lm_score, ngram_join, secret_scan, sharding, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a maximum-entropy model of six sevenths of them."""
+    return lm_score.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, starting from an empty ledger."""
     return secret_scan.digests(_read(spark, sf_dir, "documents"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_lm_score": op8_lm_score,
     "op9_secret_scans": op9_secret_scans,
     "op10_jump_sharding": op10_jump_sharding,
 }
