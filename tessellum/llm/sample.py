@@ -19,21 +19,46 @@ def fold(id_col: str, parts: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts))
 
 
-def by_label(rows: DataFrame, label: str, bound: int, text_col: str = "text") -> DataFrame | None:
-    """About ``bound`` (text, label, place) of each label, chosen by a hash of the text; None without labels.
+def _share(able: DataFrame, key: str, bound: int) -> DataFrame | None:
+    """About ``bound`` rows of each label, by a hash of ``key``; None without labels.
 
-    Copies of a text are taken or left together.  The rows are counted by label first; the share
-    that is taken follows from the counts, so no task gathers a label's rows.
+    The rows are counted by label first; the share that is taken follows from the counts, so no task
+    gathers a label's rows.
     """
-    able = rows.where(F.col(label).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= LONGEST_TEXT)).select(F.col(text_col).alias("text"), F.col(label).alias("label"))
     counts = {r["label"]: r["count"] for r in able.groupBy("label").count().collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * bound / n))))
-    place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     return able.withColumn("place", place).where(F.col("place") < share[F.col("label")])
 
 
+def _usable(text_col: str):
+    return F.col(text_col).isNotNull() & (F.octet_length(text_col) <= LONGEST_TEXT)
+
+
+def by_label(rows: DataFrame, label: str, bound: int, text_col: str = "text") -> DataFrame | None:
+    """About ``bound`` (text, label, place) of each label.  Copies of a text are taken or left together."""
+    able = rows.where(F.col(label).isNotNull() & _usable(text_col)).select(F.col(text_col).alias("text"), F.col(label).alias("label"))
+    return _share(able, "text", bound)
+
+
+def by_labelled_id(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, bound: int) -> DataFrame | None:
+    """About ``bound`` (text, label, place) of each label, where labels are a table of their own.
+
+    Ids are drawn from the labels first; these few, at most 1.5 * bound a label, are then looked up
+    in the documents by a broadcast, so no text is shuffled for it.
+    """
+    able = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).alias("label"))
+    drawn = _share(able, "_id", bound)
+    if drawn is None:
+        return None
+    kinds = able.select("label").distinct().count()
+    few = F.broadcast(drawn.limit(3 * bound * kinds // 2))
+    own = docs.where(_usable(text_col)).select(F.col(id_col).alias("_own"), F.col(text_col).alias("text"))
+    return own.join(few, F.col("_own") == F.col("_id")).select("text", "label", "place")
+
+
 def fit_once(rows: DataFrame | None, bound: int, fit):
     """``fit`` of at most ``bound`` (text, label) pairs of each label, run in one task of an executor.
 

@@ -324,9 +324,8 @@ def _score(shared):
 
 def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, bound: int = BOUND) -> Model | None:
     """A machine from labelled rows outside fold ``held``."""
-    marked = labels.where(F.col(label_col).isin(0, 1) & (sample.fold(id_col, folds) != held)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).join(marked, F.col("_own") == F.col("_id"))
-    return sample.fit_once(sample.by_label(rows, "_label", bound), bound, fit)
+    marked = labels.where(F.col(label_col).isin(0, 1) & (sample.fold(id_col, folds) != held)).select(id_col, F.col(label_col).cast("int").alias("label"))
+    return sample.fit_once(sample.by_labelled_id(docs, marked, id_col, text_col, "label", bound), bound, fit)
 
 
 def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
