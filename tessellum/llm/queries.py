@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.llm import decontaminate, langid, lm_score, ngram_join, packing, secret_scan, sharding, topk, toxicity
+from tessellum.llm import chat_quotes, decontaminate, langid, lm_score, ngram_join, packing, secret_scan, sharding, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages of conversations in reply order, without quotes."""
+    return chat_quotes.reply_order(_read(spark, sf_dir, "conversations"))
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens that hold every source in proportion."""
     return packing.digests(_read(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quotation_linking": op2_quotation_linking,
     "op3_mixture_packing": op3_mixture_packing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
