@@ -43,12 +43,21 @@ CLASSES = 32
 ROWS = 1 << 15
 BLOCKS = 8
 STEP = 8192
-CHUNK = 2 << 20
+CHUNK = 3 << 20
 
-_ENCODED = "batch long, ids binary, held binary, counts binary, tokens binary, vocab binary, fragments binary, times binary"
+_ENCODED = "batch long, ids binary, held binary, counts binary, tokens binary, vocab binary, prints binary, fragments binary, times binary"
 _VOTES = "batch long, fragment long, words binary, times binary"
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, so that the high zeros of small numbers compress away."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(raw: bytes | None) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw or b"", np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 @dataclass
 class Totals:
     """Sums over the training tokens: all tokens, distinct tokens, and by bin of the count."""
@@ -84,7 +93,7 @@ def _encode(fragments: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", batch.column("id").type)])) as out:
                 out.write_batch(pa.record_batch([batch.column("id")], names=["id"]))
-            row = [sink.getvalue().to_pybytes(), held.tobytes(), words.counts.astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), vocab.tobytes(), np.bincount(part, minlength=fragments).astype(np.uint32).tobytes(), times.tobytes()]
+            row = [sink.getvalue().to_pybytes(), held.tobytes(), words.counts.astype(np.uint32).tobytes(), pack(local), vocab.tobytes(), vocab.astype(np.uint32).tobytes(), np.bincount(part, minlength=fragments).astype(np.uint32).tobytes(), times.tobytes()]
             yield pa.record_batch([pa.array([number]), *(pa.array([r], pa.binary()) for r in row)], names=[c.split()[0] for c in _ENCODED.split(", ")])
             number += 1
 
@@ -115,7 +124,7 @@ def _add_up(group: pa.Table) -> pa.Table:
     known = total[total > 0]
     sums = np.concatenate([[known.sum(), len(known), (known == 1).sum(), (known == 2).sum()], np.bincount(_bin(known), known, BINS)]).astype(np.int64)
     ends = np.cumsum([0] + [len(w) for w in words])
-    counts = [total[inverse[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    counts = [pack(total[inverse[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     fragment = group.column("fragment")[0].as_py()
     return pa.table({"batch": pa.array([*group.column("batch").to_pylist(), -1], pa.int64()), "fragment": pa.array([fragment] * (len(counts) + 1), pa.int64()), "words": pa.array([None] * len(counts) + [sums.tobytes()], pa.binary()), "times": pa.array([*counts, None], pa.binary())})
 
@@ -124,7 +133,7 @@ def _gather(group: pa.Table) -> pa.Table:
     """A chunk's totals in the order of its vocabulary."""
     order = np.argsort(group.column("fragment").to_numpy())
     parts = group.column("times").to_pylist()
-    return pa.table({"batch": group.column("batch")[:1], "totals": pa.array([b"".join(parts[i] for i in order)], pa.binary())})
+    return pa.table({"batch": group.column("batch")[:1], "totals": pa.array([pack(np.concatenate([unpack(parts[i]) for i in order]))], pa.binary())})
 
 
 def _sequences(counts: np.ndarray, tokens: np.ndarray, vocab: np.ndarray, totals: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,11 +191,9 @@ def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
-    names = ("held", "counts", "tokens", "vocab", "totals")
-    kinds = (bool, np.uint32, np.uint32, np.uint64, np.int64)
     for i in range(batch.num_rows):
-        raw = [np.frombuffer(batch.column(c)[i].as_py() or b"", k) for c, k in zip(names, kinds, strict=True)]
-        yield batch.column("ids")[i].as_py(), raw[0], raw[1].astype(np.int64), *raw[2:]
+        ids, held, counts, tokens, prints, totals = (batch.column(c)[i].as_py() or b"" for c in ("ids", "held", "counts", "tokens", "prints", "totals"))
+        yield ids, np.frombuffer(held, bool), np.frombuffer(counts, np.uint32).astype(np.int64), unpack(tokens), np.frombuffer(prints, np.uint32).astype(np.uint64) + np.uint64(16), unpack(totals)
 
 
 def _train(shared, rate: float):
@@ -283,7 +290,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents = given.where(~F.col("held")).count()
     totals = Totals(int(sums[0]) + documents, int(sums[1]) + (documents > 0), documents, sums[4:], int(sums[2]), int(sums[3]))
     aligned = counted.where("batch >= 0").select("batch", "fragment", "times").groupBy("batch").applyInArrow(_gather, "batch long, totals binary")
-    ready = storage.table(encoded.select("batch", "ids", "held", "counts", "tokens", "vocab").join(aligned, "batch", "left"), "ready")
+    ready = storage.table(encoded.select("batch", "ids", "held", "counts", "tokens", "prints").join(aligned, "batch", "left"), "ready")
 
     model = Model(np.zeros((ROWS, CLASSES), np.float32), totals)
     for turn in range(rounds):
