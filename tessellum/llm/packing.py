@@ -36,6 +36,8 @@ LENGTH = 2048
 CYCLE = 64
 MOST_QUEUES = 512
 CLOSE = 1
+#: Rows of (queue, task) offsets up to which they are broadcast, about 10 MB.
+MOST_BASES = 200_000
 
 
 @dataclass
@@ -219,6 +221,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     phases = plan(np.array([totals[q] for q in names], np.int64), wanted, length)
     shared = spark.sparkContext.broadcast((phases, {q: i for i, q in enumerate(names)}))
     width = np.dtype(tokenise.Encoder(tokenizer).dtype).itemsize
+    # One row for each queue of each scan task; broadcast while that is little.
+    bases = storage.table(bases, "bases")
+    if bases.count() <= MOST_BASES:
+        bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).select("id", "queue", "before", "base", "n", "ids")
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     return placed.mapInArrow(_place(shared, width), schema).withColumnRenamed("id", id_col)

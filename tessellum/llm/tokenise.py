@@ -1,14 +1,15 @@
 """Token ids of whole texts, with a byte-level BPE applied once to each distinct piece.
 
-The pattern of byte-level BPE never joins a non-space to a space that follows it, so a text is cut
-before each run of ASCII space; equal pieces of a batch, and of earlier batches of a worker, are
-encoded once.  Texts with other Unicode spaces are encoded whole.
+The pattern of byte-level BPE never joins a non-space to a space that follows it, nor a letter to a
+mark that follows it, so a text is cut before each run of ASCII space and before an ASCII mark after
+an ASCII letter; equal pieces of a batch, and of earlier batches of a worker, are encoded once.  Texts with other Unicode spaces are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,11 @@ import pyarrow as pa
 from tessellum.llm.textcore import WHITE_SPACE, _ranges, span_hashes, utf8
 
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Distinct pieces a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Distinct pieces a worker remembers, at most twice as many: what has not been met since the last
+#: time so many were new is forgotten.
+REMEMBERED = 250_000
+_LETTER = bytes(int(65 <= b <= 90 or 97 <= b <= 122) for b in range(256))
+_MARK = bytes(int(33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126) for b in range(256))
 _workers: dict[str, Encoder] = {}
 
 
@@ -36,25 +40,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._forget()
+        self.known: dict[int, bytes] = {}
+        self.earlier: dict[int, bytes] = {}
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, self.dtype)
-        self.filled = 0
-        self.start: list[int] = []
-        self.size: list[int] = []
-
-    def _add(self, key: int, ids: list[int]) -> int:
-        n = len(ids)
-        if self.filled + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), n), self.dtype)])
-        self.pool[self.filled : self.filled + n] = ids
-        self.known[key] = len(self.start)
-        self.start.append(self.filled)
-        self.size.append(n)
-        self.filled += n
-        return len(self.start) - 1
+    def _pieces(self, keys: list[int], blob: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The packed ids of distinct pieces, each given by its key and its place in ``blob``."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.earlier = {}, self.known
+        known, earlier = self.known, self.earlier
+        out = list(map(known.get, keys))
+        new = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                ids = earlier.get(keys[i])
+                if ids is None:
+                    new.append(i)
+                else:
+                    out[i] = known[keys[i]] = ids
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            texts = [blob[first[i] : end[i]].decode("utf-8", "replace") for i in part]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            raw = np.fromiter(chain.from_iterable(lists), self.dtype, int(sizes.sum())).tobytes()
+            ends = (np.cumsum(sizes) * np.dtype(self.dtype).itemsize).tolist()
+            at = 0
+            for i, to in zip(part, ends, strict=True):
+                out[i] = known[keys[i]] = raw[at:to]
+                at = to
+        return out
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -66,7 +80,8 @@ class Encoder:
         n = len(raw)
         space = np.frombuffer(blob.translate(WHITE_SPACE), np.uint8) == 1
         begin = np.zeros(n + 1, bool)
-        begin[1:n] = space[1:] & ~space[:-1]
+        letter, mark = (np.frombuffer(blob.translate(table), np.uint8) == 1 for table in (_LETTER, _MARK))
+        begin[1:n] = (space[1:] & ~space[:-1]) | (mark[1:] & letter[:-1])
         begin[at] = True
         begin[n] = True
         edge = np.flatnonzero(begin)
@@ -76,20 +91,15 @@ class Encoder:
         if _OTHER_SPACE.search(blob):
             for m in _OTHER_SPACE.finditer(blob):
                 special[np.searchsorted(at, m.start(), "right") - 1] = True
-        if len(self.start) > REMEMBERED:
-            self._forget()
         use = ~special[piece_doc] if len(first) else np.zeros(0, bool)
         first, end, piece_doc = first[use], end[use], piece_doc[use]
         hashed, where, inverse = np.unique(span_hashes(raw, first, end), return_index=True, return_inverse=True)
-        keys = hashed.tolist()
-        slots = np.array([self.known.get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(slots < 0)
-        texts = [blob[first[i] : end[i]].decode("utf-8", "replace") for i in where[new]]
-        for a in range(0, len(texts), 20_000):
-            for i, e in zip(new[a : a + 20_000], self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False), strict=True):
-                slots[i] = self._add(keys[i], e.ids)
-        start, size = np.array(self.start, np.int64), np.array(self.size, np.int64)
-        at_piece, of_piece = (x[slots][inverse] if len(slots) else np.zeros(0, np.int64) for x in (start, size))
+        ids = self._pieces(hashed.tolist(), blob, first[where], end[where])
+        width = np.dtype(self.dtype).itemsize
+        pool = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        start = np.cumsum(size) - size
+        at_piece, of_piece = start[inverse], size[inverse]
         docs = len(at) - 1
         counts = np.bincount(piece_doc, of_piece, docs).astype(np.int64)
         extra = {int(d): self.whole(blob[at[d] : at[d + 1]].decode("utf-8", "replace")) for d in np.flatnonzero(special)}
@@ -98,7 +108,7 @@ class Encoder:
         out = np.full(int(counts.sum()) + docs, last, self.dtype)
         begins = np.concatenate([[0], np.cumsum(counts + 1)])[:-1]
         plain = _ranges(begins[~special], counts[~special])
-        out[plain] = self.pool[_ranges(at_piece, of_piece)]
+        out[plain] = pool[_ranges(at_piece, of_piece)]
         for d, ids in extra.items():
             out[begins[d] : begins[d] + len(ids)] = ids
         return out, counts + 1
