@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -75,6 +78,10 @@ def fit_once(rows: DataFrame | None, bound: int, fit):
                 seen.add(text)
                 used[label] += 1
                 out.append((text, label))
-        yield pa.record_batch([pa.array([pickle.dumps(fit(out))], pa.binary())], names=["model"])
+        model = pickle.dumps(fit(out))
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # the worker is used again
+        yield pa.record_batch([pa.array([model], pa.binary())], names=["model"])
 
     return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are expanded into 64-bit arrays at once; a single longer text is taken whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _P = 0x9E3779B97F4A7C15 | 5  # odd, so invertible
 _P_INV = pow(_P, -1, 1 << 64)

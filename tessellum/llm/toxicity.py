@@ -191,49 +191,41 @@ class Model:
         return np.where(np.isfinite(m), 1 / (1 + np.exp(-np.clip(self.slope * np.where(np.isfinite(m), m, 0) + self.shift, -500, 500))), 0.0)
 
 
-def _witnesses(held: list[set[bytes]], labels: np.ndarray, times: list[Counter], n: list[int], ratio: float = 8.0) -> dict[bytes, int]:
-    """Units that explain label-1 texts, with the number of texts each was chosen for.
+def _witnesses(held: list[np.ndarray], labels: np.ndarray, counts: list[np.ndarray], n: list[int], ratio: float = 8.0) -> dict[int, int]:
+    """Units that explain label-1 texts, with the number of such texts that hold them.
 
     Greedy cover: the unit that explains most texts not yet explained, less its share of label-0
     texts, comes next; so the other words of copied texts are not taken for insults.
     """
+    clean, toxic = counts
     # So often in label-1 texts that not even one of all units would be by chance.
-    chance = np.log(2 * max(2, len(times[0]) + len(times[1]))) / np.log(sum(n) / n[1])
-    able = {u for u, c in times[1].items() if c >= chance and (c + 0.5) / (n[1] + 1) > ratio * (times[0][u] + 0.5) / (n[0] + 1)}
-    where: dict[bytes, list[int]] = {}
-    for d in np.flatnonzero(labels == 1).tolist():
-        for u in held[d] & able:
-            where.setdefault(u, []).append(d)
-    gain = Counter({u: len(ds) for u, ds in where.items()})
-    cost = {u: 4 * times[0][u] * n[1] / max(1, n[0]) for u in where}
-    open_, chosen, least = set(np.flatnonzero(labels == 1).tolist()), {}, 2
-    ranked = sorted(where)
-    while open_ and len(chosen) < 400:
-        best = max(ranked, key=lambda u: (gain[u] - cost[u], u), default=None)
-        if best is None or gain[best] - cost[best] < least:
+    chance = np.log(2 * max(2, int((clean > 0).sum() + (toxic > 0).sum()))) / np.log(sum(n) / n[1])
+    able = (toxic >= chance) & ((toxic + 0.5) / (n[1] + 1) > ratio * (clean + 0.5) / (n[0] + 1))
+    texts = {d: held[d][able[held[d]]] for d in np.flatnonzero(labels == 1).tolist()}
+    gain = np.bincount(np.concatenate([*texts.values(), np.zeros(0, np.int32)]), minlength=len(toxic)).astype(float)
+    value = gain - 4 * clean * n[1] / max(1, n[0])
+    chosen: set[int] = set()
+    while texts and len(chosen) < 400:
+        best = int(np.argmax(value))
+        if value[best] < 2:
             break
-        new = [d for d in where[best] if d in open_]
-        chosen[best] = len(new)
-        open_ -= set(new)
-        for d in new:
-            for u in held[d] & able:
-                gain[u] -= 1
-        if len(chosen) % 16 == 1:
-            ranked = [u for u in ranked if gain[u] >= least]
+        chosen.add(best)
+        for d in [d for d, units in texts.items() if best in units]:
+            value[texts.pop(d)] -= 1
     # Texts hold several insults; those that others have covered already count too if they hardly occur elsewhere.
-    return {u: times[1][u] for u in able if u in chosen or 50 * times[0][u] * n[1] <= times[1][u] * n[0]}
+    return {int(u): int(toxic[u]) for u in np.flatnonzero(able) if u in chosen or 50 * clean[u] * n[1] <= toxic[u] * n[0]}
 
 
-def _without_copies(held: list[set[bytes]]) -> np.ndarray:
+def _without_copies(held: list[np.ndarray], strings: list[bytes]) -> np.ndarray:
     """A mask of one text of each group of near copies, by banded minimum hashes of its units."""
     seeds = mix(np.arange(1, 49, dtype=np.uint64))
+    hashes = np.array([zlib.crc32(u) for u in strings], np.uint64)
     seen: set[tuple] = set()
     keep = np.zeros(len(held), bool)
     for d, units in enumerate(held):
-        h = np.array([zlib.crc32(u) for u in units], np.uint64)
-        low = mix(h[:, None] ^ seeds).min(0).reshape(8, 6) if len(h) else np.zeros((8, 6), np.uint64)
+        low = mix(hashes[units][:, None] ^ seeds).min(0).reshape(8, 6) if len(units) else np.zeros((8, 6), np.uint64)
         bands = [(i, *band) for i, band in enumerate(low.tolist())]
-        keep[d] = bool(len(h)) and not any(b in seen for b in bands)
+        keep[d] = bool(len(units)) and not any(b in seen for b in bands)
         seen.update(bands)
     return keep
 
@@ -249,27 +241,27 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
     if not len(rows) or labels.min() == labels.max():
         return None
     texts = pa.record_batch([pa.array([t for t, _ in rows], pa.string())], names=["text"])
-    held: list[set[bytes]] = []
-    names: dict[bytes, bytes] = {}
-    for part in chunks(iter([texts]), most=1 << 20):
+    # Units are numbered; a text is an array of numbers, so that the sample stays small in memory.
+    numbers: dict[bytes, int] = {}
+    held: list[np.ndarray] = []
+    for part in chunks(iter([texts]), most=1 << 19):
         letters, sizes, docs, which = units_of(Words(part.column("text")))
         begins = np.concatenate([[0], np.cumsum(sizes)])
-        strings = [names.setdefault(u, u) for u in (letters[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True))]
-        own = [set() for _ in range(part.num_rows)]
-        for d, u in zip(docs.tolist(), which.tolist(), strict=True):
-            if 2 <= len(strings[u]) <= UNIT:
-                own[d].add(strings[u])
-        held += own
-    del names
-    single = _without_copies(held)
+        own = np.array([numbers.setdefault(letters[a:b].tobytes(), len(numbers)) if 2 <= b - a <= UNIT else -1 for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)], np.int64)
+        pairs = np.unique((docs << 32) | (own[which] + 1))
+        parts = np.split((pairs & 0xFFFFFFFF) - 1, np.searchsorted(pairs >> 32, np.arange(1, part.num_rows)))
+        held += [x[x >= 0].astype(np.int32) for x in parts]
+    strings = list(numbers)
+    del numbers
+    single = _without_copies(held, strings)
     held, labels = [s for s, one in zip(held, single, strict=True) if one], labels[single]
     if not len(labels) or labels.min() == labels.max():
         return None
-    times = [Counter(), Counter()]
-    for s, y in zip(held, labels, strict=True):
-        times[y].update(s)
     n = [int((labels == y).sum()) for y in (0, 1)]
-    clear = _witnesses(held, labels, times, n)
+    counts = [np.bincount(np.concatenate([s for s, x in zip(held, labels, strict=True) if x == y]), minlength=len(strings)) for y in (0, 1)]
+    clear = {strings[u]: c for u, c in _witnesses(held, labels, counts, n).items()}
+    times = [Counter({strings[u]: int(c[u]) for u in np.flatnonzero(c)}) for c in counts]
+    del held, counts, strings
     if not clear:
         clear = {u: c for u, c in times[1].items() if not times[0][u] and c == max(times[1].values())} or dict(times[1])
     positive = sorted(clear, key=lambda u: (-clear[u], u))
