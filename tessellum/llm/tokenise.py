@@ -19,7 +19,7 @@ from tessellum.llm.textcore import WHITE_SPACE, _ranges, span_hashes, utf8
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Distinct pieces a worker remembers, at most twice as many: what has not been met since the last
 #: time so many were new is forgotten.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 _LETTER = bytes(int(65 <= b <= 90 or 97 <= b <= 122) for b in range(256))
 _MARK = bytes(int(33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126) for b in range(256))
 _workers: dict[str, Encoder] = {}
