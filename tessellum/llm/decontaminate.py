@@ -15,15 +15,16 @@ once by their id; items without words or id have no windows.  Repeated documents
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessellum.llm import storage
+from tessellum.llm.spans import replaced
 from tessellum.llm.textcore import NOT_ALPHANUMERIC, Words, chunks
 
 #: Most bytes of item text in one automaton; the broadcast stays within about a hundred times that.
@@ -205,22 +206,26 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int, bl
         yield Index([(r["item"], r["text"]) for r in block.collect()], window)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with n_words, ranges (hit words and their code points) and items (those met), as columns of ``found``."""
+def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """(row, text, found): each row of ``docs`` as a struct, and what was found in its text."""
     spark = docs.sparkSession
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    done = None
+    done = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].alias("text"))
     for index in _indexes(benchmark, item_col, item_text_col, window, block_bytes):
         shared = spark.sparkContext.broadcast(index)
-        given = own if done is None else done.select("row", "text", "found")
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema), _FOUND])
-        marked = given.mapInArrow(_marker(shared), schema)
+        again = "found" in done.columns
+        schema = T.StructType([*done.schema.fields, *T.StructType.fromDDL(_FOUND).fields])
+        marked = done.mapInArrow(_marker(shared), schema)
         fresh = F.struct("n_words", "ranges", "items")
-        if done is not None:
-            marked = storage.table(marked.withColumn("fresh", fresh), "marked").select("row", "text", "found", "fresh.*")
+        if again:
+            marked = storage.table(marked, "marked")
             fresh = F.struct(F.col("n_words"), _merge(F.concat("found.ranges", "ranges")).alias("ranges"), F.array_sort(F.array_union("found.items", "items")).alias("items"))
         done = marked.select("row", "text", fresh.alias("found"))
-    return done.select("row.*", "found")
+    return done
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES, name: str = "found") -> DataFrame:
+    """``docs`` with n_words, ranges (hit words and their code points) and items (those met) in column ``name``, which replaces one of that name."""
+    return _marked(docs.drop(name), benchmark, text_col, item_col, item_text_col, window, block_bytes).select("row.*", F.col("found").alias(name))
 
 
 def _merge(ranges):
@@ -247,26 +252,22 @@ def contaminated(percent: int = 5):
 
 def digests(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, percent: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked = mark(docs.select(id_col, text_col), benchmark, text_col, window=window, block_bytes=block_bytes)
-    return marked.select(id_col, F.col("found.n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), contaminated(percent).alias("contaminated"))
+    marked = _marked(docs.select(id_col, text_col), benchmark, text_col, "item_id", "text", window, block_bytes)
+    return marked.select(F.col("row").getField(id_col).alias(id_col), F.col("found.n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), contaminated(percent).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, percent: int = 5) -> DataFrame:
     """``docs`` without contaminated rows; other rows and all columns stay as they are."""
-    return mark(docs, benchmark, text_col, window=window).where(~contaminated(percent)).drop("found")
+    return _marked(docs, benchmark, text_col, "item_id", "text", window, BLOCK_BYTES).where(~contaminated(percent)).select("row.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, percent: int = 5, longest: int | None = None) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 13, percent: int = 5, longest: int = 0) -> DataFrame:
     """Drop rows whose hit share reaches ``percent``; cut hit spans out of the others.
 
-    ``longest``: spans of at most that many words stay; by default every span goes.
+    Spans of at most ``longest`` words stay; by default every span goes.
     """
-    from tessellum.llm.spans import replace_spans
-
-    marked = mark(docs, benchmark, text_col, window=window).where(~contaminated(percent))
-    spans = F.transform(F.filter("found.ranges", lambda r: r["last"] - r["first"] > (longest or 0)), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
-    return replace_spans(marked.withColumn("_spans", spans).drop("found"), text_col, "_spans", "")
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    marked = _marked(docs, benchmark, text_col, "item_id", "text", window, BLOCK_BYTES).where(~contaminated(percent))
+    spans = F.transform(F.filter("found.ranges", lambda r: r["last"] - r["first"] > longest), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    text = F.col("row").getField(text_col)
+    cut = F.when(F.size(spans) > 0, replaced(text, spans, "")).otherwise(text)
+    return marked.select(F.col("row").withField(text_col, cut).alias("row")).select("row.*")

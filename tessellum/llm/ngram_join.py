@@ -273,7 +273,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     """
     ids = similarity_components(docs, id_col=id_col, **options).where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_times"))
     ids = storage.table(ids, "kept")
-    kept = docs.where(F.col(id_col).isNotNull()).join(ids.select("_kept"), F.col(id_col) == F.col("_kept"), "left_semi")
+    named, chosen = docs.where(F.col(id_col).isNotNull()), ids.select("_kept")
+    kept = named.join(chosen, named[id_col] == chosen["_kept"], "left_semi")
     if not ids.where("_times > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.llm.spans import replaced
+
 SPANS = "array<struct<rule:string,start:int,end:int>>"
 LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
 
@@ -106,10 +108,17 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id
     return scanned.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("spans").alias("spans"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with column spans: everything the ledger knows about each row's blob, by start and rule order."""
+def _with_findings(docs: DataFrame, ledger: DataFrame, text_col: str) -> DataFrame:
+    """(row, spans): each row of ``docs`` as a struct, and all the ledger knows about its blob."""
     known = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return with_blob(docs, text_col).join(known, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS))).drop("blob")
+    rows = with_blob(docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].alias("text"))).select("row", "blob")
+    return rows.join(known, "blob", "left").select("row", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
+    """``docs`` with everything the ledger knows about each row's blob in column ``name``, which replaces one of that name."""
+    own = docs.drop(name)
+    return _with_findings(own, ledger, text_col).select("row.*", F.col("spans").alias(name))
 
 
 def ordered(spans: str, rules: tuple[Rule, ...] = RULES):
@@ -137,8 +146,8 @@ def _count(kind: str):
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; rows without findings stay as they are."""
-    from tessellum.llm.spans import replace_spans
-
-    found = findings(docs, scan(docs, None, id_col, text_col, rules), text_col)
-    pieces = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return replace_spans(found.withColumn("spans", F.array_sort(pieces)), text_col, "spans", mark)
+    found = _with_findings(docs, scan(docs, None, id_col, text_col, rules), text_col)
+    pieces = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    text = F.col("row").getField(text_col)
+    cut = F.when(F.size("spans") > 0, replaced(text, pieces, mark)).otherwise(text)
+    return found.select(F.col("row").withField(text_col, cut).alias("row")).select("row.*")

@@ -1,26 +1,25 @@
-"""Replacing sorted spans of code points in a text column."""
+"""Replacing sorted spans of code points in a text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def replace_spans(docs: DataFrame, text_col: str, spans_col: str, mark: str) -> DataFrame:
-    """``docs`` without ``spans_col``, its (start, end) spans of ``text_col`` replaced by ``mark``.
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with its (start, end) spans replaced by ``mark``.
 
     Spans are sorted by start; overlapping ones count as one.  Built-in functions only.
     """
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state, span):
-        gap = F.substring(F.col(text_col), state["at"] + 1, span["start"] - state["at"])
+        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
         inside = span["start"] < state["at"]
         parts = F.when(inside, state["parts"]).otherwise(F.concat(state["parts"], F.array(gap, F.lit(mark))))
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), parts.alias("parts"))
 
     def finish(state):
-        return F.array_join(F.concat(state["parts"], F.array(F.substring(F.col(text_col), state["at"] + 1, F.lit(2147483647)))), "")
+        return F.array_join(F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, F.lit(2147483647)))), "")
 
-    cut = F.when(F.size(spans_col) > 0, F.aggregate(spans_col, start, step, finish)).otherwise(F.col(text_col))
-    return docs.withColumn(text_col, cut).drop(spans_col)
+    return F.aggregate(spans, start, step, finish)

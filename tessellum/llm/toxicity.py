@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessellum.llm import sample, svm
 from tessellum.llm.textcore import Words, _ranges, chunks, distinct, mix, packed
@@ -320,12 +321,16 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return sample.fit_once(sample.by_labelled_id(docs, marked, id_col, text_col, "label", bound), bound, fit)
 
 
-def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text."""
+def _scored(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
+    """(row, text, score): each row of ``docs`` as a struct, and the score of its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    kind = given.schema["row"].dataType.simpleString()
-    return given.mapInArrow(_score(shared), f"row {kind}, text string, score double").select("row.*", F.col("score").alias(name))
+    given = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].alias("text"))
+    return given.mapInArrow(_score(shared), T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text in column ``name``, which replaces one of that name."""
+    return _scored(docs.drop(name), model, text_col).select("row.*", F.col("score").alias(name))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, bound: int = BOUND) -> DataFrame:
@@ -338,4 +343,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``."""
     model = fit_from(docs, labels, id_col, text_col)
-    return with_scores(docs, model, text_col, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    return _scored(docs, model, text_col).where(F.col("score") < threshold).select("row.*")
