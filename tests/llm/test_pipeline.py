@@ -1,0 +1,50 @@
+from __future__ import annotations
+
+from pathlib import Path
+
+import pytest
+
+import corpus_pipeline
+
+from .data import empty
+from .test_decontaminate import brute as contamination
+from .test_ngram_join import brute as groups
+from .test_secret_scan import base as secrets
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables")
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+
+    def run(name, given):
+        out = spark.createDataFrame(stage[name](spark, given, DATA).collect(), given.schema)
+        assert out.columns == corpus_pipeline.COLUMNS
+        return out, [tuple(r) for r in out.collect()]
+
+    civil, rows = run("toxicity", docs)
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    gone = set(r["doc_id"] for r in docs.collect()) - {r[0] for r in rows}
+    clean = [i for i, y in marks.items() if y == 0]
+    assert sum(i in gone for i in clean) <= 0.05 * len(clean)
+    single, kept = run("ngram_jaccard_join", civil)
+    assert sorted(str(r[0]) for r in kept) == sorted(i for i, _, c in groups(rows) if i == c)
+    pure, left = run("benchmark_decontamination", single)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    assert sorted(str(r[0]) for r in left) == sorted(i for i, *_, bad in contamination(kept, items) if not bad)
+    masked, last = run("secret_scans", pure)
+    before = {r[0]: r[1] for r in left}
+    for i, text, _, _, n in last:
+        assert n == len(text) and (text == before[i] or secrets(before[i]) or "[secret]" in text)
+        assert not [s for s in secrets(text) if "[secret]" not in text[s[0] : s[2]]] or text == before[i]
+    pieces = stage["packing"](spark, masked, DATA).collect()
+    assert {r["doc_id"] for r in pieces} == {r[0] for r in last}
+
+
+def test_empty_tables(spark, tmp_path):
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
