@@ -153,7 +153,7 @@ def _tokens(path: str, names: list[str]):
         sums: dict[str, int] = {}
         coder = tokenise.encoder(path)
         width = np.dtype(coder.dtype).itemsize
-        for batch in chunks(batches, most=2 << 20):
+        for batch in chunks(batches, most=3 << 20):
             ids, sizes = coder.batch(batch.column("text"), CLOSE)
             raw, ends = ids.tobytes(), np.cumsum(sizes) * width
             before = []
@@ -166,7 +166,7 @@ def _tokens(path: str, names: list[str]):
     return run
 
 
-def _place(shared, width: int):
+def _place(shared, width: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phases, queues = shared.value
         places: dict[str, Placement] = {}
@@ -190,16 +190,17 @@ def _place(shared, width: int):
             if not rows:
                 continue
             doc, start, size, window, offset = np.concatenate(rows, 1)
-            checks = []
-            for d, a, b in zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True):
-                piece = np.frombuffer(raw[d], np.uint16 if width == 2 else np.uint32)[a:b]
-                checks.append(zlib.crc32(piece.astype("<u4").tobytes()))
-            yield pa.record_batch([batch.column("id").take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(checks, pa.int64()), pa.array(n[doc]), pa.array(window), pa.array(offset), pa.array([raw[d][a * width : b * width] for d, a, b in zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True)], pa.binary())], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            wide = {d: memoryview(np.frombuffer(raw[d], np.uint16 if width == 2 else np.uint32).astype("<u4").tobytes()) for d in np.unique(doc).tolist()}
+            checks = [zlib.crc32(wide[d][a:b]) for d, a, b in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + size)).tolist(), strict=True)]
+            columns = {"id": batch.column("id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array(checks, pa.int64()), "doc_tokens": pa.array(n[doc]), "sequence_id": pa.array(window), "offset": pa.array(offset)}
+            if with_ids:
+                columns["ids"] = pa.array([raw[d][a * width : b * width] for d, a, b in zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True)], pa.binary())
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves.
 
     ``targets``: shares by source; a source without one comes last.
@@ -211,7 +212,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         given = given.withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MOST_QUEUES)).cast("string")))
     kind = given.schema["id"].dataType.simpleString()
     tokens = given.mapInArrow(_tokens(tokenizer, ["id", "queue"]), f"id {kind}, queue string, part int, before long, n long, ids binary")
-    tokens = storage.table(tokens, "tokens")
+    tokens = storage.table(tokens, "tokens", "snappy")  # ids hardly compress
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("sum"))
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("queue", "part", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"))
@@ -226,8 +227,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     if bases.count() <= MOST_BASES:
         bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).select("id", "queue", "before", "base", "n", "ids")
-    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return placed.mapInArrow(_place(shared, width), schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    return placed.mapInArrow(_place(shared, width, with_ids), schema).withColumnRenamed("id", id_col)
 
 
 def public_vocabulary() -> str:
@@ -239,4 +240,4 @@ def public_vocabulary() -> str:
 
 def digests(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:
     """:func:`pack` without the ids."""
-    return pack(docs, tokenizer or public_vocabulary(), **options).drop("ids")
+    return pack(docs, tokenizer or public_vocabulary(), with_ids=False, **options)

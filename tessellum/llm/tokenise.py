@@ -35,10 +35,15 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        # The same merges on lists of words: a line break, which no word holds, closes each.
+        self.words = Tokenizer.from_file(path)
+        self.words.encode_special_tokens = True
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.closing,) = self.words.encode("\n", add_special_tokens=False).ids
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[int, bytes] = {}
         self.earlier: dict[int, bytes] = {}
@@ -57,19 +62,31 @@ class Encoder:
                     new.append(i)
                 else:
                     out[i] = known[keys[i]] = ids
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            texts = [blob[first[i] : end[i]].decode("utf-8", "replace") for i in part]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            raw = np.fromiter(chain.from_iterable(lists), self.dtype, int(sizes.sum())).tobytes()
-            ends = (np.cumsum(sizes) * np.dtype(self.dtype).itemsize).tolist()
-            at = 0
-            for i, to in zip(part, ends, strict=True):
-                out[i] = known[keys[i]] = raw[at:to]
-                at = to
+        texts = [blob[first[i] : end[i]].decode("utf-8", "replace") for i in new]
+        # A space at most, then letters only: one word of the pattern.
+        word = [t[t[:1] == " " :].isalpha() for t in texts]
+        for kind, encode in ((True, self._encode_words), (False, self._encode_texts)):
+            part = [(i, t) for i, t, w in zip(new, texts, word, strict=True) if w is kind]
+            for a in range(0, len(part), 20_000):
+                ids, sizes = encode([t for _, t in part[a : a + 20_000]])
+                raw, ends = ids.tobytes(), (np.cumsum(sizes) * ids.itemsize).tolist()
+                at = 0
+                for (i, _), to in zip(part[a : a + 20_000], ends, strict=True):
+                    out[i] = known[keys[i]] = raw[at:to]
+                    at = to
         return out
 
+    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.words.encode_batch_fast(["\n".join(texts[a : a + 500]) + "\n" for a in range(0, len(texts), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, self.dtype) for e in lists])
+        closes = np.flatnonzero(ids == self.closing)
+        return np.delete(ids, closes), np.diff(closes, prepend=-1) - 1
+
+    def _encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), self.dtype, int(sizes.sum())), sizes
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
