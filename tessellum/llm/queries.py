@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.llm import chat_quotes, decontaminate, langid, lm_score, ngram_join, packing, secret_scan, sharding, topk, toxicity
+from tessellum.llm import chat_quotes, decontaminate, langid, lm_score, ngram_join, oracles, packing, secret_scan, sharding, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jump_sharding": op10_jump_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op4_exact_top_k": oracles.EXACT_TOP_K,
+    "op5_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
+    "op9_secret_scans": oracles.SECRET_SCANS,
+}
