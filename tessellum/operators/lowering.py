@@ -94,7 +94,12 @@ def joined_position(letters: str, sizes: dict[str, int]) -> Column:
 def read_rows(read: Read, tensor: Tensor, sizes: dict[str, int], fixed: dict[str, int], value: str) -> Table:
     """A tensor's cells as rows of index variables; ``fixed`` ones are filtered and dropped."""
     frame, made = tensor.frame, {}
-    for k, s in enumerate(read.subscripts):
+    last = read.subscripts[-1] if read.subscripts else None
+    at = last if isinstance(last, int) else fixed.get(last)
+    picked = tensor.arrays is not None and at is not None
+    if picked:  # one element of each array instead of a row for each
+        frame = tensor.arrays.select("d0", F.element_at("x", at + 1).alias("v"))
+    for k, s in enumerate(read.subscripts[:-1] if picked else read.subscripts):
         axis = F.col(f"d{k}")
         if isinstance(s, int):
             frame = frame.where(axis == s)
@@ -330,7 +335,7 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
             scale *= sizes[c]
     table = Table(table.frame.select(*table.letters, (F.col(x) * scale if scale != 1.0 else F.col(x)).alias("x")), table.letters, table.cells)
     extra = [c for c in table.letters if c not in letters]
-    if extra or keyed:
+    if extra:
         keys = [c for c in letters if c in table.letters]
         summed = table.frame.groupBy(*keys).agg(F.sum("x").alias("x")) if keys else table.frame.agg(F.sum("x").alias("x"))
         table = Table(summed, tuple(keys), math.prod(sizes[c] for c in keys))

@@ -22,6 +22,8 @@ class Tensor:
     frame: DataFrame
     shape: tuple[int, ...]
     dtype: str = "double"
+    #: The same cells as (d0, array of the last axis), where the source has them so.
+    arrays: DataFrame | None = None
 
     @property
     def order(self) -> int:
@@ -68,7 +70,8 @@ def from_columns(frame: DataFrame, indices: Sequence[str | Column], value: str |
 def from_array_column(frame: DataFrame, row: str, values: str, shape: Sequence[int], dtype: str = "double") -> Tensor:
     """A matrix from a row number and an array column."""
     cells = frame.select(F.col(row).cast("bigint").alias("d0"), F.posexplode(values).alias("p", "x"))
-    return Tensor(cells.select("d0", F.col("p").cast("bigint").alias("d1"), F.col("x").cast(dtype).alias("v")), tuple(map(int, shape)), dtype)
+    arrays = frame.select(F.col(row).cast("bigint").alias("d0"), F.col(values).alias("x"))
+    return Tensor(cells.select("d0", F.col("p").cast("bigint").alias("d1"), F.col("x").cast(dtype).alias("v")), tuple(map(int, shape)), dtype, arrays)
 
 
 def from_sparse(frame: DataFrame, indices: Sequence[str], value: str | Column, shape: Sequence[int], dtype: str = "double") -> Tensor:

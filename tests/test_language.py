@@ -241,3 +241,13 @@ def test_logging(tmp_path):
     log.debug("hello")
     set_logger_config(log_to_stdout=False)
     assert "[driver] DEBUG tessellum: hello" in (tmp_path / "log").read_text()
+
+
+def test_slices_of_arrays_do_not_explode(spark):
+    frame = spark.createDataFrame([(i, [float(i * 10 + j) for j in range(4)]) for i in range(3)], "r long, xs array<double>")
+    t = ts.from_array_column(frame, "r", "xs", (3, 4))
+    for code, want in (("R[i] = T[i,j]", [3.0, 13.0, 23.0]), ("R[i] = T[i,1]", [1.0, 11.0, 21.0])):
+        out = ts.compile(code).execute({"T": t}, None, spark)["R"]
+        assert ts.to_numpy(out).tolist() == want
+        assert "Generate" not in out.frame._jdf.queryExecution().executedPlan().toString()
+    assert ts.to_numpy(ts.compile("R[j] = T[1,j]").execute({"T": t}, None, spark)["R"]).tolist() == [10.0, 11.0, 12.0, 13.0]
