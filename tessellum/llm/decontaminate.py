@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tessellum.llm import storage
 from tessellum.llm.spans import replaced
-from tessellum.llm.textcore import NOT_ALPHANUMERIC, Words, chunks
+from tessellum.llm.textcore import NOT_ALPHANUMERIC, Words, chunks, text_in
 
 #: Most bytes of item text in one automaton; the broadcast stays within about a hundred times that.
 BLOCK_BYTES = 2 << 20
@@ -171,11 +171,11 @@ _FOUND = "n_words long, ranges array<struct<first:int,last:int,start:int,end:int
 _RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _marker(shared):
+def _marker(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in chunks(batches):
-            words = Words(batch.column("text"), NOT_ALPHANUMERIC)
+        for batch in chunks(batches, ("row", text_col)):
+            words = Words(text_in(batch, ("row", text_col)), NOT_ALPHANUMERIC)
             doc = words.doc
             hit, met = index.hits(words, doc)
             ranges: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -207,19 +207,19 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int, bl
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """(row, text, found): each row of ``docs`` as a struct, and what was found in its text."""
+    """(row, found): each row of ``docs`` as a struct, and what was found in its text."""
     spark = docs.sparkSession
-    done = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].alias("text"))
+    done = docs.select(F.struct(*docs.columns).alias("row"))
     for index in _indexes(benchmark, item_col, item_text_col, window, block_bytes):
         shared = spark.sparkContext.broadcast(index)
         again = "found" in done.columns
         schema = T.StructType([*done.schema.fields, *T.StructType.fromDDL(_FOUND).fields])
-        marked = done.mapInArrow(_marker(shared), schema)
+        marked = done.mapInArrow(_marker(shared, text_col), schema)
         fresh = F.struct("n_words", "ranges", "items")
         if again:
             marked = storage.table(marked, "marked")
             fresh = F.struct(F.col("n_words"), _merge(F.concat("found.ranges", "ranges")).alias("ranges"), F.array_sort(F.array_union("found.items", "items")).alias("items"))
-        done = marked.select("row", "text", fresh.alias("found"))
+        done = marked.select("row", fresh.alias("found"))
     return done
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are expanded into 64-bit arrays at once; a single longer text is taken whole.
 CHUNK_BYTES = 2 << 20
@@ -68,12 +69,15 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most ``most`` bytes of text, or one text."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str | tuple[str, str] = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most ``most`` bytes of text, or one text.
+
+    ``column`` is the text's name, or (struct, field).
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, at = utf8(batch.column(column))
+        _, at = utf8(text_in(batch, column))
         first = 0
         while first < batch.num_rows:
             last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
@@ -82,6 +86,11 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             first = last
 
 
+def text_in(batch: pa.RecordBatch, column: str | tuple[str, str]) -> pa.Array:
+    """A text column, or a text field of a struct column, which then need not travel twice."""
+    return batch.column(column) if isinstance(column, str) else pc.struct_field(batch.column(column[0]), column[1])
+
+
 class Words:
     """Words of a batch: ``start`` and ``end`` in ``data``, ``counts`` by document, ``doc`` of each word."""
 

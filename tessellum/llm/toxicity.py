@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessellum.llm import sample, svm
-from tessellum.llm.textcore import Words, _ranges, chunks, distinct, mix, packed
+from tessellum.llm.textcore import Words, _ranges, chunks, distinct, mix, packed, text_in
 
 DECAY = 0.6
 SPAN = 6
@@ -37,6 +37,8 @@ LANDMARKS = 256
 BOUND = 2000
 #: Units whose subsequences are expanded at once.
 BLOCK_UNITS = 8192
+#: Bytes of text scored at once; a single longer text is taken whole.
+SCORE_BYTES = 1 << 20
 #: Letters in one unit; longer strings are cut into overlapping windows of this size.
 UNIT = 24
 
@@ -304,13 +306,19 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
     return model
 
 
-def _score(shared):
+def _score(shared, column: str | tuple[str, str], below: float | None = None):
+    """Add the score to batches without their plain text column; or keep rows under ``below``, unchanged."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in chunks(batches):
-            words = Words(batch.column("text"))
+        for batch in chunks(batches, column, most=SCORE_BYTES):
+            words = Words(text_in(batch, column))
             value = np.zeros(batch.num_rows) if model is None else model.scores(words)
-            yield pa.record_batch([*batch.columns, pa.array(value)], names=[*batch.schema.names, "score"])
+            if below is not None:
+                yield batch.filter(pa.array(value < below))
+            else:
+                names = [c for c in batch.schema.names if c != column]
+                yield pa.record_batch([*(batch.column(c) for c in names), pa.array(value)], names=[*names, "score"])
 
     return run
 
@@ -321,26 +329,26 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return sample.fit_once(sample.by_labelled_id(docs, marked, id_col, text_col, "label", bound), bound, fit)
 
 
-def _scored(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """(row, text, score): each row of ``docs`` as a struct, and the score of its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].alias("text"))
-    return given.mapInArrow(_score(shared), T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())]))
-
-
 def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text in column ``name``, which replaces one of that name."""
-    return _scored(docs.drop(name), model, text_col).select("row.*", F.col("score").alias(name))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(name)
+    given = docs.select(F.struct(*docs.columns).alias("row"))
+    scored = given.mapInArrow(_score(shared, ("row", text_col)), T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.select("row.*", F.col("score").alias(name))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, bound: int = BOUND) -> DataFrame:
     """Per row: held_out, score, predicted."""
     model = fit_from(docs, labels, id_col, text_col, folds=folds, held=held, bound=bound)
-    scored = with_scores(docs.select(id_col, F.col(text_col).alias("text")), model)
-    return scored.select(id_col, (sample.fold(id_col, folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    given = docs.select(id_col, (sample.fold(id_col, folds) == held).alias("held_out"), F.col(text_col).alias("text"))
+    scored = given.mapInArrow(_score(shared, "text"), T.StructType([*given.schema.fields[:2], T.StructField("score", T.DoubleType())]))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``."""
     model = fit_from(docs, labels, id_col, text_col)
-    return _scored(docs, model, text_col).where(F.col("score") < threshold).select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_score(shared, text_col, threshold), docs.schema)
