@@ -381,6 +381,23 @@ def mesh_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local.groupBy("d0").agg(F.sum("part").alias("v"))
 
 
+@query("mesh_matvec_transposed", _with("SC", "SELECT c.d0, s.d1, SUM(s.v * l.w) AS v FROM S s JOIN (SELECT vec_id AS d0, label + 1 AS w FROM embeddings) l ON s.d0 = l.d0 CROSS JOIN (SELECT 0 AS d0) c GROUP BY 1, 2"))
+def mesh_matvec_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transposed matrix times a vector on a 2 by 2 mesh: the vector follows the rows, sums go to columns."""
+    made = Inputs(spark, sf_dir)
+    matrix = MultiAxisLayout((2, 2), ((0,), (1,)), (8, 8)).place(made.S())
+    vector = made.L().frame.select("d0", (F.col("v") + 1).alias("x"))
+    local = matrix.join(vector, "d0").groupBy("rank", "d1").agg(F.sum(F.col("v") * F.col("x")).alias("part"))
+    return local.groupBy("d1").agg(F.sum("part").alias("v")).select(F.lit(0).alias("d0"), "d1", "v")
+
+
+@query("mesh_rank_one", _with("A", "SELECT d0, d1, CAST((d0 // 3) % 2 * 2 + (d1 // 2) % 2 AS INT) AS rank, v + CAST((d0 + 1) * (d1 + 2) AS DOUBLE) AS v FROM A"))
+def mesh_rank_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rank-one update on a 2 by 2 mesh: each rank adds its part of the outer product in place."""
+    placed = MultiAxisLayout((2, 2), ((0,), (1,)), (3, 2)).place(Inputs(spark, sf_dir).A())
+    return placed.select("d0", "d1", "rank", (F.col("v") + (F.col("d0") + 1) * (F.col("d1") + 2)).alias("v"))
+
+
 # Costs and plans.
 
 _COSTS = "SELECT n_nationkey AS nation, CAST(n_nationkey + 2 AS DOUBLE) AS p, CAST(q.n AS DOUBLE) AS n FROM nation JOIN (SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY 1) q ON c_nationkey = n_nationkey"
