@@ -7,12 +7,18 @@ words or documents there are.  All arithmetic is modulo 2**64.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+with contextlib.suppress(OSError, AttributeError):
+    # glibc learns to keep freed arrays of up to 32 MB; workers live long and share an executor's memory.
+    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)
+
 #: Bytes of text that are expanded into 64-bit arrays at once; a single longer text is taken whole.
 CHUNK_BYTES = 2 << 20
 
