@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.layout.axis import axis_compatible, block_owner, index_columns, linear_column, splits, to_linear, whole_division
+from tessellum.layout.axis import axis_compatible, block_owner, index_columns, linear_column, to_linear, whole_division
 from tessellum.layout.base import Layout, by_rank
 
 Step = tuple[str, "MultiAxisLayout", int, int]
@@ -265,10 +265,3 @@ def _refines(start: MultiAxisLayout, target: MultiAxisLayout) -> bool:
         if not (inside or outside):
             return False
     return True
-
-
-def local_sizes(layout: MultiAxisLayout, shape: Sequence[int]) -> list[tuple[int, tuple[int, ...]]]:
-    return [(r, layout.local_shape(shape, r)) for r in range(layout.processors)]
-
-
-__all__ = ["MultiAxisLayout", "Step", "local_sizes", "move", "splits"]

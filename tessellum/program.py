@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.lang.syntax import Negative, Statement, parse, walk
+from tessellum.lang.syntax import Statement, parse
 from tessellum.operators.lowering import lower, reads_itself
 from tessellum.tensor import Tensor
 
@@ -117,7 +117,3 @@ def evaluate(statement: str | Statement, inputs: dict[str, Tensor], shape_hint:
         (statement,) = parse(statement)
     old = inputs.get(statement.output.name)
     return lower(statement, inputs, spark, shape_hint, old, accumulate=old is not None and statement.kind != "=")
-
-
-def has_negation(statement: Statement) -> bool:
-    return any(isinstance(n, Negative) for n in walk(statement.expression))
