@@ -55,10 +55,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def mix_int(x: int) -> int:
-    return int(mix(np.array([x & ((1 << 64) - 1)], np.uint64))[0])
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all values one after another, and n + 1 offsets.  Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
