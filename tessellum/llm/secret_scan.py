@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.llm import storage
 from tessellum.llm.spans import replaced
 
 SPANS = "array<struct<rule:string,start:int,end:int>>"
@@ -111,6 +112,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id
 def _with_findings(docs: DataFrame, ledger: DataFrame, text_col: str) -> DataFrame:
     """(row, spans): each row of ``docs`` as a struct, and all the ledger knows about its blob."""
     known = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # Kept apart from the aggregate, the join can split the paths of a blob that has very many.
+    known = storage.table(known, "findings")
     rows = with_blob(docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].alias("text"))).select("row", "blob")
     return rows.join(known, "blob", "left").select("row", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
