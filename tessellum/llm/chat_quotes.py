@@ -1,10 +1,13 @@
 """Chat formatting by quotation linking.
 
-Lines of a message are parsed into nested quote levels (leading `>` marks).  Quoted passages, the
-runs of lines at one level of one message, are normalised and hashed, and so are the messages' own
-lines; a join by conversation and hash finds the message each quoted line was first written in.  A
-message answers the one that most of its outermost quoted lines come from (ties: the latest).  The
-result lists messages in reply order, thread by thread, without their quotes.
+Lines of a message are parsed into nested quote levels (leading `>` marks).  The lines of a run at
+one level are joined into a passage, so that it does not matter where they were wrapped.  Of each
+passage are hashed, without spaces, marks and case: its sentences, its lines and the sentences of its
+lines; where one of these is not found, all runs of ``SHINGLE`` words too (a letter of a script without
+spaces is a word).  A join by conversation and hash finds the message each of these was first written
+in; conversations without quotes take no part.  A message answers the
+one that most of its outermost quoted text comes from (ties: the latest).  The result lists messages
+in reply order, thread by thread, without their quotes.
 
 Hashes meet as (conversation, hash) with the first turn that wrote them, so a line that a
 conversation repeats is one row of the join however often it occurs.  Threads are found by pointer
@@ -23,6 +26,13 @@ from tessellum.llm import storage
 
 _MARKS = r"^\s*((?:>\s*)+)"
 _ATTRIBUTION = r"(?i)^\s*(on\s.{0,200}\swrote|am\s.{0,200}\sschrieb.{0,80}|le\s.{0,200}\sa écrit|el\s.{0,200}\sescribió)\s*:\s*$"
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_WORD = rf"[{_UNSPACED}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{_UNSPACED}]]+"
+_SENTENCE = r"[.!?;:…]+(?=\s|$)|[。！？；：।؟]+|\n\s*\n"
+#: Words of a run that proves a quotation of part of a sentence.
+SHINGLE = 4
+#: Keys up to which rows are chosen by a broadcast.
+MOST_KEYS = 200_000
 #: Lines with fewer letters and digits than this are too common to prove a quotation.
 LEAST_CHARS = 8
 
@@ -49,14 +59,65 @@ def unquoted(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"))
 
 
+def passages(text: Column) -> Column:
+    """Runs of lines at one level: their level, a mark and their lines without quote marks."""
+    lines = F.transform(F.split(F.translate(text, "\1\2", "\ufffd\ufffd"), "\n", -1), lambda x: F.struct(level(x).alias("level"), content(x).alias("words")))
+    before = F.concat(F.array(F.lit(-1)), F.transform(lines, lambda x: x["level"]))
+    joined = F.zip_with(lines, before, lambda x, k: F.concat(F.when(x["level"] == k, "\n").otherwise(F.concat(F.lit("\1"), x["level"].cast("string"), F.lit("\2"))), x["words"]))
+    return F.filter(F.split(F.array_join(joined, ""), "\1", -1), lambda x: x != "")
+
+
+def pieces(text: Column) -> Column:
+    """Sentences and lines of a passage, by the letters they consist of; longer ones weigh more."""
+    whole = F.array_distinct(F.flatten(F.array(*(F.transform(F.split(text, cut, -1), normalised) for cut in (_SENTENCE, "\n", _SENTENCE + "|\n")))))
+    return F.transform(F.filter(whole, lambda x: F.length(x) >= LEAST_CHARS), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).alias("weight")))
+
+
+def shingles(words: Column) -> Column:
+    """All runs of SHINGLE = 4 words."""
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
+    pair = lambda x, k: F.filter(F.zip_with(x, F.slice(x, k, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda h: h.isNotNull())
+    return F.transform(pair(pair(hashes, 2), 3), lambda h: F.struct(h.alias("hash"), F.lit(4).alias("weight")))
+
+
+def _among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose columns occur in ``keys``; the other rows do not travel while these are few."""
+    keys = storage.table(keys.distinct(), "keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, columns, "left_semi")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """(conv, turn, level, passage, run): the passages of messages and their hashes."""
+    runs = rows.select("conv", "turn", F.explode(passages(F.col("text"))).alias("run"))
+    runs = runs.select("conv", "turn", F.substring_index("run", "\2", 1).try_cast("int").alias("level"), F.substring_index("run", "\2", -1).alias("run"))
+    return runs.select("conv", "turn", "level", F.xxhash64(normalised(F.col("run"))).alias("passage"), "run")
+
+
+def _origins(units: DataFrame, quoted: DataFrame | None = None) -> DataFrame:
+    """(conv, turn, level, passage, origin, weight): where units of quoted passages were first written; null is nowhere."""
+    keyed = units.select("conv", "turn", "level", "passage", "unit.hash", "unit.weight")
+    origins = keyed.where("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
+    cited = keyed.where("level > 0")
+    if quoted is not None:
+        cited = _among(cited, quoted, ["conv", "turn", "level", "passage"])
+    cited = cited.groupBy("conv", "turn", "level", "passage", "hash").agg(F.sum("weight").alias("weight"))
+    met = cited.join(origins, ["conv", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    return storage.table(met.groupBy("conv", "turn", "level", "passage", "origin").agg(F.sum("weight").alias("weight")), "links")
+
+
 def quote_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """(conv, turn, level, passage, origin, lines): quoted passages and the turns their lines come from."""
+    """(conv, turn, level, passage, origin, weight): hashes of quoted passages and the turns their text comes from."""
     rows = messages.where(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
-    lines = rows.select("conv", "turn", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select("conv", "turn", "at", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("words")).where(F.length("words") >= LEAST_CHARS)
-    keyed = lines.select("conv", "turn", "at", "level", F.xxhash64("words").alias("hash"))
-    origins = keyed.where("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
-    quoted = keyed.where("level > 0").groupBy("conv", "turn", "level", "hash").agg(F.count("*").alias("lines"))
-    return quoted.join(origins, ["conv", "hash"]).where("origin < turn").groupBy("conv", "turn", "level", "origin").agg(F.sum("lines").alias("lines"), F.min("hash").alias("passage"))
+    rows = _among(rows, rows.where(F.rlike("text", F.lit(r"(?:^|\n)\s*>"))).select("conv"), ["conv"])
+    whole = _origins(_runs(rows).select("conv", "turn", "level", "passage", F.explode(pieces(F.col("run"))).alias("unit")))
+    # Passages of which a sentence or line was not found are looked up by runs of words too.
+    left = whole.where("origin is null").select("conv", "turn", "level", "passage")
+    runs = _runs(_among(rows, left.select("conv"), ["conv"]))
+    # A generator, so that words are found once.
+    words = runs.select("conv", "turn", "level", "passage", F.explode(F.array(F.regexp_extract_all(F.lower("run"), F.lit(_WORD), F.lit(0)))).alias("words"))
+    parts = _origins(words.select("conv", "turn", "level", "passage", F.explode(shingles(F.col("words"))).alias("unit")), left)
+    both = whole.unionByName(parts).where("origin is not null")
+    return both.groupBy("conv", "turn", "level", "passage", "origin").agg(F.sum("weight").alias("weight"))
 
 
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
@@ -65,9 +126,9 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     Sorted by (conversation, thread, turn) the rows of a conversation are its reply order.
     """
     links = quote_links(messages, conv_col, turn_col, text_col)
-    votes = links.groupBy("conv", "turn", "level", "origin").agg(F.sum("lines").alias("lines"))
+    votes = links.groupBy("conv", "turn", "level", "origin").agg(F.sum("weight").alias("weight"))
     # The least nested level that has an origin decides.
-    parents = votes.groupBy("conv", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "lines", "origin")).alias("parent"))
+    parents = votes.groupBy("conv", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "weight", "origin")).alias("parent"))
     parents = storage.cut(parents)
     chains = parents.select("conv", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth"))
     while not chains.isEmpty():

@@ -39,5 +39,33 @@ def test_long_chain_and_common_line(spark):
     assert out == {i: (i - 1 if i else None, 0, i) for i in range(40)}
 
 
+def links(spark, data):
+    return {r["turn"]: (r["parent_turn"], r["thread"], r["depth"]) for r in chat_quotes.reply_order(spark.createDataFrame(data, SCHEMA)).collect()}
+
+
+def test_rewrapped_and_partial_quotes(spark):
+    long = "The committee met on Tuesday and agreed to move the release by two weeks, as the tests of the storage layer were not done. Nobody objected to that plan. We shall meet again in May"
+    data = [
+        (1, 0, "user", "Nothing but an opening that nobody quotes", ""),
+        (1, 1, "user", long, ""),
+        (1, 2, "user", "> The committee met on Tuesday and agreed to move\n> the release by two weeks, as the tests of the\n> storage layer were not done. Nobody objected to\n> that plan. We shall meet again in May\nre-wrapped", ""),
+        (1, 3, "user", "> Nobody objected to that plan.\none sentence", ""),
+        (1, 4, "user", "> [...] to move the release by\n> two weeks [...]\npart of a sentence", ""),
+        (1, 5, "user", "委員会は火曜日に集まり、公開を二週間遅らせることに決めました", ""),
+        (1, 6, "user", "> 委員会は火曜日に集まり、公開を\n> 二週間遅らせることに決めました\nre-wrapped without spaces", ""),
+        (1, 7, "user", "first part of an own line that is\nwrapped where it was written", ""),
+        (1, 8, "user", "> first part of an own line that is wrapped where it was written\njoined again", ""),
+        (1, 9, "user", "> no such words anywhere else here\n> at all\nnot a quotation", ""),
+    ]
+    got = links(spark, data)
+    assert [got[i][0] for i in range(10)] == [None, None, 1, 1, 1, None, 5, None, 7, None]
+
+
+def test_passages_of_levels(spark):
+    data = [(1, 0, "user", "alpha beta gamma delta", ""), (1, 1, "user", "> alpha beta\n> gamma delta\nbetween\n> > deeper text\n> other text", "")]
+    text = spark.createDataFrame(data, SCHEMA).where("turn = 1").select(chat_quotes.passages(chat_quotes.F.col("text")).alias("p")).first()["p"]
+    assert text == ["1\2alpha beta\ngamma delta", "0\2between", "2\2deeper text", "1\2other text"]
+
+
 def test_empty(spark):
     assert chat_quotes.reply_order(spark.createDataFrame([], SCHEMA)).collect() == []
