@@ -33,8 +33,6 @@ _SENTENCE = r"[.!?;:…]+(?=\s|$)|[。！？；：।؟]+|\n\s*\n"
 SHINGLE = 4
 #: Keys up to which rows are chosen by a broadcast.
 MOST_KEYS = 200_000
-#: Lines with fewer letters and digits than this are too common to prove a quotation.
-LEAST_CHARS = 8
 
 
 def level(line: Column) -> Column:
@@ -48,8 +46,12 @@ def content(line: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, letters and digits only: what survives re-wrapping and re-quoting of a line."""
-    return F.regexp_replace(F.lower(content(line)), r"[^\p{L}\p{N}]+", "")
+    """Lower case, letters and digits only: what survives re-wrapping and re-quoting of a line.
+
+    A line without any, such as an emoji, is what it is but for spaces.
+    """
+    words = F.regexp_replace(F.lower(content(line)), r"[^\p{L}\p{N}]+", "")
+    return F.when(words != "", words).otherwise(F.regexp_replace(content(line), r"\s+", ""))
 
 
 def unquoted(text: Column) -> Column:
@@ -68,9 +70,9 @@ def passages(text: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """Sentences and lines of a passage, by the letters they consist of; longer ones weigh more."""
+    """Sentences and lines of a passage, by the letters they consist of; longer ones weigh more in the vote."""
     whole = F.array_distinct(F.flatten(F.array(*(F.transform(F.split(text, cut, -1), normalised) for cut in (_SENTENCE, "\n", _SENTENCE + "|\n")))))
-    return F.transform(F.filter(whole, lambda x: F.length(x) >= LEAST_CHARS), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).alias("weight")))
+    return F.transform(F.filter(whole, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).alias("weight")))
 
 
 def shingles(words: Column) -> Column:

@@ -61,6 +61,23 @@ def test_rewrapped_and_partial_quotes(spark):
     assert [got[i][0] for i in range(10)] == [None, None, 1, 1, 1, None, 5, None, 7, None]
 
 
+def test_short_quotes(spark):
+    data = [
+        (1, 0, "user", "Shall we go?\nIt is about time", ""),
+        (1, 1, "user", "Yes.", ""),
+        (1, 2, "user", "> Yes.\nfine", ""),
+        (1, 3, "user", "はい。", ""),
+        (1, 4, "user", "> はい。\n了解", ""),
+        (1, 5, "user", "👍", ""),
+        (1, 6, "user", "> 👍\nseen", ""),
+        (1, 7, "user", "> Yes.\n> It is about time\na longer line counts for more", ""),
+        (1, 8, "user", "> No.\nnever said", ""),
+        (2, 0, "user", "> Yes.\nother conversation", ""),
+    ]
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in chat_quotes.reply_order(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert [got[1, i] for i in range(9)] == [None, None, 1, None, 3, None, 5, 0, None] and got[2, 0] is None
+
+
 def test_passages_of_levels(spark):
     data = [(1, 0, "user", "alpha beta gamma delta", ""), (1, 1, "user", "> alpha beta\n> gamma delta\nbetween\n> > deeper text\n> other text", "")]
     text = spark.createDataFrame(data, SCHEMA).where("turn = 1").select(chat_quotes.passages(chat_quotes.F.col("text")).alias("p")).first()["p"]
