@@ -12,8 +12,10 @@ in its queue, which partial sums over partitions give: partitions need not wait
 deficits are carried across them.
 
 Targets default to the sources' own shares, so that all queues end together.  Null texts are empty
-and consist of the closing id; null sources are a queue of their own; beyond ``MOST_QUEUES`` sources
-share queues by a hash.  Repeated rows are packed each.
+and consist of the closing id; null sources are a queue of their own.  Beyond ``MOST_QUEUES`` sources
+those with a target and the largest half as many keep queues of their own; the others, which each hold
+less than a 256th of the text and have no target, share the other half by a hash.  A shared queue has
+the sum of its sources' shares and serves them in the order of partitions.  Repeated rows are packed each.
 """
 
 from __future__ import annotations
@@ -209,7 +211,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source.alias("queue"))
     if given.select("queue").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
-        given = given.withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MOST_QUEUES)).cast("string")))
+        half = MOST_QUEUES // 2
+        sizes = given.groupBy("queue").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+        own = {r["queue"] for r in sizes.orderBy(F.desc("size"), "queue").limit(half).collect()} | {f"={k}" for k, v in (targets or {}).items() if v > 0}
+        pool = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MOST_QUEUES - half)).cast("string"))
+        given = given.withColumn("queue", F.when(F.col("queue").isin(own), F.col("queue")).otherwise(pool))
     kind = given.schema["id"].dataType.simpleString()
     tokens = given.mapInArrow(_tokens(tokenizer, ["id", "queue"]), f"id {kind}, queue string, part int, before long, n long, ids binary")
     tokens = storage.table(tokens, "tokens", "snappy")  # ids hardly compress
@@ -218,7 +224,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     bases = sums.select("queue", "part", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"))
     totals = {r["queue"]: r["sum"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("sum")).collect()}
     names = sorted(totals)
-    wanted = None if targets is None else np.array([targets.get(q[1:], 0.0) for q in names])
+    # Shared queues hold no source with a target.
+    wanted = None if targets is None else np.array([0.0 if q.startswith("#") else targets.get(q[1:], 0.0) for q in names])
     phases = plan(np.array([totals[q] for q in names], np.int64), wanted, length)
     shared = spark.sparkContext.broadcast((phases, {q: i for i, q in enumerate(names)}))
     width = np.dtype(tokenise.Encoder(tokenizer).dtype).itemsize

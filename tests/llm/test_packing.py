@@ -85,5 +85,27 @@ def test_many_sources(spark, monkeypatch):
     assert sum(r["length"] for r in got) == sum(map(len, encode([t for _, t, *_ in data])))
 
 
+@pytest.mark.parametrize("targets", [None, {"source7": 0.5, "source3": 0.25, "big": 0.25}])
+def test_proportions_beyond_the_most_queues(spark, monkeypatch, targets):
+    monkeypatch.setattr(packing, "MOST_QUEUES", 4)
+    data = [(1000 * k + i, f"some text number {i} " * 20, "en", s, 0) for k, s in enumerate(["big", "large", *(f"source{j}" for j in range(20))]) for i in range({"big": 120, "large": 60}.get(s, 6))]
+    source = {i: s for i, _, _, s, _ in data}
+    docs = documents(spark, data=data).repartition(4, "source")  # partitions hold sources apart
+    got = packing.digests(docs, length=128, targets=targets).collect()
+    total, early = defaultdict(int), defaultdict(int)
+    last = max(r["sequence_id"] for r in got)
+    for r in got:
+        total[source[r["doc_id"]]] += r["length"]
+    assert sum(total.values()) == sum(map(len, encode([t for _, t, *_ in data])))
+    # The first windows, before a source with a target ends.
+    first = last // 2 if targets is None else int(total["source7"] / 0.5 / 128)
+    assert first > 3
+    for r in got:
+        if r["sequence_id"] < first:
+            early[source[r["doc_id"]]] += r["length"]
+    shares = targets or {s: total[s] / sum(total.values()) for s in ("big", "large")}
+    assert all(abs(early[s] / (first * 128) - x) < 0.02 for s, x in shares.items())
+
+
 def test_empty(spark):
     assert packing.digests(empty(spark)).collect() == []
