@@ -14,7 +14,7 @@ Counting, training and scoring run on packed chunks of texts:
 2. Each chunk sends every fragment of the hash space its own words with their training counts; the
    fragment adds them up and sends back the totals, aligned with the chunk's vocabulary.  No
    vocabulary is ever gathered or broadcast.
-3. Each round every task trains on its chunks from the current weights; weights are then averaged
+3. Each round every task trains on all its chunks from the current weights; weights are then averaged
    row by row, weighted by how often a row was used.  The model has a fixed size.
 4. Scores are sums over a chunk's numpy batches.
 
@@ -46,6 +46,7 @@ STEP = 8192
 CHUNK = 3 << 20
 
 _ENCODED = "batch long, ids binary, held binary, counts binary, tokens binary, vocab binary, prints binary, fragments binary, times binary"
+_WEIGHTS = "block long, weights binary, used binary, power binary"
 _VOTES = "batch long, fragment long, words binary, times binary"
 
 
@@ -74,6 +75,8 @@ class Totals:
 class Model:
     weights: np.ndarray
     totals: Totals
+    #: Squared gradients by row so far, which set the step sizes of the next round.
+    power: np.ndarray | None = None
 
 
 def _encode(fragments: int):
@@ -200,7 +203,7 @@ def _train(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         w = model.weights.copy()
-        power = np.full(ROWS, 1e-6, np.float32)
+        power = np.full(ROWS, 1e-6, np.float32) if model.power is None else model.power.copy()
         used = np.zeros(ROWS, np.int64)
         for batch in batches:
             for _, held, counts, tokens, vocab, totals in _read(batch):
@@ -213,7 +216,7 @@ def _train(shared, rate: float):
         size = ROWS // BLOCKS
         for b in range(BLOCKS):
             part = slice(b * size, (b + 1) * size)
-            yield pa.record_batch([pa.array([b], pa.int64()), pa.array([w[part].astype(np.float16).tobytes()], pa.binary()), pa.array([used[part].tobytes()], pa.binary())], names=["block", "weights", "used"])
+            yield pa.record_batch([pa.array([b], pa.int64()), pa.array([w[part].astype(np.float16).tobytes()], pa.binary()), pa.array([used[part].tobytes()], pa.binary()), pa.array([power[part].tobytes()], pa.binary())], names=["block", "weights", "used", "power"])
 
     return run
 
@@ -235,15 +238,16 @@ def _update(w: np.ndarray, power: np.ndarray, used: np.ndarray, rows: np.ndarray
 
 
 def _mix_weights(group: pa.Table) -> pa.Table:
-    """The average of the tasks' weights, row by row, by use."""
+    """The average of the tasks' weights and squared gradients, row by row, by use."""
     size = ROWS // BLOCKS
-    total, used = np.zeros((size, CLASSES)), np.zeros(size)
-    for w, u in zip(group.column("weights"), group.column("used"), strict=True):
+    total, used, power = np.zeros((size, CLASSES)), np.zeros(size), np.zeros(size)
+    for w, u, g in zip(group.column("weights"), group.column("used"), group.column("power"), strict=True):
         n = np.frombuffer(u.as_py(), np.int64) + 1e-9
+        power += np.frombuffer(g.as_py(), np.float32) * n
         total += np.frombuffer(w.as_py(), np.float16).reshape(size, CLASSES).astype(float) * n[:, None]
         used += n
     mean = (total / used[:, None]).astype(np.float32)
-    return pa.table({"block": group.column("block")[:1], "weights": pa.array([mean.tobytes()], pa.binary()), "used": pa.array([None], pa.binary())})
+    return pa.table({"block": group.column("block")[:1], "weights": pa.array([mean.tobytes()], pa.binary()), "used": pa.array([None], pa.binary()), "power": pa.array([(power / used).astype(np.float32).tobytes()], pa.binary())})
 
 
 def _score(shared):
@@ -293,13 +297,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ready = storage.table(encoded.select("batch", "ids", "held", "counts", "tokens", "prints").join(aligned, "batch", "left"), "ready")
 
     model = Model(np.zeros((ROWS, CLASSES), np.float32), totals)
-    for turn in range(rounds):
-        part = ready.where(F.pmod("batch", F.lit(rounds)) == turn)
-        trained = part.mapInArrow(_train(spark.sparkContext.broadcast(model), rate), "block long, weights binary, used binary")
-        mixed = trained.groupBy("block").applyInArrow(_mix_weights, "block long, weights binary, used binary")
-        found = {r["block"]: np.frombuffer(r["weights"], np.float32).reshape(-1, CLASSES) for r in mixed.collect()}
+    for _ in range(rounds):
+        trained = ready.mapInArrow(_train(spark.sparkContext.broadcast(model), rate), _WEIGHTS)
+        mixed = trained.groupBy("block").applyInArrow(_mix_weights, _WEIGHTS)
+        found = sorted(mixed.collect(), key=lambda r: r["block"])
         if found:
-            model = Model(np.concatenate([found[b] for b in range(BLOCKS)]), totals)
+            weights, power = (np.concatenate([np.frombuffer(r[c], np.float32) for r in found]) for c in ("weights", "power"))
+            model = Model(weights.reshape(ROWS, CLASSES), totals, power)
     kind = given.schema["id"].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return ready.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema).withColumnRenamed("id", id_col)

@@ -37,6 +37,14 @@ def test_model_learns_repetition(spark):
     assert held and sum(r["score"] for r in held) > 0.5 * sum(r["base_score"] for r in held)
 
 
+def test_each_round_trains_on_every_chunk(spark):
+    """With a single chunk too, a second round fits the training texts better."""
+    data = [(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(40)), "en", "s", 0) for i in range(120)]
+    docs = documents(spark, data=data).coalesce(1)
+    one, two = (sum(r["score"] for r in lm_score.score_documents(docs, rounds=n).collect() if not r["held_out"]) for n in (1, 2))
+    assert two > one + 0.01 * abs(one)
+
+
 def test_probabilities_sum_to_at_most_one():
     """Over the whole vocabulary and the unseen word, for one history."""
     rng = np.random.default_rng(0)
