@@ -8,7 +8,7 @@ single letters joined.
 
 The machine is linear in the Nystrom features of landmark strings, hence also in the subsequences:
 it is folded into one table of 32 ** 3 weights, and a document costs a few look-ups for each letter
-of each distinct word.  A sentence scores as its worst unit, a document as its worst sentence.
+of each distinct word.  A document scores as its worst unit; units do not cross words or marks.
 
 Fitted on a bounded sample of labelled rows (``bound`` a label).  Null and empty texts score 0; with
 one label only, or none, every text scores 0.  Rows keep their number; copies get equal scores.
