@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept: toxic documents
-go, one document of each group of near copies stays, contaminated documents go, secrets are masked,
+go, one document of each group of near copies stays, contaminated documents go and the others lose
+their few words in benchmark windows, secrets are masked,
 and what is left is packed into training windows.
 """
 
@@ -28,8 +29,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark windows."""
-    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    """Documents of which less than a twentieth lies in benchmark windows, without the words inside; n_chars follows the text."""
+    return decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

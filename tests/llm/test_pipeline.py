@@ -43,6 +43,16 @@ def test_stages_against_brute_force(spark):
     assert {r["doc_id"] for r in pieces} == {r[0] for r in last}
 
 
+def test_benchmark_spans_are_cut_out_of_kept_documents(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(100))
+    plain = [" ".join(f"plain{k}x{i}" for i in range(1450)) for k in range(2)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, f"{plain[0]} {item} {plain[1]}", "en", "a", 0), (2, plain[0], "en", "a", 0), (3, item, "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2] and got[2]["text"] == plain[0]
+    assert got[1]["text"].split() == f"{plain[0]} {plain[1]}".split() and got[1]["n_chars"] == len(got[1]["text"])
+
+
 def test_empty_tables(spark, tmp_path):
     empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
