@@ -1,28 +1,28 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of token streams.  Each window of ``length`` tokens serves all queues in
-turn: a queue's deficit grows by its target share of a window, it gives as many whole tokens as its
-deficit and its rest allow, and what it could not give is carried on.  Documents are cut where a
-queue's turn ends, so windows are full and hold the target proportions to a token.
-
-The service of windows depends on the queues' totals only.  It is therefore planned beforehand as a
-few phases, each a short cycle of windows that repeats; deficits left by a cycle or by an exhausted
-queue go into the next phase's shares.  A document's place follows in closed form from its position
-in its queue, which partial sums over partitions give: partitions need not wait for each other, yet
-deficits are carried across them.
+Every source is a queue of token streams.  In each round a queue's deficit grows by its target share
+of a window; once it reaches a turn (``turn`` tokens, or what the queue has left) the queue gives whole
+turns, and what it could not give is carried on to the next round.  Rounds follow one another without
+gaps and are cut into windows of ``length`` tokens, so every window is full, holds each source in its
+share but for a turn, and documents are cut into pieces of a useful length.  Queues start with
+staggered deficits, so that small ones do not all have their turn in the same window.  A queue that
+ends leaves its share to the others.
+
+What a queue has given after r rounds is a closed form of r, its total and its share.  A document's
+place therefore follows from its position in its queue, which partial sums over partitions give:
+partitions need not wait for each other, yet deficits are carried across them.
 
 Targets default to the sources' own shares, so that all queues end together.  Null texts are empty
-and consist of the closing id; null sources are a queue of their own.  Beyond ``MOST_QUEUES`` sources
-those with a target and the largest half as many keep queues of their own; the others, which each hold
-less than a 256th of the text and have no target, share the other half by a hash.  A shared queue has
-the sum of its sources' shares and serves them in the order of partitions.  Repeated rows are packed each.
+and consist of the closing id; null sources are a queue of their own.  The ``OWN_QUEUES`` largest sources
+and those with a target have a queue each; all others share ``POOLS`` queues by a hash of the source.  A
+shared queue has the sum of its sources' shares and serves them in the order of partitions.  Repeated
+rows are packed each.  Texts of any length are encoded in segments of a bounded size.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,119 +34,92 @@ from tessellum.llm import storage, tokenise
 from tessellum.llm.textcore import _ranges, chunks
 
 LENGTH = 2048
-#: Windows in a cycle of the plan.
-CYCLE = 64
-MOST_QUEUES = 512
+#: Tokens of one queue's turn.
+TURN = 256
+OWN_QUEUES = 256
+POOLS = 256
 CLOSE = 1
 #: Rows of (queue, task) offsets up to which they are broadcast, about 10 MB.
 MOST_BASES = 200_000
 
 
-@dataclass
-class Phase:
-    """``cycles`` repetitions of windows that take quota[window, queue] tokens; first window; tokens served before."""
-
-    quota: np.ndarray
-    cycles: int
-    window: int
-    served: np.ndarray
-    per_cycle: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.per_cycle = self.quota.sum(0)
-
-
-def serve(shares: np.ndarray, rest: np.ndarray, windows: int, length: int) -> np.ndarray:
-    """Deficit round-robin for some windows: tokens of each queue in each."""
-    deficit, rest, out = np.zeros(len(shares)), rest.copy(), []
-    for _ in range(windows):
-        if not rest.sum():
-            break
-        live = rest > 0
-        deficit = np.where(live, deficit + shares / max(shares[live].sum(), 1e-300) * length, 0)
-        give = np.minimum(np.maximum(np.floor(deficit + 1e-9), 0), rest).astype(np.int64)
-        room = length - int(give.sum())
-        while room < 0:  # carried deficits may exceed a window
-            q = int(np.argmax(np.where(give > 0, give - deficit, -np.inf)))
-            cut = min(give[q], -room)
-            give[q] -= cut
-            room += cut
-        while room > 0 and (rest > give).any():
-            order = np.lexsort((np.arange(len(give)), -(deficit - give)))
-            order = order[rest[order] > give[order]]
-            each = max(1, room // (2 * len(order)))
-            for q in order:
-                more = int(min(each, rest[q] - give[q], room))
-                give[q] += more
-                room -= more
-                if not room:
-                    break
-        deficit -= give
-        rest -= give
-        out.append(give)
-    return np.array(out, np.int64).reshape(len(out), len(shares))
-
-
-def plan(totals: np.ndarray, targets: np.ndarray | None = None, length: int = LENGTH, cycle: int = CYCLE) -> list[Phase]:
-    """Phases that serve all tokens of all queues."""
-    rest, phases = totals.astype(np.int64).copy(), []
-    window, served = 0, np.zeros(len(totals), np.int64)
-    endless = np.full(len(totals), 1 << 60)
-    while rest.sum():
-        shares = np.where(rest > 0, rest.astype(float) if targets is None else np.maximum(targets, 1e-12), 0)
-        shares = shares / shares.sum()
-        quota = serve(shares, np.where(rest > 0, endless, 0), cycle, length)
-        per = quota.sum(0)
-        cycles = int((rest[per > 0] // per[per > 0]).min())
-        if rest.sum() <= 4 * cycle * length or not cycles:
-            windows = -(-int(rest.sum()) // length) if rest.sum() <= 4 * cycle * length else cycle
-            quota, cycles = serve(shares, rest, windows, length), 1
-        phases.append(Phase(quota, cycles, window, served.copy()))
-        given = quota.sum(0) * cycles
-        rest, served, window = rest - given, served + given, window + len(quota) * cycles
-    return phases
-
-
-class Placement:
-    """Where a queue's tokens go, by position in the queue."""
-
-    def __init__(self, phases: list[Phase], queue: int):
-        self.base, self.slots, self.parts = [], [0], []
-        for p in phases:
-            own = p.quota[:, queue]
-            used = np.flatnonzero(own)
-            before = p.quota[:, :queue].sum(1)[used]
-            starts = np.concatenate([[0], np.cumsum(own[used])])
-            self.base.append(int(p.served[queue]))
-            self.parts.append((used, before, starts, len(p.quota), p.window))
-            self.slots.append(self.slots[-1] + len(used) * p.cycles)
-        self.base_array, self.slot_array = np.array(self.base), np.array(self.slots)
-
-    def slot_of(self, x: np.ndarray) -> np.ndarray:
-        """The turn of the queue that serves position x."""
-        out = np.empty(len(x), np.int64)
-        # Phases in which the queue gives nothing share their start with the next one.
-        phase = np.searchsorted(self.base_array, x, "right") - 1
-        for i in np.unique(phase):
-            at = phase == i
-            used, _, starts, _, _ = self.parts[i]
-            cycle, left = np.divmod(x[at] - self.base[i], starts[-1])
-            out[at] = self.slots[i] + cycle * len(used) + np.searchsorted(starts, left, "right") - 1
-        return out
+class Service:
+    """Deficit round-robin over queues of given totals, in closed form.
 
-    def turns(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First position, number of tokens, window and offset in the window of turns."""
-        out = np.empty((4, len(slot)), np.int64)
-        phase = np.searchsorted(self.slot_array, slot, "right") - 1
-        for i in np.unique(phase):
-            at = phase == i
-            used, before, starts, windows, window = self.parts[i]
-            cycle, k = np.divmod(slot[at] - self.slots[i], len(used))
-            out[0, at] = self.base[i] + cycle * starts[-1] + starts[k]
-            out[1, at] = np.diff(starts)[k]
-            out[2, at] = window + cycle * windows + used[k]
-            out[3, at] = before[k]
-        return out[0], out[1], out[2], out[3]
+    ``targets``: weights of the queues; those of weight 0 are served, by their totals, when all others
+    have ended.
+    """
+
+    def __init__(self, totals: np.ndarray, targets: np.ndarray | None = None, length: int = LENGTH, turn: int = TURN):
+        self.totals = np.asarray(totals, np.int64)
+        self.turn = turn
+        n = len(self.totals)
+        # The golden ratio's multiples are spread evenly over (0, 1) for any number of queues.
+        self.ahead = (np.arange(1, n + 1) * 0.6180339887498949) % 1.0 * np.minimum(self.totals, turn)
+        weights = self.totals.astype(float) if targets is None else np.maximum(np.nan_to_num(np.asarray(targets, float)), 0.0)
+        self.begin, self.rate = np.zeros(n, np.int64), np.zeros(n)
+        first = (weights > 0) & (self.totals > 0)
+        later = ~first & (self.totals > 0)
+        self._share(first, weights, length)
+        self.begin[later] = int(self._round(np.flatnonzero(first), self.totals[first]).max(initial=0))
+        self._share(later, self.totals.astype(float), length)
+
+    def _share(self, part: np.ndarray, weights: np.ndarray, length: int) -> None:
+        if part.any():
+            self.rate[part] = weights[part] / weights[part].sum() * length
+
+    def given(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """Tokens that queues have given by the end of a round; rounds count from 1."""
+        total = self.totals[queue]
+        due = self.ahead[queue] + np.maximum(rounds - self.begin[queue], 0) * self.rate[queue]
+        whole = (np.minimum(due, total) // self.turn).astype(np.int64) * self.turn
+        return np.where(due >= total, total, whole)
+
+    def _round(self, queue: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """The first round by which queues have given ``level`` tokens, a whole number of turns or all they hold."""
+        guess = self.begin[queue] + np.ceil((level - self.ahead[queue]) / self.rate[queue]).astype(np.int64)
+        # Rounding may put the guess off by one.
+        for r in (guess + 1, guess, guess - 1):
+            guess = np.where(self.given(queue, r) >= level, r, guess)
+        return guess
+
+    def pieces(self, queue: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+        """Document, start, tokens, window and offset of each piece of documents that begin at positions of their queues."""
+        first, last = begin // self.turn, (begin + size - 1) // self.turn
+        times = last - first + 1
+        doc = np.repeat(np.arange(len(queue)), times)
+        turn = _ranges(first, times)
+        own = queue[doc]
+        rounds = self._round(own, np.minimum((turn + 1) * self.turn, self.totals[own]))
+        low = np.maximum(turn * self.turn, begin[doc])
+        high = np.minimum((turn + 1) * self.turn, (begin + size)[doc])
+        place = low + self._others(own, rounds)
+        # Pieces that meet are one; then windows cut.
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + (high - low)[:-1])
+        at = np.flatnonzero(new)
+        doc, start, place = doc[at], low[at], place[at]
+        tokens = np.add.reduceat(high - low, at) if len(at) else np.zeros(0, np.int64)
+        window = place // length
+        parts = (place + tokens - 1) // length - window + 1
+        piece = np.repeat(np.arange(len(doc)), parts)
+        window = _ranges(window, parts)
+        left = np.maximum(place[piece], window * length)
+        right = np.minimum((place + tokens)[piece], (window + 1) * length)
+        return doc[piece], start[piece] + left - place[piece] - begin[doc[piece]], right - left, window, left - window * length
+
+    def _others(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """What the other queues have given before a queue's turn in a round: those before it in this round too."""
+        out = np.zeros(len(queue), np.int64)
+        n = len(self.totals)
+        step = max(1, (1 << 19) // max(1, n))
+        every = np.arange(n)
+        for a in range(0, len(queue), step):
+            q, r = queue[a : a + step, None], rounds[a : a + step, None]
+            given = self.given(np.broadcast_to(every, (len(q), n)), r - (every >= q))
+            given[np.arange(len(q)), q[:, 0]] = 0
+            out[a : a + step] = given.sum(1)
+        return out
 
 
 def _tokens(path: str, names: list[str]):
@@ -154,55 +127,44 @@ def _tokens(path: str, names: list[str]):
         part = TaskContext.get().partitionId()
         sums: dict[str, int] = {}
         coder = tokenise.encoder(path)
-        width = np.dtype(coder.dtype).itemsize
-        for batch in chunks(batches, most=3 << 20):
+        for batch in chunks(batches, most=1 << 20):
             ids, sizes = coder.batch(batch.column("text"), CLOSE)
-            raw, ends = ids.tobytes(), np.cumsum(sizes) * width
             before = []
             for q, n in zip(batch.column("queue").to_pylist(), sizes.tolist(), strict=True):
                 before.append(sums.get(q, 0))
                 sums[q] = before[-1] + n
-            packed = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array([part] * batch.num_rows, pa.int32()), pa.array(before, pa.int64()), pa.array(sizes), pa.array(packed, pa.binary())], names=[*names, "part", "before", "n", "ids"])
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array([part] * batch.num_rows, pa.int32()), pa.array(before, pa.int64()), pa.array(sizes), packed], names=[*names, "part", "before", "n", "ids"])
 
     return run
 
 
-def _place(shared, width: int, with_ids: bool):
+def _place(shared, dtype: np.dtype, length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phases, queues = shared.value
-        places: dict[str, Placement] = {}
-        for batch in batches:
-            names = batch.column("queue").to_pylist()
+        service, queues = shared.value
+        width = np.dtype(dtype).itemsize
+        for batch in chunks(batches, "ids", most=1 << 20):
+            queue = np.array([queues[q] for q in batch.column("queue").to_pylist()], np.int64)
             begin = batch.column("before").to_numpy() + batch.column("base").to_numpy()
             n = batch.column("n").to_numpy()
-            raw = batch.column("ids").to_pylist()
-            rows: list[np.ndarray] = []
-            for q in sorted(set(names)):
-                if q not in places:
-                    places[q] = Placement(phases, queues[q])
-                own = np.array([i for i, x in enumerate(names) if x == q])
-                first, last = places[q].slot_of(begin[own]), places[q].slot_of(begin[own] + n[own] - 1)
-                times = last - first + 1
-                doc = np.repeat(own, times)
-                position, size, window, offset = places[q].turns(_ranges(first, times))
-                low = np.maximum(position, begin[doc])
-                high = np.minimum(position + size, begin[doc] + n[doc])
-                rows.append(np.stack([doc, low - begin[doc], high - low, window, offset + low - position]))
-            if not rows:
-                continue
-            doc, start, size, window, offset = np.concatenate(rows, 1)
-            wide = {d: memoryview(np.frombuffer(raw[d], np.uint16 if width == 2 else np.uint32).astype("<u4").tobytes()) for d in np.unique(doc).tolist()}
-            checks = [zlib.crc32(wide[d][a:b]) for d, a, b in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + size)).tolist(), strict=True)]
+            raw = batch.column("ids")
+            first = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
+            ids = np.frombuffer(raw.buffers()[2], dtype, int(n.sum()), int(first))
+            doc, start, size, window, offset = service.pieces(queue, begin, n, length)
+            wide = memoryview(ids.astype("<u4")).cast("B")
+            at = (np.cumsum(n) - n)[doc] + start
+            checks = [zlib.crc32(wide[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + size)).tolist(), strict=True)]
             columns = {"id": batch.column("id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array(checks, pa.int64()), "doc_tokens": pa.array(n[doc]), "sequence_id": pa.array(window), "offset": pa.array(offset)}
             if with_ids:
-                columns["ids"] = pa.array([raw[d][a * width : b * width] for d, a, b in zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True)], pa.binary())
+                blob = memoryview(ids).cast("B")
+                columns["ids"] = pa.array([bytes(blob[a:b]) for a, b in zip((width * at).tolist(), (width * (at + size)).tolist(), strict=True)], pa.binary())
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH, turn: int = TURN, with_ids: bool = True) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves.
 
     ``targets``: shares by source; a source without one comes last.
@@ -210,32 +172,30 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source.alias("queue"))
-    if given.select("queue").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
-        half = MOST_QUEUES // 2
-        sizes = given.groupBy("queue").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
-        own = {r["queue"] for r in sizes.orderBy(F.desc("size"), "queue").limit(half).collect()} | {f"={k}" for k, v in (targets or {}).items() if v > 0}
-        pool = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MOST_QUEUES - half)).cast("string"))
-        given = given.withColumn("queue", F.when(F.col("queue").isin(own), F.col("queue")).otherwise(pool))
     kind = given.schema["id"].dataType.simpleString()
     tokens = given.mapInArrow(_tokens(tokenizer, ["id", "queue"]), f"id {kind}, queue string, part int, before long, n long, ids binary")
     tokens = storage.table(tokens, "tokens", "snappy")  # ids hardly compress
-    sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("sum"))
-    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("queue", "part", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"))
-    totals = {r["queue"]: r["sum"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("sum")).collect()}
+    sums = storage.table(tokens.groupBy("queue", "part").agg(F.sum("n").alias("sum")), "sums")
+    largest = sums.groupBy("queue").agg(F.sum("sum").alias("sum")).orderBy(F.desc("sum"), "queue").limit(OWN_QUEUES)
+    own = {r["queue"] for r in largest.collect()} | {f"={k}" for k, v in (targets or {}).items() if v > 0}
+    pool = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(POOLS)).cast("string"))
+    sums = sums.withColumn("pool", F.when(F.col("queue").isin(own), F.col("queue")).otherwise(pool))
+    ahead = Window.partitionBy("pool").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("queue", "part", "pool", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"))
+    totals = {r["pool"]: r["sum"] for r in sums.groupBy("pool").agg(F.sum("sum").alias("sum")).collect()}
     names = sorted(totals)
     # Shared queues hold no source with a target.
     wanted = None if targets is None else np.array([0.0 if q.startswith("#") else targets.get(q[1:], 0.0) for q in names])
-    phases = plan(np.array([totals[q] for q in names], np.int64), wanted, length)
-    shared = spark.sparkContext.broadcast((phases, {q: i for i, q in enumerate(names)}))
-    width = np.dtype(tokenise.Encoder(tokenizer).dtype).itemsize
-    # One row for each queue of each scan task; broadcast while that is little.
+    service = Service(np.array([totals[q] for q in names], np.int64), wanted, length, turn)
+    shared = spark.sparkContext.broadcast((service, {q: i for i, q in enumerate(names)}))
+    # One row for each source of each scan task; broadcast while that is little.
     bases = storage.table(bases, "bases")
     if bases.count() <= MOST_BASES:
         bases = F.broadcast(bases)
-    placed = tokens.join(bases, ["queue", "part"]).select("id", "queue", "before", "base", "n", "ids")
+    placed = tokens.join(bases, ["queue", "part"]).select("id", F.col("pool").alias("queue"), "before", "base", "n", "ids")
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return placed.mapInArrow(_place(shared, width, with_ids), schema).withColumnRenamed("id", id_col)
+    dtype = tokenise.encoder(tokenizer).dtype
+    return placed.mapInArrow(_place(shared, dtype, length, with_ids), schema).withColumnRenamed("id", id_col)
 
 
 def public_vocabulary() -> str:

@@ -9,18 +9,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-with contextlib.suppress(OSError, AttributeError):
-    # glibc learns to keep freed arrays of up to 32 MB; workers live long and share an executor's memory.
-    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)
-
-#: Bytes of text that are expanded into 64-bit arrays at once; a single longer text is taken whole.
+#: Bytes of text handled at once; a single longer text is taken whole.
 CHUNK_BYTES = 2 << 20
+#: Bytes that are expanded into 64-bit arrays at once, or one longer word.
+HASH_BYTES = 1 << 18
 
 _P = 0x9E3779B97F4A7C15 | 5  # odd, so invertible
 _P_INV = pow(_P, -1, 1 << 64)
@@ -31,21 +30,35 @@ LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WHITE_SPACE = bytes(int(b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256))
 NOT_ALPHANUMERIC = bytes(int(b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256))
 
-_powers: list[np.ndarray] = []
+
+@functools.cache
+def _c_library():
+    with contextlib.suppress(OSError):
+        return ctypes.CDLL("libc.so.6")
+
+
+def trim() -> None:
+    """Return freed memory to the system.  Workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):
+        _c_library().malloc_trim(0)
+
+
+def _made_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    made = []
+    for base in (_P, _P_INV):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64))
+    return made[0], made[1]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        made = []
-        for base in (_P, _P_INV):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        if size > 4 * CHUNK_BYTES:
-            return made  # an exceptionally long text; not kept
-        _powers[:] = made
-    return _powers
+_kept_powers = functools.cache(_made_powers)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers; only those for ordinary blocks are kept."""
+    return _kept_powers(2 * HASH_BYTES) if n <= 2 * HASH_BYTES else _made_powers(n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,6 +99,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str | tuple[str, str] = "t
             last = min(last, batch.num_rows, first + 60_000)
             yield batch.slice(first, last - first)
             first = last
+    trim()
 
 
 def text_in(batch: pa.RecordBatch, column: str | tuple[str, str]) -> pa.Array:
@@ -130,12 +144,22 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end)."""
-    n = len(data)
-    power, inverse = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], dtype=np.uint64, out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(_P))
+    """64-bit hashes of the byte spans [start, end), which are sorted and do not overlap.
+
+    Spans are taken by blocks of ``HASH_BYTES``, so the memory in use does not depend on the text.
+    """
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + HASH_BYTES)))
+        low, high = int(start[i]), int(end[j - 1])
+        power, inverse = _power_tables(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[data[low:high]] * power[: high - low], dtype=np.uint64, out=total[1:])
+        a, b = start[i:j] - low, end[i:j] - low
+        out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(_P))
+        i = j
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -17,9 +17,10 @@ import pyarrow as pa
 from tessellum.llm.textcore import WHITE_SPACE, _ranges, span_hashes, utf8
 
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Distinct pieces a worker remembers, at most twice as many: what has not been met since the last
-#: time so many were new is forgotten.
-REMEMBERED = 200_000
+#: Distinct pieces a worker remembers, about 5 MB; beyond, it forgets those that the last batch did not hold.
+REMEMBERED = 300_000
+#: Bytes of one text that are encoded at once; longer texts are cut before a space, which changes no token.
+SEGMENT = 1 << 20
 _LETTER = bytes(int(65 <= b <= 90 or 97 <= b <= 122) for b in range(256))
 _MARK = bytes(int(33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126) for b in range(256))
 _workers: dict[str, Encoder] = {}
@@ -39,45 +40,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.plain = self.tokenizer.pre_tokenizer
         # The same merges on lists of words: a line break, which no word holds, closes each.
-        self.words = Tokenizer.from_file(path)
-        self.words.encode_special_tokens = True
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        (self.closing,) = self.words.encode("\n", add_special_tokens=False).ids
+        self.listed = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer.pre_tokenizer = self.listed
+        (self.closing,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.tokenizer.pre_tokenizer = self.plain
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[int, bytes] = {}
-        self.earlier: dict[int, bytes] = {}
-
-    def _pieces(self, keys: list[int], blob: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
-        """The packed ids of distinct pieces, each given by its key and its place in ``blob``."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.earlier = {}, self.known
-        known, earlier = self.known, self.earlier
-        out = list(map(known.get, keys))
-        new = []
-        for i, ids in enumerate(out):
-            if ids is None:
-                ids = earlier.get(keys[i])
-                if ids is None:
-                    new.append(i)
-                else:
-                    out[i] = known[keys[i]] = ids
-        texts = [blob[first[i] : end[i]].decode("utf-8", "replace") for i in new]
+        # Remembered pieces: sorted keys, and the place of their ids in the pool.
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.dtype)
+
+    def _pieces(self, keys: np.ndarray, blob: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids in the pool of distinct pieces, given by sorted keys and places in ``blob``."""
+        at = np.searchsorted(self.keys, keys)
+        met = np.zeros(len(keys), bool)
+        if len(self.keys):
+            met = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        new = np.flatnonzero(~met)
+        ids, sizes = self._encode([blob[a:b].decode("utf-8", "replace") for a, b in zip(first[new].tolist(), end[new].tolist(), strict=True)])
+        start, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        start[met], size[met] = self.start[at[met]], self.size[at[met]]
+        start[new], size[new] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
+        self.pool = np.concatenate([self.pool, ids])
+        if len(self.keys) + len(new) > REMEMBERED:
+            self.pool = self.pool[_ranges(start, size)]
+            start = np.cumsum(size) - size
+            self.keys, self.start, self.size = keys, start, size
+        else:
+            merged = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(merged, kind="stable")
+            self.keys = merged[order]
+            self.start, self.size = np.concatenate([self.start, start[new]])[order], np.concatenate([self.size, size[new]])[order]
+        return start, size
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and their numbers."""
         # A space at most, then letters only: one word of the pattern.
-        word = [t[t[:1] == " " :].isalpha() for t in texts]
+        word = np.fromiter((t[t[:1] == " " :].isalpha() for t in texts), bool, len(texts))
+        sizes = np.zeros(len(texts), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for kind, encode in ((True, self._encode_words), (False, self._encode_texts)):
-            part = [(i, t) for i, t, w in zip(new, texts, word, strict=True) if w is kind]
-            for a in range(0, len(part), 20_000):
-                ids, sizes = encode([t for _, t in part[a : a + 20_000]])
-                raw, ends = ids.tobytes(), (np.cumsum(sizes) * ids.itemsize).tolist()
-                at = 0
-                for (i, _), to in zip(part[a : a + 20_000], ends, strict=True):
-                    out[i] = known[keys[i]] = raw[at:to]
-                    at = to
-        return out
+            own = np.flatnonzero(word == kind)
+            for a in range(0, len(own), 20_000):
+                part = own[a : a + 20_000]
+                ids, sizes[part] = encode([texts[i] for i in part.tolist()])
+                parts.append((part, ids))
+        out = np.empty(int(sizes.sum()), self.dtype)
+        start = np.cumsum(sizes) - sizes
+        for part, ids in parts:
+            out[_ranges(start[part], sizes[part])] = ids
+        return out, sizes
 
     def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = self.words.encode_batch_fast(["\n".join(texts[a : a + 500]) + "\n" for a in range(0, len(texts), 500)], add_special_tokens=False)
+        self.tokenizer.pre_tokenizer = self.listed
+        try:
+            lists = self.tokenizer.encode_batch_fast(["\n".join(texts[a : a + 500]) + "\n" for a in range(0, len(texts), 500)], add_special_tokens=False)
+        finally:
+            self.tokenizer.pre_tokenizer = self.plain
         ids = np.concatenate([np.array(e.ids, self.dtype) for e in lists])
         closes = np.flatnonzero(ids == self.closing)
         return np.delete(ids, closes), np.diff(closes, prepend=-1) - 1
@@ -93,6 +114,17 @@ class Encoder:
     def batch(self, column: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by id ``last``, and the number of ids of each."""
         raw, at = utf8(column)
+        if len(at) == 2 and len(raw) > SEGMENT:
+            parts = [self._ids(raw[a:b], np.array([0, b - a]))[0] for a, b in _segments(raw)]
+            parts.append(np.array([last], self.dtype))
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
+        ids, counts = self._ids(raw, at)
+        out = np.full(len(ids) + len(counts), last, self.dtype)
+        out[_ranges(np.cumsum(counts + 1) - counts - 1, counts)] = ids
+        return out, counts + 1
+
+    def _ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between offsets ``at`` of ``raw``, and the number of ids of each."""
         blob = raw.tobytes()
         n = len(raw)
         space = np.frombuffer(blob.translate(WHITE_SPACE), np.uint8) == 1
@@ -104,28 +136,41 @@ class Encoder:
         edge = np.flatnonzero(begin)
         first, end = edge[:-1], edge[1:]
         piece_doc = np.searchsorted(at, first, "right") - 1
-        special = np.zeros(len(at) - 1, bool)
-        if _OTHER_SPACE.search(blob):
-            for m in _OTHER_SPACE.finditer(blob):
-                special[np.searchsorted(at, m.start(), "right") - 1] = True
-        use = ~special[piece_doc] if len(first) else np.zeros(0, bool)
-        first, end, piece_doc = first[use], end[use], piece_doc[use]
-        hashed, where, inverse = np.unique(span_hashes(raw, first, end), return_index=True, return_inverse=True)
-        ids = self._pieces(hashed.tolist(), blob, first[where], end[where])
-        width = np.dtype(self.dtype).itemsize
-        pool = np.frombuffer(b"".join(ids), self.dtype)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        start = np.cumsum(size) - size
-        at_piece, of_piece = start[inverse], size[inverse]
         docs = len(at) - 1
-        counts = np.bincount(piece_doc, of_piece, docs).astype(np.int64)
+        special = np.zeros(docs, bool)
+        for m in _OTHER_SPACE.finditer(blob):
+            special[np.searchsorted(at, m.start(), "right") - 1] = True
+        if special.any():
+            use = ~special[piece_doc]
+            first, end, piece_doc = first[use], end[use], piece_doc[use]
+        hashed, where, inverse = np.unique(span_hashes(raw, first, end), return_index=True, return_inverse=True)
+        start, size = self._pieces(hashed, blob, first[where], end[where])
+        counts = np.bincount(piece_doc, size[inverse], docs).astype(np.int64)
+        plain = self.pool[_ranges(start[inverse], size[inverse])]
+        if not special.any():
+            return plain, counts
         extra = {int(d): self.whole(blob[at[d] : at[d + 1]].decode("utf-8", "replace")) for d in np.flatnonzero(special)}
-        for d, ids in extra.items():
-            counts[d] = len(ids)
-        out = np.full(int(counts.sum()) + docs, last, self.dtype)
-        begins = np.concatenate([[0], np.cumsum(counts + 1)])[:-1]
-        plain = _ranges(begins[~special], counts[~special])
-        out[plain] = pool[_ranges(at_piece, of_piece)]
+        counts[list(extra)] = [len(ids) for ids in extra.values()]
+        out = np.empty(int(counts.sum()), self.dtype)
+        begins = np.cumsum(counts) - counts
+        out[_ranges(begins[~special], counts[~special])] = plain
         for d, ids in extra.items():
             out[begins[d] : begins[d] + len(ids)] = ids
-        return out, counts + 1
+        return out, counts
+
+
+def _segments(raw: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of about SEGMENT bytes, cut between an ASCII character and a space that follows it."""
+    cuts = [0]
+    while len(raw) - cuts[-1] > SEGMENT:
+        at = cuts[-1] + SEGMENT
+        found = None
+        while found is None and at < len(raw):
+            part = raw[at - 1 : at + SEGMENT]
+            ok = np.flatnonzero((part[1:] == 32) & (part[:-1] > 32) & (part[:-1] < 128))
+            found = at + int(ok[0]) if len(ok) else None
+            at += SEGMENT
+        if found is None:
+            break
+        cuts.append(found)
+    return list(zip(cuts, [*cuts[1:], len(raw)], strict=True))
