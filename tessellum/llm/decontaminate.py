@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tessellum.llm import storage
 from tessellum.llm.spans import replaced
-from tessellum.llm.textcore import NOT_ALPHANUMERIC, Words, chunks, text_in
+from tessellum.llm.textcore import NOT_ALPHANUMERIC, Words, bounded, chunks, text_in
 
 #: Most bytes of item text in one automaton; the broadcast stays within about a hundred times that.
 BLOCK_BYTES = 2 << 20
@@ -209,7 +209,7 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int, bl
 def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
     """(row, found): each row of ``docs`` as a struct, and what was found in its text."""
     spark = docs.sparkSession
-    done = docs.select(F.struct(*docs.columns).alias("row"))
+    done = bounded(docs).select(F.struct(*docs.columns).alias("row"))
     for index in _indexes(benchmark, item_col, item_text_col, window, block_bytes):
         shared = spark.sparkContext.broadcast(index)
         again = "found" in done.columns

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm import sample, svm
-from tessellum.llm.textcore import Words, chunks, distinct, has_letter, packed
+from tessellum.llm.textcore import Words, bounded, chunks, distinct, has_letter, packed
 
 BINS = 1 << 13
 #: Labelled documents taken for fitting, for each language.
@@ -186,7 +186,7 @@ def _predict(shared):
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, bound: int = BOUND) -> DataFrame:
     """Per row: held_out, lang_pred, score.  Learns from rows with a language outside fold ``held``."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (sample.fold(id_col, folds) == held).alias("held_out"))
+    rows = bounded(docs).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (sample.fold(id_col, folds) == held).alias("held_out"))
     model = sample.fit_once(sample.by_label(rows.where(~F.col("held_out")), "lang", bound), bound, fit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema[id_col].dataType.simpleString()

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm import storage
-from tessellum.llm.textcore import Words, chunks, mix, window_hashes
+from tessellum.llm.textcore import Words, bounded, chunks, mix, window_hashes
 
 _PARTS = "batch long, fragment long, ids binary, sizes binary, prints binary, keys binary"
 _SUPPORT = "row_id binary, n_shingles long, print_a long, print_b long, support long"
@@ -146,7 +146,7 @@ def support(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     """Per row: its id, the size and fingerprint of its set, and a bound on what it shares with other rows."""
     spark = docs.sparkSession
     fragments = fragments or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    given = docs.select(F.col(id_col).cast("string").cast("binary").alias("row_id"), F.col(text_col).alias("text"))
+    given = bounded(docs).select(F.col(id_col).cast("string").cast("binary").alias("row_id"), F.col(text_col).alias("text"))
     parts = given.mapInArrow(_parts(size, fragments), _PARTS)
     counted = parts.groupBy("fragment").applyInArrow(_count_fragment, _PARTS)
     summed = counted.groupBy("batch").applyInArrow(_sum_batch, _SUPPORT)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.llm import storage, tokenise
-from tessellum.llm.textcore import _ranges, chunks
+from tessellum.llm.textcore import _ranges, bounded, chunks
 
 LENGTH = 2048
 #: Tokens of one queue's turn.
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source.alias("queue"))
+    given = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source.alias("queue"))
     kind = given.schema["id"].dataType.simpleString()
     tokens = given.mapInArrow(_tokens(tokenizer, ["id", "queue"]), f"id {kind}, queue string, part int, before long, n long, ids binary")
     tokens = storage.table(tokens, "tokens", "snappy")  # ids hardly compress

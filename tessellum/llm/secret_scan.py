@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessellum.llm import storage
 from tessellum.llm.spans import replaced
+from tessellum.llm.textcore import bounded
 
 SPANS = "array<struct<rule:string,start:int,end:int>>"
 LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
@@ -93,7 +94,7 @@ def with_blob(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows for the blobs of ``docs`` that lack a rule version; append them to the ledger."""
-    paths = with_blob(docs.select(F.col(id_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    paths = with_blob(bounded(docs).select(F.col(id_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     names = F.array(*(F.lit(r.name) for r in rules))
     # Only addresses are grouped; the text of one path of each unseen blob follows by a join.
     first = paths.groupBy("blob").agg(F.min("path").alias("path"))

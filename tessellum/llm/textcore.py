@@ -15,9 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; a single longer text is taken whole.
 CHUNK_BYTES = 2 << 20
+#: Bytes of rows in a batch that Spark hands to Python.
+BATCH_BYTES = 4 << 20
 #: Bytes that are expanded into 64-bit arrays at once, or one longer word.
 HASH_BYTES = 1 << 18
 
@@ -37,6 +40,19 @@ def _c_library():
         return ctypes.CDLL("libc.so.6")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session now hands Python batches of at most ``BATCH_BYTES``, unless it has a lower limit.
+
+    Spark's own limit is 64 MB, which each worker and the JVM beside it hold several times.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "64m").lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:])
+    if not 0 < (int(now[:-1]) * unit if unit else int(now)) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def trim() -> None:
     """Return freed memory to the system.  Workers outlive their tasks and share an executor's memory."""
     pa.default_memory_pool().release_unused()

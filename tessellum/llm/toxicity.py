@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessellum.llm import sample, svm
-from tessellum.llm.textcore import Words, _ranges, chunks, distinct, mix, packed, text_in
+from tessellum.llm.textcore import Words, _ranges, bounded, chunks, distinct, mix, packed, text_in
 
 DECAY = 0.6
 SPAN = 6
@@ -332,7 +332,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text in column ``name``, which replaces one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(name)
+    docs = bounded(docs.drop(name))
     given = docs.select(F.struct(*docs.columns).alias("row"))
     scored = given.mapInArrow(_score(shared, ("row", text_col)), T.StructType([*given.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.select("row.*", F.col("score").alias(name))
@@ -342,7 +342,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Per row: held_out, score, predicted."""
     model = fit_from(docs, labels, id_col, text_col, folds=folds, held=held, bound=bound)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(id_col, (sample.fold(id_col, folds) == held).alias("held_out"), F.col(text_col).alias("text"))
+    given = bounded(docs).select(id_col, (sample.fold(id_col, folds) == held).alias("held_out"), F.col(text_col).alias("text"))
     scored = given.mapInArrow(_score(shared, "text"), T.StructType([*given.schema.fields[:2], T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -351,4 +351,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """``docs`` without the rows whose score reaches ``threshold``."""
     model = fit_from(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score(shared, text_col, threshold), docs.schema)
+    return bounded(docs).mapInArrow(_score(shared, text_col, threshold), docs.schema)
