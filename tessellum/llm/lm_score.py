@@ -5,7 +5,7 @@ are frequency bins of the training counts (a token seen once or never is in the
 text, and two copy classes: the token repeats the last one, or the one before.  The words of a class
 are dealt to ``MEMBERS`` sets by a hash; both the class and the set within it follow from a softmax over
 hashed features: the last two classes, the last token, the last two tokens, and the last but one (a
-skip), the latter three together with the class in the second softmax.  Inside a set counts decide.
+skip); for sets the last token and the last two, together with the class.  Inside a set counts decide.
 A token never seen in training has the leave-one-out share of the lowest class, spread over all
 spellings by an order-one model of letters, so the probabilities of distinct unseen words, however
 many, sum to no more than that share; training takes each token's class from its count without itself.
@@ -40,15 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm import sample, storage
-from tessellum.llm.textcore import Words, chunks, mix, packed
+from tessellum.llm.textcore import Words, bounded, chunks, mix, packed
 
-BINS = 29
+BINS = 21
 END, COPY, COPY_SKIP = BINS, BINS + 1, BINS + 2
-CLASSES = 32
+CLASSES = 24
 #: Sets of words inside a class.
 MEMBERS = 16
-#: Rows of each weight table; the first 1024 of the classes' table are pairs of classes.
+#: Features of the sets: the last two tokens and the last token, each with the class.
+MEMBER_FEATURES = 2
+#: Rows of each weight table, of which the first are for pairs of classes.
 ROWS = 1 << 15
+PAIRS = CLASSES * CLASSES
 BLOCKS = 64
 STEP = 8192
 CHUNK = 3 << 20
@@ -146,7 +149,7 @@ class Model:
         """A model that knows how frequent classes are, whatever the history."""
         model = cls(Table.zeros(CLASSES), Table.zeros(MEMBERS), totals)
         own = np.concatenate([totals.mass.sum(1), [totals.documents, totals.tokens / 100, totals.tokens / 100]])
-        model.classes.weights[:1024] = np.log((own + 1) / (own + 1).sum())
+        model.classes.weights[:PAIRS] = np.log((own + 1) / (own + 1).sum())
         return model
 
     @property
@@ -207,9 +210,13 @@ def _send(fragments: int):
     return run
 
 
+#: The least counts of bins 1, 2, ...
+_EDGES = np.array([math.ceil(2 ** (1 + 1.5 * i)) for i in range(BINS - 1)], np.int64)
+
+
 def _bin(c: np.ndarray) -> np.ndarray:
-    """The frequency bin of counts: 0 for at most 1, then floor(log2)."""
-    return np.clip(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, 0, BINS - 1)
+    """The frequency bin of counts: 0 for at most 1, then one for each one and a half doublings from 2 on."""
+    return np.clip(np.searchsorted(_EDGES, c, "right"), 0, BINS - 1)
 
 
 def _member(prints: np.ndarray) -> np.ndarray:
@@ -294,7 +301,7 @@ class Chunk:
 
 
 def _features(doc: np.ndarray, h: np.ndarray, c: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (n, 4) of the classes' table, rows (n, 4) of the members' table, and class of every token."""
+    """Rows of the classes' table and of the members' table by feature, and the class, of every token."""
     n = len(doc)
 
     def before(x: np.ndarray, k: int, fill) -> np.ndarray:
@@ -315,22 +322,22 @@ def _features(doc: np.ndarray, h: np.ndarray, c: np.ndarray, train: bool) -> tup
     kind = kinds(c - 1) if train else seen.copy()
     kind[h == 0] = END
     k1, k2 = before(seen, 1, CLASSES - 1), before(seen, 2, CLASSES - 1)
-    room, one = np.uint64(ROWS - 1024), np.uint64(0x9E3779B97F4A7C15)
-    keys = (mix(h1 * one + np.uint64(1)), mix(mix(h2 + one) ^ h1), mix(h2 * one + np.uint64(3)))
-    rows, members = np.empty((4, n), np.uint16), np.empty((4, n), np.uint16)
+    room, one = np.uint64(ROWS - PAIRS), np.uint64(0x9E3779B97F4A7C15)
+    keys = (mix(mix(h2 + one) ^ h1), mix(h1 * one + np.uint64(1)), mix(h2 * one + np.uint64(3)))
+    rows, members = np.empty((4, n), np.uint16), np.empty((MEMBER_FEATURES, n), np.uint16)
     rows[0] = k1 * CLASSES + k2
-    members[0] = kind * CLASSES + k1
     own = kind.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    for k, key in enumerate(keys, 1):
-        rows[k] = np.uint64(1024) + key % room
-        members[k] = np.uint64(1024) + ((key ^ own) * one >> np.uint64(24)) % room
+    for k, key in enumerate(keys):
+        rows[k + 1] = np.uint64(PAIRS) + key % room
+        if k < MEMBER_FEATURES:
+            members[k] = ((key ^ own) * one >> np.uint64(24)) % np.uint64(ROWS)
     return rows, members, kind
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
-    z = weights[rows[0]]
+    z = weights.take(rows[0], 0, mode="clip")  # faster than indexing; rows are in range
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, 0, mode="clip")
     if prior is not None:
         z += prior
     # One shift for all rows is cheaper; where a row would vanish each has its own.
@@ -355,7 +362,7 @@ def _update(table: Table, used: np.ndarray, rows: np.ndarray, target: np.ndarray
         first = np.flatnonzero(np.diff(own, prepend=np.uint16(own[0] ^ 1)))
         which = own[first]
         times = np.diff(first, append=len(own))
-        pull = np.add.reduceat(g[order], first, axis=0)
+        pull = np.add.reduceat(g.take(order, 0, mode="clip"), first, axis=0)
         pull *= (1 / np.sqrt(times))[:, None].astype(np.float32)
         table.power[which] += np.einsum("ij,ij->i", pull, pull) / pull.shape[1]
         pull *= (rate / np.sqrt(table.power[which]))[:, None]
@@ -453,10 +460,10 @@ def _score(shared):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, parts: int = 2, rate: float = 0.3, fragments: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, rounds: int = 1, parts: int = 4, rate: float = 0.3, fragments: int | None = None) -> DataFrame:
     """Per row: held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (sample.fold(id_col, folds) == held).alias("held"))
+    given = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (sample.fold(id_col, folds) == held).alias("held"))
     sizes = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held")).alias("documents")).first()
     documents = sizes["documents"]
     fragments = fragments or min(MOST_FRAGMENTS, max(8, -(-sizes["bytes"] // FRAGMENT_BYTES)))

@@ -113,26 +113,27 @@ def test_scores_equal_a_plain_computation():
     one, own = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
     hashes = [int(prints[w]) + 16 for w in text] + [0]
     count = [counts[w] for w in text] + [3]
-    room = lm_score.ROWS - 1024
+    classes = lm_score.CLASSES
+    room = lm_score.ROWS - classes**2
 
     def kind(i):
         if hashes[i] == 0:
             return lm_score.END
         h1, h2 = (hashes[i - k] if i >= k else k for k in (1, 2))
-        return lm_score.COPY if hashes[i] == h1 else lm_score.COPY_SKIP if hashes[i] == h2 else max(count[i], 1).bit_length() - 1
+        return lm_score.COPY if hashes[i] == h1 else lm_score.COPY_SKIP if hashes[i] == h2 else 0 if count[i] < 2 else 1 + int(math.log2(count[i] / 2) / 1.5)
 
     want = []
     for i in range(len(hashes)):
         h1, h2 = (hashes[i - k] if i >= k else k for k in (1, 2))
-        k1, k2 = (kind(i - k) if i >= k else 31 for k in (1, 2))
-        keys = [mix((h1 * one + 1) & mask), mix(mix((h2 + one) & mask) ^ h1), mix((h2 * one + 3) & mask)]
+        k1, k2 = (kind(i - k) if i >= k else classes - 1 for k in (1, 2))
+        keys = [mix(mix((h2 + one) & mask) ^ h1), mix((h1 * one + 1) & mask), mix((h2 * one + 3) & mask)]
         k = kind(i)
-        p = chosen(model.classes, [k1 * 32 + k2, *(1024 + x % room for x in keys)], None, k)
+        p = chosen(model.classes, [k1 * classes + k2, *(classes**2 + x % room for x in keys)], None, k)
         if k < lm_score.END:
             unseen = model.totals.unseen
             if count[i]:
                 m = (int(prints[text[i]]) >> 24) & 15
-                rows = [k * 32 + k1, *(1024 + ((((x ^ (k * own & mask)) * one) & mask) >> 24) % room for x in keys)]
+                rows = [((((x ^ (k * own & mask)) * one) & mask) >> 24) % lm_score.ROWS for x in keys[:2]]
                 p += chosen(model.members, rows, model.prior[k], m) + math.log(count[i] / int(model.totals.mass[k, m]))
                 p += math.log(1 - unseen) if count[i] == 1 else 0
             else:
