@@ -3,10 +3,12 @@
 The universe of word n-grams is cut into fragments, every document's set is cut alongside, partial
 overlaps are counted in each fragment on its own and summed per document or per pair.
 
-1. *Support.*  Every document sends each fragment its part of the set, packed (four bytes an
-   n-gram).  A fragment counts which of its n-grams occur in another document; the sums over
-   fragments bound from above what a document can share with any other.  Documents that cannot
-   reach the threshold leave, which in ordinary text is nearly all of them.
+1. *Support.*  Every chunk of documents sends each fragment its n-grams, packed, each n-gram once
+   however many documents of the chunk have it, so that a passage of a third of all documents does
+   not gather in one fragment.  A fragment counts which n-grams occur in another document; the sums
+   over fragments bound from above what a document can share with any other.  Documents that cannot
+   reach the threshold leave, which in ordinary text is nearly all of them.  The number of fragments
+   follows the bytes of text.
 2. *Order.*  What is left gets the global order, rarest n-gram first, cut into fragments at
    quantiles.  Equal sets form one class beforehand, so copies cost nothing.
 3. *Candidates.*  Two sets at or over the threshold share an n-gram of their prefixes in the global
@@ -18,8 +20,8 @@ overlaps are counted in each fragment on its own and summed per document or per
 4. *Verification.*  A pair's overlap is counted in each fragment and summed.
 
 Nulls and texts without words have an empty set and are linked with nothing.  Repeated rows and
-copies get the component of their class.  Sets are compared by 64-bit hashes of n-grams; classes by
-a 128-bit fingerprint.
+copies get the component of their class, rows without an id link others too.  Sets are compared by
+64-bit hashes of n-grams; classes by a 128-bit fingerprint, each under a number of its own.
 """
 
 from __future__ import annotations
@@ -35,12 +37,17 @@ from pyspark.sql import functions as F
 from tessellum.llm import storage
 from tessellum.llm.textcore import Words, bounded, chunks, mix, window_hashes
 
-_PARTS = "batch long, fragment long, ids binary, sizes binary, prints binary, keys binary"
-_SUPPORT = "row_id binary, n_shingles long, print_a long, print_b long, support long"
+_PARTS = "batch long, fragment long, ids binary, docs binary, sizes binary, keys binary"
+_SUPPORT = "row_id binary, text_key long, n_shingles long, print_a long, print_b long, support long"
+#: Bytes of text for each fragment, and the most fragments; beyond, fragments grow.
+FRAGMENT_BYTES = 8 << 20
+MOST_FRAGMENTS = 1 << 19
+#: Stands for several documents of a chunk, whose count is known without a reply.
+_MANY = 0xFFFF
 
 
 def document_shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, n-gram hash) of a batch.  A document of fewer words is one n-gram."""
+    """Distinct (document, n-gram hash) of a batch, by n-gram and document.  A document of fewer words is one n-gram."""
     hashed = words.hashes()
     n = words.counts
     runs = window_hashes(hashed, size)
@@ -56,16 +63,22 @@ def document_shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
             own = np.where(there, own * np.uint64(0xD6E8FEB86659FD93) + value, own)
         docs = np.concatenate([docs, short])
         grams = np.concatenate([grams, mix(own + n[short].astype(np.uint64))])
-    if not len(docs):
-        return docs.astype(np.int64), grams.astype(np.uint64)
-    _, keep = np.unique(mix(grams + docs.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), return_index=True)
-    return docs[keep].astype(np.int64), grams[keep]
+    order = np.argsort(grams)
+    docs, grams = docs[order].astype(np.int64), grams[order].astype(np.uint64)
+    again = np.zeros(len(grams), bool)
+    again[1:] = grams[1:] == grams[:-1]
+    if again.any():
+        runs = np.flatnonzero(again | np.append(again[1:], False))
+        docs[runs] = docs[runs][np.lexsort((docs[runs], grams[runs]))]
+        again[1:] &= docs[1:] == docs[:-1]
+        docs, grams = docs[~again], grams[~again]
+    return docs, grams
 
 
 def _prints(docs: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit fingerprints of each document's set, from sums, so that order does not matter."""
     out = []
-    order = np.argsort(docs, kind="stable")
+    order = np.argsort(docs.astype(np.uint16) if n <= 1 << 16 else docs, kind="stable")
     sizes = np.bincount(docs, minlength=n)
     ends = np.cumsum(sizes)
     for salt in (0x2545F4914F6CDD1D, 0xC2B2AE3D27D4EB4F):
@@ -79,74 +92,73 @@ def _parts(size: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in chunks(batches):
-            words = Words(batch.column("text"))
-            docs, grams = document_shingles(words, size)
             n = batch.num_rows
+            docs, grams = document_shingles(Words(batch.column("text")), size)
             a, b = _prints(docs, grams, n)
-            ids = batch.column("row_id")
-            rows = {k: [] for k in ("batch", "fragment", "ids", "sizes", "prints", "keys")}
-
-            def add(fragment, ids=None, sizes=None, prints=None, keys=None, rows=rows, number=number):
-                for k, v in zip(rows, (number, fragment, ids, sizes, prints, keys), strict=True):
-                    rows[k].append(v)
-
-            sizes = np.bincount(docs, minlength=n).astype(np.int64)
-            packed = pa.ipc.new_stream(sink := pa.BufferOutputStream(), pa.schema([("row_id", pa.binary())]))
-            packed.write_batch(pa.record_batch([ids.cast(pa.binary())], names=["row_id"]))
-            packed.close()
-            add(-1 - number, sink.getvalue().to_pybytes(), sizes.tobytes(), np.stack([a, b]).tobytes())
-            fragment = (grams % np.uint64(fragments)).astype(np.int64)
-            order = np.argsort(fragment * n + docs, kind="stable")
-            cells = np.bincount(fragment * n + docs, minlength=fragments * n).reshape(fragments, n)
-            ends = np.concatenate([[0], np.cumsum(cells.sum(1))])
-            keys = ((grams // np.uint64(fragments)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-            for f in np.flatnonzero(cells.sum(1)):
-                add(int(f), None, cells[f].astype(np.uint32).tobytes(), None, keys[ends[f] : ends[f + 1]].tobytes())
+            first = np.ones(len(grams), bool)
+            first[1:] = grams[1:] != grams[:-1]
+            at = np.flatnonzero(first)
+            single = np.diff(at, append=len(grams)) == 1
+            # What several documents of the chunk have is shared whatever others have.
+            local = np.ones(len(grams), bool)
+            local[at[single]] = False
+            counts = (np.bincount(docs, minlength=n), a, b, np.bincount(docs[local], minlength=n))
+            rows = pa.record_batch([batch.column("row_id").cast(pa.binary()), batch.column("text_key"), *(pa.array(x.astype(np.int64)) for x in counts)], names=[c.split()[0] for c in _SUPPORT.split(", ")])
+            with pa.ipc.new_stream(sink := pa.BufferOutputStream(), rows.schema) as head:
+                head.write_batch(rows)
+            # Sorted n-grams are sorted by fragment too.
+            own = np.where(single, docs[at], _MANY).astype(np.uint16)
+            fragment = ((grams[at] >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+            keys = grams[at].astype(np.uint32)
+            begin = np.flatnonzero(np.diff(fragment, prepend=-1))
+            ends = [*begin.tolist(), len(fragment)]
+            cut = [[x[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)] for x in (own, keys)]
+            m = len(begin)
+            yield pa.record_batch([pa.array([number] * (m + 1), pa.int64()), pa.array([-1 - number, *fragment[begin].tolist()], pa.int64()), pa.array([sink.getvalue().to_pybytes()] + [None] * m, pa.binary()), pa.array([None, *cut[0]], pa.binary()), pa.nulls(m + 1, pa.binary()), pa.array([None, *cut[1]], pa.binary())], names=["batch", "fragment", "ids", "docs", "sizes", "keys"])
             number += 1
-            yield pa.record_batch([pa.array(rows["batch"], pa.int64()), pa.array(rows["fragment"], pa.int64()), *(pa.array(rows[k], pa.binary()) for k in ("ids", "sizes", "prints", "keys"))], names=list(rows))
 
     return run
 
 
 def _count_fragment(group: pa.Table) -> pa.Table:
-    """How many n-grams of each document of each batch another document has too, in one fragment."""
+    """How many n-grams of each document of each batch another batch has too, in one fragment."""
     if group.column("fragment")[0].as_py() < 0:
         return group
     blobs = group.column("keys").to_pylist()
     keys = np.concatenate([np.frombuffer(b, np.uint32) for b in blobs])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     same = ordered[1:] == ordered[:-1]
-    shared = np.zeros(len(keys), np.uint32)
-    shared[order[1:][same]] = 1
-    shared[order[:-1][same]] = 1
-    total = np.concatenate([[0], np.cumsum(shared, dtype=np.int64)])
-    out, at = [], 0
-    for b, s in zip(blobs, group.column("sizes").to_pylist(), strict=True):
-        ends = at + np.cumsum(np.frombuffer(s, np.uint32).astype(np.int64))
-        out.append(np.diff(total[np.concatenate([[at], ends])]).astype(np.uint32).tobytes())
-        at += len(b) // 4
-    return group.set_column(3, "sizes", pa.array(out, pa.binary())).set_column(5, "keys", pa.nulls(len(out), pa.binary()))
+    shared = np.zeros(len(keys), bool)
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    docs, sizes, at = [], [], 0
+    for raw in group.column("docs").to_pylist():
+        own = np.frombuffer(raw, np.uint16)
+        met, times = np.unique(own[shared[at : at + len(own)] & (own != _MANY)], return_counts=True)
+        docs.append(met.tobytes())
+        sizes.append(times.astype(np.uint32).tobytes())
+        at += len(own)
+    found = group.set_column(3, "docs", pa.array(docs, pa.binary())).set_column(4, "sizes", pa.array(sizes, pa.binary())).set_column(5, "keys", pa.nulls(len(docs), pa.binary()))
+    return found.filter(pa.array([bool(d) for d in docs]))
 
 
 def _sum_batch(group: pa.Table) -> pa.Table:
-    total, head = None, None
-    for f, ids, sizes, prints in zip(*(group.column(c).to_pylist() for c in ("fragment", "ids", "sizes", "prints")), strict=True):
-        if f < 0:
-            head = (pa.ipc.open_stream(ids).read_all().column("row_id"), np.frombuffer(sizes, np.int64), np.frombuffer(prints, np.int64).reshape(2, -1))
-        else:
-            counts = np.frombuffer(sizes, np.uint32).astype(np.int64)
-            total = counts if total is None else total + counts
-    ids, n, prints = head
-    total = np.zeros(len(n), np.int64) if total is None else total
-    return pa.table({"row_id": ids, "n_shingles": n, "print_a": prints[0], "print_b": prints[1], "support": total})
+    heads = [raw for raw in group.column("ids").to_pylist() if raw is not None]
+    head = pa.ipc.open_stream(heads[0]).read_all()
+    total = head.column("support").to_numpy().copy()
+    for docs, sizes in zip(group.column("docs").to_pylist(), group.column("sizes").to_pylist(), strict=True):
+        if docs is not None:
+            total[np.frombuffer(docs, np.uint16)] += np.frombuffer(sizes, np.uint32)
+    return head.set_column(5, "support", pa.array(total))
 
 
 def support(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, fragments: int | None = None) -> DataFrame:
     """Per row: its id, the size and fingerprint of its set, and a bound on what it shares with other rows."""
-    spark = docs.sparkSession
-    fragments = fragments or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    given = bounded(docs).select(F.col(id_col).cast("string").cast("binary").alias("row_id"), F.col(text_col).alias("text"))
+    given = bounded(docs).select(F.col(id_col).cast("string").cast("binary").alias("row_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    if fragments is None:
+        total = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        fragments = min(MOST_FRAGMENTS, max(8, -(-total // FRAGMENT_BYTES)))
     parts = given.mapInArrow(_parts(size, fragments), _PARTS)
     counted = parts.groupBy("fragment").applyInArrow(_count_fragment, _PARTS)
     summed = counted.groupBy("batch").applyInArrow(_sum_batch, _SUPPORT)
@@ -158,11 +170,12 @@ def _shingle_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=1 << 20):
             docs, grams = document_shingles(Words(batch.column("text")), size)
-            a, _ = _prints(docs, grams, batch.num_rows)
-            right = a == np.asarray(batch.column("node"))
+            a, b = _prints(docs, grams, batch.num_rows)
+            # Another text of the same id is left out.
+            right = (a == np.asarray(batch.column("print_a"))) & (b == np.asarray(batch.column("print_b")))
             keep = right[docs]
             docs, grams = docs[keep], grams[keep]
-            yield pa.record_batch([pa.array(a[docs]), pa.array(np.asarray(batch.column("n"))[docs]), pa.array(grams.view(np.int64))], names=["node", "n", "gram"])
+            yield pa.record_batch([pa.array(np.asarray(batch.column("node"))[docs]), pa.array(np.asarray(batch.column("n"))[docs]), pa.array(grams.view(np.int64))], names=["node", "n", "gram"])
 
     return run
 
@@ -204,11 +217,15 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows link when 100 * intersection >= percent * union of their sets of ``size``-word n-grams.
     """
     rows = storage.table(support(docs, id_col, text_col, size, fragments), "support")
-    classes = rows.where("n_shingles > 0").groupBy("print_a", "print_b", "n_shingles").agg(F.min(id_col).alias("first_id"), F.max("support").alias("support"))
-    able = classes.where(F.col("support") >= least(F.col("n_shingles"), percent))
-    wanted = able.select(F.col("first_id").alias("wanted_id"), F.col("print_a").alias("node"), F.col("n_shingles").alias("n"))
-    texts = docs.select(F.col(id_col).alias("wanted_id"), F.col(text_col).alias("text")).join(wanted, "wanted_id")
-    grams = storage.table(texts.select("node", "n", "text").mapInArrow(_shingle_rows(size), "node long, n long, gram long"), "grams")
+    classes = rows.where("n_shingles > 0").groupBy("print_a", "print_b", "n_shingles").agg(F.min(id_col).alias("first_id"), F.coalesce(F.min_by("text_key", id_col), F.min("text_key")).alias("text_key"), F.max("support").alias("support"))
+    able = classes.where(F.col("support") >= least(F.col("n_shingles"), percent)).drop("support")
+    # Numbers hold once they are written.
+    able = storage.table(able.withColumn("node", F.monotonically_increasing_id()), "classes")
+    wanted = able.select(F.col("first_id").alias("wanted_id"), F.col("text_key").alias("wanted_key"), "node", F.col("n_shingles").alias("n"), "print_a", "print_b")
+    own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own_key"))
+    # A class whose rows have no id is found by its text.
+    texts = own.join(wanted, F.col("own_id").eqNullSafe(F.col("wanted_id")) & (F.col("own_key") == F.col("wanted_key")))
+    grams = storage.table(texts.select("node", "n", "text", "print_a", "print_b").mapInArrow(_shingle_rows(size), "node long, n long, gram long"), "grams")
 
     # The order needs how many classes have an n-gram, now among the classes that are left.
     held = grams.groupBy("node", "gram").agg(F.first("n").alias("n"))
@@ -232,7 +249,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     listed = sets.select("node", "n", "weight", (F.col("n") - F.size("grams")).alias("unshared"), F.posexplode(F.slice(F.col("grams"), F.lit(1), prefix)).alias("i", "key"))
     posted = storage.table(listed.select("node", "n", "weight", (F.col("unshared") + F.col("i")).alias("before"), F.col("key.gram").alias("gram")), "posted")
 
-    nodes = classes.select(F.col("print_a").alias("node"), "first_id")
+    nodes = able.select("node", "first_id", "print_a", "print_b", "n_shingles")
+
     def compare(met: DataFrame) -> DataFrame:
         # With so many smaller n-grams before a common one, enough may not follow.
         total = percent * (F.col("x.n") + F.col("y.n"))
@@ -260,8 +278,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     grouped = grouped.join(outer.select(F.col("node").alias("component"), F.col("component").alias("outer")), "component").select("node", F.col("outer").alias("component"))
     named = grouped.join(nodes, "node")
     best = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = named.join(best, "component").select(F.col("node").alias("print_a"), "component_id")
-    labelled = classes.join(linked, "print_a", "left").select("print_a", "print_b", "n_shingles", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = named.join(best, "component").select("print_a", "print_b", "n_shingles", F.col("component_id").alias("linked_id"))
+    labelled = classes.join(linked, ["print_a", "print_b", "n_shingles"], "left").select("print_a", "print_b", "n_shingles", F.coalesce("linked_id", "first_id").alias("component_id"))
     joined = rows.join(labelled, ["print_a", "print_b", "n_shingles"], "left")
     return joined.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
 

@@ -74,6 +74,56 @@ def test_exact_threshold(spark):
     assert got(ngram_join.similarity_components(documents(spark, data=data))) == brute(data)
 
 
+def test_links_through_rows_without_an_id(spark):
+    """a - b - c, where only b, whose id is null, is near both others."""
+    a = [f"a{i}" for i in range(104)]
+    b, c = [*a[:97], *(f"b{i}" for i in range(7))], [*a[:90], *(f"c{i}" for i in range(7)), *(f"b{i}" for i in range(7))]
+    c = [*(f"c{i}" for i in range(7)), *b[7:]]
+    for second in (None, 2):
+        data = [(1, " ".join(a), "", "", 0), (second, " ".join(b), "", "", 0), (3, " ".join(c), "", "", 0), (None, " ".join(b), "", "", 0), (None, "some other words", "", "", 0)]
+        assert not 100 * len(shingles(data[0][1]) & shingles(data[2][1])) >= 80 * len(shingles(data[0][1]) | shingles(data[2][1]))
+        found = got(ngram_join.similarity_components(documents(spark, data=data)))
+        assert found == brute(data) and [x for x in found if x[0] == "3"][0][2] == "1"
+
+
+@pytest.mark.parametrize("fragments", [1, 7, 4096])
+def test_any_number_of_fragments(spark, fragments):
+    assert got(ngram_join.similarity_components(documents(spark), fragments=fragments)) == brute(rows())
+
+
+def test_many_templates_below_the_threshold(spark):
+    """Two thousand texts of one template that share most n-grams, few of which are linked."""
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(100)]
+    data = []
+    for i in range(2000):
+        own = list(base)
+        for at in rng.sample(range(0, 100, 6), 4):  # each change costs five of 96 n-grams
+            own[at] = f"v{rng.randrange(3)}"
+        data.append((i, " ".join(own), "", "", 0))
+    sets = {}
+    for i, t, *_ in data:
+        sets.setdefault(shingles(t), []).append(i)
+    classes = list(sets)
+    up = list(range(len(classes)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in range(len(classes)):
+        for y in range(x):
+            both = len(classes[x] & classes[y])
+            if 100 * both >= 80 * (len(classes[x]) + len(classes[y]) - both):
+                up[find(x)] = find(y)
+    low = defaultdict(list)
+    for k, s in enumerate(classes):
+        low[find(k)] += sets[s]
+    want = sorted((str(i), len(s), str(min(low[find(k)]))) for k, s in enumerate(classes) for i in sets[s])
+    assert got(ngram_join.similarity_components(documents(spark, data=data))) == want
+
+
 def test_components_of_a_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(50)], "node long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(48)], "a long, b long")
