@@ -106,13 +106,16 @@ def _parts(size: int, fragments: int):
             rows = pa.record_batch([batch.column("row_id").cast(pa.binary()), batch.column("text_key"), *(pa.array(x.astype(np.int64)) for x in counts)], names=[c.split()[0] for c in _SUPPORT.split(", ")])
             with pa.ipc.new_stream(sink := pa.BufferOutputStream(), rows.schema) as head:
                 head.write_batch(rows)
-            # Sorted n-grams are sorted by fragment too.
-            own = np.where(single, docs[at], _MANY).astype(np.uint16)
+            own = np.where(single, docs[at], _MANY)
             fragment = ((grams[at] >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-            keys = grams[at].astype(np.uint32)
+            # By fragment and document, so that steps between documents are small numbers and compress.
+            order = np.argsort(fragment << 16 | own)
+            fragment, keys, own = fragment[order], grams[at][order].astype(np.uint32), own[order]
             begin = np.flatnonzero(np.diff(fragment, prepend=-1))
             ends = [*begin.tolist(), len(fragment)]
-            cut = [[x[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)] for x in (own, keys)]
+            steps = np.diff(own, prepend=0)
+            steps[begin] = own[begin]
+            cut = [[x[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)] for x in (steps.astype(np.uint16), keys)]
             m = len(begin)
             yield pa.record_batch([pa.array([number] * (m + 1), pa.int64()), pa.array([-1 - number, *fragment[begin].tolist()], pa.int64()), pa.array([sink.getvalue().to_pybytes()] + [None] * m, pa.binary()), pa.array([None, *cut[0]], pa.binary()), pa.nulls(m + 1, pa.binary()), pa.array([None, *cut[1]], pa.binary())], names=["batch", "fragment", "ids", "docs", "sizes", "keys"])
             number += 1
@@ -134,7 +137,7 @@ def _count_fragment(group: pa.Table) -> pa.Table:
     shared[order[:-1][same]] = True
     docs, sizes, at = [], [], 0
     for raw in group.column("docs").to_pylist():
-        own = np.frombuffer(raw, np.uint16)
+        own = np.cumsum(np.frombuffer(raw, np.uint16), dtype=np.uint16)
         met, times = np.unique(own[shared[at : at + len(own)] & (own != _MANY)], return_counts=True)
         docs.append(met.tobytes())
         sizes.append(times.astype(np.uint32).tobytes())
@@ -223,8 +226,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     able = storage.table(able.withColumn("node", F.monotonically_increasing_id()), "classes")
     wanted = able.select(F.col("first_id").alias("wanted_id"), F.col("text_key").alias("wanted_key"), "node", F.col("n_shingles").alias("n"), "print_a", "print_b")
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own_key"))
-    # A class whose rows have no id is found by its text.
-    texts = own.join(wanted, F.col("own_id").eqNullSafe(F.col("wanted_id")) & (F.col("own_key") == F.col("wanted_key")))
+    # A class whose rows have no id is found by its text.  The plan is the same at every size.
+    texts = own.join(wanted.hint("merge"), F.col("own_id").eqNullSafe(F.col("wanted_id")) & (F.col("own_key") == F.col("wanted_key")))
     grams = storage.table(texts.select("node", "n", "text", "print_a", "print_b").mapInArrow(_shingle_rows(size), "node long, n long, gram long"), "grams")
 
     # The order needs how many classes have an n-gram, now among the classes that are left.
@@ -280,7 +283,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(best, "component").select("print_a", "print_b", "n_shingles", F.col("component_id").alias("linked_id"))
     labelled = classes.join(linked, ["print_a", "print_b", "n_shingles"], "left").select("print_a", "print_b", "n_shingles", F.coalesce("linked_id", "first_id").alias("component_id"))
-    joined = rows.join(labelled, ["print_a", "print_b", "n_shingles"], "left")
+    # Apart from what made it, the join can split a class of very many copies.
+    labelled = storage.table(labelled, "labelled")
+    joined = rows.join(labelled.hint("merge"), ["print_a", "print_b", "n_shingles"], "left")
     return joined.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
 
 
