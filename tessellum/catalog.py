@@ -127,6 +127,21 @@ def program(name: str, code: str, output: str, names: str, body: str | None, hin
         ORACLES[name] = _with(names, body)
 
 
+def _values(columns: str, *rows: tuple) -> str:
+    """SQL of a few rows that are worked out by hand; columns as name or name:type."""
+
+    def literal(x) -> str:
+        if x is None:
+            return "NULL"
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else repr(x)
+
+    names = [c.split(":") for c in columns.split()]
+    shown = ", ".join(f'CAST("{n[0]}" AS {n[1]}) AS "{n[0]}"' if n[1:] else f'"{n[0]}"' for n in names)
+    listed = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    quoted = ", ".join(f'"{n[0]}"' for n in names)
+    return f"SELECT {shown} FROM (VALUES {listed}) t({quoted})"
+
+
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -431,23 +446,31 @@ def naive_plan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(planner.plan(*p)[1], 9)) for k, p in PROBLEMS.items()], "problem int, cost double")
 
 
-@query("naive_schedule")
+def _rounded(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("cost", F.round("cost", 9))
+
+
+@query("naive_schedule", _values("step:INT op layout cost:DOUBLE", (0, "", "D_[2,4]⊥{0,1}(5000000,128)", 0.0), (1, "allgather_*", "D_[2,4]⊥{∅,∅}(∅,∅)", 1.433603), (2, "split_*", "D_[2,4]⊥{(0,1),∅}(1250000,∅)", 0.0)))
 def naive_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape, start, target = PROBLEMS[1]
-    return schedule_frame(spark, NaivePlanner(IdealLowerBounds(), ALPHA, BETA).plan(shape, start, target)[0])
+    return _rounded(schedule_frame(spark, NaivePlanner(IdealLowerBounds(), ALPHA, BETA).plan(shape, start, target)[0]))
 
 
-@query("search_schedule")
+@query("search_schedule", _values("step:INT op layout cost:DOUBLE", (0, "", "D_[4,4,2]⊥{0,∅,∅,(1,2)}(1,∅,∅,1)", 0.0), (1, "alltoall_mf_3_2_100", "D_[4,4,2]⊥{0,∅,2,1}(1,∅,100,2)", 0.012801), (2, "alltoall_3_1_100", "D_[4,4,2]⊥{0,1,2,∅}(1,100,100,∅)", 0.038402)))
 def search_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape, start, target = PROBLEMS[2]
     planner = SearchPlanner(IdealLowerBounds(), ALPHA, BETA, path_weight=1.02, max_depth=6, top_k=15)
-    return schedule_frame(spark, planner.plan(shape, start, target)[0])
+    return _rounded(schedule_frame(spark, planner.plan(shape, start, target)[0]))
 
 
-@query("planner_grid")
+#: The best costs and steps at ideal bounds: with one route kept, problem 3 takes a detour.
+_GRID = {(1, 1): (0.614402, 2), (1, 15): (0.614402, 2), (2, 1): (0.051203, 2), (2, 15): (0.051203, 2), (3, 1): (0.360004, 5), (3, 15): (0.280003, 4)}
+
+
+@query("planner_grid", _values("problem:INT path_weight:DOUBLE top_k:INT cost:DOUBLE steps:BIGINT", *((p, w, k, *found) for (p, k), found in _GRID.items() for w in (0.5, 1.02, 2.0))))
 def planner_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(problem, path_weight, top_k, cost, steps) over a grid of the planner's settings, searched on the executors."""
-    grid = spark.createDataFrame(list(itertools.product(PROBLEMS, (0.5, 1.02, 2.0), (1, 5))), "problem int, path_weight double, top_k int").repartition(6)
+    grid = spark.createDataFrame(list(itertools.product(PROBLEMS, (0.5, 1.02, 2.0), (1, 15))), "problem int, path_weight double, top_k int").repartition(6)
 
     def search(rows):
         for frame in rows:
@@ -456,10 +479,27 @@ def planner_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
             out["cost"], out["steps"] = [c for _, c in found], [len(s) - 1 for s, _ in found]
             yield out
 
-    return grid.mapInPandas(search, "problem int, path_weight double, top_k int, cost double, steps long")
+    return _rounded(grid.mapInPandas(search, "problem int, path_weight double, top_k int, cost double, steps long"))
+
+
+def _neighbours_sql() -> str:
+    """Volumes by hand: a rank of problem 2 holds 4e7 cells, and a collective moves those of all its processors."""
+    start, rows = "D_[4,4,2]⊥", [("allgather_*", "{∅,∅,∅,∅}(∅,∅,∅,∅)", 32), ("allgather_0", "{∅,∅,∅,(1,2)}(∅,∅,∅,1)", 4), ("allgather_1", "{0,∅,∅,2}(1,∅,∅,1)", 4), ("allgather_2", "{0,∅,∅,1}(1,∅,∅,2)", 2)]
+    for block, shown in ((-1, 1), (1, 1), (100, 100)):
+        rows += [(f"alltoall_0_1_{block}", f"{{∅,0,∅,(1,2)}}(∅,{shown},∅,1)", 4), (f"alltoall_0_2_{block}", f"{{∅,∅,0,(1,2)}}(∅,∅,{shown},1)", 4)]
+        rows += [(f"alltoall_3_0_{block}", "{(1,2,0),∅,∅,∅}(1,∅,∅,∅)", 8), (f"alltoall_mf_3_0_{block}", "{(2,0),∅,∅,1}(1,∅,∅,2)", 2)]
+        # Blocks of 100 over the 8 ranks of (1,2) need 800 cells; these axes have 400.
+        rows += [(f"alltoall_3_{k}_{block}", f"{{0,{'(1,2),∅' if k == 1 else '∅,(1,2)'},∅}}(1,{f'{shown},∅' if k == 1 else f'∅,{shown}'},∅)", 8) for k in (1, 2) if block < 100]
+        rows += [(f"alltoall_mf_3_{k}_{block}", f"{{0,{'2,∅' if k == 1 else '∅,2'},1}}(1,{f'{shown},∅' if k == 1 else f'∅,{shown}'},2)", 2) for k in (1, 2)]
+    found = [(op, start + layout, 40_000_000 * procs, procs) for op, layout, procs in rows]
+    # A change of block size counts the cells of one rank.
+    return _values("op layout volume:BIGINT procs:BIGINT", *found, ("reblock_0_100", start + "{0,∅,∅,(1,2)}(100,∅,∅,1)", 40_000_000, 4))
+
+
+_NEIGHBOURS = _neighbours_sql()
 
 
-@query("neighbours")
+@query("neighbours", _NEIGHBOURS)
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layouts one collective away from the start of problem 2."""
     shape, start, target = PROBLEMS[2]
@@ -470,29 +510,29 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Structure.
 
 
-@query("program_nodes")
+@query("program_nodes", _values("node kind line:INT level:INT loops:INT ops:INT color:INT", ("S", "input", -1, 0, 0, 0, 0), ("C", "input", -1, 0, 0, 0, 0), ("0:Dist", "statement", 2, 1, 3, 2, 2), ("1:Min", "statement", 3, 1, 1, 0, 0), ("2:Labels", "statement", 4, 1, 1, 0, 0), ("3:Min", "statement", 5, 2, 2, 3, 3), ("4:Labels", "statement", 6, 3, 2, 3, 3), ("5:Count", "statement", 7, 4, 2, 1, 1), ("6:Update", "statement", 8, 4, 3, 2, 2)))
 def program_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.program_nodes(spark, compile_program(_KMEANS), "opcount")
 
 
-@query("program_edges")
+@query("program_edges", _values("source target variable", ("S", "0:Dist", "S"), ("C", "0:Dist", "C"), ("0:Dist", "3:Min", "Dist"), ("1:Min", "3:Min", "Min"), ("0:Dist", "4:Labels", "Dist"), ("3:Min", "4:Labels", "Min"), ("2:Labels", "4:Labels", "Labels"), ("4:Labels", "5:Count", "Labels"), ("S", "6:Update", "S"), ("4:Labels", "6:Update", "Labels")))
 def program_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.program_edges(spark, compile_program(_KMEANS))
 
 
-@query("expression_nodes")
+@query("expression_nodes", _values("id:INT parent:INT depth:INT kind label", (0, None, 0, "assign", "Labels[j] +="), (1, 0, 1, "operator", "*"), (2, 1, 2, "operator", "=="), (3, 2, 3, "tensor", "Dist[j,k]"), (4, 2, 3, "tensor", "Min[j]"), (5, 1, 2, "operator", "-"), (6, 5, 3, "index", "k"), (7, 5, 3, "tensor", "Labels[j]")))
 def expression_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.expression_nodes(spark, compile_program(_KMEANS).statements[4])
 
 
-@query("statement_stats")
+@query("statement_stats", _values("line:INT raw loops:INT ops:INT", *((n, raw, loops, ops) for (n, raw), (loops, ops) in zip(enumerate(_KMEANS.strip().splitlines(), 2), ((3, 2), (1, 0), (1, 0), (2, 3), (2, 3), (2, 1), (3, 2)), strict=True))))
 def statement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_program(_KMEANS).statement_stats(spark)
 
 
-@query("variable_usage")
+@query("variable_usage", _values("name order:INT lines", ("Dist", 2, "2,5,6"), ("S", 2, "-1,2,8"), ("C", 2, "-1,2"), ("Min", 1, "3,5,6"), ("Labels", 1, "4,6,7,8"), ("Count", 1, "7"), ("Update", 2, "8")))
 def variable_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_program(_KMEANS).variable_usage(spark)
+    return compile_program(_KMEANS).variable_usage(spark).withColumn("lines", F.concat_ws(",", F.transform("lines", lambda x: x.cast("string"))))
 
 
 @query("mesh_nodes", "SELECT a.range * 12 + b.range * 4 + c.range AS rank, a.range AS m0, b.range AS m1, c.range AS m2 FROM range(2) a, range(3) b, range(4) c")
@@ -511,13 +551,14 @@ def tensor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.tensor_cells(spark, (Inputs(spark, sf_dir).size("supplier", "s_suppkey"), 7), (2, None))
 
 
-@query("operation_cells")
+@query("operation_cells", "SELECT 'B[i,j]' AS tensor, a.range AS i0, b.range AS i1, a.range = 1 AND b.range = 2 AS highlight FROM range(3) a, range(4) b UNION ALL SELECT 'X[i,k]', a.range, b.range, a.range = 1 FROM range(3) a, range(2) b UNION ALL SELECT 'Y[k,j]', a.range, b.range, b.range = 2 FROM range(2) a, range(4) b")
 def operation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     statement = compile_program("B[i,j] += X[i,k] * Y[k,j]").statements[0]
-    return inspect.operation_cells(spark, statement, {"i": 3, "j": 4, "k": 2}, {"i": 1, "j": 2})
+    cells = inspect.operation_cells(spark, statement, {"i": 3, "j": 4, "k": 2}, {"i": 1, "j": 2})
+    return cells.select("tensor", F.col("index")[0].cast("bigint").alias("i0"), F.col("index")[1].cast("bigint").alias("i1"), "highlight")
 
 
-@query("mesh_grid")
+@query("mesh_grid", "SELECT a.range AS d0, b.range AS d1, a.range * 1.1::DOUBLE AS x0, b.range * 1.1::DOUBLE AS x1 FROM range(3) a, range(4) b")
 def mesh_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.mesh_grid(spark, (3, 4))
 

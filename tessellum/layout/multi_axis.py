@@ -221,7 +221,7 @@ class MultiAxisLayout(Layout):
                 if self.mapping[source] and (not mf or len(self.mapping[source]) > 1) and (not mt or len(self.mapping[target]) > 1):
                     name = "alltoall" + "_mf" * mf + "_mt" * mt + f"_{source}_{target}_{b}"
                     tries.append((name, lambda s=source, t=target, b=b, mf=mf, mt=mt: self.all_to_all(shape, s, t, b, mf, mt)))
-        tries += [(f"changeBlockSize_{axis}_{b}", lambda a=axis, b=b: self.change_block(shape, a, b)) for axis, b in itertools.product(axes, sizes)]
+        tries += [(f"reblock_{axis}_{b}", lambda a=axis, b=b: self.change_block(shape, a, b)) for axis, b in itertools.product(axes, sizes)]
         out = []
         for name, make in tries:
             try:

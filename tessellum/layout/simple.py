@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessellum.layout.axis import axis_compatible, block_owner, even_owner, linear_column, splits, to_linear, whole_division
 from tessellum.layout.base import Layout
+from tessellum.layout.multi_axis import MultiAxisLayout
 
 
 class SlabLayout(Layout):
@@ -21,6 +22,12 @@ class SlabLayout(Layout):
     def __str__(self) -> str:
         return f"D_[{self.processors}]⊥{self.axis}({self.block})"
 
+    def as_multi_axis(self, order: int) -> MultiAxisLayout:
+        """The same layout of tensors of some order, among those that collectives lead between."""
+        if not self.block:
+            raise ValueError("an even split has no block size")
+        return MultiAxisLayout((self.processors,), [(0,) if k == self.axis else None for k in range(order)], [self.block if k == self.axis else None for k in range(order)])
+
     def latex(self) -> str:
         return rf"T_{{\perp\{{ {self.axis} \}}({self.block})}}"
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -237,8 +237,10 @@ def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[i
     dtype = output_dtype(statement, tensors, old)
     loose = any(tensors[r.name].dtype == "float" for r in statement.reads)
     reduced = [c for c in statement.index_variables if c not in out.letters]
-    if own or accumulate:
+    if own:
         cells = _loop(statement, tensors, sizes, reduced, old, loose, spark)
+    elif accumulate:
+        cells = _onto(statement, tensors, sizes, reduced, old, loose, spark)
     elif statement.kind == "=":
         cells = _last(statement, tensors, sizes, reduced, loose, spark)
     else:
@@ -283,6 +285,16 @@ def _reduce(statement: Statement, tensors, sizes, reduced, loose, spark) -> Tabl
     return _aggregate(statement.kind, rows.frame.select(*letters, value.alias("x")), letters, reduced, rows.cells)
 
 
+def _onto(statement: Statement, tensors, sizes, reduced, old: Tensor, loose, spark) -> Table:
+    """A compound assignment onto earlier values that its expression does not read: one aggregate, then one join."""
+    total = "+=" if statement.kind in ("+=", "-=") else "*="
+    made = _reduce(replace(statement, kind=total), tensors, sizes, reduced, loose, spark)
+    both = join(read_rows(statement.output, old, sizes, {}, "state"), made, sizes)
+    state, x = F.col("state"), F.col("x")
+    value = {"+=": state + x, "-=": state - x, "*=": state * x, "/=": divide(state, x)}[statement.kind]
+    return Table(both.frame.select(*statement.output.letters, value.alias("x")), tuple(statement.output.letters), both.cells)
+
+
 def _aggregate(kind: str, frame: DataFrame, letters: list[str], reduced: list[str], cells: int) -> Table:
     if not reduced:
         return Table(frame.select(*letters, _finish(kind, F.col("x")).alias("x")), tuple(letters), cells)

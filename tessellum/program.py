@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessellum.lang.syntax import Statement, parse
 from tessellum.operators.lowering import lower, reads_itself
+from tessellum.sources.tables import settled
 from tessellum.tensor import Tensor
 
 
@@ -89,6 +90,17 @@ class Program:
             now[name] = lower(s, now, spark, hint, old)
         return now
 
+    def iterate(self, inputs: dict[str, Tensor], rounds: int, carried: tuple[str, ...], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None) -> dict[str, Tensor]:
+        """The carried tensors after some rounds, each of which starts from the last one's.
+
+        They are computed and checkpointed after every round, so plans do not grow.
+        """
+        now = dict(inputs)
+        for _ in range(rounds):
+            made = self.execute(now, shape_hints, spark)
+            now |= {n: settled(made[n]) for n in carried}
+        return {n: now[n] for n in carried}
+
     def statement_stats(self, spark: SparkSession) -> DataFrame:
         """(line, raw, loops, ops) of every statement."""
         return spark.createDataFrame([(s.line, s.raw, s.loop_count, s.op_count) for s in self.statements], "line int, raw string, loops int, ops int")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,29 @@ def read_tensor(spark: SparkSession, path: str) -> Tensor:
     return Tensor(frame.select(*(F.col(f"d{k}") for k in range(order)), "v"), tuple(meta["shape"]), meta["dtype"])
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without it, a temporary one, in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        named = "file://" + tempfile.mkdtemp(prefix="tessellum-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate results that all machines see."""
+    return f"{shared_root(spark)}/tessellum-{uuid.uuid4().hex}"
+
+
+def settled(tensor: Tensor) -> Tensor:
+    """A tensor computed once, its lineage cut by a reliable checkpoint."""
+    shared_root(tensor.frame.sparkSession)
+    return Tensor(tensor.frame.checkpoint(eager=True), tensor.shape, tensor.dtype)
+
+
 def write_results(results: dict[str, Tensor], path: str, mode: str = "errorifexists") -> None:
     """Every tensor of a result under its name."""
     for name, tensor in results.items():

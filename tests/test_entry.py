@@ -9,9 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessellum import catalog
+from tessellum import catalog, catalog_rules
 
 DATA = Path("/root/testdata/sf0.001")
+QUERIES = catalog.QUERIES | catalog_rules.QUERIES
+ORACLES = catalog.ORACLES | catalog_rules.ORACLES
 needs_data = pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
 
 
@@ -28,15 +30,12 @@ def _value(v):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, str(DATA))
+    df = QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
     got = sorted(tuple(_value(r[c]) for c in columns) for r in df.collect())
-    if name not in catalog.ORACLES:
-        assert got
-        return
-    made = duck.sql(catalog.ORACLES[name])
+    made = duck.sql(ORACLES[name])
     at = [made.columns.index(c) for c in columns]
     assert sorted(made.columns) == columns
     assert got == sorted(tuple(_value(r[i]) for i in at) for r in made.fetchall())
@@ -46,4 +45,4 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries()) and set(QUERIES) == set(ORACLES)
