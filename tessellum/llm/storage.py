@@ -18,11 +18,13 @@ ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; sets a temporary one where the session names none."""
+    """The shared checkpoint folder; without one, a temporary folder of this machine, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="tessellum-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -42,16 +44,31 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
     Compared with :func:`cut` the files are several times smaller and column pruning still works.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessellum/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tessellum/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, files = _located(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
+def written() -> int:
+    """How many tables are kept now; a place to :func:`release` from."""
+    return len(_written)
 
-def release(spark: SparkSession) -> None:
-    """Delete every table this process has written with :func:`table`; results built on them must be stored first."""
-    jvm = spark.sparkContext._jvm
-    for path in _written:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _written.clear()
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written after the first ``since``, but for the last ``keep``.
+
+    Results that read them must be stored first.  What is never released goes when the session ends.
+    """
+    for path in _written[since : len(_written) - keep]:
+        where, files = _located(spark, path)
+        files.delete(where, True)
+    del _written[since : len(_written) - keep]

@@ -4,8 +4,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from tessellum.llm import storage
+from tessellum.llm import storage, textcore
 from tessellum.llm.textcore import NOT_ALPHANUMERIC, Words, chunks, has_letter, span_hashes, window_hashes
 
 
@@ -19,6 +20,45 @@ def test_tables_and_release(spark):
     assert not [p for p in made if p.exists()]
 
 
+def test_release_since_a_place(spark):
+    root = Path(storage.shared_dir(spark).removeprefix("file:")).resolve() / "tessellum"
+    storage.table(spark.range(3), "first")
+    begun = storage.written()
+    storage.table(spark.range(4), "second")
+    last = storage.table(spark.range(5), "third")
+    storage.release(spark, begun, keep=1)
+    assert list(root.glob("first-*")) and not list(root.glob("second-*")) and last.count() == 5
+    storage.release(spark)
+    assert not list(root.glob("third-*"))
+
+
+def test_a_shared_folder_is_asked_for_outside_local_mode():
+    class Nothing:
+        master = "spark://somewhere:7077"
+        sparkContext = property(lambda self: self)
+        conf = property(lambda self: self)
+
+        def get(self, key, default):
+            return default
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Nothing())
+
+
+def test_hashes_by_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = " ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 40, 500))
+    whole = Words(pa.array([text, "y" * 300, text])).hashes()
+    for size in (1, 17, 256):
+        monkeypatch.setattr(textcore, "HASH_BYTES", size)
+        textcore._kept_powers.cache_clear()
+        assert (Words(pa.array([text, "y" * 300, text])).hashes() == whole).all()
+    textcore._kept_powers.cache_clear()
+
+
 def test_words_and_hashes():
     texts = ["Two  words", None, "", " lead trail ", "Größe über\tÄ", "two words"]
     w = Words(pa.array(texts))
