@@ -58,8 +58,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = storage.written()
     for name, stage in STAGES[:-1]:
         docs = storage.table(stage(spark, docs, sf_dir), name)
+        # What the stage itself wrote, and its predecessor's result, are not read any more.
+        storage.release(spark, begun, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
