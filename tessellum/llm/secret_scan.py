@@ -4,8 +4,11 @@ Every version of every text is a blob named by its SHA-256.  The ledger holds, f
 rule versions it has been scanned with and what they found; a scan reads only the blobs that lack a
 rule version, once each however many paths have them, and findings are joined back to all paths.
 
+:class:`Ledger` keeps it as a table that runs append to; one path may have any number of versions, a row each.
+
 Null texts are the empty blob.  Repeated rows and copies share a blob; every row gets the result.
-Spans count code points; the end is exclusive.
+Spans count code points; the end is exclusive.  Every rule takes time linear in the text, however
+long it is and however often a rule's beginning occurs in it.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.llm import storage
@@ -42,6 +45,35 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+_JWT_PART = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def _pem_spans(text: str) -> Iterator[tuple[int, int]]:
+    """From a first line to the next last line.  Without a last line ahead there is nothing more to find."""
+    begin = _PEM[0].search(text)
+    while begin and (end := _PEM[1].search(text, begin.end())):
+        yield begin.start(), end.end()
+        begin = _PEM[0].search(text, end.end())
+
+
+def _jwt_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Three runs joined by dots.  All starts inside one run go on alike, so its first one stands for them."""
+    last: list[tuple[int, int]] = []
+    for m in _JWT_PART.finditer(text):
+        last = [*last[-2:], m.span()]
+        if len(last) == 3:
+            (a, b), (c, d), (e, f) = last
+            if c == b + 1 and e == d + 1 and text[b] == text[d] == "." and d - c >= 8 and f - e >= 8:
+                start = text.find("eyJ", a, b)
+                if start >= 0 and b - start >= 11:
+                    yield start, f
+                    last = []
+
+
+#: Rules whose pattern, tried at every place, could take quadratic time; the same matches by one walk.
+_WALKS = {"pem": _pem_spans, "jwt": _jwt_spans}
+
 #: The first three are the base kinds; matches whose group is shorter than ``least`` are dropped.
 RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("passw", "secret", "token", "api"), 6, 2),
@@ -53,6 +85,8 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 
+_WALKED = {r.kind: r.pattern for r in RULES if r.kind in _WALKS}
+
 # A run of at least 24 hexadecimal digits can be searched for directly: shorter runs are dropped anyway.
 _RUN = {"[0-9a-f]+": "[0-9a-f]{%d,}"}
 
@@ -64,6 +98,9 @@ def find_spans(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]
     for rule in rules:
         if rule.hints and not any(h in low for h in rule.hints):
             continue
+        if rule.pattern == _WALKED.get(rule.kind):
+            out += [(rule.name, a, b) for a, b in _WALKS[rule.kind](text)]
+            continue
         pattern = _RUN[rule.pattern] % rule.least if rule.pattern in _RUN else rule.pattern
         for m in re.compile(pattern, re.ASCII).finditer(text):
             if len(m[rule.group]) >= rule.least:
@@ -110,6 +147,32 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id
     return scanned.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("spans").alias("spans"))
 
 
+class Ledger:
+    """A ledger stored at ``path``, which several runs extend."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        """(blob, rules, spans): what has been scanned so far."""
+        where, files = storage.located(self.spark, self.path)
+        if not files.exists(where):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def update(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> Ledger:
+        """Scan what the ledger lacks of the texts of ``docs``, all versions of all paths, and append it.
+
+        A run that is repeated after a loss appends nothing twice that was committed.
+        """
+        scan(docs, self.read(), id_col, text_col, rules).write.mode("append").parquet(self.path)
+        return self
+
+    def findings(self, docs: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
+        """:func:`findings` of every row of ``docs``, whichever run scanned its blob."""
+        return findings(docs, self.read(), text_col, name)
+
+
 def _with_findings(docs: DataFrame, ledger: DataFrame, text_col: str) -> DataFrame:
     """(row, spans): each row of ``docs`` as a struct, and all the ledger knows about its blob."""
     known = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -133,12 +196,19 @@ def ordered(spans: str, rules: tuple[Rule, ...] = RULES):
     return F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")).alias("label")))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per row: counts of the base kinds, the digest of their spans, and all spans as text."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Per row: counts of the base kinds, the digest of their spans, and all spans as text.
+
+    Without a ``ledger`` a new one is kept among the session's intermediate tables; one that is a frame
+    is read and not extended.
+    """
     given = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    new = scan(given, ledger, id_col, "text", rules)
-    ledger = new if ledger is None else ledger.unionByName(new)
-    found = findings(given, ledger).select(id_col, ordered("spans", rules).alias("spans"))
+    if isinstance(ledger, DataFrame):
+        known = ledger.unionByName(scan(given, ledger, id_col, "text", rules))
+    else:
+        ledger = ledger or Ledger(docs.sparkSession, storage.place(docs.sparkSession, "ledger"))
+        known = ledger.update(given, id_col, "text", rules).read()
+    found = findings(given, known).select(id_col, ordered("spans", rules).alias("spans"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     counts = [_count(k) for k in BASE_KINDS]
     return found.select(id_col, *counts, F.sha2(F.array_join(F.transform(base, lambda s: s["label"]), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", lambda s: s["label"]), ",").alias("spans"))

@@ -45,15 +45,22 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     Compared with :func:`cut` the files are several times smaller and column pruning still works.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessellum/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted by :func:`release`, or when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tessellum/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    where, files = _located(spark, path)
+    where, files = located(spark, path)
     files.deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
+    """A path and its file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -69,6 +76,6 @@ def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     Results that read them must be stored first.  What is never released goes when the session ends.
     """
     for path in _written[since : len(_written) - keep]:
-        where, files = _located(spark, path)
+        where, files = located(spark, path)
         files.delete(where, True)
     del _written[since : len(_written) - keep]
