@@ -7,19 +7,22 @@ lines; where one of these is not found, all runs of ``SHINGLE`` words too (a let
 spaces is a word).  A join by conversation and hash finds the message each of these was first written
 in; conversations without quotes take no part.  A message answers the
 one that most of its outermost quoted text comes from (ties: the latest).  The result lists messages
-in reply order, thread by thread, without their quotes.
+without their quotes, each with the path of turns from its thread's first message down to itself; by
+conversation and path they are in reply order, every answer right behind what it answers and before
+the next answer to that.  :func:`conversations` builds the texts of that order.
 
 Hashes meet as (conversation, hash) with the first turn that wrote them, so a line that a
 conversation repeats is one row of the join however often it occurs.  Threads are found by pointer
 jumping.  Built-in functions only.
 
 Null texts are empty messages; rows of null conversation or turn take no part in links and are
-threads of their own.  Repeated rows each stay.  A message cannot answer itself or a later turn.
+threads of their own.  Repeated rows each stay.  A message cannot answer itself or a later turn.  A path
+is as long as the message is deep.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.llm import storage
@@ -123,24 +126,42 @@ def quote_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
-    """Per message: conversation, turn, role, own text, parent_turn, thread (root turn), depth.
+    """Per message: conversation, turn, role, own text, parent_turn, thread (root turn), depth, path.
 
-    Sorted by (conversation, thread, turn) the rows of a conversation are its reply order.
+    Sorted by (conversation, path) the rows of a conversation are its reply order.
     """
     links = quote_links(messages, conv_col, turn_col, text_col)
     votes = links.groupBy("conv", "turn", "level", "origin").agg(F.sum("weight").alias("weight"))
     # The least nested level that has an origin decides.
     parents = votes.groupBy("conv", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "weight", "origin")).alias("parent"))
     parents = storage.cut(parents)
-    chains = parents.select("conv", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth"))
+    # Each step doubles how far up a message sees: ``path`` runs from below ``root`` down to the message.
+    chains = parents.select("conv", "turn", F.col("parent").alias("root"), F.array("turn").alias("path"))
     while not chains.isEmpty():
-        up = chains.select("conv", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
+        up = chains.select("conv", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("path").alias("above"))
         longer = chains.join(up, ["conv", "root"], "left")
-        longer = storage.cut(longer.select("conv", "turn", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up").isNotNull().alias("moved")))
+        path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path"))
+        longer = storage.cut(longer.select("conv", "turn", F.coalesce("up", "root").alias("root"), path.alias("path"), F.col("up").isNotNull().alias("moved")))
         chains = longer.drop("moved")
         if longer.where("moved").isEmpty():
             break
-    found = parents.join(chains, ["conv", "turn"]).select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), "parent", "root", "depth")
+    found = parents.join(chains, ["conv", "turn"]).select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), "parent", "root", "path")
     own = messages.select(F.col(conv_col), F.col(turn_col).cast("long").alias(turn_col), F.col(role_col), unquoted(F.col(text_col)).alias(text_col))
     joined = own.join(found, (F.col(conv_col) == F.col("_conv")) & (F.col(turn_col) == F.col("_turn")), "left")
-    return joined.select(conv_col, turn_col, role_col, text_col, F.col("parent").alias("parent_turn"), F.coalesce("root", F.col(turn_col)).alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    thread = F.coalesce("root", F.col(turn_col))
+    path = F.when(F.col("path").isNull(), F.array(F.col(turn_col))).otherwise(F.concat(F.array("root"), "path"))
+    return joined.select(conv_col, turn_col, role_col, text_col, F.col("parent").alias("parent_turn"), thread.alias("thread"), (F.size(path) - 1).alias("depth"), path.alias("path"))
+
+
+def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role", size: int = 256) -> DataFrame:
+    """(conversation, thread, part, n_messages, text): threads in reply order, one line `role: text` or more a message.
+
+    A thread of more than ``size`` messages has several parts, so no row gathers more than that.  Rows
+    without a conversation or turn are left out; a null role is `unknown`.
+    """
+    ordered = reply_order(messages, conv_col, turn_col, text_col, role_col).where(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull())
+    by = Window.partitionBy(conv_col, "thread").orderBy("path", role_col, text_col)
+    placed = ordered.withColumn("at", F.row_number().over(by) - 1).withColumn("part", F.expr(f"at div {size}"))
+    line = F.concat(F.coalesce(F.col(role_col), F.lit("unknown")), F.lit(": "), F.col(text_col))
+    grouped = placed.groupBy(conv_col, "thread", "part").agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))).alias("lines"))
+    return grouped.select(conv_col, "thread", "part", F.size("lines").alias("n_messages"), F.array_join(F.col("lines.line"), "\n").alias("text"))

@@ -1,16 +1,20 @@
 """Exact top-k inner products, pruned by norms and by Cauchy-Schwarz bounds in a rotated space.
 
-Vectors are met by descending length.  The longest ones are scored first, against all queries of a
-block, and give each query a threshold.  Every task then walks its own vectors by descending length:
-a query is done as soon as length times its own length falls under its threshold; before that, the
-inner product over the leading directions of a singular value decomposition plus the product of
-the residual lengths bounds the score, and only pairs that pass are scored in whole integers.
-
-Queries are taken in blocks of a fixed size, so what is broadcast does not grow with the data.
+Vectors are met by descending length.  The longest ones, ``HEAD`` of them, are scored first and give each
+query a threshold; divided by the query's own length it is the length that a vector needs to matter.
+Queries are ranged by that need into blocks of ``query_block``, vectors dealt into shards of ``SHARD``
+rows, and a vector meets only the blocks whose least need it reaches.  Each pair of a block and a shard
+is one task's work: it walks its vectors by descending length until no query's threshold can be
+reached; before that, the inner product over the leading directions of a singular value decomposition
+plus the product of the residual lengths bounds the score, and only pairs that pass are scored in whole
+integers.
+
+Nothing that grows with the data is collected or broadcast but a row for each block of queries.
 Vectors that are null, or hold null or non-finite components, and rows without an id take no part.
 A query is compared with vectors of its own dimension under other ids; ties go to the smaller id.
-A repeated row is a candidate of its own; a repeated query id is asked once.
-Scores beyond 64 bits are clipped to them.
+A repeated row is a candidate of its own; a repeated query id is asked once, with its least vector.
+Scores beyond 64 bits are clipped to them.  The directions come from the longest vectors; they decide
+how much is pruned, never what is found.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries handled at once: with 64 dimensions 4 MB as 64-bit integers.
+from tessellum.llm import storage
+
+#: Queries in a block: with 64 dimensions 4 MB of numbers.
 QUERY_BLOCK = 8192
+#: Vectors in a shard: with 64 dimensions 8 MB.
+SHARD = 16_384
 HEAD = 2048
 STEP = 1024
 _OUT = "query_id long, vec_id long, score long"
@@ -70,7 +78,7 @@ class _Best:
             width = int(keep.sum(1).max(initial=0))
             order = np.argsort(~keep, axis=1, kind="stable")[:, :width]
             score, every, ok = (np.take_along_axis(a, order, 1) for a in (score, every, keep))
-        order = np.lexsort((every, -np.where(ok, score, -(2**62)), ~ok), axis=1)[:, : self.k]
+        order = np.lexsort((every, ~np.where(ok, score, -(2**62)), ~ok), axis=1)[:, : self.k]
         self.score, self.ids, self.valid = (np.take_along_axis(a, order, 1) for a in (score, every, ok))
 
     def floor(self) -> np.ndarray:
@@ -128,54 +136,80 @@ def _rotation(x: np.ndarray, dims: int) -> np.ndarray:
     return np.linalg.svd(x.T @ x)[0]
 
 
-def _task(shared, k: int, lead: int):
+def _rows(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors by dimension."""
+    column = table.column("v")
+    values, at = _matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    sizes = np.diff(at)
+    return {int(d): (rows := np.flatnonzero(sizes == d), values[at[rows][:, None] + np.arange(d)]) for d in np.unique(sizes)}
+
+
+def _floors(shared, k: int, lead: int):
+    """Thresholds of queries from the longest vectors, and the length that reaches them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
-        best = {d: _Best(len(b["ids"]), k) for d, b in blocks.items()}
+        heads = shared.value
         for batch in batches:
             ids = batch.column("vec_id").to_numpy()
-            values, at = _matrix(batch.column("v"))
-            sizes = np.diff(at)
-            for d, b in blocks.items():
-                rows = np.flatnonzero(sizes == d)
-                if len(rows):
-                    x = values[at[rows][:, None] + np.arange(d)]
-                    _search(best[d], ids[rows], x, b["ids"], b["q"], b["rotation"], min(lead, d), b["floor"])
-        for d, b in blocks.items():
-            have = best[d]
-            rows, cols = np.nonzero(have.valid)
-            if len(rows):
-                yield pa.record_batch([pa.array(b["ids"][rows]), pa.array(have.ids[rows, cols]), pa.array(have.score[rows, cols])], names=["query_id", "vec_id", "score"])
+            floor = np.full(len(ids), -np.inf)
+            length = np.ones(len(ids))
+            for d, (rows, q) in _rows(batch).items():
+                length[rows] = np.sqrt((q * q).sum(1))
+                if d in heads:
+                    near_ids, x, rotation = heads[d]
+                    best = _Best(len(rows), k)
+                    _search(best, near_ids, x, ids[rows], q, rotation, min(lead, d), floor[rows])
+                    floor[rows] = best.floor()
+            # A query without length scores 0 with all; every vector may matter to it.
+            need = np.where(length > 0, (floor - 1) / np.maximum(length, 1e-300) / (1 + 1e-9), -np.inf)
+            yield pa.record_batch([*batch.columns, pa.array(floor), pa.array(need)], names=[*batch.schema.names, "floor", "need"])
+
+    return run
+
+
+def _meet(shared, k: int, lead: int):
+    """The best of a shard for a block of queries."""
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        heads = shared.value
+        q_ids, floors, ids = queries.column("vec_id").to_numpy(), queries.column("floor").to_numpy(), vectors.column("vec_id").to_numpy()
+        asked, met = _rows(queries), _rows(vectors)
+        found = [np.zeros((3, 0), np.int64)]
+        for d in asked.keys() & met.keys():
+            (own, q), (rows, x) = asked[d], met[d]
+            best = _Best(len(own), k)
+            _search(best, ids[rows], x, q_ids[own], q, heads[d][2] if d in heads else np.eye(d), min(lead, d), floors[own])
+            at, cols = np.nonzero(best.valid)
+            found.append(np.stack([q_ids[own][at], best.ids[at, cols], best.score[at, cols]]))
+        return pa.table(list(np.concatenate(found, 1)), names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, lead: int = 16, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, lead: int = 16, query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
     """The k best other rows for each row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = df.sparkSession
     vectors = quantised(df, id_col, vec_col, scale)
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    n = queries.count()
+    asked = F.pmod("vec_id", F.lit(every)) == 0
+    counts = vectors.agg(F.count("*").alias("all"), F.count_if(asked).alias("asked")).first()
+    shards, blocks = max(1, -(-counts["all"] // shard)), max(1, -(-counts["asked"] // query_block))
     head = vectors.orderBy(F.desc("length2"), "vec_id").limit(HEAD).select("vec_id", "v").toPandas()
-    blocks = max(1, -(-n // query_block))
-    parts = []
-    for i in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
-        taken = block.select("vec_id", "v").orderBy("vec_id").toPandas()
-        shared = {}
-        for d in sorted({len(v) for v in taken["v"]}):
-            own = taken[taken["v"].map(len) == d]
-            ids, q = own["vec_id"].to_numpy(np.int64), np.stack(own["v"].to_list()).astype(float)
-            near = head[head["v"].map(len) == d]
-            x = np.stack(near["v"].to_list()).astype(float) if len(near) else np.zeros((0, d))
-            near_ids = near["vec_id"].to_numpy(np.int64)
-            rotation = _rotation(x, d)
-            best = _Best(len(ids), k)
-            _search(best, near_ids, x, ids, q, rotation, min(lead, d), np.full(len(ids), -np.inf))
-            shared[d] = {"ids": ids, "q": q, "rotation": rotation, "floor": best.floor()}
-        parts.append(vectors.select("vec_id", "v").mapInArrow(_task(spark.sparkContext.broadcast(shared), k, lead), _OUT))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    heads = {}
+    for d in sorted({len(v) for v in head["v"]}):
+        near = head[head["v"].map(len) == d]
+        x = np.stack(near["v"].to_list()).astype(float)
+        heads[d] = (near["vec_id"].to_numpy(np.int64), x, _rotation(x, d))
+    shared = spark.sparkContext.broadcast(heads)
+
+    queries = vectors.where(asked).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = queries.mapInArrow(_floors(shared, k, lead), "vec_id long, v array<double>, floor double, need double")
+    queries = queries.withColumn("dims", F.size("v")).repartitionByRange(blocks, "dims", "need", F.xxhash64("vec_id"))
+    queries = storage.table(queries.withColumn("block", F.spark_partition_id()), "queries")
+    needs = queries.groupBy(F.col("block").alias("for_block"), F.col("dims").alias("for_dims")).agg(F.min("need").alias("need"))
+    dealt = vectors.select("vec_id", "v", F.size("v").alias("dims"), F.sqrt("length2").alias("length"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
+    # One row for each block of queries: 8 bytes for 8192 vectors.
+    met = dealt.join(F.broadcast(needs), (F.col("dims") == F.col("for_dims")) & (F.col("length") >= F.col("need"))).select("for_block", "shard", "vec_id", "v")
+    asking = queries.select("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("for_shard"), "vec_id", "v", "floor")
+    found = asking.groupBy("block", "for_shard").cogroup(met.groupBy("for_block", "shard")).applyInArrow(_meet(shared, k, lead), _OUT)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

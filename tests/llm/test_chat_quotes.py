@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from tessellum.llm import chat_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, root string"
@@ -86,3 +90,67 @@ def test_passages_of_levels(spark):
 
 def test_empty(spark):
     assert chat_quotes.reply_order(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def generated(rng, conversations=12, turns=25):
+    """Conversations whose messages quote earlier ones in part, re-wrapped and nested, with the true parents."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    data, parents = [], {}
+    for c in range(conversations):
+        own = []
+        for t in range(turns):
+            sentences = [" ".join(word() for _ in range(rng.randrange(5, 14))).capitalize() + "." for _ in range(3)]
+            own.append(sentences)
+            lines = []
+            parent = rng.randrange(t) if t and rng.random() < 0.75 else None
+            parents[c, t] = parent
+            if parent is not None:
+                above = parents[c, parent]
+                if above is not None and rng.random() < 0.5:
+                    lines += [f"> > {x}" for x in own[above][:1]]
+                words = " ".join(own[parent][rng.randrange(2) :]).split()
+                width = rng.randrange(3, 9)
+                lines += ["> " + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            data.append((c, t, rng.choice(["user", "bot"]), "\n".join([*lines, *sentences])))
+    return data, parents
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_generated_conversations(spark, seed):
+    """Parents, threads, depths and the depth-first order against a plain walk of the true tree."""
+    data, parents = generated(random.Random(seed))
+    df = spark.createDataFrame(data, "conv_id long, turn int, role string, text string").repartition(5)
+    got = {(r["conv_id"], r["turn"]): r for r in chat_quotes.reply_order(df).collect()}
+    assert {k: r["parent_turn"] for k, r in got.items()} == parents
+    order = []
+
+    def walk(c, t):
+        order.append((c, t))
+        for u in sorted(u for (d, u), p in parents.items() if d == c and p == t):
+            walk(c, u)
+
+    for c in sorted({c for c, *_ in data}):
+        for t in sorted(t for (d, t), p in parents.items() if d == c and p is None):
+            walk(c, t)
+    assert sorted(got, key=lambda k: (k[0], got[k]["path"])) == order
+    for (c, t), r in got.items():
+        path = [t]
+        while parents[c, path[0]] is not None:
+            path.insert(0, parents[c, path[0]])
+        assert (r["path"], r["thread"], r["depth"]) == (path, path[0], len(path) - 1)
+    parts = chat_quotes.conversations(df, size=4).collect()
+    assert max(r["n_messages"] for r in parts) == 4 and sum(r["n_messages"] for r in parts) == len(data)
+    text = "\n".join(r["text"] for r in sorted(parts, key=lambda r: (r["conv_id"], r["thread"], r["part"])))
+    own = {(c, t): "\n".join(x for x in m.split("\n") if not x.startswith(">")) for c, t, _, m in data}
+    role = {(c, t): r for c, t, r, _ in data}
+    assert text == "\n".join(f"{role[k]}: {own[k]}" for k in order)
+
+
+def test_awkward_messages(spark):
+    """Very long texts, ties between origins, repeated rows and columns that clash with names used inside."""
+    long = " ".join(f"word{i}" for i in range(60_000)) + "."
+    data = [(1, 0, "a", long), (1, 1, "b", "Same words in both of these."), (1, 2, "a", "Same words in both of these."), (1, 3, "b", f"> {long}\nYes."), (1, 4, "a", "> Same words in both of these.\nNo."), (1, 4, "a", "> Same words in both of these.\nNo."), (2, 0, None, None), (None, None, None, ">")]
+    df = spark.createDataFrame([(*r, "x", "y", "z", "p") for r in data], "conv_id long, turn int, role string, text string, conv string, hash string, origin string, path string")
+    got = chat_quotes.reply_order(df).collect()
+    assert len(got) == len(data)
+    assert sorted((r["turn"], r["parent_turn"]) for r in got if r["conv_id"] == 1 and r["parent_turn"] is not None) == [(3, 0), (4, 1), (4, 1)]

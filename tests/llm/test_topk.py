@@ -36,6 +36,7 @@ def test_equals_brute_force(spark):
     data += [(None, data[1][1]), (2000, None), (2100, [None] * 16), (2200, [float("nan")] + [0.0] * 15), (2300, [float("inf")] + [0.0] * 15), (2400, [0.0] * 16), (2500, [1.0, 2.0]), (2501, [3.0, 4.0]), (2600, [])]
     assert run(spark, data) == brute(data)
     assert run(spark, data, query_block=3, lead=4) == brute(data)
+    assert run(spark, data, query_block=4, shard=100, k=3) == brute(data, k=3)
 
 
 def test_few_and_large(spark):
@@ -45,6 +46,13 @@ def test_few_and_large(spark):
     assert with_huge == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
 
 
+def test_repeated_query_ids(spark):
+    """The least vector asks, whatever the order of rows; other rows of the id are no candidates."""
+    data = [(100, [2.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 3.0]), (100, [1.0, 5.0])]
+    want = [(100, 1, 2, 15 * 1024**2), (100, 2, 1, 6 * 1024**2)]
+    assert run(spark, data) == run(spark, data[::-1]) == want
+
+
 @pytest.mark.parametrize("data", [[], [(5, [1.0])], [(100, [1.0])]])
 def test_nothing_to_find(spark, data):
     assert run(spark, data) == []
