@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of more bytes are not taken into a training sample; they are scored like all others.
-LONGEST_TEXT = 64 << 10
+#: Characters of one text that a training sample takes; of a longer text it takes one stretch of so many,
+#: whose place follows from a hash.  All texts are scored whole.
+PIECE_CHARS = 16 << 10
 
 
 def fold(id_col: str, parts: int):
@@ -36,13 +37,16 @@ def _share(able: DataFrame, key: str, bound: int) -> DataFrame | None:
     return able.withColumn("place", place).where(F.col("place") < share[F.col("label")])
 
 
-def _usable(text_col: str):
-    return F.col(text_col).isNotNull() & (F.octet_length(text_col) <= LONGEST_TEXT)
+def _piece(text_col: str):
+    """A text, or its stretch of ``PIECE_CHARS`` characters."""
+    text = F.col(text_col)
+    start = F.pmod(F.xxhash64(text, F.lit(11)), F.greatest(F.length(text) - PIECE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
+    return F.when(F.length(text) <= PIECE_CHARS, text).otherwise(F.substring(text, start, F.lit(PIECE_CHARS)))
 
 
 def by_label(rows: DataFrame, label: str, bound: int, text_col: str = "text") -> DataFrame | None:
     """About ``bound`` (text, label, place) of each label.  Copies of a text are taken or left together."""
-    able = rows.where(F.col(label).isNotNull() & _usable(text_col)).select(F.col(text_col).alias("text"), F.col(label).alias("label"))
+    able = rows.where(F.col(label).isNotNull() & F.col(text_col).isNotNull()).select(_piece(text_col).alias("text"), F.col(label).alias("label"))
     return _share(able, "text", bound)
 
 
@@ -58,7 +62,7 @@ def by_labelled_id(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         return None
     kinds = able.select("label").distinct().count()
     few = F.broadcast(drawn.limit(3 * bound * kinds // 2))
-    own = docs.where(_usable(text_col)).select(F.col(id_col).alias("_own"), F.col(text_col).alias("text"))
+    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_own"), _piece(text_col).alias("text"))
     return own.join(few, F.col("_own") == F.col("_id")).select("text", "label", "place")
 
 

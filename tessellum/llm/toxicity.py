@@ -2,16 +2,23 @@
 
 The kernel of two strings counts their common subsequences of three letters; each inserted letter
 inside costs a factor ``DECAY``, and a subsequence spans at most ``SPAN`` letters, so gapped and
-stuffed insults stay close to the plain ones.  Letters are compared without case, accents collapsed
-to a few classes, punctuation inside a word dropped, look-alike digits read as letters, and runs of
-single letters joined.
-
-The machine is linear in the Nystrom features of landmark strings, hence also in the subsequences:
-it is folded into one table of 32 ** 3 weights, and a document costs a few look-ups for each letter
-of each distinct word.  A document scores as its worst unit; units do not cross words or marks.
-
-Fitted on a bounded sample of labelled rows (``bound`` a label).  Null and empty texts score 0; with
-one label only, or none, every text scores 0.  Rows keep their number; copies get equal scores.
+stuffed insults, with up to two letters between any two of theirs, stay close to the plain ones.
+Letters are compared without case, an accent is a letter of its own before the letter, punctuation inside
+a word is dropped, and look-alike digits are read as letters.
+
+A sentence is seen as its stretches: every word, and every run of single letters or of words of at most two letters, joined over
+spaces and marks, in overlapping windows of ``UNIT`` letters.  A sentence scores as its worst
+stretch, a document as its worst sentence.  The machine learns from labelled documents as bags of
+stretches: all of a clean document's are negative, of a toxic one those that tell it apart are positive.
+It is linear in the Nystrom features of landmark strings, hence also in the subsequences: it is folded
+into one table of 32 ** 3 weights, and a document costs a few look-ups for each letter of each distinct
+word.  Insults of several longer words, each harmless by itself, are not seen.
+
+Fitted on a bounded sample of labelled rows (``bound`` a label); of a text longer than
+``sample.PIECE_CHARS`` one stretch of that length, chosen by a hash, is learnt from.  The fit looks at
+``CHOSEN`` strings at most that explain toxic texts, ``COMMON`` of the clean ones and ``HARD`` that the machine
+mistakes.  All texts are scored whole.  Null and empty texts score 0; with one label only, or none,
+every text scores 0.  Rows keep their number; copies get equal scores.
 """
 
 from __future__ import annotations
@@ -31,10 +38,12 @@ from tessellum.llm import sample, svm
 from tessellum.llm.textcore import Words, _ranges, bounded, chunks, distinct, mix, packed, text_in
 
 DECAY = 0.6
-SPAN = 6
+SPAN = 8
 LANDMARKS = 256
 #: Labelled documents taken for fitting, for each label.
 BOUND = 2000
+#: Strings that the fit chooses by cover, takes from clean texts, and takes from those mistaken, at most.
+CHOSEN, COMMON, HARD = 400, 1500, 1500
 #: Units whose subsequences are expanded at once.
 BLOCK_UNITS = 8192
 #: Bytes of text scored at once; a single longer text is taken whole.
@@ -46,9 +55,11 @@ _BEGIN, _END = 30, 31
 _CODE = np.zeros(256, np.uint8)
 for _b in range(26):
     _CODE[97 + _b] = _CODE[65 + _b] = 1 + _b
-# Of a character beyond ASCII only its last byte counts; those of accented Latin letters fold to the letter.
+# An accented Latin letter is a mark and the letter, which a gap away equals the plain one; of other
+# characters beyond ASCII only the last byte counts.
+_CODE[0xC3:0xC6] = 27
 for _b in range(128, 192):
-    _CODE[_b] = 27 + _b % 3
+    _CODE[_b] = 28 + _b % 2
 for _at, _letters in {0x80: "aaaaaaaceeeeiiii", 0x91: "nooooo", 0x99: "uuuuy", 0x9F: "saaaaaaaceeeeiiii", 0xB1: "nooooo", 0xB9: "uuuuy"}.items():
     for _i, _l in enumerate(_letters):
         _CODE[_at + _i] = _CODE[ord(_l)]
@@ -57,42 +68,50 @@ for _a, _b in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 
 
 def units_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the distinct units of a batch, their offsets, and the (document, unit) pairs that occur."""
+    """Codes of the units of a batch, their sizes, and the (document, unit) pairs that occur."""
     at, inverse = distinct(words)
     data, offsets = packed(words, at)
     keep = np.zeros(len(data), bool)
     code = _CODE[data]
     keep[:-1] = code[:-1] > 0
-    sizes = np.add.reduceat(keep, offsets) if len(offsets) else np.zeros(0, int)
-    letters = code[keep]
-    begins = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-    doc = words.doc
-    extra: list[np.ndarray] = []
-    owners: list[tuple[int, int]] = []
-    # Runs of at least three single letters are one unit too.
-    single = sizes[inverse] == 1 if len(at) else np.zeros(0, bool)
-    if single.any():
-        cut = np.ones(len(single) + 1, bool)
-        cut[1:-1] = (single[1:] != single[:-1]) | (doc[1:] != doc[:-1])
-        edge = np.flatnonzero(cut)
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if single[a] and b - a >= 3:
-                run = letters[begins[inverse[a:b]]]
-                for i in range(0, max(1, len(run) - UNIT // 2), UNIT // 2):
-                    owners.append((int(doc[a]), len(at) + len(extra)))
-                    extra.append(run[i : i + UNIT])
-    for u in np.flatnonzero(sizes > UNIT):
-        whole = letters[begins[u] : begins[u] + sizes[u]]
-        holders = np.unique(doc[inverse == u])
-        for i in range(0, len(whole) - UNIT // 2, UNIT // 2):
-            owners += [(int(d), len(at) + len(extra)) for d in holders]
-            extra.append(whole[i : i + UNIT])
-    if extra:
-        letters = np.concatenate([letters, *extra])
-        sizes = np.concatenate([sizes, [len(e) for e in extra]])
-    docs = np.concatenate([doc, [d for d, _ in owners]]).astype(np.int64)
-    which = np.concatenate([inverse, [u for _, u in owners]]).astype(np.int64)
-    return letters, sizes.astype(np.int64), docs, which
+    sizes = np.add.reduceat(keep, offsets, dtype=np.int64) if len(offsets) else np.zeros(0, np.int64)
+    letters, doc = code[keep], words.doc
+    run_letters, run_sizes, run_docs = _short_runs(words, letters, sizes, inverse, doc)
+    # Strings are distinct words, then runs; each is cut into windows.
+    letters, whole = np.concatenate([letters, run_letters]), np.concatenate([sizes, run_sizes])
+    begins = np.cumsum(whole) - whole
+    windows = 1 + np.maximum(0, -(-(whole - UNIT) // (UNIT // 2)))
+    string = np.repeat(np.arange(len(whole)), windows)
+    skipped = UNIT // 2 * _ranges(np.zeros(len(whole), np.int64), windows)
+    size = np.minimum(UNIT, whole[string] - skipped)
+    held = np.concatenate([inverse, len(sizes) + np.arange(len(run_sizes))]).astype(np.int64)
+    docs = np.concatenate([doc, run_docs]).astype(np.int64)
+    which = _ranges((np.cumsum(windows) - windows)[held], windows[held])
+    return letters[_ranges(begins[string] + skipped, size)], size, np.repeat(docs, windows[held]), which
+
+
+def _short_runs(words: Words, letters: np.ndarray, sizes: np.ndarray, inverse: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, sizes and documents of runs of at least three short words; marks in between do not count.
+
+    Runs are taken twice: of single letters, and of words of one or two letters.
+    """
+    n = len(inverse)
+    if not n:
+        return letters[:0], sizes, doc
+    own = sizes[inverse]
+    begins = (np.cumsum(sizes) - sizes)[inverse]
+    # A sentence ends after a word with a full stop, unless that is a single letter.
+    stop = np.isin(words.data[words.end - 1], [33, 46, 63]) & (own > 1)
+    out = []
+    for most in (1, 2):
+        short = own <= most
+        cut = np.ones(n, bool)
+        cut[1:] = (short[1:] != short[:-1]) | (doc[1:] != doc[:-1]) | stop[:-1]
+        first = np.flatnonzero(cut)
+        use = short[first] & (np.add.reduceat((own > 0).astype(np.int64), first) >= 3)
+        pieces = _ranges(first[use], np.diff(first, append=n)[use])
+        out.append((letters[_ranges(begins[pieces], own[pieces])], np.add.reduceat(own, first)[use], doc[first[use]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _framed(letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +227,7 @@ def _witnesses(held: list[np.ndarray], labels: np.ndarray, counts: list[np.ndarr
     gain = np.bincount(np.concatenate([*texts.values(), np.zeros(0, np.int32)]), minlength=len(toxic)).astype(float)
     value = gain - 4 * clean * n[1] / max(1, n[0])
     chosen: set[int] = set()
-    while texts and len(chosen) < 400:
+    while texts and len(chosen) < CHOSEN:
         best = int(np.argmax(value))
         if value[best] < 2:
             break
@@ -269,7 +288,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
         clear = {u: c for u, c in times[1].items() if not times[0][u] and c == max(times[1].values())} or dict(times[1])
     positive = sorted(clear, key=lambda u: (-clear[u], u))
     common = [u for u, _ in sorted(times[0].items(), key=lambda x: (-x[1], x[0]))]
-    negative = common[:800] + common[800 :: max(1, len(common) // 700)]
+    negative = common[: COMMON // 2] + common[COMMON // 2 :: max(1, 2 * len(common) // COMMON)]
     negative = [u for u in dict.fromkeys(negative) if u not in clear]
     table, intercept = np.zeros(1 << 15, np.float32), 0.0
     every = sorted(set(times[0]) - set(clear))
@@ -296,7 +315,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None
         # Negative strings that the machine takes for insults come in, and lead the next landmarks.
         margin = margins_of(every_letters, every_sizes, table, intercept)
         fresh = [every[i] for i in np.argsort(-margin)[:500] if margin[i] > -0.7]
-        hard = list(dict.fromkeys(fresh + hard))[:1500]
+        hard = list(dict.fromkeys(fresh + hard))[:HARD]
         hard_set = set(hard)
         negative = list(dict.fromkeys(hard + negative))
     model = Model(table, intercept, 1.0, 0.0)

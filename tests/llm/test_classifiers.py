@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 import zlib
 
 import numpy as np
@@ -103,6 +104,85 @@ def test_gapped_insults():
     assert score("worthXless") > score("thereon") and score("the er on an re he in ed") < 0.5
 
 
+def test_insults_across_words_and_marks():
+    docs, labels = toxic_corpus(600, 3)
+    model = toxicity.fit([(t, y) for (_, t, *_), (_, y) in zip(docs, labels, strict=True)])
+
+    def score(t):
+        return float(model.scores(Words(pa.array([t])))[0])
+
+    for word in INSULTS:
+        pieces = " ".join(word[i : i + 2] for i in range(0, len(word), 2))
+        for x in (" * ".join(word), " - ".join(word), " . ".join(word.upper())):
+            assert score(f"therein {x} andere") >= 0.5, x
+        assert score(f"therein {pieces} andere") > score(f"therein {pieces[::-1]} andere"), word
+        # Two letters in every gap still leave the insult's own letters in order.
+        assert score("qy".join(word)) > score("qy".join(sorted(word))), word
+
+
+def plain_units(text):
+    """Stretches of a text, word by word."""
+    words = [[int(toxicity._CODE[b]) for b in w.encode() if toxicity._CODE[b]] for w in text.split()]
+    strings, ends = [w for w in words if w], [w[-1] in "!.?" for w in text.split()]
+    for most in (1, 2):
+        run, n = [], 0
+        for w, end in [*zip(words, ends, strict=True), ([0] * 9, False)]:
+            if len(w) <= most:
+                run, n = run + w, n + bool(w)
+            if len(w) > most or (end and len(w) > 1):
+                if n >= 3:
+                    strings.append(run)
+                run, n = [], 0
+    half = toxicity.UNIT // 2
+    return [s[i : i + toxicity.UNIT] for s in strings for i in range(0, max(1, len(s) - half), half)]
+
+
+def test_scorer_equals_a_plain_computation():
+    rng = random.Random(8)
+    table = np.random.default_rng(8).normal(size=1 << 15).astype(np.float32)
+    model = toxicity.Model(table, -0.05, 2.0, -0.3)
+    texts = ["", "...", "a b c d e f", "i * d * i * o * t", "zwölf Boxkämpfer jagen. De la en un. En re!", "x" * 70, "o n. a b"]
+    texts += [" ".join("".join(rng.choice("abcdeéñ.*5") for _ in range(rng.choice([1, 1, 2, 2, 5, 9, 40]))) for _ in range(30)) for _ in range(10)]
+    want = []
+    for t in texts:
+        worst = -np.inf
+        for unit in plain_units(t.lower()):
+            codes = [30, *unit, 31]
+            own = {}
+            for i in range(len(codes)):
+                for k in range(i + 2, min(i + toxicity.SPAN, len(codes))):
+                    for j in range(i + 1, k):
+                        key = codes[i] << 10 | codes[j] << 5 | codes[k]
+                        own[key] = own.get(key, 0.0) + toxicity.DECAY ** (k - i - 2)
+            if own:
+                length = np.sqrt(max(1e-6, sum(x * x for x in own.values())))
+                worst = max(worst, sum(x * float(table[k]) for k, x in own.items()) / length - 0.05)
+        want.append(1 / (1 + np.exp(-(2.0 * worst - 0.3))) if np.isfinite(worst) else 0.0)
+    got = model.scores(Words(pa.array(texts)))
+    # Stretches far under the threshold have bounds only.
+    close = np.array([w > 1 / (1 + np.exp(-(2.0 * -0.3 - 0.3))) for w in want])
+    assert close.sum() > 5 and np.allclose(got[close], np.array(want)[close], atol=1e-4)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1/labels.parquet").exists(), reason="no test tables")
+def test_toxicity_recall_on_the_tables(spark):
+    """Held out: nine of ten toxic documents found, at most one clean one in fifty flagged."""
+    root = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    scored = toxicity.score_documents(spark.read.parquet(f"{root}/documents.parquet"), labels).where("held_out").join(labels.where("toxic is not null"), "doc_id")
+    rows = scored.select("toxic", "predicted").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.02
+
+
+def test_long_texts_teach_a_stretch(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = sample.by_label(documents(spark, data=[(1, long, "en", "s", 0), (2, "short", "de", "s", 0)]), "lang", 10).collect()
+    taken = {r["label"]: r["text"] for r in rows}
+    assert taken["de"] == "short" and len(taken["en"]) == sample.PIECE_CHARS and taken["en"] in long
+
+
 def test_kernel_is_an_inner_product():
     units = [b"\x01\x02\x03", b"\x01\x05\x02\x03", b"\x07\x08\x09", b"\x01\x01\x01\x01\x01"]
     k = toxicity.explicit(units) @ toxicity.explicit(units).T
