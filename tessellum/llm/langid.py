@@ -4,9 +4,12 @@ Linear support vector machines over hashed byte n-grams of words decide: one for
 the rest, then one for each pair of languages of the winning family, by votes.  A text's features are
 sums over its words, so the machines are applied once to each distinct word of a batch.
 
-Fitted on a bounded sample of labelled rows (``bound`` a language).  Null, empty and letterless
-texts are `und` with score 0; with no labelled rows every text is.  Rows keep their number; copies
-get equal results.
+Only the machines of the winning family are applied to a text.
+
+Fitted on a bounded sample of labelled rows: ``bound`` a language, and ``TOTAL`` in all however many
+languages there are; of a text longer than ``sample.PIECE_CHARS`` one stretch of that length is learnt
+from.  All texts are predicted whole.  Null, empty and letterless texts are `und` with score 0; with no
+labelled rows every text is.  Rows keep their number; copies get equal results.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from tessellum.llm.textcore import Words, bounded, chunks, distinct, has_letter,
 BINS = 1 << 13
 #: Labelled documents taken for fitting, for each language.
 BOUND = 400
+#: Labelled documents in all languages together; their features take 32 KB each.
+TOTAL = 8000
 #: Languages that are told apart within a family first.  A language not named is a family of its own.
 FAMILIES = {
     "germanic": ("da", "de", "en", "nl", "no", "sv"),
@@ -89,46 +94,55 @@ class Model:
     weights: np.ndarray
     intercepts: np.ndarray
 
-    def decide(self, scores: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and confidence for rows of machine outputs."""
+    def predict(self, words: Words) -> tuple[list[str], np.ndarray]:
+        """Language and confidence of each document of a batch: its family, then votes of that family's machines."""
+        at, inverse = distinct(words)
+        doc, n = words.doc, words.n_docs
         k = len(self.families)
-        winner = scores[:, :k].argmax(1) if k > 1 else np.zeros(len(scores), int)
-        sure = 1 / (1 + np.exp(-np.clip(3 * scores[np.arange(len(scores)), winner], -50, 50))) if k > 1 else np.ones(len(scores))
-        langs = np.empty(len(scores), object)
+        winner, sure = np.zeros(n, int), np.ones(n)
+        if k > 1:
+            scores = self._outputs(words, range(k), at, inverse, doc, n)
+            winner = scores.argmax(1)
+            sure = _sure(scores[np.arange(n), winner])
+        langs = np.empty(n, object)
         for f, family in enumerate(self.families):
-            rows = np.flatnonzero(winner == f)
-            own = self.members[family]
+            rows, own = np.flatnonzero(winner == f), self.members[family]
+            langs[rows] = own[0]
+            if len(own) < 2 or not len(rows):
+                continue
+            pairs = [p for p, (a, b) in enumerate(self.pairs) if a in own and b in own]
+            # Only the words of the family's documents.
+            inside = winner[doc] == f
+            used, which = np.unique(inverse[inside], return_inverse=True)
+            scores = self._outputs(words, [k + p for p in pairs], at[used], which, np.searchsorted(rows, doc[inside]), len(rows))
             votes, margin = np.zeros((len(rows), len(own))), np.zeros((len(rows), len(own)))
-            for p, (a, b) in enumerate(self.pairs):
-                if a in own and b in own:
-                    s = scores[rows, k + p]
-                    for lang, signed in ((a, s), (b, -s)):
-                        votes[:, own.index(lang)] += signed > 0
-                        margin[:, own.index(lang)] += signed
-            best = (votes + 1e-3 * np.tanh(margin)).argmax(1) if len(own) > 1 else np.zeros(len(rows), int)
+            for j, p in enumerate(pairs):
+                for lang, signed in zip(self.pairs[p], (scores[:, j], -scores[:, j]), strict=True):
+                    votes[:, own.index(lang)] += signed > 0
+                    margin[:, own.index(lang)] += signed
+            best = (votes + 1e-3 * np.tanh(margin)).argmax(1)
             langs[rows] = np.array(own, object)[best]
-            if len(own) > 1:
-                m = margin[np.arange(len(rows)), best] / (len(own) - 1)
-                sure[rows] *= 1 / (1 + np.exp(-np.clip(3 * m, -50, 50)))
+            sure[rows] *= _sure(margin[np.arange(len(rows)), best] / (len(own) - 1))
         return langs.tolist(), sure
 
-    def scores(self, words: Words) -> np.ndarray:
-        """Outputs of all machines for each document of a batch."""
-        at, inverse = distinct(words)
-        data, offsets = packed(words, at)
-        m = len(self.weights)
-        out = np.zeros((words.n_docs, m))
-        if not len(at):
-            return out + self.intercepts
-        grams = _grams(data)
-        count = sum(ok.astype(np.int64) for ok, _ in grams)
-        doc = words.doc
-        total = np.bincount(doc, np.add.reduceat(count, offsets)[inverse], words.n_docs)
-        for k in range(m):
-            w = self.weights[k]
-            value = sum(np.where(ok, w[h], 0) for ok, h in grams)
-            out[:, k] = np.bincount(doc, np.add.reduceat(value, offsets)[inverse], words.n_docs)
-        return out / np.maximum(total, 1)[:, None] + self.intercepts
+    def _outputs(self, words: Words, machines, at: np.ndarray, inverse: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Outputs of some machines for n documents, given by distinct words, and word and document of each occurrence."""
+        machines = list(machines)
+        out = np.zeros((n, len(machines)))
+        if len(at):
+            data, offsets = packed(words, at)
+            grams = _grams(data)
+            count = sum(ok.astype(np.int64) for ok, _ in grams)
+            total = np.bincount(doc, np.add.reduceat(count, offsets)[inverse], n)
+            for j, m in enumerate(machines):
+                value = sum(np.where(ok, self.weights[m][h], 0) for ok, h in grams)
+                out[:, j] = np.bincount(doc, np.add.reduceat(value, offsets)[inverse], n)
+            out /= np.maximum(total, 1)[:, None]
+        return out + self.intercepts[machines]
+
+
+def _sure(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(3 * margin, -50, 50)))
 
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
@@ -175,7 +189,7 @@ def _predict(shared):
             if model is None:
                 langs, sure = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             else:
-                langs, sure = model.decide(model.scores(words))
+                langs, sure = model.predict(words)
                 for d in np.flatnonzero(~has_letter(words)):
                     langs[d], sure[d] = "und", 0.0
             names = [c for c in batch.schema.names if c != "text"]
@@ -187,7 +201,7 @@ def _predict(shared):
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, bound: int = BOUND) -> DataFrame:
     """Per row: held_out, lang_pred, score.  Learns from rows with a language outside fold ``held``."""
     rows = bounded(docs).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (sample.fold(id_col, folds) == held).alias("held_out"))
-    model = sample.fit_once(sample.by_label(rows.where(~F.col("held_out")), "lang", bound), bound, fit)
+    model = sample.fit_once(sample.by_label(rows.where(~F.col("held_out")), "lang", bound, total=TOTAL), bound, fit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, "held_out", "text").mapInArrow(_predict(shared), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")

@@ -23,8 +23,8 @@ def fold(id_col: str, parts: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts))
 
 
-def _share(able: DataFrame, key: str, bound: int) -> DataFrame | None:
-    """About ``bound`` rows of each label, by a hash of ``key``; None without labels.
+def _share(able: DataFrame, key: str, bound: int, total: int | None = None) -> DataFrame | None:
+    """About ``bound`` rows of each label, by a hash of ``key``, and about ``total`` in all; None without labels.
 
     The rows are counted by label first; the share that is taken follows from the counts, so no task
     gathers a label's rows.
@@ -32,6 +32,8 @@ def _share(able: DataFrame, key: str, bound: int) -> DataFrame | None:
     counts = {r["label"]: r["count"] for r in able.groupBy("label").count().collect()}
     if not counts:
         return None
+    if total is not None:
+        bound = min(bound, max(1, total // len(counts)))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * bound / n))))
     place = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     return able.withColumn("place", place).where(F.col("place") < share[F.col("label")])
@@ -44,10 +46,10 @@ def _piece(text_col: str):
     return F.when(F.length(text) <= PIECE_CHARS, text).otherwise(F.substring(text, start, F.lit(PIECE_CHARS)))
 
 
-def by_label(rows: DataFrame, label: str, bound: int, text_col: str = "text") -> DataFrame | None:
-    """About ``bound`` (text, label, place) of each label.  Copies of a text are taken or left together."""
+def by_label(rows: DataFrame, label: str, bound: int, text_col: str = "text", total: int | None = None) -> DataFrame | None:
+    """About ``bound`` (text, label, place) of each label, and about ``total`` in all.  Copies of a text are taken or left together."""
     able = rows.where(F.col(label).isNotNull() & F.col(text_col).isNotNull()).select(_piece(text_col).alias("text"), F.col(label).alias("label"))
-    return _share(able, "text", bound)
+    return _share(able, "text", bound, total)
 
 
 def by_labelled_id(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, bound: int) -> DataFrame | None:

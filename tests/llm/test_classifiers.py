@@ -1,8 +1,8 @@
 from __future__ import annotations
 
 import random
-from pathlib import Path
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import pytest
 from tessellum.llm import langid, sample, svm, toxicity
 from tessellum.llm.textcore import Words
 
-from .data import documents, empty, rows
+from .data import documents, empty, lower, rows
 
 
 def fold(i, parts):
@@ -62,6 +62,46 @@ def test_language_without_labels(spark):
 INSULTS = ["worthless", "moron", "idiot", "scum"]
 
 
+def test_language_machines_equal_a_plain_computation():
+    """Family, votes and confidence from n-grams counted one by one."""
+    rng = random.Random(4)
+    named = {"en": "en", "de": "de", "nl": "de", "fr": "fr", "es": "es", "xx": "es"}
+    rows = [(text(rng, k, 40) + f" {lang}{lang}", lang) for lang, k in named.items() for _ in range(25)]
+    model = langid.fit(rows)
+    assert model.members["germanic"] == ["de", "en", "nl"] and "xx" in model.families
+    texts = [t for t, _ in rows[::7]] + ["", "a", "Ünï cödé", "nl nlnl de"]
+    langs, sure = model.predict(Words(pa.array(texts)))
+    for t, lang, score in zip(texts, langs, sure, strict=True):
+        grams = []
+        for w in lower(t).split():
+            b = [0, *w.encode(), 0]
+            grams += [(x * 2654435761 & 0xFFFFFFFF) >> 19 for x in b[1:-1]]
+            grams += [((x * 257 + y + 1) * 2246822519 & 0xFFFFFFFF) >> 19 for x, y in zip(b, b[1:], strict=False)]
+            grams += [(((x * 257 + y) * 257 + z + 7) * 3266489917 & 0xFFFFFFFF) >> 19 for x, y, z in zip(b, b[1:], b[2:], strict=False)]
+        out = [sum(float(w[g]) for g in grams) / max(1, len(grams)) + c for w, c in zip(model.weights, model.intercepts, strict=True)]
+        k = len(model.families)
+        family = max(range(k), key=lambda f: out[f])
+        own = model.members[model.families[family]]
+        margin = {x: 0.0 for x in own}
+        votes = {x: 0 for x in own}
+        for (a, b), s in zip(model.pairs, out[k:], strict=True):
+            if a in own:
+                for x, signed in ((a, s), (b, -s)):
+                    margin[x] += signed
+                    votes[x] += signed > 0
+        best = max(own, key=lambda x: (votes[x], margin[x]))
+        want = 1 / (1 + np.exp(-3 * out[family]))
+        if len(own) > 1:
+            want *= 1 / (1 + np.exp(-3 * margin[best] / (len(own) - 1)))
+        assert lang == best and abs(score - want) < 1e-3
+
+
+def test_sample_is_bounded_over_all_labels(spark):
+    docs = documents(spark, data=[(i, f"text {i}", f"l{i % 50}", "s", 0) for i in range(3000)])
+    taken = sample.by_label(docs, "lang", 40, total=200)
+    assert 100 < taken.count() < 400 and taken.select("label").distinct().count() > 45
+
+
 def toxic_corpus(n, seed, disguise=None):
     rng = random.Random(seed)
     docs, labels = [], []
