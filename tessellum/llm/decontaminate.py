@@ -1,21 +1,24 @@
 """Benchmark decontamination with a generalised suffix automaton over words.
 
-The automaton of all normalised benchmark items is walked by each document's words and yields, at
-every word, the length of the longest item passage that ends there.  Where it reaches the window
-length, the window's words are hit, and the automaton's states tell which items hold the window.
-Items shorter than a window count as a whole.
-
-Words unknown to the benchmark reset the walk, so stretches of known words shorter than the
-shortest window are skipped in a vectorised pass; that changes no result.
-
-Items come in blocks of bounded size, one automaton each; a benchmark of several blocks takes one
-pass over the documents for each.  Null texts have no words: nothing is hit.  Repeated items count
-once by their id; items without words or id have no windows.  Repeated documents each get a row.
+The automaton of all normalised benchmark items is walked by a document's words and yields, at every
+word, the length of the longest item passage that ends there.  Where it reaches the window length, the
+window's words are hit, and the automaton's states tell which items hold the window.  Items shorter
+than a window count as a whole.
+
+A vectorised pass comes first: windows of a batch whose hash is no benchmark window's cannot be hit, and
+the walk skips all stretches without any; that changes no result.
+
+Items come in blocks of ``BLOCK_BYTES`` of text.  An executor task builds each block's automaton, packed
+into arrays of about ten times its text; ``PASS_BLOCKS`` of them at a time are broadcast and take one pass
+over the documents together.  Null texts have no words: nothing is hit.  Repeated items count once by
+their id; items without words or id have no windows.  Repeated documents each get a row.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,11 @@ from pyspark.sql import types as T
 
 from tessellum.llm import storage
 from tessellum.llm.spans import replaced
-from tessellum.llm.textcore import NOT_ALPHANUMERIC, Words, bounded, chunks, text_in
+from tessellum.llm.textcore import NOT_ALPHANUMERIC, Words, bounded, chunks, text_in, window_hashes
 
-#: Most bytes of item text in one automaton; the broadcast stays within about a hundred times that.
+#: Most bytes of item text in one automaton, and automata broadcast together: some 160 MB.
 BLOCK_BYTES = 2 << 20
+PASS_BLOCKS = 8
 
 
 class SuffixAutomaton:
@@ -98,36 +102,74 @@ class SuffixAutomaton:
         for s in sorted(range(1, n), key=self.length.__getitem__):
             self.next_short[s] = s if s in self.short else self.next_short[self.link[s]]
 
+
+@dataclass
+class PackedAutomaton:
+    """A suffix automaton in arrays: edges by (state, word), links, lengths, homes of windows, items of homes."""
+
+    window: int
+    edges: np.ndarray
+    targets: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    home: np.ndarray
+    next_short: np.ndarray
+    short: dict[int, tuple[int, set[str]]]
+    held: np.ndarray
+    items: np.ndarray
+    names: list[str]
+
+    @classmethod
+    def of(cls, made: SuffixAutomaton) -> PackedAutomaton:
+        sizes = np.fromiter(map(len, made.next), np.int64, len(made.next))
+        words = np.fromiter((w for edges in made.next for w in edges), np.int64, int(sizes.sum()))
+        targets = np.fromiter((t for edges in made.next for t in edges.values()), np.int32, len(words))
+        edges = np.repeat(np.arange(len(sizes)) << 32, sizes) | words
+        order = np.argsort(edges)
+        names = sorted({n for held in made.held.values() for n in held})
+        number = {n: i for i, n in enumerate(names)}
+        pairs = np.array(sorted((s, number[n]) for s, held in made.held.items() for n in held), np.int32).reshape(-1, 2)
+        arrays = (np.array(x, np.int32) for x in (made.link, made.length, made.home, made.next_short))
+        return cls(made.window, edges[order], targets[order], *arrays, made.short, pairs[:, 0], pairs[:, 1], names)
+
+    def _next(self, state: int, word: int) -> int:
+        """The state behind an edge, or -1."""
+        key = state << 32 | word
+        at = int(np.searchsorted(self.edges, key))
+        return int(self.targets[at]) if at < len(self.edges) and self.edges[at] == key else -1
+
+    def _items(self, home: int) -> set[str]:
+        first, last = np.searchsorted(self.held, [home, home + 1])
+        return {self.names[i] for i in self.items[first:last].tolist()}
+
     def walk(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit word ranges [start, end), one for each window that ends at a word, and the items met."""
-        nexts, link, length = self.next, self.link, self.length
         state = matched = 0
-        ranges, seen = [], set()
+        ranges, homes, shorts = [], set(), set()
         for i, w in enumerate(words):
-            while state and w not in nexts[state]:
-                state = link[state]
-                matched = length[state]
-            state = nexts[state].get(w, 0)
-            matched = matched + 1 if state else 0
+            after = self._next(state, w) if w >= 0 else -1
+            while state and after < 0 and w >= 0:
+                state = int(self.link[state])
+                matched = int(self.length[state])
+                after = self._next(state, w)
+            state, matched = (after, matched + 1) if after >= 0 else (0, 0)
             if matched >= self.window:
                 ranges.append((i + 1 - self.window, i + 1))
                 # The match may be shorter than the state's longest string; its window's home is the same.
-                seen.add(self.home[state])
-            at = self.next_short[state] if state else -1
+                homes.add(int(self.home[state]))
+            at = int(self.next_short[state]) if state else -1
             while at > 0:
                 size = self.short[at][0]
                 if size <= matched:
                     ranges.append((i + 1 - size, i + 1))
-                    seen.add(-at)
-                at = self.next_short[link[at]]
-        names: set[str] = set()
-        for s in seen:
-            names |= self.short[-s][1] if s < 0 else self.held.get(s, set())
+                    shorts.add(at)
+                at = int(self.next_short[self.link[at]])
+        names: set[str] = set().union(*map(self._items, homes), *(self.short[s][1] for s in shorts))
         return ranges, names
 
 
 class Index:
-    """An automaton and the hashed vocabulary it reads."""
+    """A packed automaton, the hashed vocabulary it reads, and the hashes of windows by their size."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         texts = pa.array([t for _, t in items], pa.string())
@@ -135,35 +177,39 @@ class Index:
         hashed = words.hashes()
         self.vocabulary, ids = np.unique(hashed, return_inverse=True)
         parts = np.split(ids, np.cumsum(words.counts)[:-1]) if len(items) else []
-        rows = [(name, part.tolist()) for (name, _), part in zip(items, parts, strict=True)]
-        self.shortest = min((min(len(w), window) for _, w in rows if w), default=window)
-        self.automaton = SuffixAutomaton(rows, window)
-
-    def known(self, hashed: np.ndarray) -> np.ndarray:
-        """The number of each word in the vocabulary, or -1."""
-        if not len(self.vocabulary):
-            return np.full(len(hashed), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashed), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashed, at, -1)
-
-    def hits(self, words: Words, doc: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
+        self.automaton = PackedAutomaton.of(SuffixAutomaton([(name, part.tolist()) for (name, _), part in zip(items, parts, strict=True)], window))
+        sizes = np.minimum(words.counts, window)
+        self.windows: dict[int, np.ndarray] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            found = window_hashes(hashed, size)
+            inside = words.doc[: len(found)] == words.doc[size - 1 :]
+            self.windows[size] = np.unique(found[inside & (sizes[words.doc[: len(found)]] == size)])
+
+    def hits(self, words: Words, hashed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
         """A mask of hit words of the batch, and by document the items met."""
-        ids = self.known(words.hashes())
-        hit = np.zeros(len(ids), bool)
+        near = np.zeros(len(hashed) + 1, np.int64)
+        for size, known in self.windows.items():
+            found = window_hashes(hashed, size)
+            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found)
+            at = at[doc[at] == doc[at + size - 1]]
+            np.add.at(near, at, 1)
+            np.add.at(near, at + size, -1)
+        covered = np.cumsum(near)[:-1] > 0
+        hit = np.zeros(len(hashed), bool)
         met: dict[int, set[str]] = {}
-        live = ids >= 0
-        cut = np.ones(len(ids) + 1, bool)
-        if len(ids) > 1:
-            cut[1:-1] = (live[1:] != live[:-1]) | (doc[1:] != doc[:-1])
-        edges = np.flatnonzero(cut)
-        starts, ends = edges[:-1], edges[1:]
-        use = live[starts] & (ends - starts >= self.shortest) if len(ids) else np.zeros(0, bool)
-        for a, b in zip(starts[use].tolist(), ends[use].tolist(), strict=True):
-            ranges, names = self.automaton.walk(ids[a:b].tolist())
-            for x, y in ranges:
-                hit[a + x : a + y] = True
-            if names:
-                met.setdefault(int(doc[a]), set()).update(names)
+        if covered.any():
+            cut = np.ones(len(covered) + 1, bool)
+            cut[1:-1] = (covered[1:] != covered[:-1]) | (doc[1:] != doc[:-1])
+            edges = np.flatnonzero(cut)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if covered[a]:
+                    ids = np.minimum(np.searchsorted(self.vocabulary, hashed[a:b]), len(self.vocabulary) - 1)
+                    ids = np.where(self.vocabulary[ids] == hashed[a:b], ids, -1)
+                    ranges, names = self.automaton.walk(ids.tolist())
+                    for x, y in ranges:
+                        hit[a + x : a + y] = True
+                    if names:
+                        met.setdefault(int(doc[a]), set()).update(names)
         return hit, met
 
 
@@ -173,11 +219,16 @@ _RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("star
 
 def _marker(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        indexes: list[Index] = shared.value
         for batch in chunks(batches, ("row", text_col)):
             words = Words(text_in(batch, ("row", text_col)), NOT_ALPHANUMERIC)
-            doc = words.doc
-            hit, met = index.hits(words, doc)
+            doc, hashed = words.doc, words.hashes()
+            hit, met = np.zeros(len(hashed), bool), {}
+            for index in indexes:
+                own, names = index.hits(words, hashed, doc)
+                hit |= own
+                for d, found in names.items():
+                    met.setdefault(d, set()).update(found)
             ranges: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             at = np.flatnonzero(hit)
             if len(at):
@@ -196,22 +247,28 @@ def _marker(shared, text_col: str):
     return run
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Index]:
-    """Automata of blocks of items; each is built from rows of a bounded size."""
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int, pass_blocks: int) -> Iterator[list[Index]]:
+    """Automata of blocks of items, some at a time; tasks of executors build them from rows of a bounded size."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    for i in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
-        yield Index([(r["item"], r["text"]) for r in block.collect()], window)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int"))
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = list(zip(group.column("item").to_pylist(), group.column("text").to_pylist(), strict=True))
+        return pa.table({"index": pa.array([pickle.dumps(Index(rows, window))], pa.binary())})
+
+    for first in range(0, blocks, pass_blocks):
+        made = dealt.where(F.col("block").between(first, first + pass_blocks - 1)).groupBy("block").applyInArrow(build, "index binary")
+        yield [pickle.loads(r["index"]) for r in made.collect()]
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """(row, found): each row of ``docs`` as a struct, and what was found in its text."""
     spark = docs.sparkSession
     done = bounded(docs).select(F.struct(*docs.columns).alias("row"))
-    for index in _indexes(benchmark, item_col, item_text_col, window, block_bytes):
-        shared = spark.sparkContext.broadcast(index)
+    for indexes in _indexes(benchmark, item_col, item_text_col, window, block_bytes, pass_blocks):
+        shared = spark.sparkContext.broadcast(indexes)
         again = "found" in done.columns
         schema = T.StructType([*done.schema.fields, *T.StructType.fromDDL(_FOUND).fields])
         marked = done.mapInArrow(_marker(shared, text_col), schema)
