@@ -4,16 +4,22 @@ A row's shard follows from a stable 64-bit key and the number of shards; there i
 table.  With one shard more, a row either stays or moves to the new shard.
 
 A null key column counts as the key of an empty name, so such rows share one shard; repeated rows
-go to the same shard and get slots of their own.  Null text has no bytes.
+go to the same shard and get slots of their own.  Null text has no bytes.  Shards depend on keys alone;
+slots on the set of rows, but for the order of equal ones.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellum.llm import storage
+
 #: Groups in which slots are numbered, for each shard; a group of a 100 TB table has about a million rows.
 SLOT_GROUPS = 4096
 
@@ -48,16 +54,23 @@ def with_shards(df: DataFrame, key: str, shards: int, name: str = "shard") -> Da
 def with_slots(df: DataFrame, shard: str, order: list[str], name: str = "slot", groups: int = SLOT_GROUPS) -> DataFrame:
     """``df`` with a gapless number from 0 in each shard.
 
-    Rows are numbered in groups dealt by a hash of ``order``; groups follow one another by running
-    sums of their counts, so no task ever holds a shard.
+    Distinct rows are numbered by their counts in groups dealt by a hash of ``order``; groups follow one
+    another by running sums, so no task ever holds a shard.  Rows that are equal in ``order`` are counted by
+    input partition, so those that repeat very often do not meet either.  The rows are written once, so
+    that counts and numbers agree; which of two equal rows comes first is not determined.
     """
-    dealt = df.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
-    inside = Window.partitionBy("_group", shard).orderBy(*order)
-    numbered = dealt.withColumn("_at", F.row_number().over(inside) - 1)
-    counts = dealt.groupBy("_group", shard).agg(F.count("*").alias("_n"))
+    dealt = storage.table(df.withColumn("_part", F.spark_partition_id()), "dealt")
+    keys = [*dict.fromkeys([*order, shard]), "_part"]
+    counts = dealt.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"))
+    inside = Window.partitionBy("_group", shard).orderBy(*order, "_part").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(shard).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_group", shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(starts, ["_group", shard]).withColumn(name, (F.col("_at") + F.col("_start")).cast("long")).drop("_group", "_at", "_start")
+    counts = storage.table(counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))), "counts")
+    starts = counts.groupBy("_group", shard).agg(F.sum("_n").alias("_n")).select("_group", shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = counts.join(starts, ["_group", shard]).select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), (F.col("_start") + F.col("_before")).alias("_first"))
+    numbered = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - 1)
+    same = [numbered[k].eqNullSafe(placed[f"_{i}"]) for i, k in enumerate(keys)]
+    joined = numbered.join(placed, functools.reduce(operator.and_, same))
+    return joined.select(*df.columns, (F.col("_at") + F.col("_first")).cast("long").alias(name))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

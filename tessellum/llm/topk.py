@@ -203,8 +203,10 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
 
     queries = vectors.where(asked).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = queries.mapInArrow(_floors(shared, k, lead), "vec_id long, v array<double>, floor double, need double")
-    queries = queries.withColumn("dims", F.size("v")).repartitionByRange(blocks, "dims", "need", F.xxhash64("vec_id"))
-    queries = storage.table(queries.withColumn("block", F.spark_partition_id()), "queries")
+    queries = queries.withColumn("dims", F.size("v"))
+    if blocks > 1:
+        queries = queries.repartitionByRange(blocks, "dims", "need", F.xxhash64("vec_id"))
+    queries = storage.table(queries.withColumn("block", F.spark_partition_id() if blocks > 1 else F.lit(0)), "queries")
     needs = queries.groupBy(F.col("block").alias("for_block"), F.col("dims").alias("for_dims")).agg(F.min("need").alias("need"))
     dealt = vectors.select("vec_id", "v", F.size("v").alias("dims"), F.sqrt("length2").alias("length"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
     # One row for each block of queries: 8 bytes for 8192 vectors.

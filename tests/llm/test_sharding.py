@@ -47,3 +47,17 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert sharding.shard_documents(empty(spark)).collect() == []
+
+
+def test_rows_that_repeat_very_often_and_very_long_texts(spark):
+    """Slots are gapless, sizes whole, and equal rows without an id share a shard but no window group."""
+    data = [(None, "the same", "en", "s", 0)] * 2000 + [(i, "é" * 300_000 if i == 7 else f"text {i}", "en", "s", 0) for i in range(300)]
+    out = sharding.shard_documents(documents(spark, data=data).repartition(8)).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(out) == 2300
+    assert len({r["shard"] for r in out if r["doc_id"] is None}) == 1
+    assert next(r["size"] for r in out if r["doc_id"] == 7) == 600_001
+    jobs = sharding.shard_documents(documents(spark, data=data))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in jobs
