@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessellum import inspect
 from tessellum.functions.scalars import BINARY, UNARY
-from tessellum.layout import MultiAxisLayout, SlabLayout, TileLayout
+from tessellum.layout import MultiAxisLayout, SlabLayout, TileLayout, products
 from tessellum.layout.axis import index_columns, linear_column, max_block_size, splits_frame
 from tessellum.layout.base import Layout
 from tessellum.layout.multi_axis import move
@@ -390,27 +390,25 @@ _move("place_change_block", _ONE, lambda x, s: x.change_block(s, 0, 4)[0], "(d0
 def mesh_matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix times a vector on a 2 by 2 mesh: partial sums by rank, then a reduce-scatter by row."""
     made = Inputs(spark, sf_dir)
-    matrix = MultiAxisLayout((2, 2), ((0,), (1,)), (8, 8)).place(made.S())
-    vector = made.C().frame.where("d0 = 0").select("d1", F.col("v").alias("x"))
-    local = matrix.join(F.broadcast(vector), "d1").groupBy("rank", "d0").agg(F.sum(F.col("v") * F.col("x")).alias("part"))
-    return local.groupBy("d0").agg(F.sum("part").alias("v"))
+    vector = Tensor(made.C().frame.where("d0 = 0").select(F.col("d1").alias("d0"), "v"), (64,))
+    return products.mesh_matvec(made.S(), vector, MultiAxisLayout((2, 2), ((0,), (1,)), (8, 8))).frame
 
 
 @query("mesh_matvec_transposed", _with("SC", "SELECT c.d0, s.d1, SUM(s.v * l.w) AS v FROM S s JOIN (SELECT vec_id AS d0, label + 1 AS w FROM embeddings) l ON s.d0 = l.d0 CROSS JOIN (SELECT 0 AS d0) c GROUP BY 1, 2"))
 def mesh_matvec_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transposed matrix times a vector on a 2 by 2 mesh: the vector follows the rows, sums go to columns."""
     made = Inputs(spark, sf_dir)
-    matrix = MultiAxisLayout((2, 2), ((0,), (1,)), (8, 8)).place(made.S())
-    vector = made.L().frame.select("d0", (F.col("v") + 1).alias("x"))
-    local = matrix.join(vector, "d0").groupBy("rank", "d1").agg(F.sum(F.col("v") * F.col("x")).alias("part"))
-    return local.groupBy("d1").agg(F.sum("part").alias("v")).select(F.lit(0).alias("d0"), "d1", "v")
+    label = made.L()
+    out = products.mesh_matvec(made.S(), Tensor(label.frame.withColumn("v", F.col("v") + 1), label.shape), MultiAxisLayout((2, 2), ((0,), (1,)), (8, 8)), transposed=True)
+    return out.frame.select(F.lit(0).alias("d0"), F.col("d0").alias("d1"), "v")
 
 
 @query("mesh_rank_one", _with("A", "SELECT d0, d1, CAST((d0 // 3) % 2 * 2 + (d1 // 2) % 2 AS INT) AS rank, v + CAST((d0 + 1) * (d1 + 2) AS DOUBLE) AS v FROM A"))
 def mesh_rank_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rank-one update on a 2 by 2 mesh: each rank adds its part of the outer product in place."""
-    placed = MultiAxisLayout((2, 2), ((0,), (1,)), (3, 2)).place(Inputs(spark, sf_dir).A())
-    return placed.select("d0", "d1", "rank", (F.col("v") + (F.col("d0") + 1) * (F.col("d1") + 2)).alias("v"))
+    matrix = Inputs(spark, sf_dir).A()
+    left, right = (Tensor(coordinates(spark, (n,)).withColumn("v", (F.col("d0") + k).cast("double")), (n,)) for n, k in zip(matrix.shape, (1, 2), strict=True))
+    return products.mesh_rank_one(matrix, left, right, MultiAxisLayout((2, 2), ((0,), (1,)), (3, 2)))
 
 
 # Costs and plans.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tessellum as ts
-from tessellum import inspect, logs
+from tessellum import catalog, draw, inspect, logs
 from tessellum.catalog import ALPHA, BETA, PROBLEMS, Inputs, _values, _with
 from tessellum.functions import scalars
 from tessellum.layout import MultiAxisLayout, SlabLayout, TileLayout
@@ -288,3 +288,23 @@ def tensor_cells_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a cube with one plane marked and their ranks on a 2 by 2 mesh."""
     cells = inspect.tensor_cells(spark, (3, 4, 2), (None, 1, None), M((2, 2), ((0,), None, (1,)), 1))
     return cells.select("d0", "d1", "d2", "highlight", F.col("rank").cast("int").alias("rank"))
+
+
+@query("projected_cells", "SELECT a.range AS d0, b.range AS d1, c.range AS d2, round(a.range * cos(radians(30)) - b.range * sin(radians(30)), 9) AS x, round(c.range * cos(radians(20)) - (a.range * sin(radians(30)) + b.range * cos(radians(30))) * sin(radians(20)), 9) AS y FROM range(3) a, range(4) b, range(2) c")
+def projected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a cube's cells in a picture."""
+    return draw.projected(coordinates(spark, (3, 4, 2))).select("d0", "d1", "d2", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query("drawn_shapes", _values("picture squares:BIGINT circles:BIGINT lines:BIGINT", ("matrix", 12, 0, 0), ("cube", 24, 0, 0), ("program", 0, 9, 10), ("mesh", 0, 6, 7)))
+def drawn_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many shapes pictures of a matrix, a cube, a program and a mesh have."""
+    program = ts.compile(catalog._KMEANS)
+    mesh = inspect.mesh_nodes(spark, (2, 3)).withColumn("level", F.col("m0").cast("int"))
+    drawn = {
+        "matrix": draw.cells_svg(inspect.tensor_cells(spark, (3, 4), (1, None), M((2,), ((0,), None), 1))),
+        "cube": draw.cells_svg(inspect.tensor_cells(spark, (3, 4, 2))),
+        "program": draw.graph_svg(inspect.program_nodes(spark, program, "opcount"), inspect.program_edges(spark, program)),
+        "mesh": draw.graph_svg(mesh, inspect.mesh_edges(spark, (2, 3)), node="rank"),
+    }
+    return spark.createDataFrame([(k, *(svg.count(f"<{shape} ") for shape in ("rect", "circle", "line"))) for k, svg in drawn.items()], "picture string, squares long, circles long, lines long")
