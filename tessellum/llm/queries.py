@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessellum.llm import chat_quotes, decontaminate, langid, lm_score, ngram_join, oracles, packing, secret_scan, sharding, topk, toxicity
+from tessellum.llm import chat_quotes, decontaminate, filter_audit, hard_negatives, langid, lm_score, minhash, ngram_join, oracles, packing, secret_scan, sharding, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,22 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five negatives for each of five positives of every hundredth vector; every seventh row's label is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), label)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove of each language's documents, in all orders."""
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a similarity of 0.8 or more."""
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quotation_linking": op2_quotation_linking,
@@ -74,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_secret_scans": op9_secret_scans,
     "op10_jump_sharding": op10_jump_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +101,7 @@ ORACLES: dict[str, str] = {
     "op4_exact_top_k": oracles.EXACT_TOP_K,
     "op5_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
     "op9_secret_scans": oracles.SECRET_SCANS,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_filter_audit": oracles.FILTER_AUDIT,
+    "op13_minhash_dedup": oracles.MINHASH_DEDUP,
 }
