@@ -6,6 +6,6 @@ sequences of collectives work on the same frames.
 """
 
 from tessellum.program import Program, compile, evaluate  # noqa: A004
-from tessellum.tensor import Tensor, from_array_column, from_columns, from_sparse, from_values, scalar, to_numpy
+from tessellum.tensor import Tensor, dense, from_array_column, from_cells, from_columns, from_sparse, from_values, scalar, to_numpy
 
-__all__ = ["Program", "Tensor", "compile", "evaluate", "from_array_column", "from_columns", "from_sparse", "from_values", "scalar", "to_numpy"]
+__all__ = ["Program", "Tensor", "compile", "dense", "evaluate", "from_array_column", "from_cells", "from_columns", "from_sparse", "from_values", "scalar", "to_numpy"]

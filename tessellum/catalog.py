@@ -10,6 +10,11 @@ N    (suppliers, 7)               lines sold by supplier and line number
 H    (7, 50)                      lines by line number and quantity
 T    (5, 5)                       customers by region of the customer and of a supplier's nation
 V    (parts,)                     part size over 51, so in (0, 1)
+Z    (parts,)                     part size
+O    (orders,)                    total price in cents
+D    (orders, 7)                  quantity by order and line
+X    (suppliers, parts)           quantity sold by supplier and part, stored cells only
+Y    (suppliers, parts)           lines sold by supplier and part, stored cells only
 L    (vectors,)                   label of each vector
 P    (suppliers,)                 quantity sold by supplier
 ==== ============================ =========================================================
@@ -34,7 +39,7 @@ from tessellum.layout.multi_axis import move
 from tessellum.plans import IdealLowerBounds, NaivePlanner, SearchPlanner, schedule_frame
 from tessellum.plans.cost import lower_bound_columns
 from tessellum.program import compile as compile_program
-from tessellum.tensor import Tensor, coordinates, from_array_column, from_sparse
+from tessellum.tensor import Tensor, coordinates, from_array_column, from_cells, from_sparse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +97,28 @@ class Inputs:
     def P(self) -> Tensor:
         return from_sparse(self.read("lineitem").select("l_suppkey", "l_quantity"), ["l_suppkey"], "l_quantity", (self.size("supplier", "s_suppkey"),))
 
+    def Z(self) -> Tensor:
+        rows = self.read("part").select(F.col("p_partkey").cast("bigint").alias("d0"), F.col("p_size").cast("double").alias("v"))
+        return Tensor(rows, (self.size("part", "p_partkey"),))
+
+    def O(self) -> Tensor:
+        rows = self.read("orders").select(F.col("o_orderkey").cast("bigint").alias("d0"), F.round(F.col("o_totalprice") * 100).cast("double").alias("v"))
+        return Tensor(rows, (self.size("orders", "o_orderkey"),))
+
+    def D(self) -> Tensor:
+        lines = self.read("lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), "l_quantity")
+        return from_sparse(lines, ["l_orderkey", "line"], "l_quantity", (self.size("orders", "o_orderkey"), 7))
+
+    def _pairs(self, value) -> Tensor:
+        shape = (self.size("supplier", "s_suppkey"), self.size("part", "p_partkey"))
+        return from_cells(self.read("lineitem"), ["l_suppkey", "l_partkey"], value, shape)
+
+    def X(self) -> Tensor:
+        return self._pairs("l_quantity")
+
+    def Y(self) -> Tensor:
+        return self._pairs(F.lit(1.0))
+
 
 _ROUND = "CAST(round(CAST(x AS DOUBLE) * 1000) AS DOUBLE)"
 TABLES = {
@@ -103,6 +130,11 @@ TABLES = {
     "H": "SELECT a.range AS d0, b.range AS d1, CAST(COALESCE(q.v, 0) AS DOUBLE) AS v FROM range(7) a CROSS JOIN range(50) b LEFT JOIN (SELECT l_linenumber - 1 AS i, CAST(l_quantity AS INT) - 1 AS j, COUNT(*) AS v FROM lineitem GROUP BY 1, 2) q ON q.i = a.range AND q.j = b.range",
     "T": "SELECT a.range AS d0, b.range AS d1, CAST(COALESCE(q.v, 0) AS DOUBLE) AS v FROM range(5) a CROSS JOIN range(5) b LEFT JOIN (SELECT n_regionkey AS i, c_nationkey % 5 AS j, COUNT(*) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) q ON q.i = a.range AND q.j = b.range",
     "V": "SELECT p_partkey AS d0, p_size / 51.0::DOUBLE AS v FROM part",
+    "Z": "SELECT p_partkey AS d0, CAST(p_size AS DOUBLE) AS v FROM part",
+    "O": "SELECT o_orderkey AS d0, CAST(round(o_totalprice * 100) AS DOUBLE) AS v FROM orders",
+    "D": "SELECT o.o_orderkey AS d0, n.range AS d1, COALESCE(q.v, 0.0) AS v FROM orders o CROSS JOIN range(7) n LEFT JOIN (SELECT l_orderkey, l_linenumber - 1 AS k, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2) q ON q.l_orderkey = o.o_orderkey AND q.k = n.range",
+    "X": "SELECT l_suppkey AS d0, l_partkey AS d1, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2",
+    "Y": "SELECT l_suppkey AS d0, l_partkey AS d1, CAST(COUNT(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2",
     "P": "SELECT s_suppkey AS d0, COALESCE(q.v, 0.0) AS v FROM supplier LEFT JOIN (SELECT l_suppkey, SUM(l_quantity) AS v FROM lineitem GROUP BY 1) q ON q.l_suppkey = s_suppkey",
 }
 
@@ -111,13 +143,13 @@ def _with(names: str, body: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({TABLES[n]})" for n in names) + " " + body
 
 
-def program(name: str, code: str, output: str, names: str, body: str | None, hints: Callable[[dict[str, Tensor]], dict] | None = None, digits: int | None = None) -> None:
+def program(name: str, code: str, output: str, names: str, body: str | None, hints: Callable[[dict[str, Tensor]], dict] | None = None, digits: int | None = None, tiled: bool | None = None) -> None:
     """Register a program over some inputs; ``digits`` rounds results of transcendental functions."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = Inputs(spark, sf_dir)
         tensors = {n: getattr(made, n)() for n in names}
-        out = compile_program(code).execute(tensors, hints(tensors) if hints else None, spark)[output]
+        out = compile_program(code).execute(tensors, hints(tensors) if hints else None, spark, tiled)[output]
         value = F.col("v") if digits is None else F.round("v", digits)
         return out.frame.select(*(f"d{k}" for k in range(out.order)), value.alias("v"))
 
@@ -223,6 +255,9 @@ program("col_sum", "R[j] += S[i,j]", "R", "S", "SELECT d1 AS d0, SUM(v) AS v FRO
 program("neg_sum", "R[j] -= A[i,j]", "R", "A", "SELECT d1 AS d0, -SUM(v) AS v FROM A GROUP BY 1")
 program("product_reduce", "R[i] *= ((T[i,j] > 0) + 1)", "R", "T", "SELECT d0, product(CASE WHEN v > 0 THEN 2.0 ELSE 1.0 END) AS v FROM T GROUP BY 1")
 program("div_reduce", "R[i] /= (T[i,j] + 1)", "R", "T", "SELECT d0, 0.0::DOUBLE / product(v + 1) AS v FROM T GROUP BY 1")
+# Where a product is 0, zero is divided by it and is no number.
+program("div_reduce_zeros", "R[i] /= (N[i,j] > 15)", "R", "N", "SELECT d0, CASE WHEN bool_and(v > 15) THEN 0.0::DOUBLE ELSE 'nan'::DOUBLE END AS v FROM N GROUP BY 1")
+program("divide_loop", "R[i] = 1000000\nR[i] /= (R[i] > 0) * (T[i,j] > 10) + 1", "R", "T", "SELECT d0, 1000000 / pow(2, SUM(CASE WHEN v > 10 THEN 1 ELSE 0 END)) AS v FROM T GROUP BY 1", lambda t: {"R": (5,)})
 program("last_value", "R[i] = S[i,j]", "R", "S", "SELECT d0, v FROM S WHERE d1 = 63")
 program("compound_copy", "B[i,j] += A[i,j]", "B", "A", "SELECT d0, d1, v FROM A")
 program("masked_sum", "R[i] += (A[i,j] > 100) * A[i,j]", "R", "A", "SELECT d0, SUM(CASE WHEN v > 100 THEN v ELSE 0 END) AS v FROM A GROUP BY 1")
@@ -239,6 +274,38 @@ program("fold_subtract", "R[i] = 1000000\nR[i] -= (R[i] > T[i,j]) * T[i,j]", "R"
 program("in_place", "B[i,j] = A[i,j]\nB[i,j] = B[i,j] * 2 + N[i,j]", "B", "AN", "SELECT a.d0, a.d1, a.v * 2 + b.v AS v FROM A a JOIN N b ON a.d0 = b.d0 AND a.d1 = b.d1")
 program("reassigned_name", "B[i,j] = A[i,j] + 1\nD[i] += B[i,j]\nB[i,j] = N[i,j]\nE[i] += B[i,j]\nR[i] = D[i] - E[i]", "R", "AN", "SELECT a.d0, SUM(a.v + 1) - SUM(b.v) AS v FROM A a JOIN N b ON a.d0 = b.d0 AND a.d1 = b.d1 GROUP BY 1")
 
+# The same contractions on tiles, and some that have much to do.
+
+for _name, _code, _out, _names in (("gram", "G[k,l] += S[j,k] * S[j,l]", "G", "S"), ("matmul", "B[i,j] += A[i,k] * H[k,j]", "B", "AH"), ("sq_distance", "D[j,k] += (S[j,l] - C[k,l]) ^ 2", "D", "SC")):
+    program(f"{_name}_tiles", _code, _out, _names, None, tiled=True)
+    ORACLES[f"{_name}_tiles"] = ORACLES[_name]
+program("vector_products", "G[i,j] += S[i,k] * S[j,k]", "G", "S", "SELECT a.d0, b.d0 AS d1, SUM(a.v * b.v) AS v FROM S a JOIN S b ON a.d1 = b.d1 GROUP BY 1, 2", tiled=True)
+program("equal_counts", "G[i,j] += (N[i,k] == N[j,k])", "G", "N", "SELECT a.d0, b.d0 AS d1, SUM(CASE WHEN a.v = b.v THEN 1.0 ELSE 0.0 END) AS v FROM N a JOIN N b ON a.d1 = b.d1 GROUP BY 1, 2", tiled=True)
+
+# Loops over whole tables with one state, or few.
+
+program("running_max_all", "M = 0\nM += (D[i,j] > M) * (D[i,j] - M)", "M", "D", "SELECT MAX(v) AS v FROM D")
+program("last_best_order", "M = 0\nB = -1\nM += (D[i,j] > M) * (D[i,j] - M)\nB += (D[i,j] == M) * (i - B)", "B", "D", "SELECT CAST(MAX(d0) AS DOUBLE) AS v FROM D WHERE v = (SELECT MAX(v) FROM D)")
+program("sum_since_reset", "R = 1\nR = R * (D[i,j] != 50) + D[i,j]", "R", "D", "SELECT SUM(v) AS v FROM D WHERE d0 * 7 + d1 >= (SELECT MAX(d0 * 7 + d1) FROM D WHERE v = 50)")
+program("sum_since_reset_by_line", "R[j] = 1\nR[j] = R[j] * (D[i,j] != 50) + D[i,j]", "R", "D", "SELECT D.d1 AS d0, SUM(D.v) + MAX(CASE WHEN r.last IS NULL THEN 1 ELSE 0 END) AS v FROM D LEFT JOIN (SELECT d1, MAX(d0) AS last FROM D WHERE v = 50 GROUP BY 1) r ON r.d1 = D.d1 WHERE D.d0 >= COALESCE(r.last, 0) GROUP BY 1", lambda t: {"R": (7,)})
+program("subtract_while_more", "R = 1000000000\nR -= (R > D[i,j]) * D[i,j]", "R", "D", "SELECT 1000000000 - SUM(v) AS v FROM D")
+
+# Stored cells only.
+
+program("sparse_product", "B[i,j] = X[i,j] * Y[i,j]", "B", "XY", "SELECT x.d0, x.d1, x.v * y.v AS v FROM X x JOIN Y y ON x.d0 = y.d0 AND x.d1 = y.d1")
+program("sparse_sum", "B[i,j] = X[i,j] + (Y[i,j] * 2)", "B", "XY", "SELECT COALESCE(x.d0, y.d0) AS d0, COALESCE(x.d1, y.d1) AS d1, COALESCE(x.v, 0) + COALESCE(y.v, 0) * 2 AS v FROM X x FULL JOIN Y y ON x.d0 = y.d0 AND x.d1 = y.d1")
+program("sparse_matmul", "B[i,j] += X[i,k] * Y[j,k]", "B", "XY", "SELECT x.d0, y.d0 AS d1, SUM(x.v * y.v) AS v FROM X x JOIN Y y ON x.d1 = y.d1 GROUP BY 1, 2")
+program("sparse_matvec", "R[i] += X[i,k] * Z[k]", "R", "XZ", "SELECT x.d0, SUM(x.v * z.v) AS v FROM X x JOIN Z z ON x.d1 = z.d0 GROUP BY 1")
+program("sparse_masked_sum", "R[j] += (X[i,j] > 30) * (X[i,j] - Y[i,j])", "R", "XY", "SELECT x.d1 AS d0, SUM(CASE WHEN x.v > 30 THEN x.v - y.v ELSE 0 END) AS v FROM X x JOIN Y y ON x.d0 = y.d0 AND x.d1 = y.d1 GROUP BY 1")
+program("sparse_filled", "R[i] += (Y[i,j] == 0)", "R", "Y", "SELECT s.s_suppkey AS d0, CAST((SELECT MAX(p_partkey) + 1 FROM part) - COUNT(y.d1) AS DOUBLE) AS v FROM supplier s LEFT JOIN Y y ON y.d0 = s.s_suppkey GROUP BY 1")
+
+# Ordering masks.
+
+program("price_ranks", "R[i] += (O[j] < O[i])", "R", "O", "SELECT d0, CAST(rank() OVER (ORDER BY v) - 1 AS DOUBLE) AS v FROM O")
+program("larger_sales", "R[i] += (P[j] >= P[i]) * P[j]", "R", "P", "SELECT a.d0, SUM(b.v) AS v FROM P a JOIN P b ON b.v >= a.v GROUP BY 1")
+program("ranks_by_dimension", "R[j,k] -= (S[i,k] > S[j,k]) * 2", "R", "S", "SELECT d0, d1, CAST(-2 * (rank() OVER (PARTITION BY d1 ORDER BY v DESC) - 1) AS DOUBLE) AS v FROM S")
+program("sizes_times_ranks", "R[i] += (Z[j] < Z[i]) * Z[i]", "R", "Z", "SELECT d0, CAST((rank() OVER (ORDER BY v) - 1) * v AS DOUBLE) AS v FROM Z")
+
 # Kernels.
 
 _KMEANS = """

@@ -7,9 +7,11 @@ aggregate or an ordered fold; what remains is left to Catalyst.
   before any join.
 * ``+=`` and ``-=`` on a fresh output sum from 0, ``*=`` multiplies from 1, ``/=`` divides 0.
 * A statement that reads the cell it writes is a loop over the reduced variables in order of first
-  appearance, each step seeing the last one's result.
+  appearance, each step seeing the last one's result; long loops are composed from parts where their
+  steps allow (:mod:`tessellum.operators.folds`).
 * Under ``+=`` a product is contracted pair by pair, smallest result first, and a mask
   ``T[i] == l`` over an index that nothing else binds becomes a group key.
+* A sum over two tensors that has much to do is worked out on tiles (:mod:`tessellum.operators.tiles`).
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.scalars import BINARY, UNARY, divide
 from tessellum.lang.syntax import Call, Index, Infix, Negative, Node, Number, Read, Statement, walk
-from tessellum.tensor import Tensor, coordinates, promote
+from tessellum.operators import folds, ranges, sparse, tiles
+from tessellum.tensor import Tensor, coordinates, dense, promote
 
 #: Tensors of at most this many cells are broadcast in joins; sizes are known from metadata.
 BROADCAST_CELLS = 200_000
@@ -220,14 +223,16 @@ def _mask(node: Node) -> tuple[Read, str] | None:
     return None
 
 
-def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[int, ...] | None = None, old: Tensor | None = None, accumulate: bool = False) -> Tensor:
+def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[int, ...] | None = None, old: Tensor | None = None, accumulate: bool = False, tiled: bool | None = None) -> Tensor:
     """The tensor a statement makes from ``tensors``.
 
     ``old`` is the output's earlier value where it is read, or written in part; ``accumulate`` adds a
-    compound assignment onto it even if the expression does not read it.
+    compound assignment onto it even if the expression does not read it.  ``tiled`` says whether
+    contractions of two tensors are worked out on tiles; None: where they have much to do.
     """
     out = statement.output
     if old is not None:
+        old = dense(old)
         hint = old.shape
     sizes = bind_sizes(statement, tensors, hint)
     shape = output_shape(statement, sizes, hint)
@@ -237,6 +242,11 @@ def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[i
     dtype = output_dtype(statement, tensors, old)
     loose = any(tensors[r.name].dtype == "float" for r in statement.reads)
     reduced = [c for c in statement.index_variables if c not in out.letters]
+    if any(tensors[r.name].sparse for r in statement.reads):
+        made = None if own or accumulate or old is not None else _stored(statement, tensors, sizes, reduced, loose, spark)
+        if made is not None:
+            return _write_stored(made, statement, sizes, shape, dtype)
+        tensors = {n: dense(t) for n, t in tensors.items()}
     if own:
         cells = _loop(statement, tensors, sizes, reduced, old, loose, spark)
     elif accumulate:
@@ -244,7 +254,7 @@ def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[i
     elif statement.kind == "=":
         cells = _last(statement, tensors, sizes, reduced, loose, spark)
     else:
-        cells = _reduce(statement, tensors, sizes, reduced, loose, spark)
+        cells = _reduce(statement, tensors, sizes, reduced, loose, spark, tiled)
     return _write(cells, statement, sizes, shape, dtype, old, spark)
 
 
@@ -273,8 +283,16 @@ def _finish(kind: str, total: Column) -> Column:
     return {"+=": total, "-=": -total, "*=": total, "/=": divide(F.lit(0.0), total)}[kind]
 
 
-def _reduce(statement: Statement, tensors, sizes, reduced, loose, spark) -> Table:
+def _reduce(statement: Statement, tensors, sizes, reduced, loose, spark, tiled: bool | None = None) -> Table:
     letters, names = list(statement.output.letters), _names(statement)
+    plan = tiles.recognise(statement, loose) if tiled is not False else None
+    if plan is not None and (tiled or math.prod(sizes[c] for c in statement.index_variables) >= tiles.LEAST_WORK):
+        sides = [read_rows(r, tensors[r.name], sizes, {}, names[r]) for r in (plan.left, plan.right)]
+        made = tiles.contract(plan, sides[0].frame, sides[1].frame, sizes, (names[plan.left], names[plan.right]))
+        return Table(made.select(*letters, _finish(statement.kind, F.col("x")).alias("x")), tuple(letters), math.prod(sizes[c] for c in letters))
+    mask = ranges.recognise(statement)
+    if mask is not None:
+        return _ordered(statement, mask, tensors, sizes, spark)
     if statement.kind in ("+=", "-="):
         parts = factors(statement.expression)
         if parts is not None and sum(not isinstance(p, Number) for p in parts) > 0:
@@ -285,6 +303,63 @@ def _reduce(statement: Statement, tensors, sizes, reduced, loose, spark) -> Tabl
     return _aggregate(statement.kind, rows.frame.select(*letters, value.alias("x")), letters, reduced, rows.cells)
 
 
+def _stored(statement: Statement, tensors, sizes, reduced, loose, spark) -> Table | None:
+    """A statement over stored cells; None if it does not vanish where nothing is stored."""
+    letters, names = list(statement.output.letters), _names(statement)
+    if statement.kind not in ("=", "+=", "-="):
+        return None
+
+    def stored(r: Read) -> bool:
+        return tensors[r.name].sparse
+
+    clauses = sparse.support(statement.expression, stored)
+    if frozenset() in clauses or not clauses:
+        return None
+    parts = factors(statement.expression)
+    if statement.kind != "=" and parts is not None and not any(_mask(p) for p in parts):
+        table = _contract(statement, parts, tensors, sizes, letters, loose, spark)
+        x = F.col("x") if letters else F.coalesce("x", F.lit(0.0))
+        return Table(table.frame.select(*letters, _finish(statement.kind, x).alias("x")), tuple(letters), table.cells)
+    fixed = {c: sizes[c] - 1 for c in reduced} if statement.kind == "=" else {}
+    kept = [c for c in statement.index_variables if c not in fixed]
+    reads = {r: (t.frame, t.letters, names[r]) for r in statement.reads for t in [read_rows(r, tensors[r.name], sizes, fixed, names[r])]}
+
+    def extended(frame: DataFrame, own: tuple[str, ...], wanted: list[str]) -> DataFrame:
+        return domain(Table(frame, own, math.prod(sizes[c] for c in own)), wanted, sizes, spark).frame
+
+    rows = sparse.rows(clauses, reads, stored, kept, extended)
+    value = to_column(statement.expression, lambda r: F.col(names[r]), lambda c: F.lit(fixed[c]) if c in fixed else F.col(c), loose)
+    cells = math.prod(sizes[c] for c in letters)
+    if statement.kind == "=":
+        return Table(rows.select(*letters, value.alias("x")), tuple(letters), cells)
+    total = sparse.summed(rows, letters, value)
+    return Table(total.select(*letters, _finish(statement.kind, F.col("x")).alias("x")), tuple(letters), cells)
+
+
+def _write_stored(cells: Table, statement: Statement, sizes, shape, dtype: str) -> Tensor:
+    """Rows of index variables as the stored cells of the output."""
+    place = [F.lit(s).cast("bigint") if isinstance(s, int) else joined_position(s, sizes) for s in statement.output.subscripts]
+    made = cells.frame.select(*(p.alias(f"d{k}") for k, p in enumerate(place)), store(F.col("x"), dtype).alias("v"))
+    return Tensor(made, tuple(shape), dtype, sparse=bool(place))
+
+
+def _ordered(statement: Statement, mask: ranges.Ordering, tensors, sizes, spark) -> Table:
+    """A sum of weights over an ordering mask: looked up in sorted runs."""
+    letters, keys = list(statement.output.letters), list(mask.keys)
+    x = read_rows(mask.x, tensors[mask.x.name], sizes, {}, "v")
+    weight, points = F.lit(1.0), x
+    for k, r in enumerate(mask.weights):
+        points = join(points, read_rows(r, tensors[r.name], sizes, {}, f"w{k}"), sizes)
+        weight = weight * F.col(f"w{k}")
+    y = read_rows(mask.y, tensors[mask.y.name], sizes, {}, "v")
+    totals = ranges.sums(points.frame.select(*keys, "v", weight.alias("w")), y.frame.select(*keys, "v"), keys, mask.operator, x.cells + y.cells)
+    both = Table(y.frame.join(totals, [*keys, "v"], "left").select(*letters, (F.coalesce("total", F.lit(0.0)) * mask.scale).alias("x")), tuple(letters), y.cells)
+    for k, r in enumerate(mask.factors):
+        both = join(both, read_rows(r, tensors[r.name], sizes, {}, f"u{k}"), sizes)
+        both = Table(both.frame.select(*letters, (F.col("x") * F.col(f"u{k}")).alias("x")), both.letters, both.cells)
+    return Table(both.frame.select(*letters, _finish(statement.kind, F.col("x")).alias("x")), tuple(letters), both.cells)
+
+
 def _onto(statement: Statement, tensors, sizes, reduced, old: Tensor, loose, spark) -> Table:
     """A compound assignment onto earlier values that its expression does not read: one aggregate, then one join."""
     total = "+=" if statement.kind in ("+=", "-=") else "*="
@@ -372,7 +447,8 @@ def _presum(table: Table, letters: list[str], others: list[Table]) -> Table:
 def _loop(statement: Statement, tensors, sizes, reduced, old: Tensor | None, loose, spark) -> Table:
     """A statement that reads the cell it writes: steps in the order of the reduced variables.
 
-    Each output cell gathers its own steps, so a cell's reduced range has to fit into one task.
+    Short ranges are folded in one array for each output cell, long ones composed from parts or
+    streamed (:mod:`tessellum.operators.folds`).
     """
     letters, names, out = list(statement.output.letters), _names(statement), statement.output
     start = old if old is not None else tensors[out.name]
@@ -383,22 +459,41 @@ def _loop(statement: Statement, tensors, sizes, reduced, old: Tensor | None, loo
     rows = domain(joined, [*reduced], sizes, spark) if reduced or joined else None
 
     def step(acc: Column, value: Callable[[Read], Column], index: Callable[[str], Column]) -> Column:
-        new = to_column(statement.expression, lambda r: acc if r.name == out.name else value(r), index, loose)
-        return {"=": lambda: new, "+=": lambda: acc + new, "-=": lambda: acc - new, "*=": lambda: acc * new, "/=": lambda: divide(acc, new)}[statement.kind]()
+        return to_column(folds.step_of(statement), lambda r: acc if r.name == out.name else value(r), index, loose)
 
     if not reduced:
         both = join(state, rows, sizes) if rows is not None else state
         both = domain(both, letters, sizes, spark)
         return Table(both.frame.select(*letters, step(F.col("state"), lambda r: F.col(names[r]), F.col).alias("x")), tuple(letters), both.cells)
+    steps = math.prod(sizes[c] for c in reduced)
+    if steps > folds.CHUNK:
+        return _long_loop(statement, rows, state, sizes, reduced, steps, names, loose, spark)
     keys = [c for c in letters if c in rows.letters]
     each = F.struct(*(F.col(c) for c in reduced), *(F.col(names[r]) for r in others))
-    steps = rows.frame.groupBy(*keys).agg(F.array_sort(F.collect_list(each)).alias("steps")) if keys else rows.frame.agg(F.array_sort(F.collect_list(each)).alias("steps"))
-    both = join(state, Table(steps, tuple(keys), math.prod(sizes[c] for c in keys)), sizes)
+    listed = F.array_sort(F.collect_list(each)).alias("steps")
+    gathered = rows.frame.groupBy(*keys).agg(listed) if keys else rows.frame.agg(listed)
+    both = join(state, Table(gathered, tuple(keys), math.prod(sizes[c] for c in keys)), sizes)
     both = domain(both, letters, sizes, spark)
     folded = F.aggregate("steps", F.col("state"), lambda acc, s: step(acc, lambda r: s[names[r]], lambda c: s[c] if c in reduced else F.col(c)))
     return Table(both.frame.select(*letters, folded.alias("x")), tuple(letters), both.cells)
 
 
+def _long_loop(statement: Statement, rows: Table, state: Table, sizes, reduced, steps: int, names, loose, spark) -> Table:
+    """The same where one cell's steps are too many for an array."""
+    letters, out = list(statement.output.letters), statement.output
+    at = joined_position("".join(reduced), sizes)
+    if folds.form(statement) == "loop":
+        both = domain(join(state, rows, sizes), letters, sizes, spark)
+        return Table(folds.streamed(statement, both.frame, letters, at, names, loose), tuple(letters), state.cells)
+    # Index variables of the output that a step computes with belong to its key.
+    used = [n.name for n in walk(statement.expression) if isinstance(n, Index)]
+    rows = domain(rows, [c for c in dict.fromkeys(used) if c in letters], sizes, spark)
+    keys = [c for c in letters if c in rows.letters]
+    made, result = folds.composed(statement, rows.frame, keys, at, steps, lambda node: to_column(node, lambda r: F.col(names[r]), F.col, loose))
+    both = domain(join(state, Table(made, tuple(keys), math.prod(sizes[c] for c in keys)), sizes), letters, sizes, spark)
+    return Table(both.frame.select(*letters, result(F.col("state")).alias("x")), tuple(letters), both.cells)
+
+
 def _write(cells: Table, statement: Statement, sizes, shape, dtype: str, old: Tensor | None, spark) -> Tensor:
     """Rows of index variables as cells of the output; cells that are not written keep their value, or are 0."""
     out = statement.output

@@ -58,11 +58,12 @@ class Program:
         best = max(self.statements, key=lambda s: s.op_count)
         return best.op_count, best.line
 
-    def execute(self, inputs: dict[str, Tensor], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None) -> dict[str, Tensor]:
+    def execute(self, inputs: dict[str, Tensor], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None, tiled: bool | None = None) -> dict[str, Tensor]:
         """All tensors by name, the inputs included.  Nothing runs until a frame is used.
 
         Shapes are inferred; ``shape_hints`` override and are needed only for index ranges that no
-        tensor fixes.  A name stands for its latest value at each statement.
+        tensor fixes.  A name stands for its latest value at each statement.  ``tiled`` as in
+        :func:`tessellum.operators.lowering.lower`.
         """
         spark = spark or SparkSession.getActiveSession()
         hints = dict(shape_hints or {})
@@ -83,11 +84,11 @@ class Program:
             hint = None if old is not None else hints.get(name)
             if hint is None and old is None and name in now and len(now[name].shape) == len(s.output.subscripts):
                 try:
-                    now[name] = lower(s, now, spark, None, None)
+                    now[name] = lower(s, now, spark, None, None, tiled=tiled)
                     continue
                 except ValueError:
                     hint = now[name].shape
-            now[name] = lower(s, now, spark, hint, old)
+            now[name] = lower(s, now, spark, hint, old, tiled=tiled)
         return now
 
     def iterate(self, inputs: dict[str, Tensor], rounds: int, carried: tuple[str, ...], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None) -> dict[str, Tensor]:

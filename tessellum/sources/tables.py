@@ -13,7 +13,7 @@ from tessellum.tensor import Tensor
 
 def write_tensor(tensor: Tensor, path: str, mode: str = "errorifexists") -> None:
     """Write the cells; shape and type travel as metadata of column v."""
-    named = tensor.frame.withMetadata("v", {"shape": list(tensor.shape), "dtype": tensor.dtype})
+    named = tensor.frame.withMetadata("v", {"shape": list(tensor.shape), "dtype": tensor.dtype, "sparse": tensor.sparse})
     named.write.mode(mode).parquet(path)
 
 
@@ -24,7 +24,7 @@ def read_tensor(spark: SparkSession, path: str) -> Tensor:
     if "shape" not in meta:
         raise ValueError(f"{path} does not hold a tensor")
     order = len(meta["shape"])
-    return Tensor(frame.select(*(F.col(f"d{k}") for k in range(order)), "v"), tuple(meta["shape"]), meta["dtype"])
+    return Tensor(frame.select(*(F.col(f"d{k}") for k in range(order)), "v"), tuple(meta["shape"]), meta["dtype"], sparse=meta.get("sparse", False))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
 def settled(tensor: Tensor) -> Tensor:
     """A tensor computed once, its lineage cut by a reliable checkpoint."""
     shared_root(tensor.frame.sparkSession)
-    return Tensor(tensor.frame.checkpoint(eager=True), tensor.shape, tensor.dtype)
+    return Tensor(tensor.frame.checkpoint(eager=True), tensor.shape, tensor.dtype, sparse=tensor.sparse)
 
 
 def write_results(results: dict[str, Tensor], path: str, mode: str = "errorifexists") -> None:

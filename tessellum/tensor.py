@@ -1,7 +1,7 @@
 """Dense tensors as coordinate DataFrames.
 
 A tensor of order r is a frame ``d0 BIGINT, ..., d{r-1} BIGINT, v`` with one row for each cell, and
-its shape and type as metadata on the driver.
+its shape and type as metadata on the driver.  A sparse one has rows for some cells only.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ class Tensor:
     dtype: str = "double"
     #: The same cells as (d0, array of the last axis), where the source has them so.
     arrays: DataFrame | None = None
+    #: Whether only some cells have rows; the others are 0.
+    sparse: bool = False
 
     @property
     def order(self) -> int:
@@ -74,13 +76,30 @@ def from_array_column(frame: DataFrame, row: str, values: str, shape: Sequence[i
     return Tensor(cells.select("d0", F.col("p").cast("bigint").alias("d1"), F.col("x").cast(dtype).alias("v")), tuple(map(int, shape)), dtype, arrays)
 
 
-def from_sparse(frame: DataFrame, indices: Sequence[str], value: str | Column, shape: Sequence[int], dtype: str = "double") -> Tensor:
-    """A tensor from some cells: values of equal cells are added up, cells without a row are 0."""
+def from_cells(frame: DataFrame, indices: Sequence[str], value: str | Column, shape: Sequence[int], dtype: str = "double") -> Tensor:
+    """A sparse tensor: only the given cells are stored, values of equal cells added up; the others are 0."""
     v = F.col(value) if isinstance(value, str) else value
     keys = [f"d{k}" for k in range(len(indices))]
-    cells = frame.select(*(F.col(c).cast("bigint").alias(k) for c, k in zip(indices, keys, strict=True)), v.cast("double").alias("x")).groupBy(*keys).agg(F.sum("x").alias("x"))
-    grid = coordinates(frame.sparkSession, shape)
-    return Tensor(grid.join(cells, keys, "left").select(*keys, F.coalesce("x", F.lit(0.0)).cast(dtype).alias("v")), tuple(map(int, shape)), dtype)
+    placed = frame.select(*(F.col(c).cast("bigint").alias(k) for c, k in zip(indices, keys, strict=True)), v.cast("double").alias("x"))
+    cells = placed.groupBy(*keys).agg(F.sum("x").alias("x"))
+    return Tensor(cells.select(*keys, F.col("x").cast(dtype).alias("v")), tuple(map(int, shape)), dtype, sparse=True)
+
+
+def dense(tensor: Tensor) -> Tensor:
+    """The same tensor with a row for each cell."""
+    if not tensor.sparse:
+        return tensor
+    keys = [f"d{k}" for k in range(tensor.order)]
+    zero = F.lit(False) if tensor.dtype == "boolean" else F.lit(0).cast(tensor.dtype)
+    if not keys:
+        return Tensor(tensor.frame.agg(F.coalesce(F.max("v"), zero).alias("v")), (), tensor.dtype)
+    grid = coordinates(tensor.frame.sparkSession, tensor.shape)
+    return Tensor(grid.join(tensor.frame, keys, "left").select(*keys, F.coalesce("v", zero).alias("v")), tensor.shape, tensor.dtype)
+
+
+def from_sparse(frame: DataFrame, indices: Sequence[str], value: str | Column, shape: Sequence[int], dtype: str = "double") -> Tensor:
+    """A dense tensor from some cells: values of equal cells are added up, cells without a row are 0."""
+    return dense(from_cells(frame, indices, value, shape, dtype))
 
 
 def from_values(spark: SparkSession, values, dtype: str = "double") -> Tensor:
