@@ -102,10 +102,10 @@ class Planes:
     def values(self) -> np.ndarray:
         if self.wide:
             return self.raw
-        out = np.zeros((self.dims, self.n))
+        out = np.zeros((self.dims, self.n), np.int64)
         for b in range(self.bits):
-            out += self.weight(b) * self.plane(b).astype(float)
-        return out.T
+            out += self.weight(b) * self.plane(b).astype(np.int64)
+        return out.T.astype(float)
 
 
 def _kth(values: np.ndarray, inside: np.ndarray, k: int) -> np.ndarray:

@@ -3,13 +3,16 @@
 1. *Signatures.*  Two permutations of the 32-bit universe of n-gram hashes make all coordinates: the
    first scatters the set once, the second is shifted circularly, coordinate k being the least
    ``second(first(x) + k mod 2**32)`` of the set.
-2. *Bands.*  Forty bands of four coordinates.  Two sets of similarity 0.8 share no band with a
-   probability of 7e-10, of 0.9 with 6e-19.  Equal sets are one class beforehand.
-3. *Candidates.*  In each bucket all classes are compared with one leader, which unites large families
-   at linear cost; buckets that still hold several components have a second leader; what then is left
-   apart in a bucket is compared in pairs.  Nothing is capped.
-4. *Verification.*  A pair whose signatures agree in less than 88 of 160 coordinates is dropped, which
-   a pair at the threshold does with a probability under 1e-12; all others are decided by the exact
+2. *Bands.*  48 bands of four coordinates.  Two sets of similarity 0.8 share no band with a
+   probability of 1e-11, of 0.9 with 6e-23.  Equal sets are one class beforehand.
+3. *Candidates.*  In each bucket all classes are compared with one leader, the one that shares buckets
+   with most others, which unites large families at linear cost; buckets that still hold several components
+   have a second leader from another one.  What is left in mixed buckets, such as strongly edited copies
+   of one text, no two of which reach the threshold, would meet in pairs by the thousand; there a band is
+   not enough, and two classes of different components have to share one of their rarest n-grams too,
+   as sets at the threshold must.  Nothing is capped.
+4. *Verification.*  A pair whose signatures agree in less than 105 of 192 coordinates is dropped, which
+   a pair at the threshold does with a probability under 1e-13; all others are decided by the exact
    intersection of their whole sets.
 
 Nulls and texts without words have an empty set and are linked with nothing; a text of fewer words
@@ -28,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm import storage
-from tessellum.llm.ngram_join import _prints, components, document_shingles
+from tessellum.llm.ngram_join import _prints, components, document_shingles, least
 from tessellum.llm.textcore import Words, bounded, chunks, mix
 
-BANDS, ROWS = 40, 4
+BANDS, ROWS = 48, 4
 #: Coordinates of two signatures that have to agree before whole sets are compared.
-AGREE = 88
+AGREE = 105
 #: N-grams that are hashed at once: their buffers stay in a core's cache.
 _BLOCK = 1 << 14
 _SIGNED = "row_id binary, text_key long, n_shingles long, print_a long, print_b long, keys binary, marks binary"
@@ -144,24 +147,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = bounded(docs).select(F.col(id_col).cast("string").cast("binary").alias("row_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     signed = storage.table(given.mapInArrow(_sign(size, bands, rows), _SIGNED).withColumn(id_col, F.col("row_id").cast("string").cast(docs.schema[id_col].dataType)).drop("row_id"), "signed")
     named = ["print_a", "print_b", "n_shingles"]
-    least = [F.min(id_col).alias("first_id"), F.coalesce(F.min_by("text_key", id_col), F.min("text_key")).alias("text_key")]
-    classes = signed.where("n_shingles > 0").groupBy(*named).agg(*least, F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+    first = [F.min(id_col).alias("first_id"), F.coalesce(F.min_by("text_key", id_col), F.min("text_key")).alias("text_key")]
+    classes = signed.where("n_shingles > 0").groupBy(*named).agg(*first, F.first("keys").alias("keys"), F.first("marks").alias("marks"))
     # Numbers hold once they are written.
     classes = storage.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     listed = classes.select("node", F.col("n_shingles").alias("n"), "keys").mapInArrow(_posted, "key long, node long, n long")
-    rank = F.struct(F.xxhash64("node"), "node", "n")
-    leads = listed.groupBy("key").agg(F.count("*").alias("size"), F.min(rank).alias("lead")).where("size > 1").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
-    posted = storage.table(listed.join(leads, "key"), "posted")
-    near = posted.select("node").distinct()
+    sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    posted = storage.table(listed.join(sizes, "key"), "posted")
+    near = storage.table(posted.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    rank = F.struct("weight", F.xxhash64("node"), "node", "n")
+    leads = posted.join(near, "node").groupBy("key").agg(F.max(rank).alias("lead"))
 
-    wanted = classes.join(near, "node", "left_semi").select(F.col("first_id").alias("wanted_id"), F.col("text_key").alias("wanted_key"), "node", "print_a", "print_b")
+    wanted = classes.join(near.select("node"), "node", "left_semi").select(F.col("first_id").alias("wanted_id"), F.col("text_key").alias("wanted_key"), "node", "print_a", "print_b")
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own_key"))
     # A class whose rows have no id is found by its text.  The plan is the same at every size.
     texts = own.join(wanted.hint("merge"), F.col("own_id").eqNullSafe(F.col("wanted_id")) & (F.col("own_key") == F.col("wanted_key")))
     made = texts.select("node", "text", "print_a", "print_b").mapInArrow(_sets(size), "node long, grams array<long>")
     sets = storage.table(made.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
-    marks = classes.join(near, "node", "left_semi").select("node", "marks")
+    marks = classes.join(near.select("node"), "node", "left_semi").select("node", "marks")
 
     def compare(met: DataFrame) -> DataFrame:
         """Links among pairs (x, n_x, y, n_y)."""
@@ -179,23 +183,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         counted = whole.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common"))
         return storage.cut(counted.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
 
-    def mixed(grouped: DataFrame) -> DataFrame:
-        """Rows of buckets that hold several components."""
-        now = posted.join(grouped, "node").select("key", F.struct("component", "node", "n").alias("own"))
-        several = now.groupBy("key").agg(F.min("own.component").alias("low"), F.max("own.component").alias("high")).where("low <> high").select("key")
+    def mixed(listed: DataFrame, grouped: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components, with their component."""
+        now = listed.select("key", "node", "n").join(grouped, "node")
+        several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         return now.join(several, "key", "left_semi")
 
-    links = compare(posted.select(F.col("lead").alias("x"), F.col("lead_n").alias("n_x"), F.col("node").alias("y"), F.col("n").alias("n_y")))
-    grouped = components(near, links)
-    apart = storage.table(mixed(grouped), "mixed")
-    other = F.struct(F.xxhash64("own.node", F.lit(1)), "own")
-    heads = apart.groupBy("key").agg(F.min(other).alias("lead")).select("key", F.col("lead.own").alias("lead"))
-    stars = apart.join(heads, "key").where("own.component <> lead.component")
-    links = links.union(compare(stars.select(F.col("lead.node").alias("x"), F.col("lead.n").alias("n_x"), F.col("own.node").alias("y"), F.col("own.n").alias("n_y"))))
-    grouped = components(near, links)
-    rest = storage.table(mixed(grouped), "rest")
-    met = rest.select("key", F.col("own").alias("p")).join(rest.select("key", F.col("own").alias("q")), "key").where("p.component < q.component")
-    grouped = components(near, links.union(compare(met.select(F.col("p.node").alias("x"), F.col("p.n").alias("n_x"), F.col("q.node").alias("y"), F.col("q.n").alias("n_y")))))
+    def stars(rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket's best connected class outside the component of the best of all, and the others."""
+        ranked = rows.join(near, "node").withColumn("own", F.struct("weight", F.xxhash64("node"), "node", "n", "component"))
+        best = ranked.groupBy("key").agg(F.max("own").alias("first"))
+        second = ranked.join(best, "key").where("own.component <> first.component").groupBy("key").agg(F.max("own").alias("lead"))
+        met = ranked.join(second, "key").where("own.component <> lead.component")
+        return met.select(F.col("lead.node").alias("x"), F.col("lead.n").alias("n_x"), F.col("node").alias("y"), F.col("n").alias("n_y"))
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        """Pairs of different components that share one of their rarest n-grams, counted over ``rows``."""
+        held = rows.select("node", "n", "component").distinct().join(sets, "node").select("node", "n", "component", F.explode("grams").alias("gram"))
+        # Only what two components have can be common to a pair; the rest counts as rarer than anything.
+        often = held.groupBy("gram").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        lists = held.join(often.select("gram", "df"), "gram").groupBy("node", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+        ahead = F.size("grams") - least(F.col("n"), percent) + 1
+        prefix = lists.where(ahead > 0).select("node", "n", "component", (F.col("n") - F.size("grams")).alias("unshared"), F.posexplode(F.slice("grams", F.lit(1), ahead.cast("int"))).alias("i", "key"))
+        rare = storage.table(prefix.select(F.col("key.gram").alias("gram"), F.struct("node", "n", "component", (F.col("unshared") + F.col("i")).alias("before")).alias("own")), "rare")
+        met = rare.select("gram", F.col("own").alias("p")).join(rare.select("gram", F.col("own").alias("q")), "gram").where("p.component < q.component")
+        # With so many smaller n-grams before a common one, enough may not follow.
+        total = percent * (F.col("p.n") + F.col("q.n"))
+        fits = met.where(((100 + percent) * (F.col("p.n") - F.col("p.before")) >= total) & ((100 + percent) * (F.col("q.n") - F.col("q.before")) >= total))
+        return fits.select(F.col("p.node").alias("x"), F.col("p.n").alias("n_x"), F.col("q.node").alias("y"), F.col("q.n").alias("n_y"))
+
+    every = near.select("node")
+    links = compare(posted.join(leads, "key").select(F.col("lead.node").alias("x"), F.col("lead.n").alias("n_x"), F.col("node").alias("y"), F.col("n").alias("n_y")))
+    apart = storage.table(mixed(posted, components(every, links)), "apart")
+    links = links.union(compare(stars(apart)))
+    left = storage.table(mixed(apart, components(every, links)), "left")
+    grouped = components(every, links.union(compare(pairs(left))))
 
     told = grouped.join(classes.select("node", "first_id", *named), "node")
     best = told.groupBy("component").agg(F.min("first_id").alias("least_id"))
