@@ -24,7 +24,6 @@ Values are whole numbers where sums are compared, so results do not depend on th
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +35,6 @@ from tessellum.layout import MultiAxisLayout, SlabLayout, TileLayout, products
 from tessellum.layout.axis import index_columns, linear_column, max_block_size, splits_frame
 from tessellum.layout.base import Layout
 from tessellum.layout.multi_axis import move
-from tessellum.plans import IdealLowerBounds, NaivePlanner, SearchPlanner, schedule_frame
 from tessellum.plans.cost import lower_bound_columns
 from tessellum.program import compile as compile_program
 from tessellum.tensor import Tensor, coordinates, from_array_column, from_cells, from_sparse
@@ -143,13 +141,13 @@ def _with(names: str, body: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({TABLES[n]})" for n in names) + " " + body
 
 
-def program(name: str, code: str, output: str, names: str, body: str | None, hints: Callable[[dict[str, Tensor]], dict] | None = None, digits: int | None = None, tiled: bool | None = None) -> None:
+def program(name: str, code: str, output: str, names: str, body: str | None, hints: Callable[[dict[str, Tensor]], dict] | None = None, digits: int | None = None, tiled: bool | None = None, exact: bool = False) -> None:
     """Register a program over some inputs; ``digits`` rounds results of transcendental functions."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = Inputs(spark, sf_dir)
         tensors = {n: getattr(made, n)() for n in names}
-        out = compile_program(code).execute(tensors, hints(tensors) if hints else None, spark, tiled)[output]
+        out = compile_program(code).execute(tensors, hints(tensors) if hints else None, spark, tiled, exact)[output]
         value = F.col("v") if digits is None else F.round("v", digits)
         return out.frame.select(*(f"d{k}" for k in range(out.order)), value.alias("v"))
 
@@ -280,7 +278,7 @@ for _name, _code, _out, _names in (("gram", "G[k,l] += S[j,k] * S[j,l]", "G", "S
     program(f"{_name}_tiles", _code, _out, _names, None, tiled=True)
     ORACLES[f"{_name}_tiles"] = ORACLES[_name]
 program("vector_products", "G[i,j] += S[i,k] * S[j,k]", "G", "S", "SELECT a.d0, b.d0 AS d1, SUM(a.v * b.v) AS v FROM S a JOIN S b ON a.d1 = b.d1 GROUP BY 1, 2", tiled=True)
-program("equal_counts", "G[i,j] += (N[i,k] == N[j,k])", "G", "N", "SELECT a.d0, b.d0 AS d1, SUM(CASE WHEN a.v = b.v THEN 1.0 ELSE 0.0 END) AS v FROM N a JOIN N b ON a.d1 = b.d1 GROUP BY 1, 2", tiled=True)
+program("equal_counts", "G[i,j] += (N[i,k] == N[j,k])", "G", "N", "SELECT a.d0, b.d0 AS d1, CAST(SUM(CASE WHEN a.v = b.v THEN 1 ELSE 0 END) AS DOUBLE) AS v FROM N a JOIN N b ON a.d1 = b.d1 GROUP BY 1, 2", tiled=True)
 
 # Loops over whole tables with one state, or few.
 
@@ -306,6 +304,13 @@ program("larger_sales", "R[i] += (P[j] >= P[i]) * P[j]", "R", "P", "SELECT a.d0,
 program("ranks_by_dimension", "R[j,k] -= (S[i,k] > S[j,k]) * 2", "R", "S", "SELECT d0, d1, CAST(-2 * (rank() OVER (PARTITION BY d1 ORDER BY v DESC) - 1) AS DOUBLE) AS v FROM S")
 program("sizes_times_ranks", "R[i] += (Z[j] < Z[i]) * Z[i]", "R", "Z", "SELECT d0, CAST((rank() OVER (ORDER BY v) - 1) * v AS DOUBLE) AS v FROM Z")
 
+# Sums of numbers of very different size, whose digits do not fit into one double on the way.
+
+_WIDE = "CAST(CAST(SUM(CAST(v AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(8 * d1 AS INT)) * (CASE WHEN d0 % 2 = 0 THEN 1 ELSE -3 END)) AS VARCHAR) AS DOUBLE)"
+_SIGNED = "D[i,j] * (256 ^ j) * (1 - (4 * (i - (2 * floor(i / 2)))))"
+program("exact_total", f"R += {_SIGNED}", "R", "D", f"SELECT {_WIDE} AS v FROM D", exact=True)
+program("exact_column_sums", f"R[j] -= {_SIGNED}", "R", "D", f"SELECT d1 AS d0, -{_WIDE} AS v FROM D GROUP BY 1", exact=True)
+
 # Kernels.
 
 _KMEANS = """
@@ -330,6 +335,8 @@ ORACLES["kmeans_labels"] = _with("SC", "").rstrip() + ", " + _KMEANS_SQL + " SEL
 program("kmeans_step", _KMEANS, "Update", "SC", None, _kmeans_hints)
 ORACLES["kmeans_step"] = _with("SC", "").rstrip() + ", " + _KMEANS_SQL + " SELECT r.range AS d0, c.range AS d1, COALESCE(q.v, 0.0) AS v FROM range(10) r CROSS JOIN range(64) c LEFT JOIN (SELECT B.label AS i, S.d1 AS j, SUM(S.v) AS v FROM S JOIN B ON S.d0 = B.j GROUP BY 1, 2) q ON q.i = r.range AND q.j = c.range"
 program("softmax", "E[i] += exp(V[i] * 0)\nD += exp(V[i])\nR[i] = exp(V[i]) / D", "R", "V", "SELECT d0, round(exp(v) / (SELECT SUM(exp(v)) FROM V), 9) AS v FROM V", digits=9)
+# Exponents in the thousands: the sum is infinite, the shares are not.
+program("softmax_large", "E[j] += exp(D[i,j] * 40)\nR[i,j] = exp(D[i,j] * 40) / E[j]", "R", "D", "SELECT d0, d1, round(exp(v * 40 - m) / SUM(exp(v * 40 - m)) OVER (PARTITION BY d1), 9) AS v FROM (SELECT *, MAX(v * 40) OVER (PARTITION BY d1) AS m FROM D)", digits=9)
 _ATTENTION = """
 Q[i,k] += T[i,j] * C[j,k]
 K[i,k] += T[j,i] * C[j,k]
@@ -504,130 +511,15 @@ PROBLEMS = {
 ALPHA, BETA = 1e-6, 64 / 200e9
 
 
-@query("naive_plan_cost", "SELECT CAST(problem AS INT) AS problem, round(CAST(ceil(log2(p)) AS DOUBLE) * 1e-6 + (p - 1) * n / p * 3.2e-10, 9) AS cost FROM (VALUES (1, 8.0::DOUBLE, 5.12e9), (2, 32.0::DOUBLE, 1.28e9), (3, 8.0::DOUBLE, 1.0e9)) t(problem, p, n)")
-def naive_plan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gather and split, for the three problems."""
-    planner = NaivePlanner(IdealLowerBounds(), ALPHA, BETA)
-    return spark.createDataFrame([(k, round(planner.plan(*p)[1], 9)) for k, p in PROBLEMS.items()], "problem int, cost double")
-
-
-def _rounded(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("cost", F.round("cost", 9))
-
-
-@query("naive_schedule", _values("step:INT op layout cost:DOUBLE", (0, "", "D_[2,4]⊥{0,1}(5000000,128)", 0.0), (1, "allgather_*", "D_[2,4]⊥{∅,∅}(∅,∅)", 1.433603), (2, "split_*", "D_[2,4]⊥{(0,1),∅}(1250000,∅)", 0.0)))
-def naive_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape, start, target = PROBLEMS[1]
-    return _rounded(schedule_frame(spark, NaivePlanner(IdealLowerBounds(), ALPHA, BETA).plan(shape, start, target)[0]))
-
-
-@query("search_schedule", _values("step:INT op layout cost:DOUBLE", (0, "", "D_[4,4,2]⊥{0,∅,∅,(1,2)}(1,∅,∅,1)", 0.0), (1, "alltoall_mf_3_2_100", "D_[4,4,2]⊥{0,∅,2,1}(1,∅,100,2)", 0.012801), (2, "alltoall_3_1_100", "D_[4,4,2]⊥{0,1,2,∅}(1,100,100,∅)", 0.038402)))
-def search_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape, start, target = PROBLEMS[2]
-    planner = SearchPlanner(IdealLowerBounds(), ALPHA, BETA, path_weight=1.02, max_depth=6, top_k=15)
-    return _rounded(schedule_frame(spark, planner.plan(shape, start, target)[0]))
-
-
-#: The best costs and steps at ideal bounds: with one route kept, problem 3 takes a detour.
-_GRID = {(1, 1): (0.614402, 2), (1, 15): (0.614402, 2), (2, 1): (0.051203, 2), (2, 15): (0.051203, 2), (3, 1): (0.360004, 5), (3, 15): (0.280003, 4)}
-
-
-@query("planner_grid", _values("problem:INT path_weight:DOUBLE top_k:INT cost:DOUBLE steps:BIGINT", *((p, w, k, *found) for (p, k), found in _GRID.items() for w in (0.5, 1.02, 2.0))))
-def planner_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(problem, path_weight, top_k, cost, steps) over a grid of the planner's settings, searched on the executors."""
-    grid = spark.createDataFrame(list(itertools.product(PROBLEMS, (0.5, 1.02, 2.0), (1, 15))), "problem int, path_weight double, top_k int").repartition(6)
-
-    def search(rows):
-        for frame in rows:
-            out = frame.copy()
-            found = [SearchPlanner(IdealLowerBounds(), ALPHA, BETA, path_weight=w, max_depth=6, top_k=int(k)).plan(*PROBLEMS[p]) for p, w, k in zip(frame.problem, frame.path_weight, frame.top_k, strict=True)]
-            out["cost"], out["steps"] = [c for _, c in found], [len(s) - 1 for s, _ in found]
-            yield out
-
-    return _rounded(grid.mapInPandas(search, "problem int, path_weight double, top_k int, cost double, steps long"))
-
-
-def _neighbours_sql() -> str:
-    """Volumes by hand: a rank of problem 2 holds 4e7 cells, and a collective moves those of all its processors."""
-    start, rows = "D_[4,4,2]⊥", [("allgather_*", "{∅,∅,∅,∅}(∅,∅,∅,∅)", 32), ("allgather_0", "{∅,∅,∅,(1,2)}(∅,∅,∅,1)", 4), ("allgather_1", "{0,∅,∅,2}(1,∅,∅,1)", 4), ("allgather_2", "{0,∅,∅,1}(1,∅,∅,2)", 2)]
-    for block, shown in ((-1, 1), (1, 1), (100, 100)):
-        rows += [(f"alltoall_0_1_{block}", f"{{∅,0,∅,(1,2)}}(∅,{shown},∅,1)", 4), (f"alltoall_0_2_{block}", f"{{∅,∅,0,(1,2)}}(∅,∅,{shown},1)", 4)]
-        rows += [(f"alltoall_3_0_{block}", "{(1,2,0),∅,∅,∅}(1,∅,∅,∅)", 8), (f"alltoall_mf_3_0_{block}", "{(2,0),∅,∅,1}(1,∅,∅,2)", 2)]
-        # Blocks of 100 over the 8 ranks of (1,2) need 800 cells; these axes have 400.
-        rows += [(f"alltoall_3_{k}_{block}", f"{{0,{'(1,2),∅' if k == 1 else '∅,(1,2)'},∅}}(1,{f'{shown},∅' if k == 1 else f'∅,{shown}'},∅)", 8) for k in (1, 2) if block < 100]
-        rows += [(f"alltoall_mf_3_{k}_{block}", f"{{0,{'2,∅' if k == 1 else '∅,2'},1}}(1,{f'{shown},∅' if k == 1 else f'∅,{shown}'},2)", 2) for k in (1, 2)]
-    found = [(op, start + layout, 40_000_000 * procs, procs) for op, layout, procs in rows]
-    # A change of block size counts the cells of one rank.
-    return _values("op layout volume:BIGINT procs:BIGINT", *found, ("reblock_0_100", start + "{0,∅,∅,(1,2)}(100,∅,∅,1)", 40_000_000, 4))
-
-
-_NEIGHBOURS = _neighbours_sql()
-
-
-@query("neighbours", _NEIGHBOURS)
-def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All layouts one collective away from the start of problem 2."""
-    shape, start, target = PROBLEMS[2]
-    rows = [(op, str(to), int(v), int(p)) for op, to, v, p in start.neighbours(shape, sorted({b for b in target.blocks if b > 0}))]
-    return spark.createDataFrame(rows, "op string, layout string, volume long, procs long")
-
-
 # Structure.
 
 
-@query("program_nodes", _values("node kind line:INT level:INT loops:INT ops:INT color:INT", ("S", "input", -1, 0, 0, 0, 0), ("C", "input", -1, 0, 0, 0, 0), ("0:Dist", "statement", 2, 1, 3, 2, 2), ("1:Min", "statement", 3, 1, 1, 0, 0), ("2:Labels", "statement", 4, 1, 1, 0, 0), ("3:Min", "statement", 5, 2, 2, 3, 3), ("4:Labels", "statement", 6, 3, 2, 3, 3), ("5:Count", "statement", 7, 4, 2, 1, 1), ("6:Update", "statement", 8, 4, 3, 2, 2)))
-def program_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.program_nodes(spark, compile_program(_KMEANS), "opcount")
-
-
-@query("program_edges", _values("source target variable", ("S", "0:Dist", "S"), ("C", "0:Dist", "C"), ("0:Dist", "3:Min", "Dist"), ("1:Min", "3:Min", "Min"), ("0:Dist", "4:Labels", "Dist"), ("3:Min", "4:Labels", "Min"), ("2:Labels", "4:Labels", "Labels"), ("4:Labels", "5:Count", "Labels"), ("S", "6:Update", "S"), ("4:Labels", "6:Update", "Labels")))
-def program_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.program_edges(spark, compile_program(_KMEANS))
-
-
-@query("expression_nodes", _values("id:INT parent:INT depth:INT kind label", (0, None, 0, "assign", "Labels[j] +="), (1, 0, 1, "operator", "*"), (2, 1, 2, "operator", "=="), (3, 2, 3, "tensor", "Dist[j,k]"), (4, 2, 3, "tensor", "Min[j]"), (5, 1, 2, "operator", "-"), (6, 5, 3, "index", "k"), (7, 5, 3, "tensor", "Labels[j]")))
-def expression_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.expression_nodes(spark, compile_program(_KMEANS).statements[4])
-
-
-@query("statement_stats", _values("line:INT raw loops:INT ops:INT", *((n, raw, loops, ops) for (n, raw), (loops, ops) in zip(enumerate(_KMEANS.strip().splitlines(), 2), ((3, 2), (1, 0), (1, 0), (2, 3), (2, 3), (2, 1), (3, 2)), strict=True))))
-def statement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_program(_KMEANS).statement_stats(spark)
-
-
-@query("variable_usage", _values("name order:INT lines", ("Dist", 2, "2,5,6"), ("S", 2, "-1,2,8"), ("C", 2, "-1,2"), ("Min", 1, "3,5,6"), ("Labels", 1, "4,6,7,8"), ("Count", 1, "7"), ("Update", 2, "8")))
-def variable_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_program(_KMEANS).variable_usage(spark).withColumn("lines", F.concat_ws(",", F.transform("lines", lambda x: x.cast("string"))))
-
-
-@query("mesh_nodes", "SELECT a.range * 12 + b.range * 4 + c.range AS rank, a.range AS m0, b.range AS m1, c.range AS m2 FROM range(2) a, range(3) b, range(4) c")
-def mesh_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.mesh_nodes(spark, (2, 3, 4))
-
-
-@query("mesh_edges", "SELECT r AS source, r + 12 AS target, CAST(0 AS INT) AS dim FROM (SELECT a.range * 12 + b.range * 4 + c.range AS r, a.range AS x, b.range AS y, c.range AS z FROM range(2) a, range(3) b, range(4) c) WHERE x < 1 UNION ALL SELECT r, r + 4, CAST(1 AS INT) FROM (SELECT a.range * 12 + b.range * 4 + c.range AS r, a.range AS x, b.range AS y, c.range AS z FROM range(2) a, range(3) b, range(4) c) WHERE y < 2 UNION ALL SELECT r, r + 1, CAST(2 AS INT) FROM (SELECT a.range * 12 + b.range * 4 + c.range AS r, a.range AS x, b.range AS y, c.range AS z FROM range(2) a, range(3) b, range(4) c) WHERE z < 3")
-def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.mesh_edges(spark, (2, 3, 4))
-
-
 @query("tensor_cells", "SELECT d0, d1, d0 = 2 AS highlight FROM (" + _CELLS + ")")
 def tensor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of A with row 2 marked."""
     return inspect.tensor_cells(spark, (Inputs(spark, sf_dir).size("supplier", "s_suppkey"), 7), (2, None))
 
 
-@query("operation_cells", "SELECT 'B[i,j]' AS tensor, a.range AS i0, b.range AS i1, a.range = 1 AND b.range = 2 AS highlight FROM range(3) a, range(4) b UNION ALL SELECT 'X[i,k]', a.range, b.range, a.range = 1 FROM range(3) a, range(2) b UNION ALL SELECT 'Y[k,j]', a.range, b.range, b.range = 2 FROM range(2) a, range(4) b")
-def operation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statement = compile_program("B[i,j] += X[i,k] * Y[k,j]").statements[0]
-    cells = inspect.operation_cells(spark, statement, {"i": 3, "j": 4, "k": 2}, {"i": 1, "j": 2})
-    return cells.select("tensor", F.col("index")[0].cast("bigint").alias("i0"), F.col("index")[1].cast("bigint").alias("i1"), "highlight")
-
-
-@query("mesh_grid", "SELECT a.range AS d0, b.range AS d1, a.range * 1.1::DOUBLE AS x0, b.range * 1.1::DOUBLE AS x1 FROM range(3) a, range(4) b")
-def mesh_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.mesh_grid(spark, (3, 4))
-
-
 @query("interleaved_cells", "SELECT d0 * 2 AS d0, d1 * 2 AS d1 FROM (" + _CELLS + ")")
 def interleaved_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.interleaved(coordinates(spark, (Inputs(spark, sf_dir).size("supplier", "s_suppkey"), 7)), 2)

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.scalars import BINARY, UNARY, divide
 from tessellum.lang.syntax import Call, Index, Infix, Negative, Node, Number, Read, Statement, walk
-from tessellum.operators import folds, ranges, sparse, tiles
+from tessellum.operators import folds, ranges, skew, sparse, sums, tiles
+from tessellum.operators import shares as shifted
 from tessellum.tensor import Tensor, coordinates, dense, promote
 
 #: Tensors of at most this many cells are broadcast in joins; sizes are known from metadata.
@@ -39,6 +40,8 @@ class Table:
     frame: DataFrame
     letters: tuple[str, ...]
     cells: int
+    #: Whether rows are those of stored cells, which may gather at some values of an index.
+    sparse: bool = False
 
 
 def bind_sizes(statement: Statement, tensors: dict[str, Tensor], hint: tuple[int, ...] | None) -> dict[str, int]:
@@ -97,6 +100,9 @@ def joined_position(letters: str, sizes: dict[str, int]) -> Column:
 def read_rows(read: Read, tensor: Tensor, sizes: dict[str, int], fixed: dict[str, int], value: str) -> Table:
     """A tensor's cells as rows of index variables; ``fixed`` ones are filtered and dropped."""
     frame, made = tensor.frame, {}
+    if tensor.pick is not None:
+        places = {k: s if isinstance(s, int) else fixed.get(s) for k, s in enumerate(read.subscripts)}
+        frame = tensor.pick({k: at for k, at in places.items() if at is not None})
     last = read.subscripts[-1] if read.subscripts else None
     at = last if isinstance(last, int) else fixed.get(last)
     picked = tensor.arrays is not None and at is not None
@@ -120,7 +126,7 @@ def read_rows(read: Read, tensor: Tensor, sizes: dict[str, int], fixed: dict[str
             else:
                 made[c] = own
     kept = frame.select(*(own.cast("bigint").alias(c) for c, own in made.items()), F.col("v").cast("double").alias(value))
-    return Table(kept, tuple(made), math.prod(sizes[c] for c in made))
+    return Table(kept, tuple(made), math.prod(sizes[c] for c in made), tensor.sparse)
 
 
 def small(table: Table) -> DataFrame:
@@ -128,12 +134,18 @@ def small(table: Table) -> DataFrame:
 
 
 def join(a: Table, b: Table, sizes: dict[str, int]) -> Table:
-    """Equi-join on shared index variables; the smaller side is broadcast if its known size allows."""
+    """Equi-join on shared index variables; the smaller side is broadcast if its known size allows.
+
+    Where both sides are larger and one holds stored cells only, heavy values of the index are dealt out.
+    """
     shared = [c for c in a.letters if c in b.letters]
     letters = (*a.letters, *(c for c in b.letters if c not in a.letters))
+    cells = math.prod(sizes[c] for c in letters)
+    if shared and (a.sparse or b.sparse) and min(a.cells, b.cells) > BROADCAST_CELLS:
+        return Table(skew.join(a.frame, b.frame, shared), letters, cells, True)
     left, right = (a.frame, small(b)) if b.cells <= a.cells else (small(a), b.frame)
     frame = left.join(right, shared) if shared else left.crossJoin(right)
-    return Table(frame, letters, math.prod(sizes[c] for c in letters))
+    return Table(frame, letters, cells, a.sparse or b.sparse)
 
 
 def join_all(tables: list[Table], sizes: dict[str, int]) -> Table:
@@ -223,12 +235,13 @@ def _mask(node: Node) -> tuple[Read, str] | None:
     return None
 
 
-def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[int, ...] | None = None, old: Tensor | None = None, accumulate: bool = False, tiled: bool | None = None) -> Tensor:
+def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[int, ...] | None = None, old: Tensor | None = None, accumulate: bool = False, tiled: bool | None = None, exact: bool = False) -> Tensor:
     """The tensor a statement makes from ``tensors``.
 
     ``old`` is the output's earlier value where it is read, or written in part; ``accumulate`` adds a
     compound assignment onto it even if the expression does not read it.  ``tiled`` says whether
-    contractions of two tensors are worked out on tiles; None: where they have much to do.
+    contractions of two tensors are worked out on tiles; None: where they have much to do.  ``exact``
+    sums do not depend on the order (:mod:`tessellum.operators.sums`); they are made of all terms, one by one.
     """
     out = statement.output
     if old is not None:
@@ -236,6 +249,7 @@ def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[i
         hint = old.shape
     sizes = bind_sizes(statement, tensors, hint)
     shape = output_shape(statement, sizes, hint)
+    statement, tensors = opened(statement, tensors)
     own = [r for r in statement.reads if r.name == out.name]
     if any(r.subscripts != out.subscripts for r in own):
         raise ValueError(f"line {statement.line}: {out.name} is read under other subscripts than it is written; the result would depend on the order of the loop")
@@ -243,19 +257,86 @@ def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[i
     loose = any(tensors[r.name].dtype == "float" for r in statement.reads)
     reduced = [c for c in statement.index_variables if c not in out.letters]
     if any(tensors[r.name].sparse for r in statement.reads):
-        made = None if own or accumulate or old is not None else _stored(statement, tensors, sizes, reduced, loose, spark)
+        made = None if own or accumulate or old is not None else _stored(statement, tensors, sizes, reduced, loose, spark, exact)
         if made is not None:
             return _write_stored(made, statement, sizes, shape, dtype)
         tensors = {n: dense(t) for n, t in tensors.items()}
     if own:
         cells = _loop(statement, tensors, sizes, reduced, old, loose, spark)
     elif accumulate:
-        cells = _onto(statement, tensors, sizes, reduced, old, loose, spark)
+        cells = _onto(statement, tensors, sizes, reduced, old, loose, spark, exact)
     elif statement.kind == "=":
         cells = _last(statement, tensors, sizes, reduced, loose, spark)
     else:
-        cells = _reduce(statement, tensors, sizes, reduced, loose, spark, tiled)
-    return _write(cells, statement, sizes, shape, dtype, old, spark)
+        cells = _reduce(statement, tensors, sizes, reduced, loose, spark, tiled, exact)
+    made = _write(cells, statement, sizes, shape, dtype, old, spark)
+    return replace(made, product=_product(statement, tensors, dtype)) if old is None and not own and not reduced else made
+
+
+def _product(statement: Statement, tensors: dict[str, Tensor], dtype: str):
+    """The factors of an output that is a product of tensors, each with the output's axes that it lies along."""
+    parts, out = factors(statement.expression), statement.output.subscripts
+    if statement.kind != "=" or dtype != "double" or parts is None or any(not isinstance(p, Read | Number) for p in parts):
+        return None
+    reads = [p for p in parts if isinstance(p, Read)]
+    plain = all(isinstance(s, str) and len(s) == 1 for r in (statement.output, *reads) for s in r.subscripts) and len(set(out)) == len(out)
+    if len(reads) < 2 or not plain or {c for r in reads for c in r.letters} != set(out):
+        return None
+    return math.prod(p.value for p in parts if isinstance(p, Number)), tuple((tuple(out.index(c) for c in r.subscripts), tensors[r.name]) for r in reads)
+
+
+def opened(statement: Statement, tensors: dict[str, Tensor]) -> tuple[Statement, dict[str, Tensor]]:
+    """A sum of products with products among its tensors replaced by their factors, so that they are never expanded."""
+    parts = factors(statement.expression)
+    if statement.kind not in ("+=", "-=") or parts is None or any(not isinstance(p, Read | Number) for p in parts):
+        return statement, tensors
+    made, known, changed = [], dict(tensors), False
+    for p in parts:
+        found = tensors[p.name].product if isinstance(p, Read) and p.name != statement.output.name else None
+        if found is None:
+            made.append(p)
+            continue
+        scale, factored = found
+        changed = True
+        if scale != 1.0:
+            made.append(Number(scale, repr(scale)))
+        for k, (axes, tensor) in enumerate(factored):
+            name = f"{p.name}.{k}"
+            known[name] = tensor
+            made.append(Read(name, tuple(p.subscripts[a] for a in axes)))
+    if not changed:
+        return statement, tensors
+    expression = made[0]
+    for p in made[1:]:
+        expression = Infix("*", expression, p)
+    return opened(replace(statement, expression=expression), known)
+
+
+def shares(statement: Statement, totals: dict[str, tuple[Statement, dict[str, Tensor]]], now: dict[str, Tensor]) -> Node | None:
+    """E of ``R = exp(E) / D`` where D still is the sum of ``exp(E)`` that ``totals`` says it is; else None."""
+    match statement:
+        case Statement(kind="=", expression=Infix(operator="/", left=Call(function="exp", inner=inner), right=Read() as total)) if total.name in totals:
+            made, read = totals[total.name]
+            same = made.expression == statement.expression.left and made.output == total and all(now.get(n) is t for n, t in read.items())
+            letters = {c for n in walk(inner) for c in (n.letters if isinstance(n, Read) else (n.name,) if isinstance(n, Index) else ())}
+            return inner if same and set(statement.output.letters) == letters else None
+    return None
+
+
+def lower_shares(statement: Statement, inner: Node, tensors: dict[str, Tensor], spark, hint: tuple[int, ...] | None = None) -> Tensor:
+    """``R = exp(E) / D`` with both shifted alike, so that no exponent overflows (:mod:`tessellum.operators.shares`)."""
+    tensors = {n: dense(t) for n, t in tensors.items()}
+    sizes = bind_sizes(statement, tensors, hint)
+    letters, keys = list(statement.output.letters), list(statement.expression.right.letters)
+    loose = any(tensors[r.name].dtype == "float" for r in statement.reads)
+    rows = _rows(replace(statement, expression=inner), tensors, sizes, letters, {}, spark)
+    named = _names(replace(statement, expression=inner))
+    value = to_column(inner, lambda r: F.col(named[r]), F.col, loose)
+    cells = Table(rows.frame.select(*letters, value.alias("x")), tuple(letters), rows.cells)
+    totals = Table(shifted.totals(cells.frame, keys, F.col("x")), tuple(keys), math.prod(sizes[c] for c in keys))
+    both = join(cells, totals, sizes)
+    made = Table(both.frame.select(*letters, shifted.share(F.col("x")).alias("x")), tuple(letters), both.cells)
+    return _write(made, statement, sizes, output_shape(statement, sizes, hint), output_dtype(statement, tensors, None), None, spark)
 
 
 def _names(statement: Statement) -> dict[Read, str]:
@@ -283,8 +364,13 @@ def _finish(kind: str, total: Column) -> Column:
     return {"+=": total, "-=": -total, "*=": total, "/=": divide(F.lit(0.0), total)}[kind]
 
 
-def _reduce(statement: Statement, tensors, sizes, reduced, loose, spark, tiled: bool | None = None) -> Table:
+def _reduce(statement: Statement, tensors, sizes, reduced, loose, spark, tiled: bool | None = None, exact: bool = False) -> Table:
     letters, names = list(statement.output.letters), _names(statement)
+    if exact and reduced and statement.kind in ("+=", "-="):
+        rows = _rows(statement, tensors, sizes, [*letters, *reduced], {}, spark)
+        value = to_column(statement.expression, lambda r: F.col(names[r]), F.col, loose)
+        total = sums.exact_sum(rows.frame, letters, value)
+        return Table(total.select(*letters, _finish(statement.kind, F.col("x")).alias("x")), tuple(letters), math.prod(sizes[c] for c in letters))
     plan = tiles.recognise(statement, loose) if tiled is not False else None
     if plan is not None and (tiled or math.prod(sizes[c] for c in statement.index_variables) >= tiles.LEAST_WORK):
         sides = [read_rows(r, tensors[r.name], sizes, {}, names[r]) for r in (plan.left, plan.right)]
@@ -303,7 +389,7 @@ def _reduce(statement: Statement, tensors, sizes, reduced, loose, spark, tiled:
     return _aggregate(statement.kind, rows.frame.select(*letters, value.alias("x")), letters, reduced, rows.cells)
 
 
-def _stored(statement: Statement, tensors, sizes, reduced, loose, spark) -> Table | None:
+def _stored(statement: Statement, tensors, sizes, reduced, loose, spark, exact: bool = False) -> Table | None:
     """A statement over stored cells; None if it does not vanish where nothing is stored."""
     letters, names = list(statement.output.letters), _names(statement)
     if statement.kind not in ("=", "+=", "-="):
@@ -316,7 +402,7 @@ def _stored(statement: Statement, tensors, sizes, reduced, loose, spark) -> Tabl
     if frozenset() in clauses or not clauses:
         return None
     parts = factors(statement.expression)
-    if statement.kind != "=" and parts is not None and not any(_mask(p) for p in parts):
+    if statement.kind != "=" and parts is not None and not exact and not any(_mask(p) for p in parts):
         table = _contract(statement, parts, tensors, sizes, letters, loose, spark)
         x = F.col("x") if letters else F.coalesce("x", F.lit(0.0))
         return Table(table.frame.select(*letters, _finish(statement.kind, x).alias("x")), tuple(letters), table.cells)
@@ -332,7 +418,7 @@ def _stored(statement: Statement, tensors, sizes, reduced, loose, spark) -> Tabl
     cells = math.prod(sizes[c] for c in letters)
     if statement.kind == "=":
         return Table(rows.select(*letters, value.alias("x")), tuple(letters), cells)
-    total = sparse.summed(rows, letters, value)
+    total = sums.exact_sum(rows, letters, value) if exact else sparse.summed(rows, letters, value)
     return Table(total.select(*letters, _finish(statement.kind, F.col("x")).alias("x")), tuple(letters), cells)
 
 
@@ -360,10 +446,10 @@ def _ordered(statement: Statement, mask: ranges.Ordering, tensors, sizes, spark)
     return Table(both.frame.select(*letters, _finish(statement.kind, F.col("x")).alias("x")), tuple(letters), both.cells)
 
 
-def _onto(statement: Statement, tensors, sizes, reduced, old: Tensor, loose, spark) -> Table:
+def _onto(statement: Statement, tensors, sizes, reduced, old: Tensor, loose, spark, exact: bool = False) -> Table:
     """A compound assignment onto earlier values that its expression does not read: one aggregate, then one join."""
     total = "+=" if statement.kind in ("+=", "-=") else "*="
-    made = _reduce(replace(statement, kind=total), tensors, sizes, reduced, loose, spark)
+    made = _reduce(replace(statement, kind=total), tensors, sizes, reduced, loose, spark, exact=exact)
     both = join(read_rows(statement.output, old, sizes, {}, "state"), made, sizes)
     state, x = F.col("state"), F.col("x")
     value = {"+=": state + x, "-=": state - x, "*=": state * x, "/=": divide(state, x)}[statement.kind]
@@ -402,7 +488,7 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
             table = domain(table, [*table.letters, mask[1]], sizes, spark)
             value = BINARY["=="](F.col("label"), F.col(mask[1]).cast("double"), loose)
             tables.append(Table(table.frame.select(*table.letters, value.alias(f"x{k}")), table.letters, table.cells))
-    tables = [Table(t.frame.select(*t.letters, F.col(next(c for c in t.frame.columns if c.startswith("x"))).alias(f"f{k}")), t.letters, t.cells) for k, t in enumerate(tables)]
+    tables = [Table(t.frame.select(*t.letters, F.col(next(c for c in t.frame.columns if c.startswith("x"))).alias(f"f{k}")), t.letters, t.cells, t.sparse) for k, t in enumerate(tables)]
     uncovered = [c for c in statement.index_variables if c not in {x for t in tables for x in t.letters}]
     tables = [_presum(t, letters, [o for o in tables if o is not t]) for t in tables] if not keyed else tables
     made = len(tables)
@@ -412,7 +498,7 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
         rest = [t for t in tables if t is not a and t is not b]
         both = join(a, b, sizes)
         (x,), (y,) = ([c for c in t.frame.columns if c.startswith("f")] for t in (a, b))
-        product = Table(both.frame.select(*both.letters, (F.col(x) * F.col(y)).alias(f"f{made}")), both.letters, both.cells)
+        product = Table(both.frame.select(*both.letters, (F.col(x) * F.col(y)).alias(f"f{made}")), both.letters, both.cells, both.sparse)
         made += 1
         tables = [*rest, _presum(product, letters, rest)]
     table = tables[0]
@@ -441,7 +527,7 @@ def _presum(table: Table, letters: list[str], others: list[Table]) -> Table:
         return table
     (x,) = (c for c in table.frame.columns if c.startswith("f"))
     frame = table.frame.groupBy(*keep).agg(F.sum(x).alias(x)) if keep else table.frame.agg(F.sum(x).alias(x))
-    return Table(frame, tuple(keep), table.cells)
+    return Table(frame, tuple(keep), table.cells, table.sparse)
 
 
 def _loop(statement: Statement, tensors, sizes, reduced, old: Tensor | None, loose, spark) -> Table:

@@ -6,8 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.lang.syntax import Statement, parse
-from tessellum.operators.lowering import lower, reads_itself
+from tessellum.lang.syntax import Call, Statement, parse
+from tessellum.operators.lowering import lower, lower_shares, reads_itself, shares
 from tessellum.sources.tables import settled
 from tessellum.tensor import Tensor
 
@@ -58,12 +58,14 @@ class Program:
         best = max(self.statements, key=lambda s: s.op_count)
         return best.op_count, best.line
 
-    def execute(self, inputs: dict[str, Tensor], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None, tiled: bool | None = None) -> dict[str, Tensor]:
+    def execute(self, inputs: dict[str, Tensor], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None, tiled: bool | None = None, exact: bool = False, shared: bool = False) -> dict[str, Tensor]:
         """All tensors by name, the inputs included.  Nothing runs until a frame is used.
 
         Shapes are inferred; ``shape_hints`` override and are needed only for index ranges that no
-        tensor fixes.  A name stands for its latest value at each statement.  ``tiled`` as in
-        :func:`tessellum.operators.lowering.lower`.
+        tensor fixes.  A name stands for its latest value at each statement.  ``tiled`` and ``exact``
+        as in :func:`tessellum.operators.lowering.lower`.  Statements that say the same of the same tensors
+        are one.  With ``shared``, what sums or joins and is read by several statements is computed once, when
+        the program is executed, and checkpointed; what has one reader stays part of it.
         """
         spark = spark or SparkSession.getActiveSession()
         hints = dict(shape_hints or {})
@@ -77,20 +79,62 @@ class Program:
             if n in self.variables and self.variables[n].order != len(shape):
                 raise ValueError(f"the shape of {n} has {len(shape)} axes; the program uses order {self.variables[n].order}")
         now = dict(inputs)
-        for s in self.statements:
+        #: Sums of exponentials by name, with what they were made of.
+        totals: dict[str, tuple[Statement, dict[str, Tensor]]] = {}
+        #: Results by what they were made of.  All tensors are held, so that no other takes the identity of one.
+        same: dict[tuple, Tensor] = {}
+        held: list[Tensor] = list(now.values())
+        readers = self._readers()
+        for at, s in enumerate(self.statements):
             name = s.output.name
+            made_of = None if reads_itself(s) or name in now else (s.kind, s.output.subscripts, s.expression, tuple(id(now[r.name]) for r in s.reads), tuple(hints[name]) if name in hints else None)
+            if made_of in same:
+                totals.pop(name, None)
+                now[name] = same[made_of]
+                continue
+            inner = shares(s, totals, now)
+            totals.pop(name, None)
+            if inner is not None and name not in now:
+                now[name] = lower_shares(s, inner, now, spark, hints.get(name))
+                self._kept(now, s, readers[at], shared, same, made_of, held)
+                continue
+            if s.kind == "+=" and isinstance(s.expression, Call) and s.expression.function == "exp" and not reads_itself(s):
+                totals[name] = (s, {r.name: now[r.name] for r in s.reads})
             partial = any(isinstance(x, int) for x in s.output.subscripts) or len(s.output.letters) < sum(len(x) for x in s.output.subscripts if isinstance(x, str))
             old = now.get(name) if reads_itself(s) or partial else None
             hint = None if old is not None else hints.get(name)
             if hint is None and old is None and name in now and len(now[name].shape) == len(s.output.subscripts):
                 try:
-                    now[name] = lower(s, now, spark, None, None, tiled=tiled)
+                    now[name] = lower(s, now, spark, None, None, tiled=tiled, exact=exact)
+                    held.append(now[name])
                     continue
                 except ValueError:
                     hint = now[name].shape
-            now[name] = lower(s, now, spark, hint, old, tiled=tiled)
+            now[name] = lower(s, now, spark, hint, old, tiled=tiled, exact=exact)
+            self._kept(now, s, readers[at], shared, same, made_of, held)
         return now
 
+    def _readers(self) -> list[int]:
+        """For each statement, how many others read its result before the name gets another value."""
+        out = []
+        for at, s in enumerate(self.statements):
+            count = 0
+            for later in self.statements[at + 1 :]:
+                count += any(r.name == s.output.name for r in later.reads)
+                if later.output.name == s.output.name:
+                    break
+            out.append(count)
+        return out
+
+    @staticmethod
+    def _kept(now: dict[str, Tensor], s: Statement, readers: int, shared: bool, same: dict[tuple, Tensor], made_of: tuple | None, held: list[Tensor]) -> None:
+        """Store a result that several statements read, and remember what it was made of."""
+        if shared and readers > 1 and (s.kind != "=" or len(s.reads) > 1):
+            now[s.output.name] = settled(now[s.output.name])
+        held.append(now[s.output.name])
+        if made_of is not None:
+            same[made_of] = now[s.output.name]
+
     def iterate(self, inputs: dict[str, Tensor], rounds: int, carried: tuple[str, ...], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None) -> dict[str, Tensor]:
         """The carried tensors after some rounds, each of which starts from the last one's.
 

@@ -7,7 +7,7 @@ its shape and type as metadata on the driver.  A sparse one has rows for some ce
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +26,10 @@ class Tensor:
     arrays: DataFrame | None = None
     #: Whether only some cells have rows; the others are 0.
     sparse: bool = False
+    #: The rows that can hold given indices by axis, where the source can leave out files.
+    pick: Callable[[dict[int, int]], DataFrame] | None = None
+    #: What it is the outer or elementwise product of: (scale, ((axes of a factor, factor), ...)).
+    product: tuple[float, tuple[tuple[tuple[int | str, ...], Tensor], ...]] | None = None
 
     @property
     def order(self) -> int:
