@@ -39,6 +39,8 @@ TURN = 256
 OWN_QUEUES = 256
 POOLS = 256
 CLOSE = 1
+#: Rounds that a queue may last; up to there a place is exact to the token.
+MOST_ROUNDS = 2.0**40
 #: Rows of (queue, task) offsets up to which they are broadcast, about 10 MB.
 MOST_BASES = 200_000
 
@@ -46,8 +48,9 @@ MOST_BASES = 200_000
 class Service:
     """Deficit round-robin over queues of given totals, in closed form.
 
-    ``targets``: weights of the queues; those of weight 0 are served, by their totals, when all others
-    have ended.
+    ``targets``: weights of the queues, finite and not negative.  Those of weight 0 are served, by their totals,
+    when all others have ended; so are those of a weight so small that they would last for more than
+    ``MOST_ROUNDS`` rounds, which doubles could not count to a token.
     """
 
     def __init__(self, totals: np.ndarray, targets: np.ndarray | None = None, length: int = LENGTH, turn: int = TURN):
@@ -56,9 +59,16 @@ class Service:
         n = len(self.totals)
         # The golden ratio's multiples are spread evenly over (0, 1) for any number of queues.
         self.ahead = (np.arange(1, n + 1) * 0.6180339887498949) % 1.0 * np.minimum(self.totals, turn)
-        weights = self.totals.astype(float) if targets is None else np.maximum(np.nan_to_num(np.asarray(targets, float)), 0.0)
+        weights = self.totals.astype(float) if targets is None else np.asarray(targets, float)
+        if not np.isfinite(weights).all() or (weights < 0).any():
+            raise ValueError("targets are finite numbers that are not negative")
         self.begin, self.rate = np.zeros(n, np.int64), np.zeros(n)
         first = (weights > 0) & (self.totals > 0)
+        weights = np.where(first, weights, 0.0)
+        weights /= weights.max(initial=0) or 1.0
+        rates = weights / (weights.sum() or 1.0) * length
+        # A rate of zero is one too small for a double.
+        first &= self.totals <= MOST_ROUNDS * rates
         later = ~first & (self.totals > 0)
         self._share(first, weights, length)
         self.begin[later] = int(self._round(np.flatnonzero(first), self.totals[first]).max(initial=0))
@@ -167,8 +177,10 @@ def _place(shared, dtype: np.dtype, length: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH, turn: int = TURN, with_ids: bool = True) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves.
 
-    ``targets``: shares by source; a source without one comes last.
+    ``targets``: shares by source, finite and not negative; a source without one comes last.
     """
+    if any(not 0 <= v < float("inf") for v in (targets or {}).values()):
+        raise ValueError("targets are finite numbers that are not negative")
     spark = docs.sparkSession
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     given = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source.alias("queue"))

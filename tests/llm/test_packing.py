@@ -6,6 +6,8 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessellum.llm import packing, tokenise
 
@@ -118,6 +120,23 @@ def test_windows_hold_the_proportions(totals):
     assert drift.max(initial=0) <= 3 * 256
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3000), st.one_of(st.just(0.0), st.floats(1e-300, 1e300), st.floats(0.01, 100))), min_size=1, max_size=6))
+def test_any_weights_leave_no_gaps(queues):
+    """However far apart weights are, every token has one place and no place is empty."""
+    totals, weights = [t for t, _ in queues], np.array([w for _, w in queues])
+    if sum(totals):
+        check_service(totals, weights, 256, 32)
+
+
+@pytest.mark.parametrize("bad", [float("inf"), float("nan"), -1.0])
+def test_bad_targets_are_refused(spark, bad):
+    with pytest.raises(ValueError, match="finite"):
+        packing.Service(np.array([10, 10]), np.array([1.0, bad]))
+    with pytest.raises(ValueError, match="finite"):
+        packing.pack(documents(spark), packing.public_vocabulary(), targets={"a": 1.0, "b": bad})
+
+
 def test_targets_hold_until_a_queue_ends():
     _, queue, size, window = check_service([400_000, 100_000], np.array([0.5, 0.5]), 512, 64)
     early = window < 300
