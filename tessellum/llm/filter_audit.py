@@ -26,6 +26,8 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellum.llm import storage
+
 #: Splits texts at runs of white space.
 _SPACE = "[\\x20\\x09-\\x0D]+"
 #: Groups that rows without an id are dealt to where they are joined by id.
@@ -98,7 +100,8 @@ def interactions(counts: DataFrame, names: list[str]) -> DataFrame:
 
     The orders of n filters are n!, so ``names`` has to be short.
     """
-    # The cube is of a few rows for each part; it is computed once.
+    # A few rows for each part, which the cube's readers share.
+    counts = storage.table(counts, "failures")
     subsets = survivors(counts, names, ["n", "good", "toxic"])
     plan = steps(counts.sparkSession, names)
     old = subsets.select("part", F.col("subset").alias("before"), F.col("n").alias("n0"), F.col("good").alias("good0"), F.col("toxic").alias("toxic0"))
