@@ -18,9 +18,10 @@ import tessellum as ts
 from tessellum import draw, inspect, logs
 from tessellum.catalog import ALPHA, BETA, PROBLEMS, Inputs, _values, _with
 from tessellum.functions import scalars
-from tessellum.layout import MultiAxisLayout, SlabLayout
+from tessellum.layout import MultiAxisLayout, SlabLayout, TileLayout
 from tessellum.layout.axis import axis_compatible
 from tessellum.layout.multi_axis import move
+from tessellum.layout.simple import to_multi_axis
 from tessellum.plans import IdealLowerBounds, NaivePlanner, SearchPlanner, execute_schedule
 from tessellum.sources.blocks import read_blocks, write_blocks, write_slice
 from tessellum.sources.tables import read_tensor, shared_folder, write_results
@@ -199,6 +200,14 @@ def program_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("converted_layout", _with("D", "SELECT d0, d1, CAST(d0 % 5 AS INT) AS rank, v FROM D"))
+def converted_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt in tiles, then along one axis by the layout that tiles convert to, which leaves them where they are."""
+    tensor = Inputs(spark, sf_dir).D()
+    tiles = TileLayout(5, 1)
+    return to_multi_axis(tiles, tensor.shape).place(tensor).select("d0", "d1", "rank", "v")
+
+
 # Meshes with what their ranks hold of A, and pictures of small tensors of the tables.
 
 _ON_MESH = "(SELECT (d0 // 3) % 2 * 2 + (d1 // 2) % 2 AS rank, COUNT(*) AS cells, SUM(v) AS total FROM A GROUP BY 1)"

@@ -50,6 +50,44 @@ class SlabLayout(Layout):
         return tuple(own if k == self.axis else n for k, n in enumerate(shape))
 
 
+def to_multi_axis(layout: Layout, shape: Sequence[int]) -> MultiAxisLayout:
+    """The layout of several axes, among which collectives lead, that places every cell of a shape as ``layout`` does.
+
+    A slab is dealt along its axis, an even split too where it leaves no remainder; tiles are dealt along the
+    first axis if a column of tiles goes round all processors a whole number of times, or along all axes up to
+    one that does.  ValueError where no layout of several axes places cells so.
+    """
+    layout.require(shape)
+    if isinstance(layout, MultiAxisLayout):
+        return layout
+    if isinstance(layout, SlabLayout):
+        if layout.block:
+            return layout.as_multi_axis(len(shape))
+        if shape[layout.axis] % layout.processors == 0:
+            return SlabLayout(layout.processors, layout.axis, shape[layout.axis] // layout.processors).as_multi_axis(len(shape))
+        raise ValueError(f"{shape[layout.axis]} cells split evenly into {layout.processors} parts have no block size")
+    if not isinstance(layout, TileLayout):
+        raise ValueError(f"{layout} is no layout of slabs or tiles")
+    # The number of a tile counts the first axis fastest: what it is modulo the processors is a product of
+    # coordinates while each axis divides what the ones before it leave of them.
+    left, mesh, used = layout.processors, [], []
+    for k, n in enumerate(shape):
+        tiles = n // layout.tile
+        here = left if tiles % left == 0 else tiles
+        if left % here:
+            raise ValueError(f"{tiles} tiles along axis {k} do not go round {left} processors evenly")
+        mesh.append(here)
+        used.append(k)
+        left //= here
+        if left == 1:
+            break
+    if left > 1:
+        raise ValueError(f"there are fewer tiles than the {layout.processors} processors")
+    # Ranks count the first axis fastest, a mesh its last dimension.
+    dims = {k: len(mesh) - 1 - i for i, k in enumerate(used)}
+    return MultiAxisLayout(mesh[::-1], [(dims[k],) if k in dims else None for k in range(len(shape))], [layout.tile if k in dims else None for k in range(len(shape))])
+
+
 class TileLayout(Layout):
     """Square tiles dealt one after another, the first axis fastest."""
 

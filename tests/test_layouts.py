@@ -13,6 +13,7 @@ from tessellum import inspect
 from tessellum.layout import MultiAxisLayout, SlabLayout, TileLayout
 from tessellum.layout.axis import axis_compatible, from_linear, max_block_size, order_name, splits, splits_frame, to_linear
 from tessellum.layout.multi_axis import move
+from tessellum.layout.simple import to_multi_axis
 from tessellum.plans import Cost, IdealLowerBounds, NaivePlanner, SearchPlanner, execute_schedule, find_routes, schedule_frame
 from tessellum.plans.planner import edit_distance
 
@@ -238,6 +239,18 @@ def test_moves_equal_direct_placement(spark, start, shape, target, text):
     assert all(r == p for r, p in parts)
 
 
+@pytest.mark.parametrize(("layout", "shape"), [(SlabLayout(3, 1, 2), (4, 9)), (SlabLayout(4, 0, 0), (12, 2)), (TileLayout(3, 2), (12, 4)), (TileLayout(6, 2), (4, 6)), (TileLayout(4, 1), (2, 2)), (TileLayout(8, 1), (2, 2, 4)), (TileLayout(12, 1), (2, 3, 4)), (M((2, 2), ((1,), (0,)), 2), (9, 9))])
+def test_conversion_places_cells_alike(layout, shape):
+    made = to_multi_axis(layout, shape)
+    assert all(made.location(shape, cell) == layout.location(shape, cell) for cell in itertools.product(*map(range, shape)))
+
+
+@pytest.mark.parametrize(("layout", "shape"), [(SlabLayout(4, 0, 0), (11, 2)), (TileLayout(3, 2), (4, 6)), (TileLayout(4, 1), (3, 8)), (TileLayout(8, 1), (2, 2)), (TileLayout(4, 2), (5, 4))])
+def test_what_has_no_such_layout(layout, shape):
+    with pytest.raises(ValueError):
+        to_multi_axis(layout, shape)
+
+
 def test_collective_errors():
     none, a = M((2, 2), (None, None), 1), M((2, 3), ((0, 1), ()), 2)
     for f in (lambda: none.all_gather((8, 8)), lambda: none.all_to_all((8, 8), 0, 1), lambda: a.permute((24, 8), (0, 1)), lambda: a.change_block((24, 8), 0, 4), lambda: a.all_gather((24, 8), 5), lambda: a.all_to_all((24, 8), 0, 0), lambda: M((2, 2, 2), ((0, 1, 2),), 1).all_gather((24,), 1), lambda: M((2, 2), ((0,), (1,)), 1).permute((8, 8), (0, 1))):
