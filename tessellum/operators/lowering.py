@@ -136,13 +136,16 @@ def small(table: Table) -> DataFrame:
 def join(a: Table, b: Table, sizes: dict[str, int]) -> Table:
     """Equi-join on shared index variables; the smaller side is broadcast if its known size allows.
 
-    Where both sides are larger and one holds stored cells only, heavy values of the index are dealt out.
+    Where both sides are larger and one holds stored cells only, heavy values of the index are dealt out;
+    where they share no index variable, they meet in a grid of parts.
     """
     shared = [c for c in a.letters if c in b.letters]
     letters = (*a.letters, *(c for c in b.letters if c not in a.letters))
     cells = math.prod(sizes[c] for c in letters)
     if shared and (a.sparse or b.sparse) and min(a.cells, b.cells) > BROADCAST_CELLS:
         return Table(skew.join(a.frame, b.frame, shared), letters, cells, True)
+    if not shared and min(a.cells, b.cells) > BROADCAST_CELLS:
+        return Table(skew.grid(a.frame, b.frame, a.cells, b.cells), letters, cells, a.sparse or b.sparse)
     left, right = (a.frame, small(b)) if b.cells <= a.cells else (small(a), b.frame)
     frame = left.join(right, shared) if shared else left.crossJoin(right)
     return Table(frame, letters, cells, a.sparse or b.sparse)
@@ -490,7 +493,7 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
             tables.append(Table(table.frame.select(*table.letters, value.alias(f"x{k}")), table.letters, table.cells))
     tables = [Table(t.frame.select(*t.letters, F.col(next(c for c in t.frame.columns if c.startswith("x"))).alias(f"f{k}")), t.letters, t.cells, t.sparse) for k, t in enumerate(tables)]
     uncovered = [c for c in statement.index_variables if c not in {x for t in tables for x in t.letters}]
-    tables = [_presum(t, letters, [o for o in tables if o is not t]) for t in tables] if not keyed else tables
+    tables = [_presum(t, letters, [o for o in tables if o is not t], sizes) for t in tables] if not keyed else tables
     made = len(tables)
     while len(tables) > 1:
         pairs = [(a, b) for i, a in enumerate(tables) for b in tables[i + 1 :]]
@@ -500,7 +503,7 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
         (x,), (y,) = ([c for c in t.frame.columns if c.startswith("f")] for t in (a, b))
         product = Table(both.frame.select(*both.letters, (F.col(x) * F.col(y)).alias(f"f{made}")), both.letters, both.cells, both.sparse)
         made += 1
-        tables = [*rest, _presum(product, letters, rest)]
+        tables = [*rest, _presum(product, letters, rest, sizes)]
     table = tables[0]
     (x,) = (c for c in table.frame.columns if c.startswith("f"))
     for c in uncovered:
@@ -519,7 +522,7 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
     return domain(table, letters, sizes, spark) if letters else table
 
 
-def _presum(table: Table, letters: list[str], others: list[Table]) -> Table:
+def _presum(table: Table, letters: list[str], others: list[Table], sizes: dict[str, int]) -> Table:
     """Sum over index variables that neither the output nor another factor needs."""
     needed = set(letters).union(*(o.letters for o in others)) if others else set(letters)
     keep = [c for c in table.letters if c in needed]
@@ -527,7 +530,7 @@ def _presum(table: Table, letters: list[str], others: list[Table]) -> Table:
         return table
     (x,) = (c for c in table.frame.columns if c.startswith("f"))
     frame = table.frame.groupBy(*keep).agg(F.sum(x).alias(x)) if keep else table.frame.agg(F.sum(x).alias(x))
-    return Table(frame, tuple(keep), table.cells, table.sparse)
+    return Table(frame, tuple(keep), math.prod(sizes[c] for c in keep), table.sparse)
 
 
 def _loop(statement: Statement, tensors, sizes, reduced, old: Tensor | None, loose, spark) -> Table:

@@ -1,10 +1,14 @@
-"""Joins on an index of which a few values hold much of the rows.
+"""Joins on an index of which a few values hold much of the rows, and without any index.
 
 A value of the shared index is heavy if it holds more than one in ``SHARES`` of a side's rows; there are at
 most ``SHARES`` of them, so their list is broadcast.  The rows of a heavy value are dealt into as many parts
 as it has shares, and only the other side's rows of that value are copied, once for each part; all other rows
 stay as they are.  Both sides are treated in turn, so a value that is heavy on both meets in a grid of
 parts.  Counting needs one aggregate of each side by the index, with partial counts before its exchange.
+
+An outer product has as many rows as its sides multiplied, whatever is done; as a grid, each side is dealt
+into parts of about ``EDGE`` rows and every pair of parts meets by its numbers, so tasks are even and a row
+is copied once for each ``EDGE`` rows that it is multiplied with.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: The part of a side's rows that one task may get, as one in so many, and the most heavy values.
 SHARES = 256
+#: Rows of a side in one part of a grid.
+EDGE = 4096
 
 
 def heavy(frame: DataFrame, keys: list[str], shares: int, name: str) -> DataFrame:
@@ -43,3 +49,15 @@ def join(left: DataFrame, right: DataFrame, keys: list[str], shares: int | None
         return placed.withColumnsRenamed({"_own": names[own], "_other": names[1 - own]})
 
     return dealt(left, 0).join(dealt(right, 1), [*keys, "_l", "_r"]).drop("_l", "_r")
+
+
+def grid(left: DataFrame, right: DataFrame, left_rows: int, right_rows: int) -> DataFrame:
+    """All pairs of rows, as an equi-join of numbered parts."""
+    down, across = (max(1, -(-n // EDGE)) for n in (left_rows, right_rows))
+
+    def dealt(frame: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+        return frame.withColumn(own, F.pmod(F.xxhash64(*frame.columns), F.lit(parts)).cast("int")).withColumn(other, each)
+
+    pairs = dealt(left, "_l", down, "_r", across).join(dealt(right, "_r", across, "_l", down), ["_l", "_r"])
+    return pairs.drop("_l", "_r")

@@ -29,10 +29,13 @@ def test_products_are_not_expanded(spark, code, want, monkeypatch):
     from tessellum.operators import lowering
 
     monkeypatch.setattr(lowering, "BROADCAST_CELLS", 1)  # nothing but a single cell is small
+    grids = []
+    monkeypatch.setattr(lowering.skew, "grid", lambda *a, f=lowering.skew.grid: grids.append(1) or f(*a))
     out = ts.compile(code).execute(given(spark), spark=spark)
     assert np.array_equal(ts.to_numpy(out["R"]), want)
-    if want.ndim < 2:  # a result that is an outer product itself has to be expanded
-        assert "Cartesian" not in out["R"].frame._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in out["R"].frame._jdf.queryExecution().executedPlan().toString()
+    # Only the statements O and P, and a result that is an outer product itself, are expanded.
+    assert len(grids) == code.split("R", 1)[0].count("=") - code.count("M[i,j]\nR") + (want.ndim == 2)
 
 
 def test_the_product_itself_is_there_too(spark):

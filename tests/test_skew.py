@@ -63,3 +63,13 @@ def test_contractions_of_stored_cells_deal_heavy_values(spark, monkeypatch):
     out = ts.compile("R[i,m] += X[i,k] * Y[m,k]").execute({"X": stored(x), "Y": stored(y)}, spark=spark)["R"]
     assert np.array_equal(ts.to_numpy(out), x @ y.T)
     assert "_l" in out.frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_outer_products_meet_in_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(lowering, "BROADCAST_CELLS", 10)
+    monkeypatch.setattr(skew, "EDGE", 7)
+    b, c = np.arange(20.0) - 5, np.arange(33.0) * 2
+    out = ts.compile("R[i,j] = B[i] * C[j] + 1").execute({"B": ts.from_values(spark, b), "C": ts.from_values(spark, c)}, spark=spark)["R"]
+    assert np.array_equal(ts.to_numpy(out), np.outer(b, c) + 1)
+    plan = out.frame._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
