@@ -6,13 +6,12 @@
 2. *Bands.*  48 bands of four coordinates.  Two sets of similarity 0.8 share no band with a
    probability of 1e-11, of 0.9 with 6e-23.  Equal sets are one class beforehand.
 3. *Candidates.*  In each bucket all classes are compared with one leader, the one that shares buckets
-   with most others, which unites large families at linear cost; buckets that still hold several components
-   have a second leader from another one.  What is left in mixed buckets, such as strongly edited copies
-   of one text, no two of which reach the threshold, would meet in pairs by the thousand; there a band is
-   not enough, and two classes of different components have to share one of their rarest n-grams too,
-   as sets at the threshold must.  Nothing is capped.
-4. *Verification.*  A pair whose signatures agree in less than 105 of 192 coordinates is dropped, which
-   a pair at the threshold does with a probability under 1e-13; all others are decided by the exact
+   with most others, which unites large families at linear cost.  What is left in buckets of several
+   components, such as strongly edited copies of one text, no two of which reach the threshold, would meet
+   in pairs by the thousand; there a band is not enough, and two classes of different components have to
+   share one of their rarest n-grams too, as sets at the threshold must.  Nothing is capped.
+4. *Verification.*  A pair whose signatures agree in less than 49 of 96 coordinates is dropped, which
+   a pair at the threshold does with a probability under 1e-10; all others are decided by the exact
    intersection of their whole sets.
 
 Nulls and texts without words have an empty set and are linked with nothing; a text of fewer words
@@ -35,8 +34,8 @@ from tessellum.llm.ngram_join import _prints, components, document_shingles, lea
 from tessellum.llm.textcore import Words, bounded, chunks, mix
 
 BANDS, ROWS = 48, 4
-#: Coordinates of two signatures that have to agree before whole sets are compared.
-AGREE = 105
+#: Coordinates that are kept of a signature, and how many of two have to agree before whole sets are compared.
+KEPT, AGREE = 96, 49
 #: N-grams that are hashed at once: their buffers stay in a core's cache.
 _BLOCK = 1 << 14
 _SIGNED = "row_id binary, text_key long, n_shingles long, print_a long, print_b long, keys binary, marks binary"
@@ -91,7 +90,7 @@ def _sign(size: int, bands: int, rows: int):
             docs, grams = document_shingles(Words(batch.column("text")), size)
             a, b = _prints(docs, grams, n)
             signed = signatures(docs, grams, n, bands * rows)
-            keys, marks = band_keys(signed, rows), signed.astype(np.uint8)
+            keys, marks = band_keys(signed, rows), signed[:, :KEPT].astype(np.uint8)
             blobs = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (keys, marks)]
             numbers = [pa.array(x.astype(np.int64)) for x in (np.bincount(docs, minlength=n), a, b)]
             yield pa.record_batch([batch.column("row_id").cast(pa.binary()), batch.column("text_key"), *numbers, *blobs], names=[c.split()[0] for c in _SIGNED.split(", ")])
@@ -147,12 +146,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = bounded(docs).select(F.col(id_col).cast("string").cast("binary").alias("row_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     signed = storage.table(given.mapInArrow(_sign(size, bands, rows), _SIGNED).withColumn(id_col, F.col("row_id").cast("string").cast(docs.schema[id_col].dataType)).drop("row_id"), "signed")
     named = ["print_a", "print_b", "n_shingles"]
+    heavy = signed
     first = [F.min(id_col).alias("first_id"), F.coalesce(F.min_by("text_key", id_col), F.min("text_key")).alias("text_key")]
     classes = signed.where("n_shingles > 0").groupBy(*named).agg(*first, F.first("keys").alias("keys"), F.first("marks").alias("marks"))
     # Numbers hold once they are written.
-    classes = storage.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    whole = storage.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # What follows needs neither keys nor signatures of all rows.
+    signed = storage.table(heavy.select(id_col, *named), "rows")
+    storage.discard(heavy)
+    classes = storage.table(whole.drop("keys", "marks"), "named")
 
-    listed = classes.select("node", F.col("n_shingles").alias("n"), "keys").mapInArrow(_posted, "key long, node long, n long")
+    listed = whole.select("node", F.col("n_shingles").alias("n"), "keys").mapInArrow(_posted, "key long, node long, n long")
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     posted = storage.table(listed.join(sizes, "key"), "posted")
     near = storage.table(posted.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
@@ -165,7 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = own.join(wanted.hint("merge"), F.col("own_id").eqNullSafe(F.col("wanted_id")) & (F.col("own_key") == F.col("wanted_key")))
     made = texts.select("node", "text", "print_a", "print_b").mapInArrow(_sets(size), "node long, grams array<long>")
     sets = storage.table(made.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
-    marks = classes.join(near.select("node"), "node", "left_semi").select("node", "marks")
+    marks = storage.table(whole.join(near.select("node"), "node", "left_semi").select("node", "marks"), "marks")
+    storage.discard(whole)
 
     def compare(met: DataFrame) -> DataFrame:
         """Links among pairs (x, n_x, y, n_y)."""
@@ -189,14 +194,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         return now.join(several, "key", "left_semi")
 
-    def stars(rows: DataFrame) -> DataFrame:
-        """Pairs of a bucket's best connected class outside the component of the best of all, and the others."""
-        ranked = rows.join(near, "node").withColumn("own", F.struct("weight", F.xxhash64("node"), "node", "n", "component"))
-        best = ranked.groupBy("key").agg(F.max("own").alias("first"))
-        second = ranked.join(best, "key").where("own.component <> first.component").groupBy("key").agg(F.max("own").alias("lead"))
-        met = ranked.join(second, "key").where("own.component <> lead.component")
-        return met.select(F.col("lead.node").alias("x"), F.col("lead.n").alias("n_x"), F.col("node").alias("y"), F.col("n").alias("n_y"))
-
     def pairs(rows: DataFrame) -> DataFrame:
         """Pairs of different components that share one of their rarest n-grams, counted over ``rows``."""
         held = rows.select("node", "n", "component").distinct().join(sets, "node").select("node", "n", "component", F.explode("grams").alias("gram"))
@@ -214,10 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     every = near.select("node")
     links = compare(posted.join(leads, "key").select(F.col("lead.node").alias("x"), F.col("lead.n").alias("n_x"), F.col("node").alias("y"), F.col("n").alias("n_y")))
-    apart = storage.table(mixed(posted, components(every, links)), "apart")
-    links = links.union(compare(stars(apart)))
-    left = storage.table(mixed(apart, components(every, links)), "left")
-    grouped = components(every, links.union(compare(pairs(left))))
+    grouped = components(every, links)
+    left = storage.table(mixed(posted, grouped), "left")
+    more = compare(pairs(left))
+    if not more.isEmpty():
+        grouped = components(every, links.union(more))
 
     told = grouped.join(classes.select("node", "first_id", *named), "node")
     best = told.groupBy("component").agg(F.min("first_id").alias("least_id"))

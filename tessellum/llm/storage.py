@@ -59,6 +59,16 @@ def place(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`table` returned, once everything made of it is stored itself."""
+    spark, files = df.sparkSession, df.inputFiles()
+    path = next((p for p in _written if files and f"/{p.rpartition('/')[2]}/" in files[0]), None)
+    if path is not None:
+        where, system = located(spark, path)
+        system.delete(where, True)
+        _written.remove(path)
+
+
 def located(spark: SparkSession, path: str):
     """A path and its file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
