@@ -30,7 +30,7 @@ from tessellum.tensor import Tensor
 #: Most cells of a tile along an axis of the result, and along the contracted one.
 SIDE, DEPTH = 1024, 256
 #: Statements with fewer combinations of index values than this are joined by cells.
-LEAST_WORK = 1 << 22
+LEAST_WORK = 1 << 24
 #: Cells that are packed at once, and bytes of partial results that a task holds.
 PACKED = 1 << 18
 HELD = 64 << 20
