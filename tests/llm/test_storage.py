@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tessellum.llm import storage, textcore
@@ -32,6 +33,17 @@ def test_release_since_a_place(spark):
     assert not list(root.glob("third-*"))
 
 
+def test_row_groups_of_few_large_rows_stay_small(spark):
+    """60 rows of 1 MB in one file: no row group, and so no writer or reader, holds more than its size and a row."""
+    raw = np.random.default_rng(3).bytes(1 << 20)
+    rows = spark.range(60, numPartitions=1).mapInArrow(lambda batches: (pa.record_batch([pa.array([raw[i:] + raw[:i]]), pa.array([i])], names=["x", "id"]) for b in batches for i in b.column("id").to_pylist()), "x binary, id long")
+    made = storage.table(rows, "large")
+    (file,) = (Path(f.removeprefix("file:").replace("///", "/")) for f in made.inputFiles())
+    groups = pq.ParquetFile(file).metadata
+    assert made.count() == 60 and max(groups.row_group(k).total_byte_size for k in range(groups.num_row_groups)) <= storage.ROW_GROUP + (1 << 21)
+    storage.release(spark)
+
+
 def test_a_shared_folder_is_asked_for_outside_local_mode():
     class Nothing:
         master = "spark://somewhere:7077"
