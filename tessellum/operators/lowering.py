@@ -263,6 +263,9 @@ def lower(statement: Statement, tensors: dict[str, Tensor], spark, hint: tuple[i
         made = None if own or accumulate or old is not None else _stored(statement, tensors, sizes, reduced, loose, spark, exact)
         if made is not None:
             return _write_stored(made, statement, sizes, shape, dtype)
+        made = None if own or accumulate or old is not None or exact else _filled(statement, tensors, sizes, reduced, loose, spark)
+        if made is not None:
+            return _write(made, statement, sizes, shape, dtype, None, spark)
         tensors = {n: dense(t) for n, t in tensors.items()}
     if own:
         cells = _loop(statement, tensors, sizes, reduced, old, loose, spark)
@@ -425,6 +428,34 @@ def _stored(statement: Statement, tensors, sizes, reduced, loose, spark, exact:
     return Table(total.select(*letters, _finish(statement.kind, F.col("x")).alias("x")), tuple(letters), cells)
 
 
+def _filled(statement: Statement, tensors, sizes, reduced, loose, spark) -> Table | None:
+    """A sum that does not vanish where nothing is stored: the stored places, and for all others at once what it is there.
+
+    None if that is not the same for all places of an output cell, or a sparse tensor lacks an index variable.
+    """
+    letters, every = list(statement.output.letters), list(statement.index_variables)
+    stored = [r for r in statement.reads if tensors[r.name].sparse]
+    absent = replace(statement, expression=sparse.absent(statement.expression, set(stored)))
+    if statement.kind not in ("+=", "-=") or not reduced or set(absent.index_variables) - set(letters) or any(set(r.letters) != set(every) for r in stored):
+        return None
+    names = _names(statement)
+    reads = {r: (t.frame, t.letters, names[r]) for r in statement.reads for t in [read_rows(r, tensors[r.name], sizes, {}, names[r])]}
+
+    def extended(frame: DataFrame, own: tuple[str, ...], wanted: list[str]) -> DataFrame:
+        return domain(Table(frame, own, math.prod(sizes[c] for c in own)), wanted, sizes, spark).frame
+
+    places = sparse.rows(frozenset(frozenset([r]) for r in stored), reads, stored.__contains__, every, extended)
+    value = to_column(statement.expression, lambda r: F.col(names[r]), F.col, loose)
+    found = places.select(*letters, value.alias("x")).groupBy(*letters).agg(F.sum("x").alias("x"), F.count("*").alias("places"))
+    rest = _rows(absent, tensors, sizes, letters, {}, spark)
+    named = _names(absent)
+    nothing = to_column(absent.expression, lambda r: F.col(named[r]), F.col, loose)
+    both = rest.frame.join(found, letters, "left") if letters else rest.frame.crossJoin(found)
+    left = math.prod(sizes[c] for c in reduced) - F.coalesce("places", F.lit(0))
+    total = F.coalesce("x", F.lit(0.0)) + F.when(left > 0, left * nothing).otherwise(F.lit(0.0))
+    return Table(both.select(*letters, _finish(statement.kind, total).alias("x")), tuple(letters), rest.cells)
+
+
 def _write_stored(cells: Table, statement: Statement, sizes, shape, dtype: str) -> Tensor:
     """Rows of index variables as the stored cells of the output."""
     place = [F.lit(s).cast("bigint") if isinstance(s, int) else joined_position(s, sizes) for s in statement.output.subscripts]

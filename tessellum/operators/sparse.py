@@ -9,8 +9,9 @@ either, ``exp`` of anything is never 0 by absence.  Joins follow the clauses:
 * several clauses of one read each, all over the same index variables: their cells one under another and
   one aggregate, with a single exchange;
 * several clauses otherwise: the union of the places that each clause allows, then as for one clause;
-* a clause without reads: the expression does not vanish where nothing is stored, and the tensors are
-  filled up first.
+* a clause without reads: the expression does not vanish where nothing is stored.  A sum over tensors that
+  have all index variables takes its stored places one by one and all others at once, by their number, if the
+  expression is the same at all of one output cell; otherwise the tensors are filled up first.
 
 Absent cells count as 0 and numbers as finite: that 0 times an infinite number is no number is not seen for
 cells that are not stored.
@@ -65,6 +66,20 @@ def support(node: Node, sparse: Callable[[Read], bool]) -> Clauses:
     return ANYWHERE
 
 
+def absent(node: Node, reads: set[Read]) -> Node:
+    """An expression with 0 for some reads."""
+    match node:
+        case Read() if node in reads:
+            return Number(0.0, "0")
+        case Negative():
+            return Negative(absent(node.inner, reads))
+        case Call():
+            return Call(node.function, absent(node.inner, reads))
+        case Infix():
+            return Infix(node.operator, absent(node.left, reads), absent(node.right, reads))
+    return node
+
+
 def rows(clauses: Clauses, reads: dict[Read, tuple[DataFrame, tuple[str, ...], str]], sparse: Callable[[Read], bool], letters: list[str], domain: Callable[[DataFrame | None, tuple[str, ...], list[str]], DataFrame]) -> DataFrame:
     """Rows of all ``letters`` with the value of every read, for all places that the clauses allow.
 

@@ -108,3 +108,17 @@ def test_nothing_stored(spark):
     none = stored(spark, np.zeros((3, 4)))
     out = ts.compile("R += A[i,j] * A[i,j]\nT[i] += A[i,j]\nU[i,j] = A[i,j] + A[i,j]").execute({"A": none}, spark=spark)
     assert ts.to_numpy(out["R"]) == 0 and not ts.to_numpy(out["T"]).any() and out["U"].frame.count() == 0
+
+
+@pytest.mark.parametrize("code", ["R[i] += (A[i,j] == 0)", "R -= cos(A[i,j])", "R[j] += (A[i,j] <= B[i,j]) + W[j]", "R[i] += exp(A[i,j]) / (B[i,j] + i)", "R[i] += A[i,j] ^ 0"])
+def test_what_is_not_stored_is_counted(spark, code):
+    """Sums that do not vanish at 0 equal those of filled tensors, and no grid of all index values is made."""
+    given = {"A": A, "B": B, "W": V}
+    results = []
+    for make in (stored, ts.from_values):
+        out = ts.compile(code).execute({n: ts.from_values(spark, x) if n == "W" else make(spark, x) for n, x in given.items()}, spark=spark)["R"]
+        assert not out.sparse
+        results.append(ts.to_numpy(out))
+        if make is stored:
+            assert f"Range (0, {A.size}," not in out.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert np.allclose(*results, rtol=1e-12, atol=0, equal_nan=True)
