@@ -3,7 +3,8 @@
 Cells are ordered by the Morton number of their tile and cut into files of about ``FILE_CELLS``, so each
 file covers a compact part of the index space.  A manifest lists the files with the least and greatest index
 of each axis.  A slice at literal subscripts reads only files whose bounds meet it; writing a slice
-replaces only those files.
+replaces only those files.  The driver reads the manifest, and each file is a task, so their number is
+bounded: those of a large tensor hold more cells, in Morton order too, and a slice skips most of their row groups.
 
 A path holds folders of files and numbered manifests.  Files are never changed: a write adds a folder, then
 a manifest, which counts once its ``_SUCCESS`` mark is there.  What an interrupted write leaves behind is
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tessellum.tensor import Tensor
 
-#: Cells in a file.
+#: Cells in a file, and the most files that one write makes; beyond, files grow.
 FILE_CELLS = 1 << 22
+MOST_FILES = 1024
 
 
 def morton(tiles: Sequence[Column], counts: Sequence[int]) -> Column:
@@ -70,6 +72,11 @@ def _placed(frame: DataFrame, shape: Sequence[int], tile: Sequence[int]) -> Data
     return frame.withColumn("z", morton(tiles, [-(-n // t) for n, t in zip(shape, tile, strict=True)]))
 
 
+def _file_cells(file_cells: int, cells: int) -> int:
+    """Cells in a file of a tensor of so many."""
+    return max(file_cells, math.ceil(cells / MOST_FILES))
+
+
 def _write_files(frame: DataFrame, path: str, shape: Sequence[int], tile: Sequence[int], file_cells: int, cells: int) -> DataFrame:
     """Write cells as files of neighbouring tiles; their manifest rows."""
     spark, order = frame.sparkSession, len(shape)
@@ -97,7 +104,8 @@ def write_blocks(tensor: Tensor, path: str, tile: Sequence[int] | None = None, f
     size = file_cells or FILE_CELLS
     edge = max(1, round(min(size, 4096) ** (1 / tensor.order)))
     tile = tuple(tile or (min(edge, max(n, 1)) for n in tensor.shape))
-    rows = _write_files(tensor.frame, path.rstrip("/"), tensor.shape, tile, size, tensor.frame.count() if tensor.sparse else tensor.size)
+    cells = tensor.frame.count() if tensor.sparse else tensor.size
+    rows = _write_files(tensor.frame, path.rstrip("/"), tensor.shape, tile, _file_cells(size, cells), cells)
     _write_manifest(rows, path.rstrip("/"), tensor.shape, tensor.dtype, tensor.sparse, tile, size)
 
 
@@ -156,6 +164,6 @@ def write_slice(tensor: Tensor, path: str, axes: dict[int, int]) -> None:
     if touched:
         made = new.unionByName(spark.read.schema(new.schema).parquet(*sorted(touched)).where(~inside))
     cells = sum(r["cells"] for r in rows if r["file"] in touched) + (0 if touched else tensor.size)
-    written = _write_files(made, root, shape, tile, meta["file_cells"], cells)
+    written = _write_files(made, root, shape, tile, _file_cells(meta["file_cells"], sum(r["cells"] for r in rows)), cells)
     kept = listed.where(~F.col("file").isin(sorted(touched))) if touched else listed
     _write_manifest(kept.unionByName(written), root, shape, meta["dtype"], meta["sparse"], tile, meta["file_cells"])

@@ -68,6 +68,18 @@ def test_a_slice_replaces_only_files_that_meet_it(spark, path):
     assert np.array_equal(ts.to_numpy(blocks.read_blocks(spark, path)), want)
 
 
+def test_the_number_of_files_is_bounded(spark, tmp_path, monkeypatch):
+    """Files of a large tensor hold more cells; a slice that is replaced does not cut them up again."""
+    monkeypatch.setattr(blocks, "MOST_FILES", 8, raising=False)
+    place, want = str(tmp_path / "m"), A.copy()
+    blocks.write_blocks(ts.from_values(spark, A), place, (5, 5), 10)
+    assert 4 < len(files(spark, place)) <= 8
+    for row in (7, 7, 30):
+        blocks.write_slice(ts.from_values(spark, np.arange(30.0) - row), place, {0: row})
+        want[row] = np.arange(30.0) - row
+    assert len(files(spark, place)) <= 16 and np.array_equal(ts.to_numpy(blocks.read_blocks(spark, place)), want)
+
+
 def test_an_interrupted_write_leaves_the_old_version(spark, path, monkeypatch, tmp_path):
     reader = blocks.read_blocks(spark, path)
     monkeypatch.setattr(blocks, "_write_manifest", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
