@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.scalars import BINARY, UNARY, divide
 from tessellum.lang.syntax import Call, Index, Infix, Negative, Node, Number, Read, Statement, walk
-from tessellum.operators import folds, ranges, skew, sparse, sums, tiles
+from tessellum.operators import folds, pairs, ranges, skew, sparse, sums, tiles
 from tessellum.operators import shares as shifted
 from tessellum.tensor import Tensor, coordinates, dense, promote
 
@@ -527,9 +527,12 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
     tables = [_presum(t, letters, [o for o in tables if o is not t], sizes) for t in tables] if not keyed else tables
     made = len(tables)
     while len(tables) > 1:
-        pairs = [(a, b) for i, a in enumerate(tables) for b in tables[i + 1 :]]
-        a, b = min(pairs, key=lambda p: (not set(p[0].letters) & set(p[1].letters), math.prod(sizes[c] for c in {*p[0].letters, *p[1].letters}), p[0].cells + p[1].cells))
+        couples = [(a, b) for i, a in enumerate(tables) for b in tables[i + 1 :]]
+        a, b = min(couples, key=lambda p: (not set(p[0].letters) & set(p[1].letters), math.prod(sizes[c] for c in {*p[0].letters, *p[1].letters}), p[0].cells + p[1].cells))
         rest = [t for t in tables if t is not a and t is not b]
+        if not rest and _paired(a, b, letters):
+            tables = [_multiplied(a, b, sizes, made)]
+            break
         both = join(a, b, sizes)
         (x,), (y,) = ([c for c in t.frame.columns if c.startswith("f")] for t in (a, b))
         product = Table(both.frame.select(*both.letters, (F.col(x) * F.col(y)).alias(f"f{made}")), both.letters, both.cells, both.sparse)
@@ -553,6 +556,25 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
     return domain(table, letters, sizes, spark) if letters else table
 
 
+def _paired(a: Table, b: Table, letters: list[str]) -> bool:
+    """Whether the last two factors hold stored cells, share only what is summed, and are too many to broadcast."""
+    shared = set(a.letters) & set(b.letters)
+    own = [set(t.letters) - shared for t in (a, b)]
+    return a.sparse and b.sparse and min(a.cells, b.cells) > BROADCAST_CELLS and bool(shared) and not shared & set(letters) and all(o and o <= set(letters) for o in own)
+
+
+def _multiplied(a: Table, b: Table, sizes: dict[str, int], number: int) -> Table:
+    """Their product, summed over what they share (:mod:`tessellum.operators.pairs`)."""
+    keys = [c for c in a.letters if c in b.letters]
+    own = [tuple(c for c in t.letters if c not in keys) for t in (a, b)]
+    values = [next(c for c in t.frame.columns if c.startswith("f")) for t in (a, b)]
+    sides = [t.frame.select(*keys, tiles.position(o, sizes).alias(n), v) for t, o, n, v in zip((a, b), own, ("i", "j"), values, strict=True)]
+    summed = pairs.multiply(*sides, keys, tuple(values))
+    both = (*own[0], *own[1])
+    named = summed.select(*tiles.letters_of("i", own[0], sizes), *tiles.letters_of("j", own[1], sizes), F.col("x").alias(f"f{number}"))
+    return Table(named, both, math.prod(sizes[c] for c in both), True)
+
+
 def _presum(table: Table, letters: list[str], others: list[Table], sizes: dict[str, int]) -> Table:
     """Sum over index variables that neither the output nor another factor needs."""
     needed = set(letters).union(*(o.letters for o in others)) if others else set(letters)

@@ -30,8 +30,8 @@ def heavy(frame: DataFrame, keys: list[str], shares: int, name: str) -> DataFram
     return counts.join(F.broadcast(total), F.col("rows") * shares > F.col("total")).select(*keys, parts.alias(name))
 
 
-def join(left: DataFrame, right: DataFrame, keys: list[str], shares: int | None = None) -> DataFrame:
-    """An inner join on ``keys``; no pair of parts holds more than about one in ``shares`` of either side."""
+def sides(left: DataFrame, right: DataFrame, keys: list[str], shares: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of such a join, with the numbers ``_l`` and ``_r`` of the parts that meet."""
     shares = shares or SHARES
     # At most ``shares`` rows each, by their definition.
     found = [F.broadcast(heavy(side, keys, shares, name)) for side, name in ((left, "_l"), (right, "_r"))]
@@ -48,7 +48,13 @@ def join(left: DataFrame, right: DataFrame, keys: list[str], shares: int | None
         placed = marked.withColumn("_own", part).withColumn("_other", other).drop(*names)
         return placed.withColumnsRenamed({"_own": names[own], "_other": names[1 - own]})
 
-    return dealt(left, 0).join(dealt(right, 1), [*keys, "_l", "_r"]).drop("_l", "_r")
+    return dealt(left, 0), dealt(right, 1)
+
+
+def join(left: DataFrame, right: DataFrame, keys: list[str], shares: int | None = None) -> DataFrame:
+    """An inner join on ``keys``; no pair of parts holds more than about one in ``shares`` of either side."""
+    left, right = sides(left, right, keys, shares)
+    return left.join(right, [*keys, "_l", "_r"]).drop("_l", "_r")
 
 
 def grid(left: DataFrame, right: DataFrame, left_rows: int, right_rows: int) -> DataFrame:
