@@ -12,6 +12,7 @@ product   a * state                                               the product of
 affine    a * state + b, a and b free of the state                (a, b) by runs of ``CHUNK``, then runs of runs
 least     state + (x < state) * (x - state)                       the least x
 most      state + (x > state) * (x - state)                       the greatest x
+guarded   state - (state > x) * x, or with >=                     by runs; see :func:`guarded_totals`
 loop      anything else                                           not composed: one sorted pass for each cell
 ========  ======================================================  ========================================
 
@@ -68,6 +69,34 @@ def extreme(node: Node, out: Read) -> tuple[str, Node] | None:
     return None
 
 
+def guarded(node: Node, out: Read) -> tuple[Node, bool] | None:
+    """(x, whether equality subtracts) for ``out - (out > x) * x`` and its mirror images."""
+    if not (isinstance(node, Infix) and node.operator == "-" and node.left == out and isinstance(node.right, Infix) and node.right.operator == "*"):
+        return None
+    for mask, x in ((node.right.left, node.right.right), (node.right.right, node.right.left)):
+        if isinstance(mask, Infix) and not _reads(x, out):
+            if (mask.left, mask.right) == (out, x) and mask.operator in (">", ">="):
+                return x, mask.operator == ">="
+            if (mask.left, mask.right) == (x, out) and mask.operator in ("<", "<="):
+                return x, mask.operator == "<="
+    return None
+
+
+def guarded_totals(rows: DataFrame, at: Column, x: Column) -> DataFrame:
+    """(run, s, high, low, odd) of runs of ``CHUNK`` steps ``state - (state > x) * x``.
+
+    A run subtracts its sum s from any state above ``high``, the greatest of each x and all before it, and
+    leaves a state alone that no x but 0 is below, ``low`` being the least; only states between need its steps.
+    """
+    placed = rows.select(at.cast("bigint").alias("at"), x.cast("double").alias("x"))
+    runs = placed.groupBy(F.expr(f"at div {CHUNK}").alias("run")).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("steps"))
+    begin = F.struct(F.lit(0.0).alias("s"), F.lit(-math.inf).alias("high"))
+    step = lambda f, c: F.struct((f["s"] + c["x"]).alias("s"), F.when(c["x"] != 0, F.greatest(f["high"], f["s"] + c["x"])).otherwise(f["high"]).alias("high"))
+    least = F.array_min(F.transform("steps", lambda c: F.when(c["x"] != 0, c["x"])))
+    odd = F.exists("steps", lambda c: F.isnan(c["x"]) | (F.abs(c["x"]) == math.inf))
+    return runs.select("run", F.aggregate("steps", begin, step).alias("f"), F.coalesce(least, F.lit(math.inf)).alias("low"), odd.alias("odd")).select("run", "f.s", "f.high", "low", "odd")
+
+
 Part = Node | None
 
 
@@ -164,6 +193,51 @@ def composed(statement: Statement, rows: DataFrame, keys: list[str], at: Column,
     return parts.select(*keys, "a", "b"), lambda state: F.col("a") * state + F.col("b")
 
 
+def _walked(state: float, until: float, inclusive: bool, batches: Iterator[pa.RecordBatch]) -> tuple[float, float | None]:
+    """The state after some runs, and the first run, from ``until`` on, whose steps it needs."""
+    for batch in batches:
+        for run, s, high, low, odd in zip(*(batch.column(c).to_pylist() for c in ("run", "s", "high", "low", "odd")), strict=True):
+            if run < until:
+                continue
+            if not odd and (state > high or (inclusive and state == high)):
+                state -= s
+            elif odd or not (state < low or (not inclusive and state == low)):
+                return state, run
+    return state, None
+
+
+#: Runs whose steps are looked up one after another; with more, all steps are streamed.
+MOST_LOOKUPS = 64
+
+
+def guarded_fold(statement: Statement, totals: DataFrame, steps: DataFrame, state: float, at: Column, x: Column) -> float | None:
+    """The state of a scalar loop of guarded steps from the ``totals`` of its runs; None if too many runs need their steps.
+
+    Totals are walked in order in one task, a row for each ``CHUNK`` steps.  A run that needs its steps has
+    only these read from ``steps``.
+    """
+    inclusive, begin = guarded(step_of(statement), statement.output)[1], 0
+    ordered = totals.coalesce(1).sortWithinPartitions("run")
+    for _ in range(MOST_LOOKUPS):
+
+        def walk_on(batches: Iterator[pa.RecordBatch], state: float = state, begin: int = begin) -> Iterator[pa.RecordBatch]:
+            made, run = _walked(state, begin, inclusive, batches)
+            yield pa.record_batch([pa.array([made]), pa.array([run], pa.int64())], names=["state", "run"])
+
+        found = ordered.mapInArrow(walk_on, "state double, run long").first()
+        state, run = found["state"], found["run"]
+        if run is None:
+            return state
+        own = steps.where((at >= run * CHUNK) & (at < (run + 1) * CHUNK)).select(at.alias("at"), x.cast("double").alias("x"))
+        for r in sorted(own.collect()):
+            if state > r["x"] or (inclusive and state == r["x"]):
+                state -= r["x"]
+            elif math.isnan(r["x"]) or math.isinf(r["x"]):
+                state -= 0.0 * r["x"]
+        begin = run + 1
+    return None
+
+
 def _scalar(node: Node, out: Read, places: dict[Read | str, int], loose: bool) -> Callable[[float, tuple], float]:
     """An expression as a function of the state and a row, with the results of the column forms."""
     match node:

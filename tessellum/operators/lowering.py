@@ -27,6 +27,7 @@ from tessellum.functions.scalars import BINARY, UNARY, divide
 from tessellum.lang.syntax import Call, Index, Infix, Negative, Node, Number, Read, Statement, walk
 from tessellum.operators import folds, pairs, ranges, skew, sparse, sums, tiles
 from tessellum.operators import shares as shifted
+from tessellum.sources.tables import shared_root
 from tessellum.tensor import Tensor, coordinates, dense, promote
 
 #: Tensors of at most this many cells are broadcast in joins; sizes are known from metadata.
@@ -625,6 +626,9 @@ def _long_loop(statement: Statement, rows: Table, state: Table, sizes, reduced,
     letters, out = list(statement.output.letters), statement.output
     at = joined_position("".join(reduced), sizes)
     if folds.form(statement) == "loop":
+        made = _guarded_loop(statement, rows, state, at, names, loose, spark) if not letters else None
+        if made is not None:
+            return made
         both = domain(join(state, rows, sizes), letters, sizes, spark)
         return Table(folds.streamed(statement, both.frame, letters, at, names, loose), tuple(letters), state.cells)
     # Index variables of the output that a step computes with belong to its key.
@@ -636,6 +640,18 @@ def _long_loop(statement: Statement, rows: Table, state: Table, sizes, reduced,
     return Table(both.frame.select(*letters, result(F.col("state")).alias("x")), tuple(letters), both.cells)
 
 
+def _guarded_loop(statement: Statement, rows: Table, state: Table, at: Column, names, loose, spark) -> Table | None:
+    """A scalar loop of steps that subtract what the state exceeds, from totals of its runs; None for other steps."""
+    found = folds.guarded(folds.step_of(statement), statement.output)
+    if found is None:
+        return None
+    x = to_column(found[0], lambda r: F.col(names[r]), F.col, loose)
+    shared_root(spark)
+    totals = folds.guarded_totals(rows.frame, at, x).checkpoint(eager=True)
+    value = folds.guarded_fold(statement, totals, rows.frame, state.frame.first()["state"], at, x)
+    return None if value is None else Table(spark.range(1).select(F.lit(value).alias("x")), (), 1)
+
+
 def _write(cells: Table, statement: Statement, sizes, shape, dtype: str, old: Tensor | None, spark) -> Tensor:
     """Rows of index variables as cells of the output; cells that are not written keep their value, or are 0."""
     out = statement.output

@@ -72,3 +72,23 @@ def test_short_loops_stay_literal(spark):
     x = np.array([[5.123456789]])
     code = "M[i] = 1000\nM[i] += (X[i,j] < M[i]) * (X[i,j] - M[i])"
     assert ts.to_numpy(ts.compile(code).execute({"X": ts.from_values(spark, x)}, {"M": (1,)}, spark)["M"])[0] == 1000 + (5.123456789 - 1000)
+
+
+@pytest.mark.parametrize("code", ["M = {s}\nM -= (M > X[i,j]) * X[i,j]", "M = {s}\nM = M - (X[i,j] * (X[i,j] <= M))"])
+@pytest.mark.parametrize("start", [100000, 300, 40, 3, 0, -7])
+@pytest.mark.parametrize("spoil", [None, -5.0, math.inf, -math.inf, math.nan])
+def test_guarded_steps_by_runs(spark, monkeypatch, code, start, spoil):
+    """Whatever the state meets, runs give what the literal loop gives, and no task sorts all steps."""
+    x = X.copy()
+    if spoil is not None:
+        x[1, 7] = spoil
+    code = code.format(s=start) if start >= 0 else code.format(s=f"0 - {-start}")
+    literal = results(spark, monkeypatch, code, x, 4096)
+    monkeypatch.setattr(folds, "streamed", None)
+    assert np.array_equal(results(spark, monkeypatch, code, x, 16), literal, equal_nan=True)
+
+
+def test_guarded_steps_of_too_many_runs_are_streamed(spark, monkeypatch):
+    monkeypatch.setattr(folds, "MOST_LOOKUPS", 1, raising=False)
+    code = "M = 60\nM -= (M > X[i,j]) * X[i,j]"
+    assert np.array_equal(results(spark, monkeypatch, code, X, 2), results(spark, monkeypatch, code, X, 4096))
