@@ -58,14 +58,15 @@ class Program:
         best = max(self.statements, key=lambda s: s.op_count)
         return best.op_count, best.line
 
-    def execute(self, inputs: dict[str, Tensor], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None, tiled: bool | None = None, exact: bool = False, shared: bool = False) -> dict[str, Tensor]:
+    def execute(self, inputs: dict[str, Tensor], shape_hints: dict[str, tuple[int, ...]] | None = None, spark: SparkSession | None = None, tiled: bool | None = None, exact: bool = False, shared: bool = False, shifted: bool = True) -> dict[str, Tensor]:
         """All tensors by name, the inputs included.  Nothing runs until a frame is used.
 
         Shapes are inferred; ``shape_hints`` override and are needed only for index ranges that no
         tensor fixes.  A name stands for its latest value at each statement.  ``tiled`` and ``exact``
         as in :func:`tessellum.operators.lowering.lower`.  Statements that say the same of the same tensors
         are one.  With ``shared``, what sums or joins and is read by several statements is computed once, when
-        the program is executed, and checkpointed; what has one reader stays part of it.
+        the program is executed, and checkpointed; what has one reader stays part of it.  Without ``shifted``, shares of
+        exponentials are worked out as written, so one whose total overflows is infinity by infinity, no number.
         """
         spark = spark or SparkSession.getActiveSession()
         hints = dict(shape_hints or {})
@@ -92,7 +93,7 @@ class Program:
                 totals.pop(name, None)
                 now[name] = same[made_of]
                 continue
-            inner = shares(s, totals, now)
+            inner = shares(s, totals, now) if shifted else None
             totals.pop(name, None)
             if inner is not None and name not in now:
                 now[name] = lower_shares(s, inner, now, spark, hints.get(name))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import duckdb
 import numpy as np
 import pytest
 
 import tessellum as ts
+from tessellum import catalog
 from tessellum.operators import shares
 
 CODE = "E[i] += exp(X[i,j] * 1)\nR[i,j] = exp(X[i,j] * 1) / E[i]"
@@ -62,3 +66,22 @@ def test_rows_are_exchanged_once(spark):
     out = run(spark, np.zeros((2, 2)))["R"]
     plan = out.frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2 and "Window" not in plan
+
+
+def test_without_shifting_a_share_is_the_quotient_as_written(spark):
+    x = ts.from_values(spark, [[1000.0, 1.0], [2.0, 1.0]])
+    out = ts.compile(CODE).execute({"X": x}, spark=spark, shifted=False)["R"]
+    assert np.allclose(ts.to_numpy(out), [[np.nan, 0], softmax(np.array([[2.0, 1.0]]))[0]], equal_nan=True)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables")
+@pytest.mark.parametrize("copies", [100, 500, 600])
+def test_attention_equals_its_sql_below_and_above_the_overflow(spark, tmp_path, copies):
+    """As many customers as 1, 5 and 6 times sf0.1 have; exponents of some rows of the SQL overflow at 5 times."""
+    con = duckdb.connect()
+    for name, times in (("nation", 1), ("customer", copies)):
+        con.sql(f"COPY (SELECT t.* FROM '/root/testdata/sf0.001/{name}.parquet' t, range({times})) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = sorted((r["d0"], r["d1"], repr(r["v"])) for r in catalog.QUERIES["attention_scores"](spark, str(tmp_path)).collect())
+    want = sorted((i, j, repr(v)) for i, j, v in con.sql(catalog.ORACLES["attention_scores"]).fetchall())
+    assert got == want and len(want) == 25 and ("nan" in {v for _, _, v in want}) == (copies > 100)
