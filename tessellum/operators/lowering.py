@@ -43,6 +43,8 @@ class Table:
     cells: int
     #: Whether rows are those of stored cells, which may gather at some values of an index.
     sparse: bool = False
+    #: Rows of the same columns whose values are added up to those of ``frame``, where such are given.
+    given: DataFrame | None = None
 
 
 def bind_sizes(statement: Statement, tensors: dict[str, Tensor], hint: tuple[int, ...] | None) -> dict[str, int]:
@@ -127,7 +129,8 @@ def read_rows(read: Read, tensor: Tensor, sizes: dict[str, int], fixed: dict[str
             else:
                 made[c] = own
     kept = frame.select(*(own.cast("bigint").alias(c) for c, own in made.items()), F.col("v").cast("double").alias(value))
-    return Table(kept, tuple(made), math.prod(sizes[c] for c in made), tensor.sparse)
+    given = read_rows(read, replace(tensor, frame=tensor.given, given=None), sizes, fixed, value).frame if tensor.given is not None else None
+    return Table(kept, tuple(made), math.prod(sizes[c] for c in made), tensor.sparse, given)
 
 
 def small(table: Table) -> DataFrame:
@@ -523,7 +526,11 @@ def _contract(statement: Statement, parts: list[Node], tensors, sizes, letters:
             table = domain(table, [*table.letters, mask[1]], sizes, spark)
             value = BINARY["=="](F.col("label"), F.col(mask[1]).cast("double"), loose)
             tables.append(Table(table.frame.select(*table.letters, value.alias(f"x{k}")), table.letters, table.cells))
-    tables = [Table(t.frame.select(*t.letters, F.col(next(c for c in t.frame.columns if c.startswith("x"))).alias(f"f{k}")), t.letters, t.cells, t.sparse) for k, t in enumerate(tables)]
+
+    def named(frame: DataFrame | None, own: tuple[str, ...], k: int) -> DataFrame | None:
+        return None if frame is None else frame.select(*own, F.col(next(c for c in frame.columns if c.startswith("x"))).alias(f"f{k}"))
+
+    tables = [Table(named(t.frame, t.letters, k), t.letters, t.cells, t.sparse, named(t.given, t.letters, k)) for k, t in enumerate(tables)]
     uncovered = [c for c in statement.index_variables if c not in {x for t in tables for x in t.letters}]
     tables = [_presum(t, letters, [o for o in tables if o is not t], sizes) for t in tables] if not keyed else tables
     made = len(tables)
@@ -569,8 +576,12 @@ def _multiplied(a: Table, b: Table, sizes: dict[str, int], number: int) -> Table
     keys = [c for c in a.letters if c in b.letters]
     own = [tuple(c for c in t.letters if c not in keys) for t in (a, b)]
     values = [next(c for c in t.frame.columns if c.startswith("f")) for t in (a, b)]
-    sides = [t.frame.select(*keys, tiles.position(o, sizes).alias(n), v) for t, o, n, v in zip((a, b), own, ("i", "j"), values, strict=True)]
-    summed = pairs.multiply(*sides, keys, tuple(values))
+    spark = a.frame.sparkSession
+    counts = [pairs.parts(t.given.count(), spark.sparkContext.defaultParallelism) if t.given is not None else math.inf for t in (a, b)]
+    crossed = max(counts) <= pairs.GRID
+    inner = [tiles.position(tuple(keys), sizes).alias("k")] if crossed else keys
+    sides = [(t.given if crossed else t.frame).select(*inner, tiles.position(o, sizes).alias(n), v) for t, o, n, v in zip((a, b), own, ("i", "j"), values, strict=True)]
+    summed = pairs.crossed(*sides, tuple(values), tuple(counts)) if crossed else pairs.multiply(*sides, keys, tuple(values))
     both = (*own[0], *own[1])
     named = summed.select(*tiles.letters_of("i", own[0], sizes), *tiles.letters_of("j", own[1], sizes), F.col("x").alias(f"f{number}"))
     return Table(named, both, math.prod(sizes[c] for c in both), True)
@@ -584,7 +595,7 @@ def _presum(table: Table, letters: list[str], others: list[Table], sizes: dict[s
         return table
     (x,) = (c for c in table.frame.columns if c.startswith("f"))
     frame = table.frame.groupBy(*keep).agg(F.sum(x).alias(x)) if keep else table.frame.agg(F.sum(x).alias(x))
-    return Table(frame, tuple(keep), math.prod(sizes[c] for c in keep), table.sparse)
+    return Table(frame, tuple(keep), math.prod(sizes[c] for c in keep), table.sparse, table.given.select(*keep, x) if table.given is not None else None)
 
 
 def _loop(statement: Statement, tensors, sizes, reduced, old: Tensor | None, loose, spark) -> Table:

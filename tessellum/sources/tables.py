@@ -24,7 +24,8 @@ def read_tensor(spark: SparkSession, path: str) -> Tensor:
     if "shape" not in meta:
         raise ValueError(f"{path} does not hold a tensor")
     order = len(meta["shape"])
-    return Tensor(frame.select(*(F.col(f"d{k}") for k in range(order)), "v"), tuple(meta["shape"]), meta["dtype"], sparse=meta.get("sparse", False))
+    cells, sparse = frame.select(*(F.col(f"d{k}") for k in range(order)), "v"), meta.get("sparse", False)
+    return Tensor(cells, tuple(meta["shape"]), meta["dtype"], sparse=sparse, given=cells if sparse else None)
 
 
 def shared_root(spark: SparkSession) -> str:

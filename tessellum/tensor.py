@@ -30,6 +30,8 @@ class Tensor:
     pick: Callable[[dict[int, int]], DataFrame] | None = None
     #: What it is the outer or elementwise product of: (scale, ((axes of a factor, factor), ...)).
     product: tuple[float, tuple[tuple[tuple[int | str, ...], Tensor], ...]] | None = None
+    #: Rows of the same columns, of doubles, that stored cells were added up from.
+    given: DataFrame | None = None
 
     @property
     def order(self) -> int:
@@ -86,7 +88,7 @@ def from_cells(frame: DataFrame, indices: Sequence[str], value: str | Column, sh
     keys = [f"d{k}" for k in range(len(indices))]
     placed = frame.select(*(F.col(c).cast("bigint").alias(k) for c, k in zip(indices, keys, strict=True)), v.cast("double").alias("x"))
     cells = placed.groupBy(*keys).agg(F.sum("x").alias("x"))
-    return Tensor(cells.select(*keys, F.col("x").cast(dtype).alias("v")), tuple(map(int, shape)), dtype, sparse=True)
+    return Tensor(cells.select(*keys, F.col("x").cast(dtype).alias("v")), tuple(map(int, shape)), dtype, sparse=True, given=placed.select(*keys, F.coalesce("x", F.lit(0.0)).alias("v")) if dtype == "double" else None)
 
 
 def dense(tensor: Tensor) -> Tensor:
